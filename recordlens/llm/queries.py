@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from recordlens.llm.bpe import op10_byte_bpe
+from recordlens.llm.chat import op7_chat_format
 from recordlens.llm.simhash import op9_simhash
 
-QUERIES = {"op9_simhash": op9_simhash}
+QUERIES = {"op7_chat_format": op7_chat_format, "op9_simhash": op9_simhash, "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
