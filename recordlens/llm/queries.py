@@ -5,10 +5,12 @@ from __future__ import annotations
 from recordlens.llm.bpe import op10_byte_bpe
 from recordlens.llm.chat import op7_chat_format
 from recordlens.llm.htmltext import op5_html_text
+from recordlens.llm.packing import op1_packing
 from recordlens.llm.quality import op2_quality
 from recordlens.llm.simhash import op9_simhash
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_quality": op2_quality,
     "op5_html_text": op5_html_text,
     "op7_chat_format": op7_chat_format,
