@@ -5,6 +5,7 @@ from __future__ import annotations
 from recordlens.llm.bpe import op10_byte_bpe
 from recordlens.llm.chat import op7_chat_format
 from recordlens.llm.htmltext import op5_html_text
+from recordlens.llm.lines import OP3_SQL, op3_line_dedup
 from recordlens.llm.packing import op1_packing
 from recordlens.llm.quality import op2_quality
 from recordlens.llm.simhash import op9_simhash
@@ -12,9 +13,10 @@ from recordlens.llm.simhash import op9_simhash
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
+    "op3_line_dedup": op3_line_dedup,
     "op5_html_text": op5_html_text,
     "op7_chat_format": op7_chat_format,
     "op9_simhash": op9_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
