@@ -5,6 +5,7 @@ from __future__ import annotations
 from recordlens.llm.bpe import op10_byte_bpe
 from recordlens.llm.chat import op7_chat_format
 from recordlens.llm.htmltext import op5_html_text
+from recordlens.llm.imatch import op6_imatch
 from recordlens.llm.lines import OP3_SQL, op3_line_dedup
 from recordlens.llm.packing import op1_packing
 from recordlens.llm.quality import op2_quality
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op5_html_text": op5_html_text,
+    "op6_imatch": op6_imatch,
     "op7_chat_format": op7_chat_format,
     "op9_simhash": op9_simhash,
     "op10_byte_bpe": op10_byte_bpe,
