@@ -9,12 +9,14 @@ from recordlens.llm.imatch import op6_imatch
 from recordlens.llm.lines import OP3_SQL, op3_line_dedup
 from recordlens.llm.packing import op1_packing
 from recordlens.llm.quality import op2_quality
+from recordlens.llm.relz import op4_relz
 from recordlens.llm.simhash import op9_simhash
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op4_relz": op4_relz,
     "op5_html_text": op5_html_text,
     "op6_imatch": op6_imatch,
     "op7_chat_format": op7_chat_format,
