@@ -1,15 +1,69 @@
-"""Corpus pipeline: quality, line, near-duplicate and substring filters, then packing."""
+"""Corpus pipeline: quality, line, near-duplicate and substring filters, then packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of ``documents``. A stage's result is written as Parquet and read again by the next.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recordlens.llm import lines, packing, quality, relz, simhash
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold; dictionaries and calibration come from the labelled rows of ``docs``."""
+    scorer = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rest = [c for c in docs.columns if c != "doc_id"]
+    return quality.score(docs, scorer, *rest).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def _resized(docs: DataFrame, names: list[str]) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*names)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without recurring lines that an earlier document holds."""
+    return _resized(lines.drop_recurring_lines(docs), docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest doc_id."""
+    return simhash.keep_one(docs).select(*docs.columns)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages that start earlier."""
+    return _resized(relz.remove_repeats(docs), docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in training sequences."""
+    return packing.pack_documents(docs)
+
 
-STAGES = []
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+#: SQL can express neither compression nor packing; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recordlens-pipeline-")
+    place = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{place}/{k}-{name}")
+            docs = spark.read.parquet(f"{place}/{k}-{name}")
     return docs

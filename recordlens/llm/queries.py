@@ -7,6 +7,7 @@ from recordlens.llm.chat import op7_chat_format
 from recordlens.llm.htmltext import op5_html_text
 from recordlens.llm.imatch import op6_imatch
 from recordlens.llm.lines import OP3_SQL, op3_line_dedup
+from recordlens.llm.nndescent import op8_nndescent
 from recordlens.llm.packing import op1_packing
 from recordlens.llm.quality import op2_quality
 from recordlens.llm.relz import op4_relz
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_html_text": op5_html_text,
     "op6_imatch": op6_imatch,
     "op7_chat_format": op7_chat_format,
+    "op8_nndescent": op8_nndescent,
     "op9_simhash": op9_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
