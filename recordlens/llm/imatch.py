@@ -9,14 +9,14 @@ from recordlens.llm.common import cut, table
 
 #: Terms are kept whose share of documents lies in this band; there can be at most
 #: (mean number of distinct terms of a document) / BAND[0] of them.
-BAND = (1 / 300, 1 / 30)
+BAND = (1 / 200, 1 / 40)
 LEXICONS = 32
 #: A lexicon of more terms than this isn't broadcast but joined by shuffling.
 BROADCAST_TERMS = 2_000_000
 #: Documents with at most so many distinct terms keep all of them if none is in the band.
 SHORT = 32
 _GAP = r"[^\p{L}\p{N}]+"
-_DIGITS = 8
+_DIGITS = 4
 
 
 def distinct_terms(text: Column) -> Column:
@@ -32,30 +32,46 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
 
 
 def fingerprint(codes: Column, lexicons: int = LEXICONS) -> Column:
-    """The fingerprint of sorted distinct term codes: one hash for each family of lexicons.
+    """The fingerprint of sorted distinct term codes: _DIGITS hex digits for each family of lexicons.
 
-    Family j deals each term a level by hash; its lexicons are nested, each a random half of the
-    one before. The document's terms in the smallest lexicon that holds any of them, sorted and
-    distinct, are hashed to _DIGITS hex digits. No terms: an empty fingerprint.
+    A hash deals each term to a family and, within it, a level. A family's lexicons are nested,
+    each a random half of the one before. The document's terms in the smallest lexicon that holds
+    any of them, sorted and distinct, are hashed; a family without any gives dashes.
     """
 
-    def level(code: Column, j: Column) -> Column:
-        return F.floor(F.log2(F.lit(2.0**63) / (F.shiftrightunsigned(F.xxhash64(code, j), 1) + 1).cast("double"))).cast("int")
+    def leveled(code: Column) -> Column:
+        drawn = F.transform(F.array(F.xxhash64(code)), lambda h: F.struct(
+            F.pmod(h, F.lit(lexicons)).cast("int").alias("family"),
+            F.floor(F.log2(F.lit(2.0**56) / (F.shiftrightunsigned(h, 8) + 1).cast("double"))).cast("int").alias("level"),
+            code.alias("code"),
+        ))
+        return F.element_at(drawn, 1)
 
-    def part(j: Column) -> Column:
-        leveled = F.transform(codes, lambda c: F.struct(level(c, j).alias("l"), c.alias("c")))
-        tops = F.transform(F.array(leveled), lambda all_of: F.struct(all_of.alias("all_of"), F.array_max(all_of["l"]).alias("top")))
-        hashed = F.transform(tops, lambda t: F.xxhash64(j, F.transform(F.filter(t["all_of"], lambda x: x["l"] == t["top"]), lambda x: x["c"])))
-        return F.right(F.lpad(F.lower(F.hex(F.element_at(hashed, 1))), 16, "0"), F.lit(_DIGITS))
+    def part(own: Column) -> Column:
+        tops = F.transform(F.array(own), lambda o: F.struct(o.alias("own"), F.array_max(o["level"]).alias("top")))
+        hashed = F.transform(tops, lambda t: F.xxhash64(F.filter(t["own"], lambda x: x["level"] == t["top"])))
+        return F.when(F.size(own) == 0, "-" * _DIGITS).otherwise(F.right(F.lpad(F.lower(F.hex(F.element_at(hashed, 1))), 16, "0"), F.lit(_DIGITS)))
 
-    return F.when(F.size(codes) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(lexicons)), part), ""))
+    dealt = F.transform(F.array(F.transform(codes, leveled)), lambda all_of: F.transform(
+        F.sequence(F.lit(0), F.lit(lexicons - 1)), lambda j: part_of(all_of, j)
+    ))
+
+    return F.when(F.size(codes) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.element_at(dealt, 1), part), ""))
+
+
+def part_of(terms: Column, family: Column) -> Column:
+    return F.filter(terms, lambda x: x["family"] == family)
 
 
 def likeness(a: Column, b: Column, lexicons: int = LEXICONS) -> Column:
-    """Share of lexicon families whose hashes agree, 0 to 1; 0 if either fingerprint is missing."""
-    places = F.transform(F.sequence(F.lit(0), F.lit(lexicons - 1)), lambda j: j * _DIGITS + 1)
-    same = F.filter(places, lambda p: F.substring(a, p, F.lit(_DIGITS)) == F.substring(b, p, F.lit(_DIGITS)))
-    return F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), F.lit(0.0)).otherwise(F.size(same) / F.lit(float(lexicons)))
+    """Of the families in which either document has terms, the share in which the hashes agree."""
+    none = "-" * _DIGITS
+    split = lambda c: F.transform(F.sequence(F.lit(0), F.lit(lexicons - 1)), lambda j: F.substring(c, j * _DIGITS + 1, F.lit(_DIGITS)))
+    both = F.filter(F.arrays_zip(split(a).alias("a"), split(b).alias("b")), lambda p: (p["a"] != none) | (p["b"] != none))
+    same = F.filter(both, lambda p: p["a"] == p["b"])
+    return F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), F.lit(0.0)).otherwise(
+        F.coalesce(F.try_divide(F.size(same).cast("double"), F.size(both)), F.lit(0.0))
+    )
 
 
 def with_next(rows: DataFrame, value: str, tie: str, name: str) -> DataFrame:
@@ -137,12 +153,12 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     terms = cut(lexicon(plain))
-    rows = with_next(plain.withColumn("sha", F.sha2("text", 256)), "text", "sha", "next")
+    rows = with_next(plain.withColumn("tie", F.xxhash64("text")), "text", "tie", "next")
     size, third = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), size - third), F.substring("next", F.lit(1), third))
-    texts = rows.select("doc_id", "sha", size.cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
+    texts = rows.select("doc_id", "tie", size.cast("long").alias("n_chars"), "text", edited.alias("edited")).withColumn("edited_sha256", F.sha2("edited", 256))
     found = cut(fingerprints(texts, terms, ["text", "edited"]))
-    ahead = with_next(found, "fingerprint_text", "sha", "next_fingerprint")
+    ahead = with_next(found, "fingerprint_text", "tie", "next_fingerprint")
     own, other = F.col("fingerprint_text"), F.col("fingerprint_edited")
     return ahead.select(
         "doc_id", "n_chars", "edited_sha256", own.alias("fingerprint"), other.alias("edited_fingerprint"),
