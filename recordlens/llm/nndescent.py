@@ -31,6 +31,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return _unit(flat.reshape(len(column), -1))
 
 
+def _of_one_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, split where they hold vectors of different lengths."""
+    for batch in batches:
+        if batch.num_rows:
+            sizes = batch["vec"].value_lengths().to_numpy()
+            if (sizes == sizes[0]).all():
+                yield batch
+            else:
+                for size in np.unique(sizes):
+                    yield batch.filter(pa.array(sizes == size))
+
+
 def _pairs(i: np.ndarray, j: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids[i], ids[j], sims[i, j]
 
@@ -121,9 +133,7 @@ def start_graph(nodes: DataFrame, size: int) -> DataFrame:
     bits = max(0, ceil(log2(max(1, largest) / BLOCK)))
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _of_one_length(batches):
             unit = _matrix(batch["vec"])
             random = np.random.default_rng(SEED).standard_normal((TABLES, unit.shape[1], max(1, bits)))
             codes = np.einsum("nd,tdb->ntb", unit, random) > 0
@@ -174,16 +184,17 @@ def audit(graph: DataFrame, nodes: DataFrame, threshold: float) -> float:
     if not asked:
         return 1.0
     ids = np.array([r["id"] for r in asked])
-    unit = _unit(np.array([r["vec"] for r in asked], np.float64))
-    labels = np.array([r["label"] for r in asked])
+    labels, lengths = np.array([r["label"] for r in asked]), np.array([len(r["vec"]) for r in asked])
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                others = batch["id"].to_numpy()
-                near = (unit @ _matrix(batch["vec"]).T >= threshold) & (labels[:, None] == batch["label"].to_numpy()[None, :]) & (ids[:, None] != others[None, :])
+        for batch in _of_one_length(batches):
+            others, matrix = batch["id"].to_numpy(), _matrix(batch["vec"])
+            own = np.flatnonzero(lengths == matrix.shape[1])
+            if len(own):
+                unit = _unit(np.array([asked[k]["vec"] for k in own], np.float64))
+                near = (unit @ matrix.T >= threshold) & (labels[own][:, None] == batch["label"].to_numpy()[None, :]) & (ids[own][:, None] != others[None, :])
                 i, j = np.nonzero(near)
-                yield pa.record_batch([pa.array(ids[i]), pa.array(others[j])], ["u", "v"])
+                yield pa.record_batch([pa.array(ids[own][i]), pa.array(others[j])], ["u", "v"])
 
     true = nodes.select("id", "label", "vec").mapInArrow(links, "u long, v long")
     wanted = true.groupBy("u").agg(F.count("*").alias("n"))
