@@ -19,7 +19,7 @@ def candidates(values: list[float]) -> Column:
 
 
 def folds(groups: DataFrame, k: int) -> DataFrame:
-    """Fold of each distinct group: every k-th in order. Groups are numbered within ranges of their names."""
+    """Fold of each distinct group: every k-th in order. The groups alone, not their rows, are numbered in one task."""
     order = groups.select("grp").distinct()
     return order.withColumn("fold", (F.row_number().over(Window.orderBy("grp")) - 1) % k)
 
