@@ -17,6 +17,8 @@ FOLDS, HELD_OUT = 5, 0
 #: The fit uses at most this many labelled rows of each class and this many bytes of each.
 FIT_ROWS, FIT_BYTES = 1500, 16384
 DICTIONARY, LEVEL, BLOCK, LEAST_PART = 131072, 3, 512, 512
+#: Bytes added to size and length of a text in its rate.
+SMOOTH = (40, 100)
 THRESHOLD = 0.3
 
 
@@ -31,7 +33,7 @@ class CompressionScorer:
     """Compressed sizes under two dictionaries, and the calibrated score of their difference."""
 
     def __init__(self, good: bytes, bad: bytes, weights: np.ndarray | None = None, offset: float = 0.0) -> None:
-        self.good, self.bad, self.weights, self.offset = good, bad, np.zeros(2) if weights is None else weights, offset
+        self.good, self.bad, self.weights, self.offset = good, bad, np.zeros(3) if weights is None else weights, offset
 
     def _compressors(self) -> list[zstandard.ZstdCompressor]:
         made = []
@@ -42,17 +44,19 @@ class CompressionScorer:
         return made
 
     def features(self, texts: list[str | None]) -> np.ndarray:
-        """Of each text (size under bad - size under good) / their mean, and log(size under good / length).
+        """Of each text the normalised difference, the compression rate and the length that both depend on.
 
-        The first is the normalised difference. The second tells text that both dictionaries
-        compress alike, because it repeats itself, from ordinary text. Empty texts have zeros.
+        The difference is (size under bad - size under good) / their mean. The rate, the logarithm
+        of size under good by length, tells text that both dictionaries compress alike, because it
+        repeats itself, from ordinary text; SMOOTH keeps short texts from extremes. The length
+        counts up to one block. Empty texts have zeros.
         """
         good, bad = self._compressors()
-        out = np.zeros((len(texts), 2))
+        out = np.zeros((len(texts), 3))
         for k, text in enumerate(texts):
             if blocks := _blocks(raw := (text or "").encode()):
                 g, b = (sum(len(c.compress(block)) for block in blocks) for c in (good, bad))
-                out[k] = 2 * (b - g) / (b + g), log(g / len(raw))
+                out[k] = 2 * (b - g) / (b + g), log((g + SMOOTH[0]) / (len(raw) + SMOOTH[1])), log(min(len(raw), BLOCK))
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:

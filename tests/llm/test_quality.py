@@ -35,7 +35,7 @@ def test_edges(spark):
     assert len(found) == 5 and {r["score"] for r in found} == {0.5}
     only_good = spark.createDataFrame([(k, 1) for k in range(10)] + [(None, 1), (99, None)], "doc_id long, quality int")
     assert all(r["score"] > 0.5 for r in quality.score(docs, quality.fit(docs, only_good)).collect())
-    trained = quality.CompressionScorer(b"good words " * 50, b"BAD!! WORDS!! " * 50, weights=[5.0, 0.0])
+    trained = quality.CompressionScorer(b"good words " * 50, b"BAD!! WORDS!! " * 50, weights=[5.0, 0.0, 0.0])
     assert 0 <= trained.scores([None, "", "a"]).min() <= trained.scores([None, "", "a"]).max() <= 1
     assert quality.score(docs.limit(0), trained).count() == 0
 
