@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordlens.functions.scalars import clamp
+from recordlens.functions.scalars import clamp, ramp
 
 # Where the emotion classes lie, as (valence, arousal 0..1); other classes lie at (0, .2).
 PLACES = {
@@ -33,6 +33,17 @@ def sentiment_valence(posteriors: DataFrame) -> DataFrame:
     return posteriors.groupBy("file_id").agg(clamp(F.sum(signed), -1.0, 1.0).alias("lexical"))
 
 
+def prosodic_arousal(level_sd: Column, pitch_sd: Column, rate: Column, tilt: Column) -> Column:
+    """Arousal in -1..1 from the spread of level and pitch, the rate of syllables and the tilt of the spectrum."""
+    share = 0.30 * ramp(level_sd, 3.0, 11.0) + 0.30 * ramp(pitch_sd, 0.8, 4.0) + 0.20 * ramp(rate, 0.15, 0.55) + 0.20 * ramp(tilt, -0.6, 0.4)
+    return clamp(share * 2.0 - 1.0, -1.0, 1.0)
+
+
+def mean_arousal(prosodic: Column, classified: Column) -> Column:
+    """The mean of the two, or the one there is."""
+    return F.coalesce((prosodic + classified) / 2.0, prosodic, classified)
+
+
 def needs_words(arousal: Column, valence: Column) -> Column:
     """Whether the acoustic estimate is lively or unclear enough to pay for a transcript."""
     return F.coalesce(arousal >= CASCADE_AROUSAL, F.lit(False)) | (F.abs(F.coalesce(valence, F.lit(0.0))) < CASCADE_VALENCE)

@@ -91,3 +91,19 @@ def name_status(predicted: DataFrame, labelled: DataFrame) -> DataFrame:
     p, t = predicted.select("name").distinct().withColumn("p", F.lit(True)), labelled.select("name").distinct().withColumn("t", F.lit(True))
     both = p.join(t, "name", "full")
     return both.select("name", F.when(F.col("p") & F.col("t"), "matched").when(F.col("p"), "unlabelled").otherwise("missing_prediction").alias("status"))
+
+
+def rank_order(field: str, ranks: dict[str, tuple[str, ...]] = RANKS) -> Column:
+    """Sort key of an ordinal field: its rank, unknown values last."""
+    order = F.array(*map(F.lit, ranks[field]))
+    return F.coalesce(F.nullif(F.array_position(order, F.col(field)), F.lit(0)), F.lit(len(ranks[field]) + 1))
+
+
+def with_groups(clips: DataFrame, groups: DataFrame) -> DataFrame:
+    """clips(name) with ``grp`` of groups(name, grp); a clip without one is a group of its own."""
+    return clips.join(groups.select("name", "grp"), "name", "left").withColumn("grp", F.coalesce(F.col("grp").cast("string"), F.col("name").cast("string")))
+
+
+def overlap_rule(speech_s: Column, measured: Column) -> Column:
+    """Overlap is 0 without speech, what was measured if anything was, else unknown."""
+    return F.when(speech_s <= 0, 0.0).otherwise(measured)

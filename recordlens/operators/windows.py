@@ -68,3 +68,37 @@ def channel_correlation(samples: DataFrame, least_deviation: float = 1e-9, stere
     varies = (F.col("sl") > least_deviation) & (F.col("sr") > least_deviation)
     corr = F.when(varies, F.try_divide("cov", F.col("sl") * F.col("sr"))).otherwise(1.0)
     return sums.select("file_id", F.coalesce(corr, F.lit(1.0)).alias("channel_corr")).withColumn("true_stereo", F.col("channel_corr") < stereo_below)
+
+
+def masked_frames(frames: DataFrame, spans: DataFrame, first: Column, after: Column) -> DataFrame:
+    """The frames(file_id, i) that spans cover: span columns give the first frame and the first after it.
+
+    The three conventions of a mask differ in these two expressions only; a file without spans
+    keeps all of its frames.
+    """
+    ranges = spans.select("file_id", first.alias("_a"), after.alias("_b")).where("_b > _a")
+    covered = ranges.select("file_id", F.explode(F.sequence(F.col("_a"), F.col("_b") - 1)).alias("i")).distinct()
+    inside = frames.join(covered, ["file_id", "i"], "left_semi")
+    return inside.unionByName(frames.join(spans.select("file_id").distinct(), "file_id", "left_anti"))
+
+
+def voiced(frames: DataFrame, db: str, below: float = 25.0) -> DataFrame:
+    """The frames whose level lies at most ``below`` under their file's 90th percentile."""
+    high = frames.groupBy("file_id").agg(F.percentile(db, 0.9).alias("_high"))
+    return frames.join(high, "file_id").where(F.col(db) > F.col("_high") - below).drop("_high")
+
+
+def noise_level(power: DataFrame, speech: DataFrame, width: int, bias: float = 1.5) -> DataFrame:
+    """Noise in dB relative to speech of power(file_id, i, band, power).
+
+    The floor of a band is its minimum over ``width`` frames, times ``bias``; noise is the 90th
+    percentile of the floors' sum, speech the median power of speech(file_id, i), the frames of speech.
+    """
+    by_band = Window.partitionBy("file_id", "band").orderBy("i").rowsBetween(0, width - 1)
+    lows = power.withColumns({"low": F.min("power").over(by_band), "_n": F.count("*").over(by_band)}).where(F.col("_n") == width)
+    floor = lows.groupBy("file_id", "i").agg((F.sum("low") * bias).alias("floor")).groupBy("file_id").agg(F.percentile("floor", 0.9).alias("noise"))
+    frame = power.groupBy("file_id", "i").agg(F.sum("power").alias("power")).join(speech.select("file_id", "i"), ["file_id", "i"], "left_semi")
+    spoken = frame.groupBy("file_id").agg(F.percentile("power", 0.5).alias("speech"))
+    db = lambda c: 10.0 * F.log10(F.col(c) + 1e-30)
+    level = F.greatest(F.lit(-90.0), F.least(F.lit(0.0), db("noise") - db("speech")))
+    return floor.join(spoken, "file_id", "left").select("file_id", F.when(F.col("speech").isNull(), -90.0).otherwise(level).alias("noise_level_db"))

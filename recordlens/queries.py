@@ -434,6 +434,33 @@ def channel_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.channel_correlation(samples).select("file_id", F.round("channel_corr", 6).alias("channel_corr"), "true_stereo")
 
 
+@query(f"""WITH {_REGIONS_SQL}, c AS (SELECT DISTINCT file_id, i FROM (SELECT file_id, unnest(range(CAST(floor(start_s/0.5e0) AS BIGINT), CAST(ceil(end_s/0.5e0) AS BIGINT))) AS i FROM regions) x)
+SELECT f.file_id, f.i FROM frames f WHERE EXISTS (SELECT 1 FROM c WHERE c.file_id=f.file_id AND c.i=f.i) OR NOT EXISTS (SELECT 1 FROM regions r WHERE r.file_id=f.file_id)""")
+def frame_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, regions = frames(spark, sf_dir), _regions(spark, sf_dir)
+    first, after = F.floor(F.col("start_s") / HOP).cast("long"), F.ceil(F.col("end_s") / HOP).cast("long")
+    return windows.masked_frames(rows.select("file_id", "i"), regions, first, after)
+
+
+@query(f"""WITH f AS (SELECT file_id, i, 20.0e0*log10(value+1e-9) AS db FROM ({FRAMES_SQL}) x), h AS (SELECT file_id, quantile_cont(db, 0.9) AS hi FROM f GROUP BY 1)
+SELECT f.file_id, f.i FROM f JOIN h ON f.file_id=h.file_id WHERE db>hi-25.0e0""")
+def voiced_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = frames(spark, sf_dir).select("file_id", "i", (20.0 * F.log10(F.col("value") + 1e-9)).alias("db"))
+    return windows.voiced(levels, "db").select("file_id", "i")
+
+
+@query(f"""WITH p AS (SELECT user_id AS file_id, event_type AS band, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id)-1 AS BIGINT) AS i, value AS power FROM events),
+l AS (SELECT * FROM (SELECT file_id, i, min(power) OVER w AS low, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY file_id, band ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) x WHERE n=3),
+fl AS (SELECT file_id, quantile_cont(s, 0.9) AS noise FROM (SELECT file_id, i, sum(low)*1.5e0 AS s FROM l GROUP BY 1, 2) y GROUP BY 1),
+sp AS (SELECT file_id, quantile_cont(s, 0.5) AS speech FROM (SELECT file_id, i, sum(power) AS s FROM p WHERE i%2=0 GROUP BY 1, 2) z GROUP BY 1)
+SELECT fl.file_id, round(CASE WHEN speech IS NULL THEN -90.0e0 ELSE greatest(-90.0e0, least(0.0e0, 10.0e0*log10(noise+1e-30)-10.0e0*log10(speech+1e-30))) END, 6) AS noise_level_db FROM fl LEFT JOIN sp ON fl.file_id=sp.file_id""")
+def noise_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    power = table(spark, sf_dir, "events").select(F.col("user_id").alias("file_id"), F.col("event_type").alias("band"), (F.row_number().over(order) - 1).cast("long").alias("i"), F.col("value").alias("power"))
+    speech = power.where("i % 2 = 0").select("file_id", "i").distinct()
+    return windows.noise_level(power, speech, 3).withColumn("noise_level_db", F.round("noise_level_db", 6))
+
+
 # -- classes and vocabulary ---------------------------------------------------------------------
 
 _VOTES_SQL = f"""
@@ -639,6 +666,28 @@ def scalar_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""SELECT l_orderkey AS k, l_linenumber AS ln, round(greatest(-1.0e0, least(1.0e0, 2.0e0*(0.3e0*{clamp_sql('(l_quantity/4.0e0-3.0e0)/8.0e0')}+0.3e0*{clamp_sql('(l_linenumber-0.8e0)/3.2e0')}
+  +0.2e0*{clamp_sql('(l_discount*6.0e0-0.15e0)/0.4e0')}+0.2e0*{clamp_sql('(l_tax*12.0e0-0.5e0+0.6e0)/1.0e0')})-1.0e0)), 6) AS arousal FROM lineitem""")
+def prosodic_arousal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = emotion.prosodic_arousal(F.col("l_quantity") / 4.0, F.col("l_linenumber") * 1.0, F.col("l_discount") * 6.0, F.col("l_tax") * 12.0 - 0.5)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ln"), F.round(found, 6).alias("arousal"))
+
+
+@query("""SELECT d.doc_id AS name, coalesce(CAST(l.quality AS VARCHAR) || '|' || CAST(l.toxic AS VARCHAR), CAST(d.doc_id AS VARCHAR)) AS grp FROM documents d LEFT JOIN labels l ON d.doc_id=l.doc_id""")
+def group_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clips = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"))
+    groups = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("name"), F.concat_ws("|", F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("grp"))
+    return score.with_groups(clips, groups)
+
+
+@query("""SELECT o_orderkey, CAST(CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '2-HIGH' THEN 3 ELSE 4 END AS BIGINT) AS rank,
+  CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '2-HIGH' THEN 3 ELSE 4 END, o_orderkey) AS INT) AS pos FROM orders""")
+def rank_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = score.rank_order("o_orderpriority", {"o_orderpriority": ("5-LOW", "3-MEDIUM", "2-HIGH")})
+    ranked = table(spark, sf_dir, "orders").withColumn("rank", key)
+    return ranked.select("o_orderkey", "rank", F.row_number().over(Window.partitionBy("o_custkey").orderBy("rank", "o_orderkey")).alias("pos"))
+
+
 # -- files, manifests and jobs ------------------------------------------------------------------
 
 _PATHS_SQL = """SELECT page_id, CASE page_id%9 WHEN 0 THEN '__MACOSX/' WHEN 1 THEN 'up.zip.d/' ELSE 'up' || (page_id%3) || '.d/' END

@@ -53,3 +53,22 @@ def verdicts(found: DataFrame) -> DataFrame:
     )
     broken = found.where(F.col("error").isNotNull()).select("archive", F.lit("not an archive").alias("problem"))
     return sums.select("archive", problem.alias("problem")).union(broken)
+
+
+def extract(files: DataFrame) -> DataFrame:
+    """(archive, member, content) of the members of archives that ``verdicts`` passes; junk is left out.
+
+    The archives are judged first, by their directories alone; one that is refused isn't opened again.
+    """
+    passed = verdicts(members(files)).where(F.col("problem").isNull()).select(F.col("archive").alias("path"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                with zipfile.ZipFile(io.BytesIO(content)) as held:
+                    for info in held.infolist():
+                        if not info.is_dir():
+                            yield pd.DataFrame({"archive": [path], "member": [info.filename], "content": [held.read(info)]})
+
+    found = files.select("path", "content").join(passed, "path").mapInPandas(run, "archive string, member string, content binary")
+    return found.where(~is_junk(F.col("member")))

@@ -56,8 +56,38 @@ def probe(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, HEADER)
 
 
-def decode(files: DataFrame) -> DataFrame:
-    """Mono samples of files(path, content) in rows of at most ROW_SAMPLES; unreadable files give one row with an error."""
+def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
+    """Samples at another rate: a windowed-sinc low-pass at the lower Nyquist frequency, then interpolation."""
+    if rate == to or not len(x):
+        return x.astype(np.float32)
+    cutoff = 0.5 * min(1.0, to / rate) * 0.95
+    taps = np.arange(-64, 65)
+    kernel = 2 * cutoff * np.sinc(2 * cutoff * taps) * np.hamming(len(taps))
+    smooth = np.convolve(x, kernel / kernel.sum(), mode="same") if to < rate and len(x) > len(taps) else x
+    return np.interp(np.arange(int(len(x) * to / rate)) * rate / to, np.arange(len(x)), smooth).astype(np.float32)
+
+
+def stereo_samples(files: DataFrame, limit_s: float = 60.0) -> DataFrame:
+    """(file_id, left, right) of the first ``limit_s`` seconds of files with two channels or more: the probe for copied channels."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                _, channels, _, error = read_header(content)
+                if not error and channels >= 2:
+                    samples, rate = read_samples(content)
+                    probe = samples[: int(limit_s * rate)].astype(np.float64)
+                    yield pd.DataFrame({"file_id": path, "left": probe[:, 0], "right": probe[:, 1]})
+
+    return files.select("path", "content").mapInPandas(run, "file_id string, left double, right double")
+
+
+def decode(files: DataFrame, rate: int | None = None) -> DataFrame:
+    """Mono samples of files(path, content), at their own rate or ``rate``, in rows of at most ROW_SAMPLES.
+
+    Unreadable files give one row with an error.
+    """
+    target = rate
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -66,8 +96,9 @@ def decode(files: DataFrame) -> DataFrame:
                 if error:
                     yield pd.DataFrame({"path": [path], "rate": [0], "channels": [0], "first": [0], "samples": [np.zeros(0, np.float32)], "error": [error]})
                     continue
-                samples, rate = read_samples(content)
-                mono, channels = samples.mean(axis=1), samples.shape[1]
+                samples, own = read_samples(content)
+                rate, channels = target or own, samples.shape[1]
+                mono = resample(samples.mean(axis=1), own, rate)
                 for first in range(0, len(mono), ROW_SAMPLES):
                     yield pd.DataFrame({"path": [path], "rate": [rate], "channels": [channels], "first": [first], "samples": [mono[first : first + ROW_SAMPLES]], "error": [None]})
 
@@ -148,6 +179,38 @@ def pitches(decoded: DataFrame, size_s: float = 0.04, hop_s: float = 0.02) -> Da
     return decoded.where(F.col("error").isNull()).select("path", "rate", "first", "samples").mapInPandas(run, "file_id string, i long, f0 double")
 
 
+def band_power(decoded: DataFrame, low: float = 200.0, high: float = 7000.0, hop: int = 256) -> DataFrame:
+    """(file_id, i, band, power): power of each frame in each frequency of the band, rows of ROW_SAMPLES apart."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, rate, first, samples in zip(frame["path"], frame["rate"], frame["first"], frame["samples"]):
+                hz, power = spectrum(np.asarray(samples, np.float64), int(rate), hop)
+                kept = np.flatnonzero((hz >= low) & (hz <= min(high, 0.95 * rate / 2)))
+                if len(power) and len(kept):
+                    at = int(first) // hop + np.arange(len(power))
+                    yield pd.DataFrame({"file_id": path, "i": np.repeat(at, len(kept)), "band": np.tile(kept, len(at)), "power": power[:, kept].ravel()})
+
+    return decoded.where(F.col("error").isNull()).select("path", "rate", "first", "samples").mapInPandas(run, "file_id string, i long, band int, power double")
+
+
+def modulation(levels: np.ndarray, frames_s: float) -> float:
+    """Share of the power of an envelope's changes that lies between 2 and 8 Hz: the rate of syllables."""
+    if len(levels) < 16:
+        return 0.0
+    power = np.abs(np.fft.rfft(levels - levels.mean())) ** 2
+    hz = np.fft.rfftfreq(len(levels), 1 / frames_s)
+    total = power[hz > 0].sum()
+    return float(power[(hz >= 2) & (hz <= 8)].sum() / total) if total > 0 else 0.0
+
+
+def tilt(x: np.ndarray, rate: int) -> float:
+    """Balance of power above and below 1 kHz, as a logarithm of ten."""
+    hz, power = spectrum(x, rate, 256)
+    mean = power.mean(axis=0) if len(power) else np.zeros(len(hz))
+    return float(np.log10((mean[(hz >= 1000) & (hz < 4000)].sum() + 1e-12) / (mean[(hz >= 80) & (hz < 1000)].sum() + 1e-12)))
+
+
 def mix_at_snr(speech: np.ndarray, noise: np.ndarray, snr_db: float, peak: float = 0.95) -> np.ndarray:
     """Speech with noise at an exact ratio, repeated or cut to its length, limited to ``peak``."""
     noise = np.resize(noise, len(speech)).astype(np.float64)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import yaml
 from pyspark.sql import functions as F
-from recordlens import sinks
+from recordlens import cli, sinks
 from recordlens.config import TUNED, Thresholds, from_mapping, read_thresholds, to_mapping, write_thresholds
 from recordlens.operators import jobs, quality, windows
 from recordlens.plans.pipeline import ORDER, Estimates, Stub, analyse, build, requested
@@ -72,6 +72,7 @@ def test_archives(spark):
     files = spark.createDataFrame([("ok", held.getvalue()), ("bad", bad.getvalue()), ("bomb", bomb.getvalue()), ("no", b"text")], "path string, content binary")
     found = {r["archive"]: r["problem"] for r in archive.verdicts(archive.members(files)).collect()}
     assert found == {"ok": None, "bad": "unsafe path", "bomb": "implausible compression", "no": "not an archive"}
+    assert [(r["archive"], r["member"], bytes(r["content"])) for r in archive.extract(files).collect()] == [("ok", "a/b.wav", b"x")]
 
 
 def test_wav(spark):
@@ -89,6 +90,14 @@ def test_wav(spark):
     shape = {r["file_id"]: r for r in windows.spectral_shape(audio.mean_spectrum(decoded), 1000.0, 4000.0).collect()}
     assert shape["tone"]["low_share"] > 0.95 and shape["tone"]["flatness"] < 0.01
     assert audio.frame_levels(decoded, 400, 160).where("file_id = 'tone'").count() == (16000 - 400) // 160 + 1
+    slow = audio.decode(files, 8000).where("path = 'tone'").first()
+    assert slow["rate"] == 8000 and len(slow["samples"]) == 8000 and abs(np.std(slow["samples"]) - 0.3535) < 0.01
+    stereo = {r["file_id"]: r for r in windows.channel_correlation(audio.stereo_samples(files)).collect()}
+    assert list(stereo) == ["stereo"] and stereo["stereo"]["true_stereo"] and abs(stereo["stereo"]["channel_corr"] + 1) < 1e-3
+    power = audio.band_power(decoded.where("path = 'tone'"))
+    level = windows.noise_level(power, power.select("file_id", "i").distinct(), 8).first()["noise_level_db"]
+    assert -3.0 < level <= 0.0  # a steady tone is all floor
+    assert audio.modulation(np.sin(2 * np.pi * 4 * np.arange(500) / 100), 100) > 0.9 and audio.tilt(tone, 16000) < -1
     noisy = audio.mix_at_snr(tone, np.random.default_rng(0).standard_normal(1000), 10.0)
     assert np.abs(noisy).max() <= 0.9500001
 
@@ -131,6 +140,23 @@ def test_jobs(spark):
     assert {r["stage"]: r["rtf"] for r in jobs.stage_totals(results).collect()} == {"vad": 0.1, "asr": 0.15}
 
 
+def test_command_line(spark, tmp_path):
+    (tmp_path / "calls" / "sub").mkdir(parents=True)
+    tone = 0.3 * np.sin(np.arange(16000) / 10)
+    (tmp_path / "calls" / "a.wav").write_bytes(wav(tone))
+    (tmp_path / "calls" / "sub" / "b.WAV").write_bytes(b"no audio")
+    (tmp_path / "calls" / "note.txt").write_text("x")
+    quoted = '"' + json.dumps({"audio_quality": "clear", "emotional_tone": "upset"}).replace('"', '""') + '"'
+    (tmp_path / "labels.csv").write_text(f"name,result_json\na.wav,{quoted}\nz.wav,{quoted}\n")
+    code = cli.main([str(tmp_path / "calls"), "--labels", str(tmp_path / "labels.csv"), "--out", str(tmp_path / "out")], spark)
+    assert code == 0
+    read = {r["name"]: r for r in (json.loads(x["value"]) for x in spark.read.text(str(tmp_path / "out" / "results.json")).collect())}
+    assert read["a.wav"]["status"] == "ok" and read["b.WAV"]["status"] == "failed" and read["b.WAV"]["error"]
+    scores = {r["field"]: r["accuracy"] for r in spark.read.parquet(str(tmp_path / "out" / "scores.parquet")).collect()}
+    assert scores == {"audio_quality": 1.0, "emotional_tone": 0.0}
+    assert cli.main([str(tmp_path / "none")], spark) == 1
+
+
 @pytest.mark.parametrize("late", [None, "1 hour"])
 def test_sessions(spark, tmp_path, late):
     rows = [(1, f"2024-01-01 00:0{m}:00") for m in (0, 1, 2, 8, 9)] + [(2, "2024-01-01 00:00:00")]
