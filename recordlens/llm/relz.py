@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ WINDOW, PHRASE = 20, 6
 #: Words that a task handles at a time, and blocks of one anchor that it sends to the anchor's group.
 CHUNK_WORDS, GROUP_ROWS = 1_000_000, 4
 _CACHE = 400_000
+#: How texts are compressed where they must be shuffled.
+_LEVEL = 3
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 PLAIN, COPIED, LOOKED_UP = 0, 1, 2
 
@@ -98,14 +101,34 @@ def blocks(hashes: Hashes, window: int, phrase: int) -> tuple[np.ndarray, ...]:
     return tuple(map(np.concatenate, (text, first, count, anchor)))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about CHUNK_WORDS words, judged by length."""
+def _pack(names: list[str]):
+    """Texts compressed for the shuffle: ``text`` becomes ``packed``, the columns ``names`` stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=_LEVEL)
+        for batch in batches:
+            packed = [None if t is None else press.compress(t.encode()) for t in batch["text"].to_pylist()]
+            yield pa.record_batch([*(batch[n] for n in names), pa.array(packed, pa.binary())], [*names, "packed"])
+
+    return run
+
+
+def _texts(batch: pa.RecordBatch) -> list[str | None]:
+    if "packed" not in batch.schema.names:
+        return batch["text"].to_pylist()
+    expand = zstandard.ZstdDecompressor()
+    return [None if p is None else expand.decompress(p).decode() for p in batch["packed"].to_pylist()]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """The batches with their texts, in slices of about CHUNK_WORDS words, judged by length."""
     for batch in batches:
-        sizes = np.cumsum([len(t or "") // 6 + 1 for t in batch["text"].to_pylist()])
+        texts = _texts(batch)
+        sizes = np.cumsum([len(t or "") // 6 + 1 for t in texts])
         cuts = np.searchsorted(sizes, np.arange(CHUNK_WORDS, sizes[-1] if len(sizes) else 0, CHUNK_WORDS)) + 1
         edges = np.unique(np.r_[0, cuts, batch.num_rows])
-        for a, b in zip(edges[:-1], edges[1:]):
-            yield batch.slice(a, b - a)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            yield batch.slice(a, b - a), texts[a:b]
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +160,8 @@ def _within_chunk(batch: pa.RecordBatch, text: np.ndarray, start: np.ndarray, ke
 def _parse(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of each chunk: each distinct one once, plus the chunk's own copies."""
-        for batch in _chunks(batches):
-            hashes = Hashes(batch["text"].to_pylist())
+        for batch, texts in _chunks(batches):
+            hashes = Hashes(texts)
             text, first, count, anchor = blocks(hashes, window, phrase)
             if not len(text):
                 continue
@@ -160,8 +183,8 @@ def _parse(window: int, phrase: int):
 def _look_up(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The windows of the blocks to look up: each distinct one once a chunk, plus the chunk's copies."""
-        for batch in _chunks(batches):
-            hashes = Hashes(batch["text"].to_pylist())
+        for batch, texts in _chunks(batches):
+            hashes = Hashes(texts)
             text, at = [], []
             for k, spans in enumerate(batch["spans"].to_pylist()):
                 for s in spans:
@@ -207,8 +230,7 @@ def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
 
 def _remove(names: list[str], window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _chunks(batches):
-            texts = batch["text"].to_pylist()
+        for batch, texts in _chunks(batches):
             spans = batch["spans"].to_pylist()
             touched = [k for k, s in enumerate(spans) if s]
             hashes = Hashes([texts[k] for k in touched])
@@ -245,7 +267,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     rows keep their words; each row loses only what it holds itself. All rows and columns stay,
     columns named as an added one are replaced; an empty table gives no rows.
     """
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "spans")]
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "spans", "packed")]
     docs = docs.select(*names)
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parsed = _resolved(lean.mapInArrow(_parse(window, phrase), _SCHEMA))
@@ -255,11 +277,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
         .select("doc_id", "start", "windows", "mark", copied.alias("copied"))
     )
     unsure = _spans(found.where(~F.col("copied")))
-    windows = _resolved(_with_spans(lean, unsure, "inner").select("doc_id", "text", "spans").mapInArrow(_look_up(window), _SCHEMA))
+    packed = lean.mapInArrow(_pack(["doc_id"]), "doc_id long, packed binary")
+    windows = _resolved(_with_spans(packed, unsure, "inner").select("doc_id", "packed", "spans").mapInArrow(_look_up(window), _SCHEMA))
     repeated = windows.where((F.col("kind") == COPIED) | F.col("later")).select("doc_id", "start", "windows", "mark")
     spans = _spans(found.where("copied").select("doc_id", "start", "windows", "mark").union(repeated))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return _with_spans(docs, spans, "left").select(*names, "spans").mapInArrow(_remove(names, window), f"{schema}, n_words long, n_removed long")
+    fields = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema}
+    others = [n for n in names if n != "text"]
+    whole = docs.mapInArrow(_pack(others), ", ".join([fields[n] for n in others] + ["packed binary"]))
+    joined = _with_spans(whole, spans, "left").select(*others, "packed", "spans")
+    return joined.mapInArrow(_remove(names, window), f"{', '.join(fields[n] for n in names)}, n_words long, n_removed long")
 
 
 def op4_relz(spark: SparkSession, sf_dir: str) -> DataFrame:
