@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The least share and number of windows of a cluster, and the least separation of two speakers.
@@ -40,11 +40,51 @@ def collapse_small(windows: DataFrame) -> DataFrame:
     return windows.join(rules.select("file_id", keep.alias("keep")), "file_id").withColumn("cluster", F.when(F.col("keep"), F.col("cluster")).otherwise(0)).drop("keep")
 
 
-def two_means(windows: DataFrame, seed: int = 7) -> DataFrame:
-    """Two clusters by cosine over windows(id, embedding); cluster 0 holds the smallest id."""
-    vectors = windows.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    model = KMeans(k=2, seed=seed, distanceMeasure="cosine", maxIter=50).fit(vectors.coalesce(1).sortWithinPartitions("id"))
-    found = model.transform(vectors).drop("features")
-    first = found.groupBy("prediction").agg(F.min("id").alias("low"))
-    named = first.withColumn("cluster", F.row_number().over(Window.orderBy("low")) - 1)  # two rows
-    return found.join(F.broadcast(named), "prediction").drop("prediction", "low")
+def _split(x: np.ndarray, starts: int = 10, rounds: int = 50) -> np.ndarray:
+    """Two-means of unit vectors by cosine: the best of several starts from a vector and the one farthest from it."""
+    best, best_sum = np.zeros(len(x), int), -np.inf
+    for first in np.unique(np.linspace(0, len(x) - 1, min(starts, len(x))).astype(int)):
+        middle = x[[first, int(np.argmin(x @ x[first]))]]
+        label = np.full(len(x), -1)
+        for _ in range(rounds):
+            near = x @ middle.T
+            new = (near[:, 1] > near[:, 0]).astype(int)
+            if (new == label).all():
+                break
+            label = new
+            for k in (0, 1):
+                if (label == k).any():
+                    mean = x[label == k].mean(axis=0)
+                    middle[k] = mean / (np.linalg.norm(mean) or 1.0)
+        total = (x * middle[label]).sum()
+        if total > best_sum + 1e-12:
+            best, best_sum = label, total
+    return best
+
+
+def two_means(windows: DataFrame) -> DataFrame:
+    """(file_id, id, cluster) of windows(file_id, id, embedding): two clusters a file; 0 holds the smallest id.
+
+    A file is one group. ``windows.even_sample`` bounds it beforehand, as it does for speakers.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        x = np.stack(group["embedding"].to_numpy()).astype(np.float64)
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        label = _split(x / np.where(size > 0, size, 1.0))
+        return pd.DataFrame({"file_id": group["file_id"], "id": group["id"], "cluster": np.abs(label - label[0])})
+
+    kinds = {c: windows.schema[c].dataType.simpleString() for c in ("file_id", "id")}
+    return windows.select("file_id", "id", "embedding").groupBy("file_id").applyInPandas(run, f"file_id {kinds['file_id']}, id {kinds['id']}, cluster int")
+
+
+def speakers(windows: DataFrame) -> DataFrame:
+    """Clusters of ``two_means`` after the rules: small clusters and clusters that lie too close become one."""
+    found = collapse_small(two_means(windows)).join(windows.select("file_id", "id", "embedding"), ["file_id", "id"])
+    middle = centroids(found, "file_id", "cluster")
+    both = middle.where("cluster = 0").select("file_id", F.col("centroid").alias("a")).join(middle.where("cluster = 1").select("file_id", F.col("centroid").alias("b")), "file_id")
+    apart = both.select("file_id", separation(both, "a", "b").alias("separation"))
+    joined = found.drop("embedding").join(apart, "file_id", "left")
+    close = F.coalesce(F.col("separation") < LEAST_SEPARATION, F.lit(True))
+    return joined.select("file_id", "id", F.when(close, 0).otherwise(F.col("cluster")).alias("cluster"), "separation")

@@ -612,6 +612,13 @@ def small_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.collapse_small(own).groupBy("file_id", "cluster").agg(F.count("*").alias("n"))
 
 
+@query()
+def speaker_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two clusters of each 100 vectors; SQL can't express the iteration, tests compare it with all splits."""
+    own = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("file_id"), F.col("vec_id").alias("id"), "embedding")
+    return clusters.speakers(own).select("file_id", "id", "cluster", F.round("separation", 6).alias("separation"))
+
+
 # -- emotion ------------------------------------------------------------------------------------
 
 _POSTERIOR_SQL = f"""SELECT file_id, CASE WHEN i%4=0 THEN 'neu' WHEN i%4=1 THEN 'hap' WHEN i%4=2 THEN 'ang' WHEN i%8=3 THEN 'sad' ELSE 'other' END AS label,

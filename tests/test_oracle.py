@@ -20,7 +20,7 @@ def plain(value):
     return float(f"{value:.9g}") if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
+@pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_query(spark, duck, name):
     df = queries.QUERIES[name](spark, DIR)
     found = duck.sql(queries.ORACLE_SQL[name])

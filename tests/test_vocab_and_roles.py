@@ -1,9 +1,12 @@
 """Vocabulary, class votes, roles and emotion."""
 
+import itertools
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from recordlens.functions import vocab
-from recordlens.operators import classdist, emotion, roles
+from recordlens.operators import classdist, clusters, emotion, roles
 
 
 def one(spark, column, *values):
@@ -73,3 +76,29 @@ def test_emotion(spark):
     words = spark.createDataFrame([(1, 0.8), (2, -0.9), (3, -0.5)], "file_id long, lexical double")
     out = {r["file_id"]: (round(r["valence"], 4), r["valence_source"]) for r in emotion.cascade(rows, words).collect()}
     assert out == {1: (round((0.35 * -0.4 + 0.65 * 0.8) * 0.7, 4), "fused"), 2: (0.9, "acoustic"), 3: (-0.5, "lexical")}
+
+
+def test_two_means(spark):
+    rng = np.random.default_rng(4)
+    for spread in (0.2, 1.0):
+        x = np.concatenate([rng.normal([1, 0, 0], spread, (5, 3)), rng.normal([0, 1, 0], spread, (6, 3))])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+        def worth(label):
+            return sum(np.linalg.norm(x[np.array(label) == k].sum(axis=0)) for k in (0, 1))
+
+        best = max(worth(c) for c in itertools.product((0, 1), repeat=len(x)))
+        assert worth(clusters._split(x)) >= best - (1e-9 if spread < 1 else 0.15)
+
+
+def test_speakers(spark):
+    rng = np.random.default_rng(1)
+    two = np.concatenate([rng.normal([1, 0, 0, 0], 0.1, (10, 4)), rng.normal([0, 1, 0, 0], 0.1, (10, 4))])
+    one = rng.normal([1, 1, 0, 0], 0.02, (12, 4))
+    lone = np.concatenate([rng.normal([1, 0, 0, 0], 0.05, (19, 4)), [[0.0, 0.0, 1.0, 0.0]]])
+    rows = [(f, i, v.tolist()) for f, x in (("two", two), ("one", one), ("lone", lone)) for i, v in enumerate(x)]
+    found = {}
+    for r in clusters.speakers(spark.createDataFrame(rows, "file_id string, id long, embedding array<double>")).collect():
+        found.setdefault(r["file_id"], {})[r["id"]] = r["cluster"]
+    assert found["two"] == {i: int(i >= 10) for i in range(20)}
+    assert set(found["one"].values()) == {0} and set(found["lone"].values()) == {0}
