@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from recordlens.llm.common import WORD_GAP, cut, table
 
 WINDOW, PHRASE = 20, 6
-#: Words that a task handles at a time, and blocks of one anchor that it sends to the anchor's group.
-CHUNK_WORDS, GROUP_ROWS = 1_000_000, 4
-_CACHE = 400_000
+#: Words and rows that a task handles at a time, and blocks of one anchor that it sends to the anchor's group.
+CHUNK_WORDS, CHUNK_ROWS, GROUP_ROWS = 600_000, 1024, 4
+_CACHE = 250_000
 #: How texts are compressed where they must be shuffled.
 _LEVEL = 3
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -106,9 +106,11 @@ def _pack(names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=_LEVEL)
-        for batch in batches:
-            packed = [None if t is None else press.compress(t.encode()) for t in batch["text"].to_pylist()]
-            yield pa.record_batch([*(batch[n] for n in names), pa.array(packed, pa.binary())], [*names, "packed"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK_ROWS):
+                batch = whole.slice(at, CHUNK_ROWS)
+                packed = [None if t is None else press.compress(t.encode()) for t in batch["text"].to_pylist()]
+                yield pa.record_batch([*(batch[n] for n in names), pa.array(packed, pa.binary())], [*names, "packed"])
 
     return run
 
@@ -122,13 +124,24 @@ def _texts(batch: pa.RecordBatch) -> list[str | None]:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """The batches with their texts, in slices of about CHUNK_WORDS words, judged by length."""
-    for batch in batches:
-        texts = _texts(batch)
-        sizes = np.cumsum([len(t or "") // 6 + 1 for t in texts])
-        cuts = np.searchsorted(sizes, np.arange(CHUNK_WORDS, sizes[-1] if len(sizes) else 0, CHUNK_WORDS)) + 1
-        edges = np.unique(np.r_[0, cuts, batch.num_rows])
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            yield batch.slice(a, b - a), texts[a:b]
+    for whole in batches:
+        for at in range(0, whole.num_rows, CHUNK_ROWS):
+            batch = whole.slice(at, CHUNK_ROWS)
+            texts = _texts(batch)
+            sizes = np.cumsum([len(t or "") // 6 + 1 for t in texts])
+            cuts = np.searchsorted(sizes, np.arange(CHUNK_WORDS, sizes[-1], CHUNK_WORDS)) + 1
+            edges = np.unique(np.r_[0, cuts, batch.num_rows])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                yield batch.slice(a, b - a), texts[a:b]
+
+
+def _span_arrays(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+    """First window, number of windows and mark of the spans of each row, None without any."""
+    column = batch["spans"]
+    flat = column.flatten()
+    start, windows, mark = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "windows", "mark"))
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return [(start[a:b], windows[a:b], mark[a:b]) if b > a else None for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -186,11 +199,11 @@ def _look_up(window: int):
         for batch, texts in _chunks(batches):
             hashes = Hashes(texts)
             text, at = [], []
-            for k, spans in enumerate(batch["spans"].to_pylist()):
-                for s in spans:
-                    if s["start"] + s["windows"] + window - 1 <= hashes.sizes[k]:
-                        at.append(np.arange(s["start"], s["start"] + s["windows"]))
-                        text.append(np.full(s["windows"], k))
+            for k, spans in enumerate(_span_arrays(batch)):
+                for first, n in zip(*map(np.ndarray.tolist, spans[:2])) if spans else ():
+                    if first + n + window - 1 <= hashes.sizes[k]:
+                        at.append(np.arange(first, first + n))
+                        text.append(np.full(n, k))
             if not text:
                 continue
             text, at = np.concatenate(text), np.concatenate(at)
@@ -231,17 +244,15 @@ def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
 def _remove(names: list[str], window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _chunks(batches):
-            spans = batch["spans"].to_pylist()
+            spans = _span_arrays(batch)
             touched = [k for k, s in enumerate(spans) if s]
             hashes = Hashes([texts[k] for k in touched])
             n_words = np.array([len((t or "").encode().split()) for t in texts], np.int64)
             n_removed = np.zeros(len(texts), np.int64)
             for n, k in enumerate(touched):
-                start = np.array([s["start"] for s in spans[k]], np.int64)
-                length = np.array([s["windows"] for s in spans[k]], np.int64) + window - 1
+                start, length, mark = spans[k][0], spans[k][1] + window - 1, spans[k][2]
                 fits = start + length <= n_words[k]
-                start, length = start[fits], length[fits]
-                mark = np.array([s["mark"] for s in spans[k]], np.int64)[fits]
+                start, length, mark = start[fits], length[fits], mark[fits]
                 right = hashes.of(hashes.starts[n] + start, length, 1).view(np.int64) == mark  # rows may share an id
                 edge = np.zeros(n_words[k] + 1, np.int64)
                 np.add.at(edge, start[right], 1)
