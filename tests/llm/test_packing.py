@@ -27,7 +27,7 @@ def test_ids_are_the_librarys(text):
 
 
 def test_ids_special_and_long(library):
-    for text in ("a<|endoftext|>b", "<|endoftext|>", "x" * 5000, "  \n\t " * 200, "é́ ß 中文 \U0001f600"):
+    for text in ("a<|endoftext|>b", "<|endoftext|>", "x" * 5000, "  \n\t " * 200, "a" + " " * 600_000 + "b", "\n" * 400_000, "é́ ß 中文 \U0001f600"):
         assert packing.reader(PATH).ids(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
