@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from math import ceil
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordlens.llm.common import table
@@ -126,21 +126,23 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     flat = turns.select("conv_id", "turn", "role", parts.alias("parts")).mapInArrow(
         _flatten_turns, f"conv_id {ids['conv_id']}, turn {ids['turn']}, {TURN}"
     )
-    gathered = flat.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "body", "loss", "attachments"))).alias("turns"))
-    head = lambda t: F.concat(F.lit(START), t["role"], F.lit("\n"))
-    whole = lambda t: F.concat(head(t), t["body"], F.lit(END + "\n"))
-    starts = F.aggregate(
-        "turns",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda acc, t: F.struct((acc["at"] + F.length(whole(t))).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")),
-    )["all"]
-    placed = gathered.withColumn("starts", starts)
-    base = lambda t, k: F.element_at("starts", k + 1) + F.length(head(t))
-    return placed.select(
+    # the place where a turn starts is a running sum, so a long conversation costs no more a turn than a short one
+    earlier = Window.partitionBy("conv_id").orderBy("turn", "role", "body", "loss", "attachments").rowsBetween(Window.unboundedPreceding, -1)
+    head, tail = F.concat(F.lit(START), F.col("role"), F.lit("\n")), F.concat(F.col("body"), F.lit(END + "\n"))
+    size = F.length("role") + F.length("body") + len(START) + len(END) + 2
+    placed = flat.withColumn("start", F.coalesce(F.sum(size).over(earlier), F.lit(0)).cast("int"))
+    base = F.col("start") + F.length(head)
+    written = placed.select(
+        "conv_id", "start", F.concat(head, tail).alias("written"),
+        F.transform("loss", lambda s: F.struct((s["at"] + base).alias("at"), s["length"].alias("length"))).alias("loss"),
+        F.transform("attachments", lambda a: F.struct(a["part"].alias("part"), a["kind"].alias("kind"), a["ref"].alias("ref"), (a["at"] + base).alias("at"), a["tokens"].alias("tokens"))).alias("attachments"),
+    )
+    gathered = written.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("start", "written", "loss", "attachments"))).alias("turns"))
+    return gathered.select(
         "conv_id",
-        F.array_join(F.transform("turns", whole), "").alias("formatted"),
-        F.flatten(F.transform("turns", lambda t, k: F.transform(t["loss"], lambda s: F.struct((s["at"] + base(t, k)).alias("at"), s["length"].alias("length"))))).alias("loss"),
-        F.flatten(F.transform("turns", lambda t, k: F.transform(t["attachments"], lambda a: F.struct(k.alias("turn"), a["part"].alias("part"), a["kind"].alias("kind"), a["ref"].alias("ref"), (a["at"] + base(t, k)).alias("at"), a["tokens"].alias("tokens"))))).alias("attachments"),
+        F.array_join("turns.written", "").alias("formatted"),
+        F.flatten("turns.loss").alias("loss"),
+        F.flatten(F.transform("turns", lambda t, k: F.transform(t["attachments"], lambda a: F.struct(k.alias("turn"), *[a[n].alias(n) for n in ("part", "kind", "ref", "at", "tokens")])))).alias("attachments"),
         F.size("turns").alias("n_turns"),
     )
 

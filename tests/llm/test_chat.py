@@ -72,3 +72,10 @@ def test_edges(spark):
     long = spark.createDataFrame([(1, 0, "assistant", "wörd " * 300_000, "x")], "conv_id long, turn long, role string, text string, formatted string")
     row = chat.format_conversations(long).first()
     assert row["loss"][0]["length"] == 1_500_000
+
+
+def test_long_conversation(spark):
+    turns = spark.range(40_000).selectExpr("7L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('<|', id) AS text")
+    row = chat.format_conversations(turns).first()
+    assert chat.read_back(row["formatted"]) == [("assistant" if k % 2 else "user", f"<|{k}") for k in range(40_000)]
+    assert [chat.unescape(row["formatted"][s["at"] : s["at"] + s["length"]]) for s in row["loss"]] == [f"<|{k}" for k in range(1, 40_000, 2)]
