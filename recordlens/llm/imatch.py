@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ BAND = (1 / 200, 1 / 40)
 LEXICONS = 32
 #: A lexicon of more terms than this isn't broadcast but joined by shuffling.
 BROADCAST_TERMS = 2_000_000
+#: Ranges of doc_id that the next document is looked for in, at most.
+RANGES = 16384
 #: Documents with at most so many distinct terms keep all of them if none is in the band.
 SHORT = 32
 _GAP = r"[^\p{L}\p{N}]+"
@@ -74,6 +78,17 @@ def likeness(a: Column, b: Column, lexicons: int = LEXICONS) -> Column:
     )
 
 
+def _marks_passed(marks: list[int]) -> Column:
+    """How many of the sorted marks are at most doc_id, found in two steps: a run of marks, then a mark."""
+    if not marks:
+        return F.lit(0)
+    step = ceil(len(marks) ** 0.5)
+    longs = lambda values: F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+    passed = lambda values: F.size(F.filter(values, lambda m: m <= F.col("doc_id")))
+    runs = passed(longs(marks[::step]))
+    return F.when(runs == 0, F.lit(0)).otherwise((runs - 1) * step + passed(F.slice(longs(marks), (runs - 1) * step + 1, F.lit(step))))
+
+
 def with_next(rows: DataFrame, value: str, tie: str, name: str) -> DataFrame:
     """``rows`` with ``name``: ``value`` of the next row by descending doc_id, after the last the first.
 
@@ -81,13 +96,10 @@ def with_next(rows: DataFrame, value: str, tie: str, name: str) -> DataFrame:
     finds the next row, and across ranges the first row of the next range does. Nulls come last;
     rows of one doc_id are ordered by ``tie``.
     """
-    total = rows.count()
-    buckets = max(1, min(1024, total // 1024))
-    marks = rows.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)] or [0.5], 20000).alias("m")).first()["m"]
-    marks = sorted(set(marks or []))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(
-        F.size(F.filter(F.array(*map(F.lit, marks)), lambda m: m <= F.col("doc_id"))) if marks else F.lit(0)
-    )
+    buckets = max(1, min(RANGES, rows.count() // 1024))
+    asked = [k / buckets for k in range(1, buckets)] or [0.5]
+    marks = sorted(set(rows.agg(F.percentile_approx("doc_id", asked, max(20000, 4 * buckets)).alias("m")).first()["m"] or []))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_marks_passed(marks))
     dealt = rows.withColumn("_bucket", bucket)
     order = [F.col("doc_id").desc_nulls_last(), F.col(tie).desc()]
     inside = Window.partitionBy("_bucket").orderBy(*order)
@@ -97,7 +109,7 @@ def with_next(rows: DataFrame, value: str, tie: str, name: str) -> DataFrame:
         .select("_bucket", "doc_id", tie, value)
         .withColumn("_n", F.row_number().over(inside)).where("_n = 1")
     )
-    everywhere = Window.partitionBy(F.lit(0)).orderBy(F.col("_bucket").desc())  # at most 1025 rows
+    everywhere = Window.partitionBy(F.lit(0)).orderBy(F.col("_bucket").desc())  # a row for each range
     whole = everywhere.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     follow = heads.select(
         "_bucket", F.lead(value).over(everywhere).alias("_lead"), F.first(value).over(whole).alias("_first"), F.lead("_bucket").over(everywhere).alias("_then")

@@ -56,3 +56,11 @@ def test_single_row(spark):
     docs = spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")
     row = imatch.edited_fingerprints(docs).first()
     assert row["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and row["near_next"] == 1.0
+
+
+def test_marks_passed(spark):
+    marks = [k * k - 300 for k in range(1, 700)]
+    rows = spark.range(-1000, 500_000, 37).select(F.col("id").alias("doc_id"))
+    for some in (marks, marks[:1], marks[:50], []):
+        found = rows.select("doc_id", imatch._marks_passed(some).alias("n")).collect()
+        assert all(r["n"] == sum(m <= r["doc_id"] for m in some) for r in found[:: max(1, len(some) // 20)])
