@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from recordlens import sinks
 from recordlens.config import TUNED, read_thresholds
-from recordlens.operators import quality, score
+from recordlens.operators import quality, score, windows
 from recordlens.plans.pipeline import Estimates, Stub, analyse, build
 from recordlens.schema import FIELDS
 from recordlens.sources import audio, manifest
 
+# The rate and step of noise frames, and the seconds over which a floor is the minimum.
+NOISE_RATE, NOISE_HOP, MINIMUM_S = 16_000, 256, 1.5
+
 
 def _arguments(arguments: Sequence[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(description=__doc__)
@@ -30,20 +33,32 @@ def _arguments(arguments: Sequence[str] | None) -> argparse.Namespace:
 
 
 def measured(decoded: DataFrame) -> DataFrame:
-    """(name, degradation_score) from what the samples show: their level and clipped runs."""
+    """(name, degradation_score) from what the samples show: level, clipped runs and bandwidth.
+
+    Dropouts are holes in speech, so they need the regions of a speech model and count as none here.
+    """
     samples = audio.long_samples(decoded)
     levels = quality.file_level(samples)
     runs = quality.clipped_runs(samples).groupBy("file_id").agg(F.sum("n").alias("clipped"), F.max("n").alias("longest"))
     sizes = samples.groupBy("file_id").agg(F.count("*").alias("n"))
-    joined = levels.join(sizes, "file_id").join(runs, "file_id", "left")
+    spectra = quality.bandwidth(audio.mean_spectrum(decoded))
+    joined = levels.join(sizes, "file_id").join(runs, "file_id", "left").join(spectra, "file_id", "left")
     scores = joined.select(
         F.col("file_id").alias("name"),
         quality.clipping_score(F.coalesce(F.col("clipped") / F.col("n"), F.lit(0.0)), F.coalesce("longest", F.lit(0)).cast("double")).alias("clipping"),
-        F.lit(0.0).alias("dropouts"), quality.level_score(F.col("level_db")).alias("level"), F.lit(0.0).alias("bandwidth"),
+        F.lit(0.0).alias("dropouts"), quality.level_score(F.col("level_db")).alias("level"), F.coalesce("bandwidth", F.lit(0.0)).alias("bandwidth"),
     )
     return quality.degradation(scores).select("name", "degradation_score")
 
 
+def noise(decoded: DataFrame) -> DataFrame:
+    """(name, noise_level_db) of recordings decoded at NOISE_RATE, all frames counting as speech; none below 1.5 seconds."""
+    power = audio.band_power(decoded)
+    frames = power.select("file_id", "i").distinct()
+    found = windows.noise_level(power, frames, int(MINIMUM_S * NOISE_RATE / NOISE_HOP))
+    return found.select(F.col("file_id").alias("name"), F.round("noise_level_db", 2).alias("noise_level_db"))
+
+
 def score_results(results: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of the fields of ok results against labels(name, truth)."""
     fields = [f for f in FIELDS if f != "confidence"]
@@ -67,7 +82,10 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
         return 1
     named = files.withColumn("name", manifest.basename(F.col("path"))).select(F.col("name").alias("path"), "content")
     heads = audio.probe(named).select(F.col("path").alias("name"), F.coalesce("duration_s", F.lit(0.0)).alias("audio_s"), "error")
-    makers = {"quality": lambda: Estimates("quality", measured(audio.decode(named)), "degradation_score"), "stub": Stub}
+    makers = {
+        "quality": lambda: Estimates("quality", measured(audio.decode(named)), "degradation_score"),
+        "noise": lambda: Estimates("noise", noise(audio.decode(named, NOISE_RATE)), "noise_level_db"), "stub": Stub,
+    }
     stages = build(given.stack, makers)
     if given.estimates:
         table = spark.read.parquet(given.estimates)

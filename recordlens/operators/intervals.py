@@ -76,10 +76,14 @@ def speech_summary(regions: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def adjacent(rows: DataFrame) -> DataFrame:
+    """rows(file_id, i) with ``island``, equal for rows of a file whose ``i`` follow one another."""
+    return rows.withColumn("island", F.col("i") - F.row_number().over(_by("i")))
+
+
 def true_runs(rows: DataFrame, flag: Column) -> DataFrame:
     """Runs of adjacent rows(file_id, i) where ``flag`` holds: first, last and number of rows."""
-    on = rows.where(flag).withColumn("island", F.col("i") - F.row_number().over(_by("i")))
-    return on.groupBy("file_id", "island").agg(F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.count("*").alias("n")).drop("island")
+    return adjacent(rows.where(flag)).groupBy("file_id", "island").agg(F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.count("*").alias("n")).drop("island")
 
 
 def stab(points: DataFrame, at: str, spans: DataFrame, cell: float = 60.0) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordlens.functions.scalars import level_db, noisy_or, ramp
-from recordlens.operators.intervals import stab, true_runs
+from recordlens.operators.intervals import adjacent, stab, true_runs
 
 # Seconds a hole may last, its level below the file's, and runs of clipped samples.
 HOLE_S, HOLE_DB, CLIP_RUN, CLIP_SPREAD = (0.004, 0.250), -55.0, 3, 0.002
+# The band of speech, where the band above it begins and the highest frequency that counts.
+SPEECH_HZ, ABOVE_HZ, TOP_HZ = (300.0, 3400.0), 3600.0, 7500.0
 
 
 def clipping_score(share: Column, longest: Column) -> Column:
@@ -33,11 +35,21 @@ def bandwidth_score(rate: Column, drop_db: Column, top_hz: Column) -> Column:
 def clipped_runs(samples: DataFrame, near: float = 0.999) -> DataFrame:
     """Runs of samples(file_id, i, x) at the file's peak: at least CLIP_RUN, within CLIP_SPREAD of it."""
     peak = F.max(F.abs("x")).over(Window.partitionBy("file_id"))
-    marked = samples.withColumn("peak", peak)
-    runs = true_runs(marked, (F.abs("x") >= near * F.col("peak")) & (F.col("peak") > 0))
-    held = marked.alias("s").join(runs.alias("r"), (F.col("s.file_id") == F.col("r.file_id")) & F.col("s.i").between(F.col("r.first_i"), F.col("r.last_i")))
-    spread = held.groupBy("r.file_id", "r.first_i", "r.last_i", "r.n").agg((F.max("s.x") - F.min("s.x")).alias("spread"), F.max("s.peak").alias("peak"))
-    return spread.where((F.col("n") >= CLIP_RUN) & (F.col("spread") <= CLIP_SPREAD * F.col("peak"))).select("file_id", "first_i", "last_i", "n")
+    at_peak = samples.withColumn("peak", peak).where((F.abs("x") >= near * F.col("peak")) & (F.col("peak") > 0))
+    runs = adjacent(at_peak).groupBy("file_id", "island").agg(
+        F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("spread"), F.max("peak").alias("peak")
+    )
+    return runs.where((F.col("n") >= CLIP_RUN) & (F.col("spread") <= CLIP_SPREAD * F.col("peak"))).select("file_id", "first_i", "last_i", "n")
+
+
+def bandwidth(spectra: DataFrame) -> DataFrame:
+    """``(file_id, bandwidth)`` of spectra(file_id, rate, hz, power): power above speech against that of speech."""
+    top = F.least(F.lit(TOP_HZ), F.col("rate") * 0.475)
+    within = lambda low, high: F.coalesce(F.sum(F.when((F.col("hz") >= low) & (F.col("hz") <= high), F.col("power"))), F.lit(0.0))
+    sums = spectra.withColumn("top_hz", top).groupBy("file_id", "rate", "top_hz").agg(within(*SPEECH_HZ).alias("speech"), within(ABOVE_HZ, F.col("top_hz")).alias("above"))
+    drop = 10.0 * F.log10((F.col("above") + 1e-20) / (F.col("speech") + 1e-20))
+    usable = F.when(F.col("speech") > 0, F.col("top_hz")).otherwise(0.0)
+    return sums.select("file_id", bandwidth_score(F.col("rate").cast("double"), drop, usable).alias("bandwidth"))
 
 
 def dropouts(frames: DataFrame, regions: DataFrame, hop: float, hole_s: tuple[float, float] = HOLE_S, hole_db: float = HOLE_DB) -> DataFrame:

@@ -138,17 +138,17 @@ def spectrum(x: np.ndarray, rate: int, hop: int, nfft: int = NFFT) -> tuple[np.n
 
 
 def mean_spectrum(decoded: DataFrame, hop: int = 512) -> DataFrame:
-    """(file_id, hz, power): mean power of each frequency over all of a file's frames."""
+    """(file_id, rate, hz, power): mean power of each frequency over all of a file's frames."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, rate, samples in zip(frame["path"], frame["rate"], frame["samples"]):
                 hz, power = spectrum(np.asarray(samples, np.float64), int(rate), hop)
                 if len(power):
-                    yield pd.DataFrame({"file_id": path, "hz": hz, "sum": power.sum(axis=0), "n": len(power)})
+                    yield pd.DataFrame({"file_id": path, "rate": int(rate), "hz": hz, "sum": power.sum(axis=0), "n": len(power)})
 
-    parts = decoded.where(F.col("error").isNull()).select("path", "rate", "samples").mapInPandas(run, "file_id string, hz double, sum double, n long")
-    return parts.groupBy("file_id", "hz").agg((F.sum("sum") / F.sum("n")).alias("power"))
+    parts = decoded.where(F.col("error").isNull()).select("path", "rate", "samples").mapInPandas(run, "file_id string, rate int, hz double, sum double, n long")
+    return parts.groupBy("file_id", "rate", "hz").agg((F.sum("sum") / F.sum("n")).alias("power"))
 
 
 def pitch(x: np.ndarray, rate: int) -> float | None:

@@ -112,6 +112,35 @@ def test_clipping(spark):
     assert quality.dropouts(holes, speech, 0.01).count() == 1
 
 
+def test_clipped_runs_by_hand(spark):
+    x = [0.1, 1.0, 1.0, 1.0, 0.2, 1.0, 1.0, -1.0, -1.0, -1.0, -0.9995, 0.0]
+    rows = spark.createDataFrame([(f, i, v * scale) for f, scale in (("a", 1.0), ("quiet", 0.0)) for i, v in enumerate(x)], "file_id string, i long, x double")
+    # from 5 to 10 all samples lie at the peak but not on one side of it
+    assert [tuple(r) for r in quality.clipped_runs(rows).collect()] == [("a", 1, 3, 3)]
+
+
+def test_bandwidth(spark):
+    wide = np.random.default_rng(1).standard_normal(48000) * 0.1
+    power = np.fft.rfft(wide)
+    power[np.fft.rfftfreq(48000, 1 / 48000) > 3000] = 0
+    narrow = np.fft.irfft(power)
+    files = [("wide", wav(wide, 48000)), ("narrow", wav(narrow, 48000)), ("phone", wav(wide[:8000], 8000)), ("short", wav(wide[:100], 48000))]
+    decoded = audio.decode(spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary"))
+    found = {r["file_id"]: r["bandwidth"] for r in quality.bandwidth(audio.mean_spectrum(decoded)).collect()}
+    assert found["wide"] == 0.0 and found["narrow"] == 1.0 and 0.5 < found["phone"] < 0.56 and "short" not in found
+    scores = {r["name"]: r["degradation_score"] for r in cli.measured(decoded).collect()}
+    assert scores["wide"] < 0.1 < scores["phone"] < scores["narrow"] and set(scores) == {p for p, _ in files}
+
+
+def test_noise_of_recordings(spark):
+    rng, t = np.random.default_rng(2), np.arange(16000 * 4) / 16000
+    speech = np.where((t % 2 < 1.5), 0.3 * np.sin(2 * np.pi * 500 * t), 0.0)
+    files = [("clean", wav(speech + 1e-4 * rng.standard_normal(len(t)))), ("noisy", wav(speech + 0.05 * rng.standard_normal(len(t)))), ("short", wav(speech[:8000]))]
+    decoded = audio.decode(spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary"), 16000)
+    found = {r["name"]: r["noise_level_db"] for r in cli.noise(decoded).collect()}
+    assert set(found) == {"clean", "noisy"} and found["clean"] + 10 < found["noisy"] <= 0
+
+
 def test_pipeline_and_sinks(spark, tmp_path):
     assert requested("all") == list(ORDER) and requested("none") == ["stub"] and requested("noise, vad,x") == ["vad", "noise"]
 
@@ -142,7 +171,8 @@ def test_jobs(spark):
 
 def test_command_line(spark, tmp_path):
     (tmp_path / "calls" / "sub").mkdir(parents=True)
-    tone = 0.3 * np.sin(np.arange(16000) / 10)
+    # a tone alone ends below 3.6 kHz and counts as narrow; the noise gives it a band to be clear in
+    tone = 0.3 * np.sin(np.arange(16000) / 10) + 0.03 * np.random.default_rng(3).standard_normal(16000)
     (tmp_path / "calls" / "a.wav").write_bytes(wav(tone))
     (tmp_path / "calls" / "sub" / "b.WAV").write_bytes(b"no audio")
     (tmp_path / "calls" / "note.txt").write_text("x")
