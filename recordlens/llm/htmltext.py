@@ -34,6 +34,8 @@ MARKED = (
     "recommended newsletter subscribe subscription signup login search pagination pager toolbar widget "
     "complementary contentinfo"
 ).split()
+#: A class of these tells what a part has around it, not what it is.
+STATES = ("no-", "has-", "with-", "without-")
 
 _RAW = re.compile(r"<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)" % "|".join(RAW), re.I | re.S)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.S)
@@ -52,8 +54,8 @@ def _is_dropped(name: str, attributes: str) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    words = re.split(r"[^a-z]+", " ".join(filter(None, sum(_MARK.findall(attributes), ()))).lower())
-    return any(word in _MARKS for word in words)
+    names = " ".join(filter(None, sum(_MARK.findall(attributes), ()))).lower().split()
+    return any(word in _MARKS for n in names if not n.startswith(STATES) for word in re.split(r"[^a-z]+", n))
 
 
 _MARKS, _BLOCKS, _VOIDS = frozenset(MARKED), frozenset(BLOCK), frozenset(VOID)
@@ -123,8 +125,8 @@ def main_text(page: str | None) -> str:
 
     Window sums of line lengths surge where text begins and dive to nothing where WINDOW empty
     lines follow. The text between a surge and its dive is an area. A page with a main element
-    keeps every area in it; another keeps each area whose largest window is a surge and at least
-    a fifth of the page's largest.
+    keeps every area in it; another keeps all from the first to the last area whose largest window
+    is a surge and at least a fifth of the page's largest.
     """
     lines = page_lines(page or "")
     has_main = any(inside for text, inside in lines if text)
@@ -140,8 +142,8 @@ def main_text(page: str | None) -> str:
             surge = None
     most = max((peak for *_, peak in areas), default=0)
     least = 1 if has_main else max(min(SURGE, most), most / 5)
-    kept = [lines[k][0] for surge, dive, peak in areas if peak >= least for k in range(surge, dive) if lengths[k]]
-    return "\n".join(kept)
+    large = [(surge, dive) for surge, dive, peak in areas if peak >= least]
+    return "\n".join(lines[k][0] for k in range(large[0][0], large[-1][1]) if lengths[k]) if large else ""
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

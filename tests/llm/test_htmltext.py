@@ -34,6 +34,12 @@ def test_without_main_element():
     assert out == f"Title\n{text.strip()}\nShort end."
 
 
+def test_short_block_between_adverts():
+    text = "Plain text of the story goes on. " * 4
+    out = htmltext.main_text(f"<body class=has-sidebar><div class='post no-sidebar'><p>{text}</p><div class=ad>x</div><p>Short.</p><div class=ad>y</div><p>{text}</p></div></body>")
+    assert out == f"{text.strip()}\nShort.\n{text.strip()}"
+
+
 def test_references_and_space():
     assert htmltext.main_text("<article><p> a&nbsp;b\n\t c &amp;lt; &#233;&eacute;<br>d </p></article>") == "a b c &lt; éé d"
 
