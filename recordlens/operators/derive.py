@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlens.config import TUNED, Thresholds
-from recordlens.functions.scalars import binned, clamp, margin
+from recordlens.functions.scalars import binned, margin
 from recordlens.schema import CORE, INTENSITIES, QUALITIES, SEVERITIES
 
 # What stands in for an estimate that nothing has made.
@@ -25,9 +28,18 @@ def missing(df: DataFrame) -> Column:
 
 def unevidenced(df: DataFrame) -> Column:
     """Names of the core estimates that are null or stand-ins."""
-    stubbed = F.col("stubbed") if "stubbed" in df.columns else F.array().cast("array<string>")
-    absent = lambda c: F.col(c).isNull() | F.coalesce(F.array_contains(stubbed, c), F.lit(False))
-    return F.array_compact(F.array(*[F.when(absent(c), F.lit(c)) for c in CORE]))
+    return F.array_compact(F.array(*[F.when(_absent(df, c), F.lit(c)) for c in CORE]))
+
+
+def unevidenced_count(df: DataFrame) -> Column:
+    """How many names ``unevidenced`` has, without the array."""
+    return reduce(add, [_absent(df, c).cast("int") for c in CORE])
+
+
+def _absent(df: DataFrame, name: str) -> Column:
+    if "stubbed" not in df.columns:
+        return F.col(name).isNull()
+    return F.col(name).isNull() | F.coalesce(F.array_contains("stubbed", name), F.lit(False))
 
 
 def fill_stubs(df: DataFrame) -> DataFrame:
@@ -81,21 +93,24 @@ def derive(df: DataFrame, t: Thresholds = TUNED) -> DataFrame:
         .when((v <= t.valence_upset) | (a >= t.arousal_high), "upset")
         .otherwise("frustrated"),
     )
-    margins = F.array_compact(
-        F.array(
-            F.when(present & ~empty & (best["score"] < t.noise_type_min_score), 0.0),
-            F.when(level.isNotNull(), margin(level, [t.noise_present_db], SCALES["noise"])),
-            F.when(d.isNotNull(), margin(d, [t.quality_slight, t.quality_severe], SCALES["quality"])),
-            F.when(s.isNotNull(), margin(s, [t.long_silence_s], SCALES["silence"])),
-            F.when(o.isNotNull(), margin(o, [t.overlap_ratio_min], SCALES["overlap"])),
-            F.when(moved, margin(v, [0.0, t.valence_upset], SCALES["valence"])),
-            F.when(moved, margin(a, [t.arousal_low, t.arousal_high], SCALES["arousal"])),
-        )
-    )
-    known = t.conf_base - t.conf_missing_penalty * F.size(unevidenced(df))
-    mean = F.aggregate(margins, F.lit(0.0), lambda x, y: x + y) / F.greatest(F.size(margins), F.lit(1))
-    sure = known * F.when(F.size(margins) > 0, 0.65 + 0.35 * mean).otherwise(1.0)
-    sure = sure * F.when(role.isNotNull(), 1.0 - t.conf_role_weight * (1.0 - role)).otherwise(1.0)
+    margins = {
+        "_type": F.when(present & ~empty & (best["score"] < t.noise_type_min_score), 0.0),
+        "_noise": F.when(level.isNotNull(), margin(level, [t.noise_present_db], SCALES["noise"])),
+        "_quality": F.when(d.isNotNull(), margin(d, [t.quality_slight, t.quality_severe], SCALES["quality"])),
+        "_silence": F.when(s.isNotNull(), margin(s, [t.long_silence_s], SCALES["silence"])),
+        "_overlap": F.when(o.isNotNull(), margin(o, [t.overlap_ratio_min], SCALES["overlap"])),
+        "_valence": F.when(moved, margin(v, [0.0, t.valence_upset], SCALES["valence"])),
+        "_arousal": F.when(moved, margin(a, [t.arousal_low, t.arousal_high], SCALES["arousal"])),
+    }
+    # margins are columns of their own, so that the generated code holds each once and stays small
+    known = t.conf_base - t.conf_missing_penalty * unevidenced_count(df)
+    counted = {
+        "_known": known,
+        "_role": F.when(role.isNotNull(), 1.0 - t.conf_role_weight * (1.0 - role)).otherwise(1.0),
+        "_sum": reduce(add, [F.coalesce(m, F.lit(0.0)) for m in margins]),
+        "_n": reduce(add, [F.col(m).isNotNull().cast("int") for m in margins]),
+    }
+    sure = F.col("_known") * F.when(F.col("_n") > 0, 0.65 + 0.35 * (F.col("_sum") / F.greatest("_n", F.lit(1)))).otherwise(1.0) * F.col("_role")
     fields = repaired(
         tone,
         F.when(moved, binned(a, [t.arousal_low, t.arousal_high], INTENSITIES)),
@@ -106,6 +121,7 @@ def derive(df: DataFrame, t: Thresholds = TUNED) -> DataFrame:
         "audio_quality": F.coalesce(binned(d, [t.quality_slight, t.quality_severe], QUALITIES), F.lit("clear")),
         "speaker_overlap_present": F.coalesce(o >= t.overlap_ratio_min, F.lit(False)),
         "long_silence_present": F.coalesce(s >= t.long_silence_s, F.lit(False)),
-        "confidence_exact": clamp(sure, t.conf_floor, 1.0),
+        "confidence_exact": F.greatest(F.lit(t.conf_floor), F.least(F.lit(1.0), sure)),
     }
-    return df.withColumns(fields).withColumn("confidence", F.round("confidence_exact", 3))
+    done = df.withColumns(margins).withColumns(counted).withColumns(fields)
+    return done.drop(*margins, *counted).withColumn("confidence", F.round("confidence_exact", 3))

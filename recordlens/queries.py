@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from recordlens.functions import scalars, vocab
 from recordlens.operators import classdist, clusters, emotion, intervals, quality, roles, score, tune, windows
-from recordlens.operators.derive import derive, fill_stubs, repaired, unevidenced
+from recordlens.operators.derive import derive, fill_stubs, repaired, unevidenced_count
 from recordlens.plans.carriers import (
     CLASS_SCORES_SQL,
     FRAMES_SQL,
@@ -93,8 +93,7 @@ SELECT k, ln, CAST(absent AS INT) AS n_unevidenced, greatest(0.1e0, least(1.0e0,
 FROM s""")
 def derive_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = latents(spark, sf_dir)
-    absent = F.size(unevidenced(df))
-    return derive(df.withColumn("n_unevidenced", absent)).select("k", "ln", "n_unevidenced", F.col("confidence_exact").alias("confidence"))
+    return derive(df.withColumn("n_unevidenced", unevidenced_count(df))).select("k", "ln", "n_unevidenced", F.col("confidence_exact").alias("confidence"))
 
 
 @query(f"""
