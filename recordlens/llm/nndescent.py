@@ -175,14 +175,9 @@ def refine(graph: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return cut(_top(graph.union(found), size))
 
 
-def audit(graph: DataFrame, nodes: DataFrame, threshold: float) -> float:
-    """Share of the links of AUDIT vectors, compared with all vectors, that the graph's lists hold.
-
-    A list that is full of links holds what it can: only min(links, length) links are asked of it.
-    """
+def sampled_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """``(u, n, weight)``: of AUDIT vectors, compared with all vectors, the linked nodes and their copies."""
     asked = nodes.orderBy(F.xxhash64("id")).limit(AUDIT).select("id", "label", "vec").collect()  # a bounded sample
-    if not asked:
-        return 1.0
     ids = np.array([r["id"] for r in asked])
     labels, lengths = np.array([r["label"] for r in asked]), np.array([len(r["vec"]) for r in asked])
 
@@ -193,53 +188,75 @@ def audit(graph: DataFrame, nodes: DataFrame, threshold: float) -> float:
             if len(own):
                 unit = _unit(np.array([asked[k]["vec"] for k in own], np.float64))
                 near = (unit @ matrix.T >= threshold) & (labels[own][:, None] == batch["label"].to_numpy()[None, :]) & (ids[own][:, None] != others[None, :])
-                i, j = np.nonzero(near)
-                yield pa.record_batch([pa.array(ids[own][i]), pa.array(others[j])], ["u", "v"])
+                weight = near @ batch["copies"].to_numpy()
+                yield pa.record_batch([pa.array(ids[own]), pa.array(near.sum(axis=1).astype(np.int64)), pa.array(weight.astype(np.int64))], ["u", "n", "weight"])
+
+    found = nodes.select("id", "label", "vec", "copies").mapInArrow(links, "u long, n long, weight long")
+    return cut(found.groupBy("u").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).where("n > 0"))
+
+
+def audit(graph: DataFrame, wanted: DataFrame, threshold: float, size: int) -> float:
+    """Share of the sampled vectors' links that the graph's lists hold.
 
-    true = nodes.select("id", "label", "vec").mapInArrow(links, "u long, v long")
-    wanted = true.groupBy("u").agg(F.count("*").alias("n"))
+    A list that is full of links holds what it can: only min(links, length) links are asked of
+    it here. What it can't hold is found by the comparison in tiles and asked for by ``final_audit``.
+    """
     lists = graph.join(wanted, "u").where(F.col("sim") >= threshold).groupBy("u").agg(F.count("*").alias("held"))
-    sums = wanted.join(lists, "u", "left").agg(F.sum(F.least("n", F.lit(NEIGHBOURS))).alias("n"), F.sum(F.least(F.coalesce("held", F.lit(0)), F.lit(NEIGHBOURS))).alias("held")).first()
+    sums = wanted.join(lists, "u", "left").agg(F.sum(F.least("n", F.lit(size))).alias("n"), F.sum(F.least(F.coalesce("held", F.lit(0)), F.lit(size))).alias("held")).first()
     return 1.0 if not sums["n"] else sums["held"] / sums["n"]
 
 
-def neighbour_graph(nodes: DataFrame, threshold: float, size: int = NEIGHBOURS) -> DataFrame:
+def final_audit(counted: DataFrame, wanted: DataFrame) -> float:
+    """The mean, over the sampled vectors with links, of the share of all their links that ``counted(u, links)`` has."""
+    share = F.coalesce("links", F.lit(0)) / F.col("weight")
+    return wanted.join(counted, "u", "left").agg(F.coalesce(F.avg(share), F.lit(1.0)).alias("share")).first()["share"]
+
+
+def neighbour_graph(nodes: DataFrame, wanted: DataFrame, threshold: float, size: int = NEIGHBOURS) -> DataFrame:
     """Neighbour lists, refined at least twice and until the audit finds the recall asked for."""
     graph = start_graph(nodes, size)
     for done in range(1, MAX_ROUNDS + 1):
         graph = refine(graph, nodes, size)
-        if done >= 2 and audit(graph, nodes, threshold) >= RECALL:
+        if done >= 2 and audit(graph, wanted, threshold, size) >= RECALL:
             break
     return graph
 
 
-def _tile_links(threshold: float):
+def _tile_links(threshold: float, weight: str):
+    """With ``weight`` 'copies', rows link by their cosine. With 'reach', each stands for all vectors
+    within that angle of it, and rows link unless the triangle inequality rules out a link of theirs."""
+
+    def linked(left: np.ndarray, right: np.ndarray, reach_left: np.ndarray, reach_right: np.ndarray) -> np.ndarray:
+        sims = left @ right.T
+        if weight == "copies":
+            return sims >= threshold
+        return np.arccos(np.clip(sims, -1, 1)) <= np.arccos(threshold) + reach_left[:, None] + reach_right[None, :] + 1e-6
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by (g, lo, hi) hold one tile or two: links of each row, and a spanning forest."""
+        """Rows sorted by (g, lo, hi) hold one tile or two: links of each row, and a forest over components."""
         for held in _groups(batches, ["g", "lo", "hi"], 1 << 30):
-            ids = np.concatenate([b["id"].to_numpy() for b in held])
-            side = np.concatenate([b["side"].to_numpy() for b in held])
-            weight = np.concatenate([b["copies"].to_numpy() for b in held])
+            ids, own, side, weights = (np.concatenate([b[n].to_numpy() for b in held]) for n in ("id", "component", "side", weight))
             unit = np.concatenate([_matrix(b["vec"]) for b in held])
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             near = np.zeros((len(ids), len(ids)), bool)
             if len(right):
-                near[np.ix_(left, right)] = unit[left] @ unit[right].T >= threshold
+                near[np.ix_(left, right)] = linked(unit[left], unit[right], weights[left], weights[right])
                 near |= near.T
             else:
-                near = unit @ unit.T >= threshold
+                near = linked(unit, unit, weights, weights)
                 np.fill_diagonal(near, False)
             root = least_labels(*np.nonzero(near), len(ids))
-            yield pa.record_batch([pa.array(ids), pa.array(ids[root]), pa.array((near @ weight).astype(np.int64))], ["u", "v", "links"])
+            yield pa.record_batch([pa.array(ids), pa.array(own), pa.array(own[root]), pa.array((near @ weights).astype(np.int64))], ["u", "a", "b", "links"])
 
     return run
 
 
-def _dense_links(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """``(u, v, links)`` for groups whose lists are saturated: members(id, g) compared tile by tile.
+def _dense_links(members: DataFrame, nodes: DataFrame, threshold: float, weight: str = "copies") -> DataFrame:
+    """``(u, a, b, links)``: the members(id, component, g) of each group g compared tile by tile.
 
     The enlarged list of a vector is its whole group. The group is dealt into tiles; each pair of
-    tiles is one group of rows; links are counted, and of their pairs only a forest is kept.
+    tiles is one group of rows; links are counted, and of their pairs only a forest is kept, as
+    links (a, b) of the components that the members are in so far.
     """
     sizes = members.groupBy("g").count().select("g", F.ceil(F.col("count") / TILE).alias("tiles"))
     placed = members.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")))
@@ -248,10 +265,43 @@ def _dense_links(members: DataFrame, nodes: DataFrame, threshold: float) -> Data
         lambda t: F.struct(F.least("own", t).alias("lo"), F.greatest("own", t).alias("hi"), F.when(F.col("own") <= t, 0).otherwise(1).alias("side")),
     )
     dealt = (
-        placed.select("g", "id", F.explode(pairs).alias("x")).select("g", "id", "x.lo", "x.hi", "x.side")
-        .join(nodes.select("id", "vec", "copies"), "id")
+        placed.select("g", "id", "component", F.explode(pairs).alias("x")).select("g", "id", "component", "x.lo", "x.hi", "x.side")
+        .join(nodes.select("id", "vec", weight), "id")
     )
-    return dealt.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi").mapInArrow(_tile_links(threshold), "u long, v long, links long")
+    return dealt.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi").mapInArrow(_tile_links(threshold, weight), "u long, a long, b long, links long")
+
+
+def _reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The largest angle between a component's first vector and its members in each batch."""
+    for batch in _of_one_length(batches):
+        cosines = (_matrix(batch["vec"]) * _matrix(batch["first"])).sum(axis=1)
+        own, place = np.unique(batch["component"].to_numpy(), return_inverse=True)
+        reach = np.zeros(len(own))
+        np.maximum.at(reach, place, np.arccos(np.clip(cosines, -1, 1)))
+        yield pa.record_batch([pa.array(own), pa.array(reach)], ["id", "reach"])
+
+
+def _meeting(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """members(id, component) with the group ``g`` of components that must be compared with each other.
+
+    Lists that are full hold nothing of other components, so these may link all the same. The
+    first vectors of a label's components are compared in tiles; components whose members can't
+    link, as their first vectors lie too far apart for how far the members reach, needn't meet.
+    """
+    vecs = nodes.select("id", "vec")
+    firsts = members.select("component").distinct().join(nodes.select(F.col("id").alias("component"), "label", F.col("vec").alias("first")), "component")
+    spread = members.join(vecs, "id").join(firsts.drop("label"), "component").select("component", "vec", "first")
+    reach = spread.mapInArrow(_reaches, "id long, reach double").groupBy("id").agg(F.max("reach").alias("reach"))
+    balls = cut(firsts.select(F.col("component").alias("id"), "label", F.col("first").alias("vec")).join(reach, "id"))
+    near = _dense_links(balls.select("id", F.col("id").alias("component"), F.col("label").alias("g")), balls, threshold, "reach")
+    meet = connected_components(near.select("a", "b")).select(F.col("node").alias("component"), F.col("component").alias("g"))
+    return members.join(meet, "component", "left").select("id", "component", F.coalesce("g", "component").alias("g"))
+
+
+def _joined(groups: DataFrame, compared: DataFrame) -> DataFrame:
+    """groups(node, component) after the links (a, b) between components."""
+    merged = connected_components(compared.select("a", "b")).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    return groups.join(merged, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -277,21 +327,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         .withColumn("id", F.xxhash64("key", F.size("vec"), F.hash("vec")))
         .withColumn("label", F.xxhash64("label", F.size("vec")))
     )
-    graph = neighbour_graph(nodes, threshold)
+    wanted = sampled_links(nodes, threshold)
+    graph = neighbour_graph(nodes, wanted, threshold)
     near = graph.where(F.col("sim") >= threshold)
     links = cut(near.select("u", "v").union(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     groups = cut(connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
     # saturated lists: as many links as a list is long
     full = near.groupBy("u").count().where(F.col("count") >= NEIGHBOURS).select(F.col("u").alias("node"))
     dense = groups.join(full, "node", "left_semi").select("component").distinct()
-    members = groups.join(dense, "component").select(F.col("node").alias("id"), F.col("component").alias("g"))
-    compared = cut(_dense_links(members, nodes, threshold))
+    members = cut(groups.join(dense, "component").select(F.col("node").alias("id"), "component"))
+    compared = cut(_dense_links(_meeting(members, nodes, threshold), nodes, threshold))
     copies = nodes.select(F.col("id").alias("v"), "copies")
     loose = links.join(groups.join(dense, "component", "left_anti").select(F.col("node").alias("u")), "u", "left_semi")
-    counted = (
+    counted = cut(
         loose.join(copies, "v").groupBy("u").agg(F.sum("copies").alias("links"))
         .union(compared.groupBy("u").agg(F.sum("links").alias("links")))
     )
+    if final_audit(counted, wanted) < RECALL:  # the lists have missed too much: each label is compared whole
+        groups = nodes.select(F.col("id").alias("node"), F.col("id").alias("component"))
+        compared = cut(_dense_links(nodes.select("id", F.col("id").alias("component"), F.col("label").alias("g")), nodes, threshold))
+        counted = compared.groupBy("u").agg(F.sum("links").alias("links"))
+    groups = _joined(groups, compared)
     rooted = cut(
         nodes.join(counted.withColumnRenamed("u", "id"), "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
         .select("id", "key", "label", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "id").alias("component"))

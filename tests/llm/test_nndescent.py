@@ -62,3 +62,22 @@ def test_edges(spark):
     assert nndescent.near_duplicates(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, [1.0, 1.0], 1), (1, [1.0, 1.0], 1), (None, [1.0, 1.0], 1)], SCHEMA)
     assert sorted((str(r["vec_id"]), r["n_links"], r["component_id"]) for r in nndescent.near_duplicates(twice).collect()) == [("1", 2, 1), ("1", 2, 1), ("None", 2, 1)]
+
+
+def test_clumps_that_fill_their_lists(spark):
+    rng = np.random.default_rng(3)
+    across = np.zeros((2, 64))
+    across[:, 0], across[1, 1] = 1.0, 0.32  # cosine 0.952
+    rows = [(k, (across[k % 2] + 0.004 * rng.standard_normal(64)).tolist(), 1) for k in range(100)]
+    rows += [(100 + k, (-across[1] + 0.004 * rng.standard_normal(64)).tolist(), 1) for k in range(20)]  # links with none of them
+    want = brute(rows)
+    assert want[0] == (99, 0) and want[100] == (19, 100)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nndescent.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == want
+
+
+def test_lists_that_miss_links(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "neighbour_graph", lambda nodes, *_: spark.createDataFrame([], "u long, v long, sim double"))
+    rows = groups(0)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nndescent.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == brute(rows)
