@@ -17,8 +17,6 @@ LEXICONS = 32
 BROADCAST_TERMS = 2_000_000
 #: Ranges of doc_id that the next document is looked for in, at most.
 RANGES = 16384
-#: Documents with at most so many distinct terms keep all of them if none is in the band.
-SHORT = 32
 _GAP = r"[^\p{L}\p{N}]+"
 _DIGITS = 4
 
@@ -35,6 +33,34 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     return counts.where((F.col("count") >= max(2.0, band[0] * total)) & (F.col("count") <= max(2.0, band[1] * total))).select("term")
 
 
+def _family(h: Column, lexicons: int) -> Column:
+    return F.pmod(h, F.lit(lexicons)).cast("int")
+
+
+def _level(h: Column) -> Column:
+    return F.floor(F.log2(F.lit(2.0**56) / (F.shiftrightunsigned(h, 8) + 1).cast("double"))).cast("int")
+
+
+def top_codes(terms: Column, lexicons: int = LEXICONS) -> Column:
+    """Of the codes of all terms those that a fingerprint reads: each family's at its highest level.
+
+    ``fingerprint`` gives the same for them as for all codes.
+    """
+
+    def packed(code: Column) -> Column:  # family, level downwards, code
+        drawn = F.transform(F.array(F.xxhash64(code)), lambda h: _family(h, lexicons).cast("long") * 2**40 + (63 - _level(h)) * F.lit(2**32) + code.cast("long").bitwiseAND(F.lit(2**32 - 1)))
+        return F.element_at(drawn, 1)
+
+    def merge(kept: Column, x: Column) -> Column:
+        place = F.shiftright(x, 32)
+        top = (kept["place"] == place) | (F.shiftright(kept["place"], 8) != F.shiftright(place, 8))
+        return F.when(top, F.struct(F.concat(kept["codes"], F.array(F.shiftright(F.shiftleft(x, 32), 32).cast("int"))).alias("codes"), place.alias("place"))).otherwise(kept)
+
+    ordered = F.array_sort(F.array_distinct(F.transform(F.transform(terms, lambda t: F.hash(t)), packed)))
+    none = F.struct(F.array().cast("array<int>").alias("codes"), F.lit(-1).cast("long").alias("place"))
+    return F.aggregate(ordered, none, merge, lambda kept: kept["codes"])
+
+
 def fingerprint(codes: Column, lexicons: int = LEXICONS) -> Column:
     """The fingerprint of sorted distinct term codes: _DIGITS hex digits for each family of lexicons.
 
@@ -45,9 +71,7 @@ def fingerprint(codes: Column, lexicons: int = LEXICONS) -> Column:
 
     def leveled(code: Column) -> Column:
         drawn = F.transform(F.array(F.xxhash64(code)), lambda h: F.struct(
-            F.pmod(h, F.lit(lexicons)).cast("int").alias("family"),
-            F.floor(F.log2(F.lit(2.0**56) / (F.shiftrightunsigned(h, 8) + 1).cast("double"))).cast("int").alias("level"),
-            code.alias("code"),
+            _family(h, lexicons).alias("family"), _level(h).alias("level"), code.alias("code"),
         ))
         return F.element_at(drawn, 1)
 
@@ -120,8 +144,13 @@ def with_next(rows: DataFrame, value: str, tie: str, name: str) -> DataFrame:
 
 
 def _sided(side: int, terms: Column) -> Column:
-    """The terms of one side, each with whether there are few enough to keep them all."""
-    tell = lambda ts: F.transform(ts, lambda t: F.struct(F.lit(side).alias("side"), t.alias("term"), (F.size(ts) <= SHORT).alias("short")))
+    """The terms of one side, and a row without a term that holds the codes of all of them."""
+
+    def tell(ts: Column) -> Column:
+        codes = F.array().cast("array<int>")
+        own = F.transform(ts, lambda t: F.struct(F.lit(side).alias("side"), t.alias("term"), codes.alias("whole")))
+        return F.concat(F.array(F.struct(F.lit(side).alias("side"), F.lit("").alias("term"), top_codes(ts).alias("whole"))), own)
+
     return F.element_at(F.transform(F.array(terms), tell), 1)
 
 
@@ -129,38 +158,37 @@ def fingerprints(texts: DataFrame, terms: DataFrame, sides: list[str]) -> DataFr
     """For each row of ``texts`` a fingerprint of each of the text columns ``sides``.
 
     The terms of each text are exploded and met with the lexicon; the row's terms in the band
-    come together again under a row number, as sorted 32-bit codes. All other columns stay.
+    come together again under a row number, as sorted 32-bit codes. A text without terms in the
+    band keeps all its terms, however many. Where any side of a row is such a text, ``whole_``
+    and the side's name is the fingerprint of all terms, else null. All other columns stay.
     """
     kept = [c for c in texts.columns if c not in sides]
     marked = terms.withColumn("known", F.lit(True)).union(terms.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(True)))
     small = terms.count() <= BROADCAST_TERMS
     spread = texts.withColumn("_row", F.monotonically_increasing_id()).select(
-        "_row",
-        *kept,
-        F.explode(
-            F.concat(
-                F.array(F.struct(F.lit(-1).alias("side"), F.lit("").alias("term"), F.lit(False).alias("short"))),
-                *[_sided(n, distinct_terms(F.col(s))) for n, s in enumerate(sides)],
-            )
-        ).alias("x"),
-    ).select("_row", *kept, "x.side", "x.term", "x.short")
-    met = spread.join(F.broadcast(marked) if small else marked, "term", "left").where(F.col("known") | F.col("short"))
-    code = F.hash("term")
+        "_row", *kept, F.explode(F.concat(*[_sided(n, distinct_terms(F.col(s))) for n, s in enumerate(sides)])).alias("x")
+    ).select("_row", *kept, "x.side", "x.term", "x.whole")
+    met = spread.join(F.broadcast(marked) if small else marked, "term")
+    code, is_term = F.hash("term"), F.col("term") != ""
     gathered = met.groupBy("_row").agg(
         *[F.first(c).alias(c) for c in kept],
-        *[F.collect_set(F.when((F.col("side") == n) & F.col("known"), code)).alias(f"_in{n}") for n in range(len(sides))],
-        *[F.collect_set(F.when((F.col("side") == n) & F.col("short"), code)).alias(f"_all{n}") for n in range(len(sides))],
+        *[F.collect_set(F.when((F.col("side") == n) & is_term, code)).alias(f"_in{n}") for n in range(len(sides))],
+        *[F.max(F.when((F.col("side") == n) & ~is_term, F.col("whole"))).alias(f"_all{n}") for n in range(len(sides))],
     )
     chosen = [F.array_sort(F.when(F.size(f"_in{n}") > 0, F.col(f"_in{n}")).otherwise(F.col(f"_all{n}"))) for n in range(len(sides))]
-    return gathered.select(*kept, *[fingerprint(c).alias(f"fingerprint_{s}") for c, s in zip(chosen, sides)])
+    lacking = F.least(*[F.size(f"_in{n}") for n in range(len(sides))], F.lit(1)) == 0
+    whole = [F.when(lacking, fingerprint(F.array_sort(f"_all{n}"))).alias(f"whole_{s}") for n, s in enumerate(sides)]
+    return gathered.select(*kept, *[fingerprint(c).alias(f"fingerprint_{s}") for c, s in zip(chosen, sides)], *whole)
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and how like they are.
 
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many
-    (or all) of the next document by descending doc_id. Null texts count as empty; texts without
-    terms have an empty fingerprint, which is like none. Rows that repeat a doc_id follow one
+    (or all) of the next document by descending doc_id. If either of the two has no terms in the
+    band, they are compared by all their terms. Likeness to the next document is that of the two
+    fingerprints. Null texts count as empty; texts without terms have an empty fingerprint, which
+    is like none. Rows that repeat a doc_id follow one
     another by text hash; null doc_ids come last. An empty table gives no rows.
     """
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -174,7 +202,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     own, other = F.col("fingerprint_text"), F.col("fingerprint_edited")
     return ahead.select(
         "doc_id", "n_chars", "edited_sha256", own.alias("fingerprint"), other.alias("edited_fingerprint"),
-        likeness(own, other).alias("near_edited"), likeness(own, F.col("next_fingerprint")).alias("near_next"),
+        F.when(F.col("whole_text").isNotNull(), likeness(F.col("whole_text"), F.col("whole_edited"))).otherwise(likeness(own, other)).alias("near_edited"), likeness(own, F.col("next_fingerprint")).alias("near_next"),
     )
 
 

@@ -64,3 +64,24 @@ def test_marks_passed(spark):
     for some in (marks, marks[:1], marks[:50], []):
         found = rows.select("doc_id", imatch._marks_passed(some).alias("n")).collect()
         assert all(r["n"] == sum(m <= r["doc_id"] for m in some) for r in found[:: max(1, len(some) // 20)])
+
+
+def test_long_texts_without_terms_in_the_band(spark):
+    many = " ".join(f"copied{k}" for k in range(60))  # in half of all rows
+    rare = [" ".join(f"own{d}x{k}" for k in range(60)) for d in range(3)]  # each term in one row
+    rest = [" ".join(f"word{d * k % 97}" for k in range(1, 40)) for d in range(100, 200)]
+    rows = [(d, many) for d in range(100)] + [(d, t) for d, t in enumerate(rest, 100)] + [(d, t) for d, t in enumerate(rare, 200)]
+    found = {r["doc_id"]: r for r in imatch.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r["fingerprint"] and r["edited_fingerprint"] for r in found.values())
+    assert all(found[d]["near_next"] == 1.0 for d in range(1, 100))  # exact copies
+    assert all(found[d]["near_edited"] > 0.3 for d in [*range(100), 200, 201, 202])
+    assert all(found[d]["near_next"] < 0.1 for d in (0, 200, 201, 202))
+
+
+def test_top_codes(spark):
+    rows = spark.createDataFrame([([f"t{k}" for k in range(n)],) for n in (0, 1, 5, 40, 3000)], "terms array<string>")
+    both = rows.select(
+        imatch.fingerprint(F.array_sort(imatch.top_codes(F.col("terms")))).alias("top"),
+        imatch.fingerprint(F.array_sort(F.transform("terms", lambda t: F.hash(t)))).alias("all"),
+    )
+    assert all(r["top"] == r["all"] for r in both.collect())
