@@ -40,8 +40,8 @@ STATES = ("no-", "has-", "with-", "without-")
 _RAW = re.compile(r"<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)" % "|".join(RAW), re.I | re.S)
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
-_MARK = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!|;|$)", re.I)
 _SPACE = re.compile(r"\s+")
 #: A start tag of these ends an open p (or li, ...) of a dropped part that has no end tag.
 _IMPLIED = {"p", "li", "dt", "dd", "tr", "td", "th"}
@@ -52,9 +52,14 @@ def _is_dropped(name: str, attributes: str) -> bool:
         return True
     if not attributes or name in ("html", "body", *MAIN):
         return False
-    if _HIDDEN.search(attributes):
+    values: dict[str, str] = {}
+    for key, *quoted in _ATTRIBUTE.findall(attributes):
+        values.setdefault(key.lower(), entities.unescape("".join(quoted)).strip())
+    if values.get("hidden", "until-found").lower() != "until-found" or values.get("aria-hidden", "").lower() == "true":
         return True
-    names = " ".join(filter(None, sum(_MARK.findall(attributes), ()))).lower().split()
+    if _NO_DISPLAY.search(values.get("style", "")):
+        return True
+    names = " ".join(values.get(key, "") for key in ("class", "id", "role")).lower().split()
     return any(word in _MARKS for n in names if not n.startswith(STATES) for word in re.split(r"[^a-z]+", n))
 
 
@@ -83,14 +88,14 @@ def _end_of_part(tags: list[re.Match], k: int, size: int) -> tuple[int, int]:
     return len(tags), size
 
 
-def page_lines(page: str) -> list[tuple[str, bool]]:
+def page_lines(page: str) -> list[tuple[str | None, bool]]:
     """Lines of text in page order, each with whether a main element holds it.
 
-    Markup is stripped; block elements end lines; each dropped part leaves WINDOW empty lines.
+    Markup is stripped; block elements end lines; each dropped part leaves WINDOW lines of None.
     """
     page = _RAW.sub(" ", _COMMENT.sub("", page))
     tags = list(_TAG.finditer(page))
-    lines: list[tuple[str, bool]] = []
+    lines: list[tuple[str | None, bool]] = []
     piece: list[str] = []
     inside = k = at = 0
 
@@ -105,7 +110,7 @@ def page_lines(page: str) -> list[tuple[str, bool]]:
         end, name = bool(tag[1]), tag[2].lower()
         if not end and name not in _VOIDS and _is_dropped(name, tag[3]):
             close()
-            lines.extend([("", inside > 0)] * WINDOW)
+            lines.extend([(None, inside > 0)] * WINDOW)
             k, at = _end_of_part(tags, k, len(page))
             continue
         if name in _BLOCKS:
@@ -124,14 +129,21 @@ def main_text(page: str | None) -> str:
     """The article of one page; its blocks are joined by newlines.
 
     Window sums of line lengths surge where text begins and dive to nothing where WINDOW empty
-    lines follow. The text between a surge and its dive is an area. A page with a main element
-    keeps every area in it; another keeps all from the first to the last area whose largest window
-    is a surge and at least a fifth of the page's largest.
+    lines follow. The text between a surge and its dive is an area. A page whose largest area is in
+    a main element keeps every area in main elements; another keeps all from the first to the last
+    area whose largest window is a surge and at least a fifth of the page's largest, and what
+    borders them with no dropped part between.
     """
     lines = page_lines(page or "")
-    has_main = any(inside for text, inside in lines if text)
-    lengths = [len(text) if not has_main or inside else 0 for text, inside in lines]
-    sums = [sum(lengths[k : k + WINDOW]) for k in range(len(lengths))]
+
+    def windows(lengths: list[int]) -> list[int]:
+        return [sum(lengths[k : k + WINDOW]) for k in range(len(lengths))]
+
+    lengths = [len(text or "") for text, _ in lines]
+    within = [n if inside else 0 for n, (_, inside) in zip(lengths, lines)]
+    if any(within) and max(windows(within)) >= max(windows([n - m for n, m in zip(lengths, within)])):
+        return "\n".join(text for text, inside in lines if text and inside)
+    sums = windows(lengths)
     areas: list[tuple[int, int, int]] = []
     surge = None
     for k, total in enumerate([*sums, 0]):
@@ -141,9 +153,16 @@ def main_text(page: str | None) -> str:
             areas.append((surge, k, max(sums[surge:k])))
             surge = None
     most = max((peak for *_, peak in areas), default=0)
-    least = 1 if has_main else max(min(SURGE, most), most / 5)
+    least = max(min(SURGE, most), most / 5)
     large = [(surge, dive) for surge, dive, peak in areas if peak >= least]
-    return "\n".join(lines[k][0] for k in range(large[0][0], large[-1][1]) if lengths[k]) if large else ""
+    if not large:
+        return ""
+    start, end = large[0][0], large[-1][1]
+    while start and lines[start - 1][0] is not None:
+        start -= 1
+    while end < len(lines) and lines[end][0] is not None:
+        end += 1
+    return "\n".join(lines[k][0] for k in range(start, end) if lengths[k])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,3 +67,25 @@ def test_rows(spark):
     found = sorted((len(r["text"]) for r in htmltext.extract_pages(pages).collect()))
     assert found == [0, 0, 50_000 * 5 - 1]
     assert htmltext.extract_pages(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("attributes", ["class='overflow-hidden'", "style='overflow:hidden'", "aria-hidden='false'", "hidden=until-found", "data-class='advert'", "title='a hidden place'"])
+def test_parts_that_only_sound_hidden(attributes):
+    assert htmltext.main_text(f"<article><p>One.</p><div {attributes}><p>Two.</p></div></article>") == "One.\nTwo."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", "aria-hidden=true", "style='color:red; display : none'", "style=\"display:none !important\"", "class='x advert'", "id=cookie-box"])
+def test_hidden_parts(attributes):
+    assert htmltext.main_text(f"<article><p>One.</p><div {attributes}><p>Two.</p></div></article>") == "One."
+
+
+def test_short_areas_that_border_the_article():
+    text = "Plain text of the story goes on. " * 20
+    out = htmltext.main_text(f"<body><ul class=menu><li>Home</ul><div><h1>Title</h1></div><div><div><p>{text}</p></div></div><div><div><p>End.</p></div></div><div class=ad>x</div><p>Imprint</p></body>")
+    assert out == f"Title\n{text.strip()}\nEnd."
+
+
+def test_main_element_without_the_largest_area():
+    text = "Plain text of the story goes on. " * 20
+    out = htmltext.main_text(f"<body><div class=story><p>{text}</p><p>More.</p></div><div class=ad>x</div><article><p>A teaser.</p></article></body>")
+    assert out == f"{text.strip()}\nMore."
