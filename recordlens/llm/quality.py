@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import ceil, exp, log
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from recordlens.llm.common import table
 FOLDS, HELD_OUT = 5, 0
 #: The fit uses at most this many labelled rows of each class and this many bytes of each.
 FIT_ROWS, FIT_BYTES = 1500, 16384
-DICTIONARY, LEVEL, BLOCK, LEAST_PART = 131072, 3, 512, 512
+DICTIONARY, LEVEL, BLOCK = 131072, 3, 512
 #: Bytes added to size and length of a text in its rate.
 SMOOTH = (40, 100)
 THRESHOLD = 0.3
@@ -89,7 +90,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> CompressionScorer:
     """Dictionaries and calibration from labelled rows outside the held-out fold.
 
     The fit sees at most FIT_ROWS rows a class, those of the least hash of doc_id, and FIT_BYTES
-    of each; even rows make the dictionaries, odd rows the calibration. With one class only, or
+    of each; even rows make the dictionaries, odd rows the calibration. A dictionary of
+    DICTIONARY bytes holds a piece of each of its rows. With one class only, or
     without labels, every score is the smoothed share of label 1.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
@@ -118,10 +120,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> CompressionScorer:
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """Raw dictionary content: an equal part of each text, as much as fits."""
-    part = max(LEAST_PART, DICTIONARY // max(1, len(texts)))
-    content = b"".join(text[:part] for text in texts)
-    return content[-DICTIONARY:] or b" " * 8
+    """Raw dictionary content: a piece of every text, from anywhere in it, as long as fits for all; shorter texts whole."""
+    part, left = 0, DICTIONARY
+    for k, size in enumerate(sorted(map(len, texts))):
+        part = left // (len(texts) - k)
+        if size > part:
+            break
+        part, left = size, left - size
+    starts = [crc32(text) % (len(text) - part + 1) if len(text) > part else 0 for text in texts]
+    return b"".join(text[at : at + part] for text, at in zip(texts, starts)) or b" " * 8
 
 
 def score(docs: DataFrame, scorer: CompressionScorer, *extra: str) -> DataFrame:

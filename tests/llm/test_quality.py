@@ -43,3 +43,11 @@ def test_edges(spark):
 def test_blocks_cover_the_text():
     raw = bytes(range(256)) * 40
     assert b"".join(quality._blocks(raw)) == raw and quality._blocks(b"") == []
+
+
+def test_dictionary_has_a_piece_of_every_text():
+    texts = [bytes([97 + k % 26, 97 + k // 26]) * 900 for k in range(600)] + [b"short %d." % k for k in range(150)]
+    book = quality._dictionary(texts)
+    assert 0.99 * quality.DICTIONARY < len(book) <= quality.DICTIONARY
+    assert all((t[:150] in book or t[1:151] in book) for t in texts)
+    assert quality._dictionary([b"ab", b"c"]) == b"abc" and quality._dictionary([b""]).strip() == b""
