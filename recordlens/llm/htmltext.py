@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,16 +17,24 @@ from recordlens.llm.common import table
 WINDOW, SURGE = 3, 80
 
 # The element names of HTML, by what they do to the text around them.
-RAW = "script style noscript template textarea title svg math iframe object canvas".split()
-DROPPED = "head nav header footer aside form button select dialog menu fieldset".split()
+RAW = "script style noscript textarea title iframe noembed noframes xmp".split()
+DROPPED = "template svg object canvas nav header footer aside form button select dialog menu fieldset".split()
 BLOCK = (
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary "
     "table tbody td tfoot th thead tr ul"
 ).split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
+HEADING = "h1 h2 h3 h4 h5 h6".split()
 MAIN = ("article", "main")
-#: Words of a class, id or role that mark a part of the page as not of the article.
+#: An open element of the first kind ends where one of the second starts, or at the end of its parent.
+IMPLIED = {
+    "p": BLOCK, "li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "tbody", "tfoot"],
+    "td": ["td", "th", "tr", "tbody", "tfoot"], "th": ["td", "th", "tr", "tbody", "tfoot"],
+}
+#: End tags of other elements don't reach through an open one of these.
+SCOPE = "td th caption table ul ol dl button object template".split()
+#: Words of a block's class, id or role that mark a part of the page as not of the article.
 MARKED = (
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall sidebar "
@@ -37,132 +46,315 @@ MARKED = (
 #: A class of these tells what a part has around it, not what it is.
 STATES = ("no-", "has-", "with-", "without-")
 
-_RAW = re.compile(r"<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)" % "|".join(RAW), re.I | re.S)
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.S)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_MARKS, _BLOCKS, _VOIDS, _SCOPES = frozenset(MARKED), frozenset(BLOCK), frozenset(VOID), frozenset(SCOPE)
+_MARKABLE = _BLOCKS - frozenset([*HEADING, *MAIN, "html", "body"])
+#: What is dropped even where a page has no large area outside of dropped parts.
+_ALWAYS = frozenset(["template", "svg", "object", "canvas", "nav", "footer", "select", "dialog"])
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+_CLOSERS: dict[str, list[str]] = {}
+for _open, _starts in IMPLIED.items():
+    for _name in _starts:
+        _CLOSERS.setdefault(_name, []).append(_open)
+
+_MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+)|(/))")
+_COMMENT_END = re.compile(r"--!?>")
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?)""")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!|;|$)", re.I)
 _SPACE = re.compile(r"\s+")
-#: A start tag of these ends an open p (or li, ...) of a dropped part that has no end tag.
-_IMPLIED = {"p", "li", "dt", "dd", "tr", "td", "th"}
 
 
-def _is_dropped(name: str, attributes: str) -> bool:
+class Token(NamedTuple):
+    """A stretch of text (``text``), or a start or end tag; ``why`` tells why a start tag opens a dropped part."""
+
+    name: str = ""
+    text: str = ""
+    end: bool = False
+    closed: bool = False
+    why: str = ""
+
+
+def _why_dropped(name: str, attributes: dict[str, str]) -> str:
+    """'element', 'hidden', 'marked', or nothing where the part stays."""
+    if name not in ("html", "body"):
+        hidden = attributes.get("hidden", "until-found").lower() != "until-found" or attributes.get("aria-hidden", "").lower() == "true"
+        if hidden or _NO_DISPLAY.search(attributes.get("style", "")):
+            return "hidden"
     if name in DROPPED:
-        return True
-    if not attributes or name in ("html", "body", *MAIN):
-        return False
-    values: dict[str, str] = {}
-    for key, *quoted in _ATTRIBUTE.findall(attributes):
-        values.setdefault(key.lower(), entities.unescape("".join(quoted)).strip())
-    if values.get("hidden", "until-found").lower() != "until-found" or values.get("aria-hidden", "").lower() == "true":
-        return True
-    if _NO_DISPLAY.search(values.get("style", "")):
-        return True
-    names = " ".join(values.get(key, "") for key in ("class", "id", "role")).lower().split()
-    return any(word in _MARKS for n in names if not n.startswith(STATES) for word in re.split(r"[^a-z]+", n))
-
-
-_MARKS, _BLOCKS, _VOIDS = frozenset(MARKED), frozenset(BLOCK), frozenset(VOID)
-
-
-def _end_of_part(tags: list[re.Match], k: int, size: int) -> tuple[int, int]:
-    """Where the dropped part that tag ``k`` opens is over: index of the next tag, place in the page."""
-    name, depth = tags[k][2].lower(), 0
-    if name in _IMPLIED:
-        for n in range(k + 1, len(tags)):
-            other = tags[n][2].lower()
-            if other == name and tags[n][1]:
-                return n + 1, tags[n].end()
-            if other in _BLOCKS:
-                return n, tags[n].start()
-        return len(tags), size
-    for n in range(k, len(tags)):
-        if tags[n][2].lower() == name and not tags[n][3].rstrip().endswith("/"):
-            depth += -1 if tags[n][1] else 1
-            if not depth:
-                return n + 1, tags[n].end()
-    for n in range(k + 1, len(tags)):  # no end tag: up to the main part or the end of the body
-        if tags[n][2].lower() in (*MAIN, "body", "html"):
-            return n, tags[n].start()
-    return len(tags), size
-
-
-def page_lines(page: str) -> list[tuple[str | None, bool]]:
-    """Lines of text in page order, each with whether a main element holds it.
-
-    Markup is stripped; block elements end lines; each dropped part leaves WINDOW lines of None.
+        return "element"
+    if name in _MARKABLE:
+        names = " ".join(attributes.get(key, "") for key in ("class", "id", "role")).lower().split()
+        if any(word in _MARKS for n in names if not n.startswith(STATES) for word in re.split(r"[^a-z]+", n)):
+            return "marked"
+    return ""
+
+
+def tokens(page: str) -> list[Token]:
+    """Text and tags of a page in one pass; comments, declarations and raw elements are left out.
+
+    A comment runs as HTML has it (``<!-->`` is empty), a raw element to its end tag, a tag to the
+    ``>`` behind its attributes; what has no end runs to the end of the page.
     """
-    page = _RAW.sub(" ", _COMMENT.sub("", page))
-    tags = list(_TAG.finditer(page))
-    lines: list[tuple[str | None, bool]] = []
+    found: list[Token] = []
+    at = 0
+    while (markup := _MARKUP.search(page, at)) is not None:
+        if markup.start() > at:
+            found.append(Token(text=entities.unescape(page[at : markup.start()])))
+        at = markup.end()
+        if markup[1]:  # the second dash may belong to the end, as in <!-->
+            end = _COMMENT_END.search(page, at)
+            at += 1 if page.startswith(">", at) else 2 if page.startswith("->", at) else (end.end() if end else len(page)) - at
+            continue
+        if markup[2] or markup[5]:
+            end_at = page.find(">", at)
+            at = end_at + 1 if end_at >= 0 else len(page)
+            continue
+        attributes: dict[str, str] = {}
+        closed = False
+        while (part := _ATTRIBUTE.match(page, at)) is not None and not part[1]:
+            attributes.setdefault(part[2].lower(), next((v for v in part.groups()[2:] if v is not None), ""))
+            at = part.end()
+        if part is None:
+            return found
+        closed, at = page[part.end() - 2] == "/", part.end()
+        name = markup[4].lower()
+        if markup[3]:
+            found.append(Token(name, end=True))
+            continue
+        attributes = {key: entities.unescape(value).strip() for key, value in attributes.items()}
+        if name in _ENDS:
+            end = _ENDS[name].search(page, at)
+            at = end.start() if end else len(page)
+            found.append(Token(name, closed=True))
+        else:
+            found.append(Token(name, closed=closed, why=_why_dropped(name, attributes)))
+    if at < len(page):
+        found.append(Token(text=entities.unescape(page[at:])))
+    return found
+
+
+def part_ends(page: list[Token]) -> dict[int, int]:
+    """For each start tag of a dropped part the index of the token behind the part.
+
+    A part ends at its end tag, where its end is implied, or with its parent. One that lacks an
+    end tag also ends where the next main element starts.
+    """
+    ends: dict[int, int] = {}
+    open_: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {}
+    scopes: list[int] = []
+    blocks: list[int] = []
+    lacking: list[tuple[int, int]] = []
+
+    def pop(end: int, explicit: bool) -> None:
+        name, k = open_.pop()
+        places[name].pop()
+        for held in (scopes, blocks):
+            if held and held[-1] == len(open_):
+                held.pop()
+        if k >= 0:
+            ends[k] = end
+            if not explicit and name not in IMPLIED:
+                lacking.append((k, end))
+
+    def close(name: str, below: int, end: int, explicit: bool) -> None:
+        if places.get(name) and places[name][-1] > below:
+            place = places[name][-1]
+            while len(open_) > place + 1:
+                pop(end - explicit, False)
+            pop(end, explicit)
+
+    for k, (name, _, end, closed, why) in enumerate(page):
+        block = name in _BLOCKS or name in DROPPED
+        if not name or name in _VOIDS or not (block or why or end):
+            continue
+        if end:
+            own = scopes[-2:-1] if scopes and places.get(name) and places[name][-1] == scopes[-1] else scopes[-1:]
+            if name in _SCOPES or name in ("tr", "tbody", "thead", "tfoot", *MAIN, "body", "html"):
+                own = []
+            close(name, (own or [-1])[0] if block else (blocks or [-1])[-1], k + 1, True)
+            continue
+        for other in _CLOSERS.get(name, ()):
+            limit = [p for p in scopes[-1:] if open_[p][0] not in ("td", "th") or other in ("p", "li", "dt", "dd")]
+            close(other, (limit or [-1])[0], k, False)
+        if why and closed:
+            ends[k] = k + 1
+            continue
+        places.setdefault(name, []).append(len(open_))
+        if name in _SCOPES:
+            scopes.append(len(open_))
+        if block:
+            blocks.append(len(open_))
+        open_.append((name, k if why else -1))
+    while open_:
+        pop(len(page), False)
+    following = len(page)
+    nexts = {}
+    for k in range(len(page) - 1, -1, -1):
+        nexts[k] = following
+        if page[k].name in MAIN and not page[k].end:
+            following = k
+    for k, end in lacking:
+        ends[k] = min(end, nexts[k])
+    return ends
+
+
+class Line(NamedTuple):
+    """A block's text, how much of it is outside links, the main element around it, and whether a
+    dropped part (else only the border of a main element) lies before it."""
+
+    text: str
+    weight: int
+    root: int
+    after_part: bool
+    heading: bool
+
+
+def page_lines(page: str, strict: bool = True) -> tuple[list[Line | None], list[int]]:
+    """Lines of text in page order, and the parent of each main element (0 is none).
+
+    Markup is stripped and block elements end lines. A dropped part and the border of a main
+    element leave WINDOW lines of None, so no window reaches over them. Without ``strict`` only the
+    parts that never hold an article are dropped.
+    """
+    read = tokens(page)
+    ends = part_ends(read)
+    lines: list[Line | None] = []
+    parents, roots = [0], [0]
+    names: list[str] = []
+    opened = dict.fromkeys(MAIN, 0)
     piece: list[str] = []
-    inside = k = at = 0
+    weight, link, part, heading = 0, False, False, False
 
     def close() -> None:
-        lines.append((_SPACE.sub(" ", entities.unescape("".join(piece))).strip(), inside > 0))
+        nonlocal weight, part, heading
+        text = _SPACE.sub(" ", "".join(piece)).strip()
+        if text:
+            lines.append(Line(text, min(weight, len(text)), roots[-1], part, heading))
+            part = False
         piece.clear()
+        weight, heading = 0, False
+
+    def gap() -> None:
+        if lines and lines[-1] is not None:
+            lines.extend([None] * WINDOW)
 
-    while k < len(tags):
-        tag = tags[k]
-        piece.append(page[at : tag.start()])
-        at = tag.end()
-        end, name = bool(tag[1]), tag[2].lower()
-        if not end and name not in _VOIDS and _is_dropped(name, tag[3]):
+    k = 0
+    while k < len(read):
+        name, text, end, _, why = read[k]
+        if not name:
+            piece.append(text)
+            weight += 0 if link else len(text.strip())
+        elif why and (strict or why == "hidden" or name in _ALWAYS):
             close()
-            lines.extend([(None, inside > 0)] * WINDOW)
-            k, at = _end_of_part(tags, k, len(page))
+            gap()
+            part = True
+            k = max(k + 1, ends.get(k, k + 1))
             continue
-        if name in _BLOCKS:
+        elif name in _BLOCKS:
             close()
+            heading = name in HEADING and not end
+            if name in MAIN:
+                gap()
+                if not end:
+                    parents.append(roots[-1])
+                    roots.append(len(parents) - 1)
+                    names.append(name)
+                    opened[name] += 1
+                elif opened[name]:
+                    last = ""
+                    while last != name:
+                        last = names.pop()
+                        opened[last] -= 1
+                        roots.pop()
         elif name == "br":
             piece.append(" ")
-        if name in MAIN:
-            inside = max(0, inside + (-1 if end else 1))
+        elif name == "a":
+            link = not end
         k += 1
-    piece.append(page[at:])
     close()
-    return lines
+    return lines, parents
 
 
-def main_text(page: str | None) -> str:
-    """The article of one page; its blocks are joined by newlines.
+class Area(NamedTuple):
+    """The lines between a surge and its dive, and the largest window in between."""
+
+    lines: list[Line]
+    peak: int
 
-    Window sums of line lengths surge where text begins and dive to nothing where WINDOW empty
-    lines follow. The text between a surge and its dive is an area. A page whose largest area is in
-    a main element keeps every area in main elements; another keeps all from the first to the last
-    area whose largest window is a surge and at least a fifth of the page's largest, and what
-    borders them with no dropped part between.
+
+def areas(lines: list[Line | None]) -> list[Area]:
+    """Stretches in which sliding windows of WINDOW lines hold text: from surge to dive.
+
+    The height of a window is its text outside links, or all of its text on a page of links only.
     """
-    lines = page_lines(page or "")
-
-    def windows(lengths: list[int]) -> list[int]:
-        return [sum(lengths[k : k + WINDOW]) for k in range(len(lengths))]
-
-    lengths = [len(text or "") for text, _ in lines]
-    within = [n if inside else 0 for n, (_, inside) in zip(lengths, lines)]
-    if any(within) and max(windows(within)) >= max(windows([n - m for n, m in zip(lengths, within)])):
-        return "\n".join(text for text, inside in lines if text and inside)
-    sums = windows(lengths)
-    areas: list[tuple[int, int, int]] = []
-    surge = None
-    for k, total in enumerate([*sums, 0]):
-        if total and surge is None:
-            surge = k
-        elif not total and surge is not None:
-            areas.append((surge, k, max(sums[surge:k])))
-            surge = None
-    most = max((peak for *_, peak in areas), default=0)
+    plain = any(line.weight for line in lines if line)
+    found: list[Area] = []
+    start = None
+    for k, line in enumerate([*lines, None]):
+        if line is not None and start is None:
+            start = k
+        elif line is None and start is not None:
+            held = [x for x in lines[start:k] if x]
+            sizes = [x.weight if plain else len(x.text) for x in held]
+            found.append(Area(held, max(sum(sizes[n : n + WINDOW]) for n in range(len(sizes)))))
+            start = None
+    return found
+
+
+def _chosen(found: list[Area], parents: list[int]) -> list[Line]:
+    most = max((area.peak for area in found), default=0)
     least = max(min(SURGE, most), most / 5)
-    large = [(surge, dive) for surge, dive, peak in areas if peak >= least]
+    large = [k for k, area in enumerate(found) if area.peak >= least]
     if not large:
-        return ""
-    start, end = large[0][0], large[-1][1]
-    while start and lines[start - 1][0] is not None:
-        start -= 1
-    while end < len(lines) and lines[end][0] is not None:
-        end += 1
-    return "\n".join(lines[k][0] for k in range(start, end) if lengths[k])
+        return []
+    root = [area.lines[0].root for area in found]
+    joins = [k > 0 and not area.lines[0].after_part for k, area in enumerate(found)]
+    if root[max(large, key=lambda k: found[k].peak)]:
+        of_article = {root[k] for k in large if root[k]}
+        around: set[int] = set()
+        for r in of_article:
+            while r and r not in around:
+                around.add(r)
+                r = parents[r]
+        kept = {k for k in range(len(found)) if root[k] in of_article}
+        for order, step in ((range(len(found) - 1), 1), (range(len(found) - 1, 0, -1), -1)):
+            for k in order:
+                if k in kept and root[k + step] in around and joins[max(k, k + step)]:
+                    kept.add(k + step)
+        return [line for k in sorted(kept) for line in found[k].lines]
+    first, last = large[0], large[-1]
+    while first and joins[first] and not root[first - 1]:
+        first -= 1
+    while last + 1 < len(found) and joins[last + 1] and not root[last + 1]:
+        last += 1
+    held = [line for k in range(first, last + 1) if not root[k] or found[k].peak >= least for line in found[k].lines]
+    if any(line.weight for line in held):  # menus without a mark: links before and behind all text
+        while not held[0].weight and not held[0].heading:
+            held.pop(0)
+        while not held[-1].weight and not held[-1].heading:
+            held.pop()
+    return held
+
+
+def main_text(page: str | None) -> str:
+    """The article of one page; its blocks are joined by newlines.
+
+    Sums of text lengths over sliding windows of lines surge where text begins and dive to nothing
+    at dropped parts and at the borders of main elements. The stretch between a surge and its dive
+    is an area, large if its highest window is a surge and at least a fifth of the page's highest.
+    If the highest is in a main element, the article is every main element with a large area,
+    short areas in it included, and what borders it in the main elements around; other main
+    elements, such as teasers, go. On other pages it is all from the first to the last large area
+    and what borders them with no dropped part between. A page without a surge is read again with
+    class words, forms, asides and headers kept.
+    """
+    lines, parents = page_lines(page or "")
+    found = areas(lines)
+    if max((area.peak for area in found), default=0) < SURGE:
+        again, others = page_lines(page or "", strict=False)
+        if max((area.peak for area in areas(again)), default=0) >= SURGE:
+            found, parents = areas(again), others
+    return "\n".join(line.text for line in _chosen(found, parents))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +367,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text)`` for each row of pages(page_id, url, html, ...).
 
     Null, empty and text-free pages give an empty text; null ids and urls are kept; repeated rows
-    come back as often; other columns are ignored. Unclosed tags, comments and scripts are read as
-    far as the page goes.
+    come back as often; other columns, whatever their names, are ignored; an empty table gives no
+    rows. Unclosed tags, comments and scripts are read as far as the page goes. Time and memory are
+    linear in the length of a page, which is held in memory whole with its tokens.
     """
     kinds = {name: pages.schema[name].dataType.simpleString() for name in ("page_id", "url")}
     return pages.select("page_id", "url", "html").mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import pytest
 from recordlens.llm import htmltext
@@ -89,3 +90,54 @@ def test_main_element_without_the_largest_area():
     text = "Plain text of the story goes on. " * 20
     out = htmltext.main_text(f"<body><div class=story><p>{text}</p><p>More.</p></div><div class=ad>x</div><article><p>A teaser.</p></article></body>")
     assert out == f"{text.strip()}\nMore."
+
+
+LONG = ("word " * 60).strip()
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ("<script>if(a<!--b){}</script><article>x y</article>", "x y"),
+        ("<title>a <!-- b</title><article>x</article>", "x"),
+        ("<!--><article>x</article>", "x"),
+        ("<!---><article>x</article>", "x"),
+        ("<!-- a --!><article>x</article><!-- open <p>y", "x"),
+        ("<article>a<![CDATA[ x > y ]]></article>", "a y ]]>"),
+        ('<div style="overflow:hidden"><p>text</div>', "text"),
+        ('<p title="hidden gem">t</p>', "t"),
+        ('<article><p>Go to <a href="/hidden-valley">the valley</a> now</p></article>', "Go to the valley now"),
+        ('<article><h2 id="discussion">D</h2><h2 id="search">S</h2><h2 class="section-header">H</h2><p data-id="ad-12">P</p></article>', "D\nS\nH\nP"),
+        ('<article><p>A <span class="related">near</span> <em class=notice>by</em></p></article>', "A near by"),
+        ("<article><p>Let <math><mi>x</mi></math> be</p></article>", "Let x be"),
+        (f"<main><article><p>{LONG}</p></article><article class='teaser'><p>Other story</p></article></main>", LONG),
+        (f"<main><h1>Title</h1><article><p>{LONG}</p><div class=ad>x</div><p>End.</p></article></main>", f"Title\n{LONG}\nEnd."),
+        (f"<article>A teaser</article><main><p>{LONG}</p></main><article>One more</article>", LONG),
+        (f"<form><div><p>{LONG}</p></div></form>", LONG),
+        (f"<div class='social-page'><nav>Home</nav><p>{LONG}</p></div>", LONG),
+        ("<article><div class=ad/>text</article>", "text"),
+        ("<article>a<div class=ad>x<div>y</div></div>b<span hidden>c<b>d</b></span>e</article>", "a\nb\ne"),
+        (f"<ul><li><a>Home</a><li><a>News</a></ul><h1><a>Title</a></h1><p>{LONG}</p><ul><li><a>more</a></ul>", f"Title\n{LONG}"),
+        ("<table><tr><td class=ad>x<td>y</table>", "y"),
+        ("<article>a &lt;b&gt; &amp;amp; c</article>", "a <b> &amp; c"),
+    ],
+)
+def test_no_article_is_lost(source, want):
+    assert htmltext.main_text(source) == want
+
+
+def test_windows_decide(monkeypatch):
+    """Without the heights of windows other main elements and stray areas come back."""
+    teaser = f"<main><article><p>{LONG}</p></article><article><p>Other story</p></article></main>"
+    stray = f"<div class=story><p>{LONG}</p></div><div class=ad>x</div><p>Imprint</p>"
+    assert htmltext.main_text(teaser) == htmltext.main_text(stray) == LONG
+    real = htmltext.areas
+    monkeypatch.setattr(htmltext, "areas", lambda lines: [a._replace(peak=100) for a in real(lines)])
+    assert htmltext.main_text(teaser) == f"{LONG}\nOther story" and htmltext.main_text(stray) == f"{LONG}\nImprint"
+
+
+@pytest.mark.parametrize("piece", ["<article><div class=ad></article>", "<script ", "<div class=ad>", "<a hidden><div>", '<a b="', "<!--", "<b hidden></a>", "<x y='", "<svg><title>"])
+def test_linear_in_length(piece):
+    began = time.process_time()
+    htmltext.main_text(piece * 10_000)
+    assert time.process_time() - began < 3  # about half a second; a quadratic reading takes a minute
