@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, isfinite
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,7 +20,8 @@ OTHER = "<|part|>"
 PATCH, FRAMES, PAGE = 28, 25, 512
 
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
-ATTACHMENT = "struct<part:int,kind:string,ref:string,at:int,tokens:int>"
+ATTACHMENT = "struct<part:int,kind:string,ref:string,at:int,tokens:bigint>"
+_MOST = 2**63 - 1
 TURN = f"role string, body string, loss array<struct<at:int,length:int>>, attachments array<{ATTACHMENT}>"
 
 
@@ -34,15 +35,20 @@ def unescape(text: str) -> str:
 
 
 class PartVisitor:
-    """Flattens the parts of one turn, in order, into text, placeholders and attachment records."""
+    """Flattens the parts of one turn, in order, into text, placeholders and attachment records.
+
+    Neighbouring text parts are one run of text, escaped as a whole, so no control string can form
+    across their border. Counts that are missing, negative or not finite are zero.
+    """
 
     def __init__(self) -> None:
         self.body: list[str] = []
         self.length = 0
+        self.run: list[str] = []
         self.spans: list[dict] = []
         self.attachments: list[dict] = []
 
-    def visit(self, order: int, part: dict) -> None:
+    def visit(self, order: int, part: dict | None) -> None:
         if part is not None:
             getattr(self, f"visit_{part['kind']}", self.visit_other)(order, part)
 
@@ -50,23 +56,32 @@ class PartVisitor:
         self.body.append(piece)
         self.length += len(piece)
 
+    def end_text(self) -> None:
+        """Writes the run of text parts so far, with its span."""
+        if self.run:
+            piece = escape("".join(self.run))
+            self.spans.append({"at": self.length, "length": len(piece)})
+            self._write(piece)
+            self.run = []
+
     def visit_text(self, order: int, part: dict) -> None:
-        piece = escape(part["text"] or "")
-        self.spans.append({"at": self.length, "length": len(piece)})
-        self._write(piece)
+        self.run.append(part["text"] or "")
 
     def _attach(self, order: int, part: dict, tokens: int) -> None:
-        self.attachments.append({"part": order, "kind": part["kind"], "ref": part["ref"], "at": self.length, "tokens": tokens})
+        self.end_text()
+        self.attachments.append({"part": order, "kind": part["kind"], "ref": part["ref"], "at": self.length, "tokens": min(tokens, _MOST)})
         self._write(PLACEHOLDER.get(part["kind"], OTHER))
 
     def visit_image(self, order: int, part: dict) -> None:
-        self._attach(order, part, ceil((part["width"] or 0) / PATCH) * ceil((part["height"] or 0) / PATCH))
+        across, down = (ceil(max(0, part[side] or 0) / PATCH) for side in ("width", "height"))
+        self._attach(order, part, across * down)
 
     def visit_audio(self, order: int, part: dict) -> None:
-        self._attach(order, part, ceil((part["seconds"] or 0.0) * FRAMES))
+        frames = (part["seconds"] or 0.0) * FRAMES
+        self._attach(order, part, ceil(max(0.0, frames)) if isfinite(frames) else 0)
 
     def visit_document(self, order: int, part: dict) -> None:
-        self._attach(order, part, (part["pages"] or 0) * PAGE)
+        self._attach(order, part, max(0, part["pages"] or 0) * PAGE)
 
     def visit_other(self, order: int, part: dict) -> None:
         self._attach(order, part, 1)
@@ -76,11 +91,12 @@ def flatten(parts: list[dict] | None) -> PartVisitor:
     visitor = PartVisitor()
     for order, part in enumerate(parts or []):
         visitor.visit(order, part)
+    visitor.end_text()
     return visitor
 
 
 def _flatten_turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    attachment = pa.struct([("part", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("at", pa.int32()), ("tokens", pa.int32())])
+    attachment = pa.struct([("part", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("at", pa.int32()), ("tokens", pa.int64())])
     span = pa.struct([("at", pa.int32()), ("length", pa.int32())])
     for batch in batches:
         seen = [flatten(parts) for parts in batch["parts"].to_pylist()]
@@ -97,11 +113,22 @@ def _flatten_turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def text_part(text: Column) -> Column:
-    """One text part, as a content array."""
-    return F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"))).cast(
-        "array<struct<kind:string,text:string>>"
-    )
+def _content(turns: DataFrame) -> Column:
+    """The parts of each turn with all fields of PART, those that ``turns`` doesn't have as null.
+
+    Without a column ``parts`` the column ``text`` is the one part.
+    """
+    fields = [field.split(":") for field in PART.removeprefix("struct<").removesuffix(">").split(",")]
+    if "parts" not in turns.columns:
+        own = {"kind": F.lit("text"), "text": F.col("text")}
+        return F.array(F.struct(*[own.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in fields]))
+    given = {name.lower() for name in turns.schema["parts"].dataType.elementType.names}
+
+    def widened(part: Column) -> Column:
+        whole = F.struct(*[(part[name] if name in given else F.lit(None)).cast(kind).alias(name) for name, kind in fields])
+        return F.when(part.isNotNull(), whole)
+
+    return F.transform("parts", widened)
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -111,19 +138,15 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     ``<|im_start|>role\\nbody<|im_end|>\\n`` for each turn in order; ``loss`` holds the code-point
     spans of assistant text; ``attachments`` has, in order, turn, part, kind, reference, place
     and expanded tokens of every image, audio or document part (other kinds get one token).
-    Control strings in texts, roles and nowhere else are escaped, so that ``read_back`` restores
-    each turn. Turns of one number are ordered by role, then body; null turns come first; a null
+    A part's struct may lack any field but ``kind`` or hold others. Control strings in texts and
+    roles are escaped, also those that form across neighbouring text parts, so that ``read_back``
+    restores each turn; neighbouring text parts share a span. Turns of one number are ordered by role, then body; null turns come first; a null
     conv_id is a conversation of its own; null roles and texts are empty; other columns are
     ignored; no rows give no rows. A conversation is one string, so its size is that of the
     output; everything before is done turn by turn.
     """
-    wide = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
-    if "parts" in turns.columns:
-        parts = F.col("parts").cast(f"array<{wide}>")
-    else:
-        parts = F.array(F.from_json(F.lit("{}"), PART.removeprefix("struct<").removesuffix(">").replace(":", " ")).withField("kind", F.lit("text")).withField("text", F.col("text")))
     ids = {name: turns.schema[name].dataType.simpleString() for name in ("conv_id", "turn")}
-    flat = turns.select("conv_id", "turn", "role", parts.alias("parts")).mapInArrow(
+    flat = turns.select("conv_id", "turn", "role", _content(turns).alias("parts")).mapInArrow(
         _flatten_turns, f"conv_id {ids['conv_id']}, turn {ids['turn']}, {TURN}"
     )
     # the place where a turn starts is a running sum, so a long conversation costs no more a turn than a short one
