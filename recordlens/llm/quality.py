@@ -4,22 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from math import ceil, exp, log
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordlens.llm.common import table
+from recordlens.llm.common import cut, table
 
 FOLDS, HELD_OUT = 5, 0
-#: The fit uses at most this many labelled rows of each class and this many bytes of each.
-FIT_ROWS, FIT_BYTES = 1500, 16384
-DICTIONARY, LEVEL, BLOCK = 131072, 3, 512
-#: Bytes added to size and length of a text in its rate.
-SMOOTH = (40, 100)
+#: The fit uses at most this many labelled documents of each class, whole.
+FIT_ROWS = 1500
+DICTIONARY, LEVEL, BLOCK = 131072, 9, 128
 THRESHOLD = 0.3
 
 
@@ -33,8 +30,8 @@ def _blocks(raw: bytes) -> list[bytes]:
 class CompressionScorer:
     """Compressed sizes under two dictionaries, and the calibrated score of their difference."""
 
-    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray | None = None, offset: float = 0.0) -> None:
-        self.good, self.bad, self.weights, self.offset = good, bad, np.zeros(3) if weights is None else weights, offset
+    def __init__(self, good: bytes, bad: bytes, weight: float = 0.0, offset: float = 0.0) -> None:
+        self.good, self.bad, self.weight, self.offset = good, bad, weight, offset
 
     def _compressors(self) -> list[zstandard.ZstdCompressor]:
         made = []
@@ -44,100 +41,113 @@ class CompressionScorer:
             made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=book, write_content_size=False, write_checksum=False))
         return made
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """Of each text the normalised difference, the compression rate and the length that both depend on.
+    def differences(self, texts: list[str | None]) -> np.ndarray:
+        """Of each text (size under the bad dictionary - size under the good one) / its bytes; empty texts have 0.
 
-        The difference is (size under bad - size under good) / their mean. The rate, the logarithm
-        of size under good by length, tells text that both dictionaries compress alike, because it
-        repeats itself, from ordinary text; SMOOTH keeps short texts from extremes. The length
-        counts up to one block. Empty texts have zeros.
+        Dividing by the text and not by the compressed sizes keeps text that repeats itself, which
+        both dictionaries compress alike, near 0.
         """
         good, bad = self._compressors()
-        out = np.zeros((len(texts), 3))
+        out = np.zeros(len(texts))
         for k, text in enumerate(texts):
             if blocks := _blocks(raw := (text or "").encode()):
                 g, b = (sum(len(c.compress(block)) for block in blocks) for c in (good, bad))
-                out[k] = 2 * (b - g) / (b + g), log((g + SMOOTH[0]) / (len(raw) + SMOOTH[1])), log(min(len(raw), BLOCK))
+                out[k] = (b - g) / len(raw)
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not self.good:
             return np.full(len(texts), 1 / (1 + exp(-self.offset)))
-        return _sigmoid(self.features(texts) @ self.weights + self.offset)
+        return _sigmoid(self.differences(texts) * self.weight + self.offset)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and offset of a lightly penalised logistic fit by Newton's method."""
-    middle, spread = x.mean(axis=0), x.std(axis=0)
-    spread[spread == 0] = 1.0
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Weight and offset of a lightly penalised logistic fit of one feature by Newton's method."""
+    middle, spread = x.mean(), x.std() or 1.0
     z = np.column_stack([(x - middle) / spread, np.ones(len(x))])
-    w = np.zeros(z.shape[1])
+    w = np.zeros(2)
     for _ in range(60):
         p = _sigmoid(z @ w)
-        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + 1e-2 * np.eye(len(w)), z.T @ (y - p) - 1e-2 * w)
+        step = np.linalg.solve((z.T * (p * (1 - p))) @ z + 1e-2 * np.eye(2), z.T @ (y - p) - 1e-2 * w)
         w += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
-    weights = w[:-1] / spread
-    return weights, float(w[-1] - weights @ middle)
+    return float(w[0] / spread), float(w[1] - w[0] / spread * middle)
+
+
+def piece_length(sizes: list[int], whole: int = DICTIONARY) -> int:
+    """How many bytes of each of some texts fit into ``whole`` if each gives as many, shorter ones all."""
+    left = whole
+    for k, size in enumerate(sorted(sizes)):
+        part = left // (len(sizes) - k)
+        if size > part:
+            return part
+        left -= size
+    return max(sizes, default=0)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> CompressionScorer:
     """Dictionaries and calibration from labelled rows outside the held-out fold.
 
-    The fit sees at most FIT_ROWS rows a class, those of the least hash of doc_id, and FIT_BYTES
-    of each; even rows make the dictionaries, odd rows the calibration. A dictionary of
-    DICTIONARY bytes holds a piece of each of its rows. With one class only, or
-    without labels, every score is the smoothed share of label 1.
+    Of each class at most FIT_ROWS labelled documents are used, those of the least hash of doc_id;
+    of rows that share a doc_id the greatest text counts. Every other one gives an equal piece,
+    from a place anywhere in its text, to its class's dictionary of DICTIONARY bytes (a shorter text
+    all of it). The rest, whole, calibrate the difference; they are compressed in tasks, and only
+    pieces and differences come to the driver. With one class only, or without labels, every score
+    is the smoothed share of label 1.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
-    known = labels.where((fold != HELD_OUT) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
+    known = labels.where((fold != HELD_OUT) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     totals = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     prior = log((totals.get(1, 0) + 1) / (totals.get(0, 0) + 1))
     chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS) for q in (0, 1)]
-    ids = chosen[0].union(chosen[1]).distinct()  # at most 2 * FIT_ROWS rows
-    rows = (
-        docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-        .select("doc_id", "quality", F.expr(f"substring(encode(coalesce(text, ''), 'utf-8'), 1, {FIT_BYTES})").alias("raw"))
-        .limit(4 * FIT_ROWS).collect()
-    )
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["raw"])))
-    texts = {q: [bytes(r["raw"]) for r in rows if r["quality"] == q] for q in (0, 1)}
-    if min(map(len, texts.values())) < 2:
+    ids = chosen[0].union(chosen[1])  # at most 2 * FIT_ROWS rows
+    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
+    sample = (
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+        .groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
+        .withColumn("n", F.row_number().over(order))
+    )
+    sample = cut(sample.repartition(32, "doc_id"))
+    books = sample.where("n % 2 = 1").withColumn("raw", F.encode("text", "utf-8"))
+    sizes: dict[int, list[int]] = {0: [], 1: []}
+    for r in books.select("quality", F.length("raw").alias("size")).collect():
+        sizes[r["quality"]].append(r["size"])
+    rest = sample.where("n % 2 = 0").select("quality", "text")
+    held = {r["quality"]: r["count"] for r in sample.groupBy("quality").count().collect()}
+    if min(held.get(0, 0), held.get(1, 0)) < 2:
         return CompressionScorer(b"", b"", offset=prior)
-    books = {q: _dictionary(all_of[::2]) for q, all_of in texts.items()}
-    scorer = CompressionScorer(books[1], books[0])
-    rest = [(raw.decode("utf-8", "ignore"), q) for q, all_of in texts.items() for raw in all_of[1::2]]
-    y = np.array([q for _, q in rest], float)
-    scorer.weights, offset = _logistic(scorer.features([text for text, _ in rest]), y)
+    part = F.when(F.col("quality") == 1, piece_length(sizes[1])).otherwise(piece_length(sizes[0]))
+    start = (F.crc32("raw") % F.greatest(F.length("raw") - part + 1, F.lit(1))).cast("int") + 1
+    pieces = books.select("quality", "n", F.substring("raw", start, part).alias("piece")).orderBy("n").collect()  # two dictionaries
+    book = {q: b"".join(bytes(r["piece"]) for r in pieces if r["quality"] == q) or b" " * 8 for q in (0, 1)}
+    scorer = CompressionScorer(book[1], book[0])
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch["quality"], pa.array(scorer.differences(batch["text"].to_pylist()))], ["quality", "x"])
+
+    found = rest.mapInArrow(differences, "quality int, x double").orderBy("x", "quality").collect()  # at most FIT_ROWS numbers
+    y = np.array([r["quality"] for r in found], float)
+    scorer.weight, offset = _logistic(np.array([r["x"] for r in found]), y)
     # the bound on rows balances the classes; the offset goes back to the labels' own share
     scorer.offset = offset + prior - log((sum(y) + 1) / (len(y) - sum(y) + 1))
     return scorer
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """Raw dictionary content: a piece of every text, from anywhere in it, as long as fits for all; shorter texts whole."""
-    part, left = 0, DICTIONARY
-    for k, size in enumerate(sorted(map(len, texts))):
-        part = left // (len(texts) - k)
-        if size > part:
-            break
-        part, left = size, left - size
-    starts = [crc32(text) % (len(text) - part + 1) if len(text) > part else 0 for text in texts]
-    return b"".join(text[at : at + part] for text, at in zip(texts, starts)) or b" " * 8
-
-
 def score(docs: DataFrame, scorer: CompressionScorer, *extra: str) -> DataFrame:
     """``(doc_id, score, *extra)`` for each row of docs: the calibrated score of the whole text.
 
     Labels, lang, source and doc_id are no inputs. Null texts count as empty, and empty texts get
-    the calibrated score of no evidence; rows come back as often as they came.
+    the calibrated score of no evidence; very long texts are compressed whole, block by block; rows
+    come back as often as they came; an empty table gives no rows. A column of docs named ``score``
+    is not returned, even if ``extra`` names it.
     """
-    kept = ["doc_id", *extra]
+    kept = ["doc_id", *(name for name in extra if name != "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,6 +159,20 @@ def score(docs: DataFrame, scorer: CompressionScorer, *extra: str) -> DataFrame:
     return source.mapInArrow(run, f"{schema}, score double")
 
 
+def keep_good(docs: DataFrame, scorer: CompressionScorer, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns whatever their names, whose text's score reaches ``threshold``.
+
+    Null texts count as empty, so the threshold decides on all of them alike; repeated rows stay or
+    go together; an empty table gives no rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.scores(batch["text"].to_pylist()) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scorer = fit(docs, table(spark, sf_dir, "labels"))
