@@ -12,7 +12,11 @@ from recordlens.llm.common import cut, table
 #: Terms are kept whose share of documents lies in this band; there can be at most
 #: (mean number of distinct terms of a document) / BAND[0] of them.
 BAND = (1 / 200, 1 / 40)
-LEXICONS = 32
+#: Random lexicons: in each of FAMILIES a term is in the r-th with probability 4 ** -r, r up to QUARTERS; and all terms.
+FAMILIES, QUARTERS = 16, 4
+LEXICONS = FAMILIES * QUARTERS + 1
+#: Two fingerprints are compared in so many of their smallest lexicons that hold a term of either text.
+COMPARED = 16
 #: A lexicon of more terms than this isn't broadcast but joined by shuffling.
 BROADCAST_TERMS = 2_000_000
 #: Ranges of doc_id that the next document is looked for in, at most.
@@ -33,73 +37,56 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
     return counts.where((F.col("count") >= max(2.0, band[0] * total)) & (F.col("count") <= max(2.0, band[1] * total))).select("term")
 
 
-def _family(h: Column, lexicons: int) -> Column:
-    return F.pmod(h, F.lit(lexicons)).cast("int")
+def codes(terms: Column) -> Column:
+    """The sorted distinct codes of some terms: 64 hash bits, of which each draws the term into a lexicon or not."""
+    return F.array_sort(F.array_distinct(F.transform(terms, lambda t: F.xxhash64(t))))
 
 
-def _level(h: Column) -> Column:
-    return F.floor(F.log2(F.lit(2.0**56) / (F.shiftrightunsigned(h, 8) + 1).cast("double"))).cast("int")
+def fingerprint(terms: Column) -> Column:
+    """The fingerprint of sorted distinct term codes: _DIGITS hex digits for each random lexicon.
 
-
-def top_codes(terms: Column, lexicons: int = LEXICONS) -> Column:
-    """Of the codes of all terms those that a fingerprint reads: each family's at its highest level.
-
-    ``fingerprint`` gives the same for them as for all codes.
+    Eight families have eight bits of a term's code each, eight those of the code's hash. The r-th
+    lexicon of a family holds the terms whose first 2 * r bits of the family are zero. The document's
+    terms in a lexicon, sorted and distinct, are hashed; of a lexicon that holds none of them there
+    are dashes. The smallest lexicons come first, all terms last. Without any term the fingerprint
+    is empty.
     """
 
-    def packed(code: Column) -> Column:  # family, level downwards, code
-        drawn = F.transform(F.array(F.xxhash64(code)), lambda h: _family(h, lexicons).cast("long") * 2**40 + (63 - _level(h)) * F.lit(2**32) + code.cast("long").bitwiseAND(F.lit(2**32 - 1)))
-        return F.element_at(drawn, 1)
-
-    def merge(kept: Column, x: Column) -> Column:
-        place = F.shiftright(x, 32)
-        top = (kept["place"] == place) | (F.shiftright(kept["place"], 8) != F.shiftright(place, 8))
-        return F.when(top, F.struct(F.concat(kept["codes"], F.array(F.shiftright(F.shiftleft(x, 32), 32).cast("int"))).alias("codes"), place.alias("place"))).otherwise(kept)
+    def drawn(own: Column, family: Column) -> Column:  # the terms in lexicons 0 to QUARTERS of the family, each out of the one before
+        def out(code: Column, r: Column) -> Column:
+            bits = F.when(family < 8, code).otherwise(F.xxhash64(code))
+            return F.call_function("shiftright", bits, family % 8 * 8 + 2 * r).bitwiseAND(F.lit(3).cast("long")) == 0
 
-    ordered = F.array_sort(F.array_distinct(F.transform(F.transform(terms, lambda t: F.hash(t)), packed)))
-    none = F.struct(F.array().cast("array<int>").alias("codes"), F.lit(-1).cast("long").alias("place"))
-    return F.aggregate(ordered, none, merge, lambda kept: kept["codes"])
-
-
-def fingerprint(codes: Column, lexicons: int = LEXICONS) -> Column:
-    """The fingerprint of sorted distinct term codes: _DIGITS hex digits for each family of lexicons.
-
-    A hash deals each term to a family and, within it, a level. A family's lexicons are nested,
-    each a random half of the one before. The document's terms in the smallest lexicon that holds
-    any of them, sorted and distinct, are hashed; a family without any gives dashes.
-    """
-
-    def leveled(code: Column) -> Column:
-        drawn = F.transform(F.array(F.xxhash64(code)), lambda h: F.struct(
-            _family(h, lexicons).alias("family"), _level(h).alias("level"), code.alias("code"),
-        ))
-        return F.element_at(drawn, 1)
+        return F.aggregate(
+            F.sequence(F.lit(0), F.lit(QUARTERS - 1)), F.array(own), lambda held, r: F.concat(held, F.array(F.filter(F.element_at(held, -1), lambda code: out(code, r))))
+        )
 
     def part(own: Column) -> Column:
-        tops = F.transform(F.array(own), lambda o: F.struct(o.alias("own"), F.array_max(o["level"]).alias("top")))
-        hashed = F.transform(tops, lambda t: F.xxhash64(F.filter(t["own"], lambda x: x["level"] == t["top"])))
-        return F.when(F.size(own) == 0, "-" * _DIGITS).otherwise(F.right(F.lpad(F.lower(F.hex(F.element_at(hashed, 1))), 16, "0"), F.lit(_DIGITS)))
+        return F.when(F.size(own) == 0, "-" * _DIGITS).otherwise(F.right(F.lpad(F.lower(F.hex(F.xxhash64(own))), 16, "0"), F.lit(_DIGITS)))
 
-    dealt = F.transform(F.array(F.transform(codes, leveled)), lambda all_of: F.transform(
-        F.sequence(F.lit(0), F.lit(lexicons - 1)), lambda j: part_of(all_of, j)
-    ))
+    def joined(parts: Column) -> Column:
+        small = F.transform(F.sequence(F.lit(0), F.lit(FAMILIES * QUARTERS - 1)), lambda i: F.get(F.get(parts, i % FAMILIES), (QUARTERS - F.floor(i / FAMILIES)).cast("int")))
+        return F.array_join(F.concat(small, F.array(F.get(F.get(parts, F.lit(0)), F.lit(0)))), "")
 
-    return F.when(F.size(codes) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.element_at(dealt, 1), part), ""))
+    def of(own: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.lit(FAMILIES - 1)), lambda f: F.transform(drawn(own, f), part))
+        return F.when(F.size(own) == 0, F.lit("")).otherwise(F.element_at(F.transform(F.array(parts), joined), 1))
 
+    return F.element_at(F.transform(F.array(terms), of), 1)
 
-def part_of(terms: Column, family: Column) -> Column:
-    return F.filter(terms, lambda x: x["family"] == family)
 
+def likeness(a: Column, b: Column) -> Column:
+    """Of the COMPARED smallest lexicons with terms of either text, the share in which the hashes agree.
 
-def likeness(a: Column, b: Column, lexicons: int = LEXICONS) -> Column:
-    """Of the families in which either document has terms, the share in which the hashes agree."""
+    Equal fingerprints have 1, also empty ones; an empty one and another have 0, and so has a null.
+    In small lexicons the hashes agree about as often as the texts share terms; in large ones only
+    if hardly any term differs.
+    """
     none = "-" * _DIGITS
-    split = lambda c: F.transform(F.sequence(F.lit(0), F.lit(lexicons - 1)), lambda j: F.substring(c, j * _DIGITS + 1, F.lit(_DIGITS)))
-    both = F.filter(F.arrays_zip(split(a).alias("a"), split(b).alias("b")), lambda p: (p["a"] != none) | (p["b"] != none))
-    same = F.filter(both, lambda p: p["a"] == p["b"])
-    return F.when(a.isNull() | b.isNull() | (a == "") | (b == ""), F.lit(0.0)).otherwise(
-        F.coalesce(F.try_divide(F.size(same).cast("double"), F.size(both)), F.lit(0.0))
-    )
+    both = F.transform(F.sequence(F.lit(0), F.lit(LEXICONS - 1)), lambda i: F.struct(F.substring(a, i * _DIGITS + 1, F.lit(_DIGITS)).alias("a"), F.substring(b, i * _DIGITS + 1, F.lit(_DIGITS)).alias("b")))
+    seen = F.slice(F.filter(both, lambda p: (p["a"] != none) | (p["b"] != none)), 1, COMPARED)
+    share = F.element_at(F.transform(F.array(seen), lambda s: F.size(F.filter(s, lambda p: p["a"] == p["b"])).cast("double") / F.size(s)), 1)
+    return F.when(a.isNull() | b.isNull(), 0.0).when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(share)
 
 
 def _marks_passed(marks: list[int]) -> Column:
@@ -116,40 +103,33 @@ def _marks_passed(marks: list[int]) -> Column:
 def with_next(rows: DataFrame, value: str, tie: str, name: str) -> DataFrame:
     """``rows`` with ``name``: ``value`` of the next row by descending doc_id, after the last the first.
 
-    Rows are dealt into ranges of doc_id, so no task sees all of them; within a range a window
-    finds the next row, and across ranges the first row of the next range does. Nulls come last;
-    rows of one doc_id are ordered by ``tie``.
+    Rows are dealt into ranges of doc_id, those without one into ranges of ``tie``, a hash; so no
+    task sees all of them. The first row of each range is copied to the end of the range before,
+    and a window within ranges finds the next row. Only ids and ties of first rows, one a range, are
+    brought together. Nulls come last; rows of one doc_id are ordered by ``tie``.
     """
     buckets = max(1, min(RANGES, rows.count() // 1024))
     asked = [k / buckets for k in range(1, buckets)] or [0.5]
     marks = sorted(set(rows.agg(F.percentile_approx("doc_id", asked, max(20000, 4 * buckets)).alias("m")).first()["m"] or []))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_marks_passed(marks))
-    dealt = rows.withColumn("_bucket", bucket)
-    order = [F.col("doc_id").desc_nulls_last(), F.col(tie).desc()]
-    inside = Window.partitionBy("_bucket").orderBy(*order)
-    tops = dealt.groupBy("_bucket").agg(F.max("doc_id").alias("_top"))  # one row a range
-    heads = (
-        dealt.join(F.broadcast(tops), "_bucket").where(F.col("doc_id").eqNullSafe(F.col("_top")))
-        .select("_bucket", "doc_id", tie, value)
-        .withColumn("_n", F.row_number().over(inside)).where("_n = 1")
-    )
-    everywhere = Window.partitionBy(F.lit(0)).orderBy(F.col("_bucket").desc())  # a row for each range
-    whole = everywhere.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follow = heads.select(
-        "_bucket", F.lead(value).over(everywhere).alias("_lead"), F.first(value).over(whole).alias("_first"), F.lead("_bucket").over(everywhere).alias("_then")
-    ).select("_bucket", F.when(F.col("_then").isNull(), F.col("_first")).otherwise(F.col("_lead")).alias("_head"))
-    stepped = dealt.withColumn("_step", F.lead(F.struct(F.col(value).alias("v"))).over(inside))
-    joined = stepped.join(follow, "_bucket")
-    return joined.withColumn(name, F.when(F.col("_step").isNull(), F.col("_head")).otherwise(F.col("_step.v"))).drop("_bucket", "_step", "_head")
+    unknown = F.shiftright(tie, 58).cast("int") - 64  # 64 ranges below all others
+    dealt = rows.withColumn("_range", F.when(F.col("doc_id").isNull(), unknown).otherwise(_marks_passed(marks)))
+    tops = dealt.groupBy("_range").agg(F.max(F.struct("doc_id", tie)).alias("_top"))  # at most RANGES + 64 rows
+    order = Window.partitionBy(F.lit(0)).orderBy(F.col("_range").desc())
+    last = F.min("_range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = tops.select("_range", "_top", F.coalesce(F.lag("_range").over(order), last).alias("_before"))
+    own = F.struct("doc_id", tie).eqNullSafe(F.col("_top"))
+    copies = dealt.join(F.broadcast(before), "_range").where(own).drop("_top", "_range").withColumnRenamed("_before", "_range")
+    together = dealt.withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True)))
+    inside = Window.partitionBy("_range").orderBy("_copy", F.col("doc_id").desc_nulls_last(), F.col(tie).desc())
+    return together.withColumn(name, F.lead(value).over(inside)).where(~F.col("_copy")).drop("_range", "_copy")
 
 
 def _sided(side: int, terms: Column) -> Column:
-    """The terms of one side, and a row without a term that holds the codes of all of them."""
+    """The terms of one side, and a row without a term that holds the fingerprint of all of them."""
 
     def tell(ts: Column) -> Column:
-        codes = F.array().cast("array<int>")
-        own = F.transform(ts, lambda t: F.struct(F.lit(side).alias("side"), t.alias("term"), codes.alias("whole")))
-        return F.concat(F.array(F.struct(F.lit(side).alias("side"), F.lit("").alias("term"), top_codes(ts).alias("whole"))), own)
+        own = F.transform(ts, lambda t: F.struct(F.lit(side).alias("side"), t.alias("term"), F.lit(None).cast("string").alias("whole")))
+        return F.concat(F.array(F.struct(F.lit(side).alias("side"), F.lit("").alias("term"), fingerprint(codes(ts)).alias("whole"))), own)
 
     return F.element_at(F.transform(F.array(terms), tell), 1)
 
@@ -158,9 +138,9 @@ def fingerprints(texts: DataFrame, terms: DataFrame, sides: list[str]) -> DataFr
     """For each row of ``texts`` a fingerprint of each of the text columns ``sides``.
 
     The terms of each text are exploded and met with the lexicon; the row's terms in the band
-    come together again under a row number, as sorted 32-bit codes. A text without terms in the
-    band keeps all its terms, however many. Where any side of a row is such a text, ``whole_``
-    and the side's name is the fingerprint of all terms, else null. All other columns stay.
+    come together again under a row number, as sorted codes. A text without terms in the band
+    has the fingerprint of all its terms, however many. Where any side of a row is such a text,
+    ``whole_`` and the side's name is the fingerprint of all terms, else null. All other columns stay.
     """
     kept = [c for c in texts.columns if c not in sides]
     marked = terms.withColumn("known", F.lit(True)).union(terms.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(True)))
@@ -169,16 +149,16 @@ def fingerprints(texts: DataFrame, terms: DataFrame, sides: list[str]) -> DataFr
         "_row", *kept, F.explode(F.concat(*[_sided(n, distinct_terms(F.col(s))) for n, s in enumerate(sides)])).alias("x")
     ).select("_row", *kept, "x.side", "x.term", "x.whole")
     met = spread.join(F.broadcast(marked) if small else marked, "term")
-    code, is_term = F.hash("term"), F.col("term") != ""
+    code, is_term = F.xxhash64("term"), F.col("term") != ""
     gathered = met.groupBy("_row").agg(
         *[F.first(c).alias(c) for c in kept],
         *[F.collect_set(F.when((F.col("side") == n) & is_term, code)).alias(f"_in{n}") for n in range(len(sides))],
         *[F.max(F.when((F.col("side") == n) & ~is_term, F.col("whole"))).alias(f"_all{n}") for n in range(len(sides))],
     )
-    chosen = [F.array_sort(F.when(F.size(f"_in{n}") > 0, F.col(f"_in{n}")).otherwise(F.col(f"_all{n}"))) for n in range(len(sides))]
+    own = [F.when(F.size(f"_in{n}") > 0, fingerprint(F.array_sort(f"_in{n}"))).otherwise(F.col(f"_all{n}")) for n in range(len(sides))]
     lacking = F.least(*[F.size(f"_in{n}") for n in range(len(sides))], F.lit(1)) == 0
-    whole = [F.when(lacking, fingerprint(F.array_sort(f"_all{n}"))).alias(f"whole_{s}") for n, s in enumerate(sides)]
-    return gathered.select(*kept, *[fingerprint(c).alias(f"fingerprint_{s}") for c, s in zip(chosen, sides)], *whole)
+    whole = [F.when(lacking, F.col(f"_all{n}")).alias(f"whole_{s}") for n, s in enumerate(sides)]
+    return gathered.select(*kept, *[c.alias(f"fingerprint_{s}") for c, s in zip(own, sides)], *whole)
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -187,9 +167,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many
     (or all) of the next document by descending doc_id. If either of the two has no terms in the
     band, they are compared by all their terms. Likeness to the next document is that of the two
-    fingerprints. Null texts count as empty; texts without terms have an empty fingerprint, which
-    is like none. Rows that repeat a doc_id follow one
-    another by text hash; null doc_ids come last. An empty table gives no rows.
+    fingerprints. Null texts count as empty; texts without terms have an empty fingerprint. Rows
+    that repeat a doc_id follow one another by text hash; null doc_ids come last. Very long texts are
+    read whole; their terms are rows of their own. Other columns of docs, whatever their names, are
+    ignored. An empty table gives no rows.
     """
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     terms = cut(lexicon(plain))
