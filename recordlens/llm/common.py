@@ -49,6 +49,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def remove_folder(spark: SparkSession, place: str) -> None:
+    """Deletes a folder that this session wrote, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One round of star contraction over edges (u, v) with u > v."""
     if large:

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from recordlens.llm.common import WORD_GAP, cut, table
 
 WINDOW, PHRASE = 20, 6
+#: Columns of their own between the steps; a table that has them is refused.
+SPANS, PACKED = "_relz_spans", "_relz_packed"
 #: Words and rows that a task handles at a time, and blocks of one anchor that it sends to the anchor's group.
 CHUNK_WORDS, CHUNK_ROWS, GROUP_ROWS = 600_000, 1024, 4
 _CACHE = 250_000
@@ -102,7 +104,7 @@ def blocks(hashes: Hashes, window: int, phrase: int) -> tuple[np.ndarray, ...]:
 
 
 def _pack(names: list[str]):
-    """Texts compressed for the shuffle: ``text`` becomes ``packed``, the columns ``names`` stay."""
+    """Texts compressed for the shuffle: ``text`` becomes PACKED, the columns ``names`` stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=_LEVEL)
@@ -110,16 +112,16 @@ def _pack(names: list[str]):
             for at in range(0, whole.num_rows, CHUNK_ROWS):
                 batch = whole.slice(at, CHUNK_ROWS)
                 packed = [None if t is None else press.compress(t.encode()) for t in batch["text"].to_pylist()]
-                yield pa.record_batch([*(batch[n] for n in names), pa.array(packed, pa.binary())], [*names, "packed"])
+                yield pa.record_batch([*(batch[n] for n in names), pa.array(packed, pa.binary())], [*names, PACKED])
 
     return run
 
 
 def _texts(batch: pa.RecordBatch) -> list[str | None]:
-    if "packed" not in batch.schema.names:
+    if PACKED not in batch.schema.names:
         return batch["text"].to_pylist()
     expand = zstandard.ZstdDecompressor()
-    return [None if p is None else expand.decompress(p).decode() for p in batch["packed"].to_pylist()]
+    return [None if p is None else expand.decompress(p).decode() for p in batch[PACKED].to_pylist()]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -137,7 +139,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 def _span_arrays(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
     """First window, number of windows and mark of the spans of each row, None without any."""
-    column = batch["spans"]
+    column = batch[SPANS]
     flat = column.flatten()
     start, windows, mark = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "windows", "mark"))
     ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
@@ -233,7 +235,7 @@ def _resolved(rows: DataFrame) -> DataFrame:
 
 def _spans(rows: DataFrame) -> DataFrame:
     """Spans by document; a document's spans are no more than its words."""
-    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "mark")).alias("spans"))
+    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "mark")).alias(SPANS))
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
@@ -278,7 +280,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     rows keep their words; each row loses only what it holds itself. All rows and columns stay,
     columns named as an added one are replaced; an empty table gives no rows.
     """
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "spans", "packed")]
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    if {SPANS, PACKED} & set(names):
+        raise ValueError(f"columns {SPANS} and {PACKED} are reserved")
     docs = docs.select(*names)
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parsed = _resolved(lean.mapInArrow(_parse(window, phrase), _SCHEMA))
@@ -288,14 +292,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
         .select("doc_id", "start", "windows", "mark", copied.alias("copied"))
     )
     unsure = _spans(found.where(~F.col("copied")))
-    packed = lean.mapInArrow(_pack(["doc_id"]), "doc_id long, packed binary")
-    windows = _resolved(_with_spans(packed, unsure, "inner").select("doc_id", "packed", "spans").mapInArrow(_look_up(window), _SCHEMA))
+    packed = lean.mapInArrow(_pack(["doc_id"]), f"doc_id long, {PACKED} binary")
+    windows = _resolved(_with_spans(packed, unsure, "inner").select("doc_id", PACKED, SPANS).mapInArrow(_look_up(window), _SCHEMA))
     repeated = windows.where((F.col("kind") == COPIED) | F.col("later")).select("doc_id", "start", "windows", "mark")
     spans = _spans(found.where("copied").select("doc_id", "start", "windows", "mark").union(repeated))
     fields = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema}
     others = [n for n in names if n != "text"]
-    whole = docs.mapInArrow(_pack(others), ", ".join([fields[n] for n in others] + ["packed binary"]))
-    joined = _with_spans(whole, spans, "left").select(*others, "packed", "spans")
+    whole = docs.mapInArrow(_pack(others), ", ".join([fields[n] for n in others] + [f"{PACKED} binary"]))
+    joined = _with_spans(whole, spans, "left").select(*others, PACKED, SPANS)
     return joined.mapInArrow(_remove(names, window), f"{', '.join(fields[n] for n in names)}, n_words long, n_removed long")
 
 

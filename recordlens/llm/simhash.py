@@ -9,7 +9,7 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlens.llm.common import connected_components, cut, least_labels, table
@@ -49,13 +49,18 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = np.fromiter((fingerprint(t) for t in batch["text"].to_pylist()), np.uint64, batch.num_rows)
-        yield pa.record_batch([batch["doc_id"], pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        rest = [name for name in batch.schema.names if name != "text"]
+        yield pa.record_batch([*(batch[name] for name in rest), pa.array(fp.view(np.int64))], [*rest, "fp"])
 
 
 def simhash(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` for each row of docs(doc_id, text, ...): the fingerprint as a signed long."""
+    """``(doc_id, mark, fp)`` for each row of docs(doc_id, text, ...): a hash of the text, and the fingerprint as a signed long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", _mark()).mapInArrow(_fingerprints, f"doc_id {kind}, mark long, fp long")
+
+
+def _mark() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark")
 
 
 def _block_masks(count: int, radius: int, tile: int) -> list[int]:
@@ -170,31 +175,40 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TIL
     )
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """One row per row of ``docs``: ``(doc_id, fp, component_id)``.
-
-    ``component_id`` is the smallest doc_id that chains of links reach, itself included. Null
-    and empty texts have fingerprint 0 and are linked like any other; a null doc_id is kept and
-    takes its component's smallest id that is not null (null if there is none); repeated rows
-    come back as often as they came; other columns are ignored. An empty table gives no rows.
-    """
+def _grouped(docs: DataFrame, radius: int, tile: int) -> DataFrame:
+    """``(doc_id, mark, fp, component_id)`` of each row of ``docs``."""
     fps = cut(simhash(docs))
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     groups = connected_components(fingerprint_links(classes.select("fp"), radius, tile))
     rooted = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "component").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", "mark", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row per row of ``docs``: ``(doc_id, fp, component_id)``.
+
+    ``component_id`` is the smallest doc_id that chains of links reach, itself included. Null
+    and empty texts have fingerprint 0 and are linked like any other; very long texts are hashed
+    whole, in bounded pieces; a null doc_id is kept and takes its component's smallest id that is
+    not null (null if there is none); repeated rows come back as often as they came; other columns,
+    whatever their names, are ignored. An empty table gives no rows.
+    """
+    return _grouped(docs, radius, tile).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents whose id is their component's; every other member of a group goes.
+    """The rows of ``docs`` whose doc_id is the smallest of their group; all other members of it go.
 
-    Rows that repeat a kept doc_id all stay, and so do rows with a null doc_id.
+    Rows are judged by their own text, so of two texts with one doc_id each keeps or loses its
+    place in its own group. Rows equal in doc_id and text stay or go together. A null doc_id stays
+    only in a group that has no other id. All columns stay, whatever their names.
     """
-    found = near_duplicates(docs, radius)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    found = _grouped(docs, radius, TILE)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc"), "mark").distinct()
+    same = docs["doc_id"].eqNullSafe(gone["_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["mark"])
+    return docs.join(gone, same, "left_anti")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

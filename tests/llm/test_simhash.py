@@ -67,7 +67,7 @@ def test_edges(spark):
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, fp string")
     found = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert found == sorted([(5, 3), (3, 3), (3, 3), (None, 3), (9, 9), (7, 7)], key=str)
-    assert sorted((str(r["doc_id"]) for r in simhash.keep_one(docs).collect())) == ["3", "3", "7", "9", "None"]
+    assert sorted((str(r["doc_id"]) for r in simhash.keep_one(docs).collect())) == ["3", "3", "7", "9"]  # the null id's text is that of 3
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -80,3 +80,12 @@ def test_components(spark):
     assert found == {int(n): int(want[n]) for e in edges if e[0] != e[1] for n in e}
     none = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     assert connected_components(none).count() == 0
+
+
+def test_keep_one_by_row(spark):
+    b, a, long = "one two three four five six", "seven eight nine ten eleven twelve", "x1 x2 x3 x4 " * 50_000
+    rows = [(3, b, 1), (5, b, 2), (5, a, 3), (7, a, 4), (None, a, 5), (8, long, 6), (8, long, 7), (9, long, 8), (10, None, 9), (11, "", 10), (None, "only here now", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark int").withColumn("fp", F.lit("mine"))
+    kept = simhash.keep_one(docs)
+    assert sorted(r["mark"] for r in kept.collect()) == [1, 3, 6, 7, 9, 11] and kept.columns == docs.columns
+    assert simhash.keep_one(docs.limit(0)).count() == 0
