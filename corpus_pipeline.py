@@ -6,43 +6,61 @@ columns of ``documents``. A stage's result is written as Parquet and read again
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlens.llm import lines, packing, quality, relz, simhash
+from recordlens.llm.common import remove_folder, shared_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold; dictionaries and calibration come from the labelled rows of ``docs``."""
+    """Documents whose score reaches the threshold, with all their columns.
+
+    Dictionaries and calibration come from the labelled rows of ``docs``. Null and empty texts have
+    the score of no evidence; repeated rows stay or go together; no rows give no rows.
+    """
     scorer = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return quality.score(docs, scorer, *rest).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.keep_good(docs, scorer)
 
 
 def _resized(docs: DataFrame, names: list[str]) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    """The columns ``names``; ``n_chars``, if there, counts the text as it is now."""
+    return docs.select(*[F.length("text").cast("long").alias(name) if name == "n_chars" else F.col(f"`{name}`") for name in names])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without recurring lines that an earlier document holds."""
+    """All documents, without recurring lines that an earlier document holds.
+
+    Null texts stay null, emptied ones become empty; repeated rows lose the same lines; no rows give no rows.
+    """
     return _resized(lines.drop_recurring_lines(docs), docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id."""
+    """Of each group of near copies the document of the smallest doc_id.
+
+    Null and empty texts are copies of each other; rows equal in doc_id and text stay together; a
+    null doc_id goes if its group has another; no rows give no rows.
+    """
     return simhash.keep_one(docs).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages that start earlier."""
+    """All documents, without passages that start earlier.
+
+    Null texts stay null; rows that repeat a doc_id and text lose the same words; no rows give no rows.
+    """
     return _resized(relz.remove_repeats(docs), docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in training sequences."""
+    """The pieces of all documents with their places in training sequences.
+
+    Null and empty texts are a piece of the end token alone; each repeated row has pieces of its own;
+    no rows give no rows.
+    """
     return packing.pack_documents(docs)
 
 
@@ -58,12 +76,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recordlens-pipeline-")
-    place = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages; each one's result is a table in the session's shared folder until the next one's is written."""
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{place}/{k}-{name}")
-            docs = spark.read.parquet(f"{place}/{k}-{name}")
+            here = f"{place}/{k}-{name}"
+            docs.write.parquet(here)
+            docs = spark.read.parquet(here)
+            if last is not None:
+                remove_folder(spark, last)
+            last = here
     return docs
