@@ -45,34 +45,34 @@ def codes(terms: Column) -> Column:
 def fingerprint(terms: Column) -> Column:
     """The fingerprint of sorted distinct term codes: _DIGITS hex digits for each random lexicon.
 
-    Eight families have eight bits of a term's code each, eight those of the code's hash. The r-th
-    lexicon of a family holds the terms whose first 2 * r bits of the family are zero. The document's
-    terms in a lexicon, sorted and distinct, are hashed; of a lexicon that holds none of them there
-    are dashes. The smallest lexicons come first, all terms last. Without any term the fingerprint
-    is empty.
+    Half of the families have eight bits of a term's code each, the others eight bits of the code's
+    hash, and these hashes stand for the terms there. The r-th lexicon of a family holds the terms
+    whose first 2 * r bits of the family are zero. The document's terms in a lexicon, sorted and
+    distinct, are hashed; of a lexicon that holds none of them there are dashes. The smallest
+    lexicons come first, all terms last. Without any term the fingerprint is empty.
     """
 
-    def drawn(own: Column, family: Column) -> Column:  # the terms in lexicons 0 to QUARTERS of the family, each out of the one before
-        def out(code: Column, r: Column) -> Column:
-            bits = F.when(family < 8, code).otherwise(F.xxhash64(code))
-            return F.call_function("shiftright", bits, family % 8 * 8 + 2 * r).bitwiseAND(F.lit(3).cast("long")) == 0
-
-        return F.aggregate(
-            F.sequence(F.lit(0), F.lit(QUARTERS - 1)), F.array(own), lambda held, r: F.concat(held, F.array(F.filter(F.element_at(held, -1), lambda code: out(code, r))))
-        )
-
     def part(own: Column) -> Column:
         return F.when(F.size(own) == 0, "-" * _DIGITS).otherwise(F.right(F.lpad(F.lower(F.hex(F.xxhash64(own))), 16, "0"), F.lit(_DIGITS)))
 
-    def joined(parts: Column) -> Column:
-        small = F.transform(F.sequence(F.lit(0), F.lit(FAMILIES * QUARTERS - 1)), lambda i: F.get(F.get(parts, i % FAMILIES), (QUARTERS - F.floor(i / FAMILIES)).cast("int")))
-        return F.array_join(F.concat(small, F.array(F.get(F.get(parts, F.lit(0)), F.lit(0)))), "")
+    def masks(family: int) -> Column:  # of each lexicon of the family the bits that must be zero, and whose bits they are
+        bits = [4**r - 1 << family % 8 * 8 for r in range(1, QUARTERS + 1)]
+        return F.struct(*[F.lit(x - 2**64 if x >= 2**63 else x).cast("long").alias(f"r{r}") for r, x in enumerate(bits, 1)], F.lit(family // 8).alias("half"))
+
+    def drawn(own: Column, family: Column, r: int) -> Column:  # the parts of lexicons r to QUARTERS, each drawn out of the one before
+        if r > QUARTERS:
+            return F.array().cast("array<string>")
+        chosen = F.filter(own, lambda code: code.bitwiseAND(family[f"r{r}"]) == 0)
+        return F.element_at(F.transform(F.array(chosen), lambda x: F.concat(F.array(part(x)), drawn(x, family, r + 1))), 1)
 
-    def of(own: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), F.lit(FAMILIES - 1)), lambda f: F.transform(drawn(own, f), part))
-        return F.when(F.size(own) == 0, F.lit("")).otherwise(F.element_at(F.transform(F.array(parts), joined), 1))
+    def of(both: Column) -> Column:
+        families = F.transform(F.array(*[masks(f) for f in range(FAMILIES)]), lambda f: drawn(F.get(both, f["half"]), f, 1))
+        level = lambda m: F.transform(F.sequence(F.lit(QUARTERS - 1), F.lit(0)), lambda r: F.transform(m, lambda x: F.get(x, r)))
+        small = F.element_at(F.transform(F.array(families), lambda m: F.flatten(level(m))), 1)
+        return F.when(F.size(both[0]) == 0, F.lit("")).otherwise(F.array_join(F.concat(small, F.array(part(both[0]))), ""))
 
-    return F.element_at(F.transform(F.array(terms), of), 1)
+    pair = F.transform(F.array(terms), lambda own: F.array(own, F.array_sort(F.transform(own, lambda code: F.xxhash64(code)))))
+    return F.element_at(F.transform(pair, of), 1)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -83,7 +83,8 @@ def likeness(a: Column, b: Column) -> Column:
     if hardly any term differs.
     """
     none = "-" * _DIGITS
-    both = F.transform(F.sequence(F.lit(0), F.lit(LEXICONS - 1)), lambda i: F.struct(F.substring(a, i * _DIGITS + 1, F.lit(_DIGITS)).alias("a"), F.substring(b, i * _DIGITS + 1, F.lit(_DIGITS)).alias("b")))
+    split = lambda c: F.regexp_extract_all(c, F.lit(f".{{{_DIGITS}}}"), F.lit(0))
+    both = F.arrays_zip(split(a).alias("a"), split(b).alias("b"))
     seen = F.slice(F.filter(both, lambda p: (p["a"] != none) | (p["b"] != none)), 1, COMPARED)
     share = F.element_at(F.transform(F.array(seen), lambda s: F.size(F.filter(s, lambda p: p["a"] == p["b"])).cast("double") / F.size(s)), 1)
     return F.when(a.isNull() | b.isNull(), 0.0).when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(share)

@@ -62,11 +62,13 @@ def plain_fingerprint(terms):
         return ""
     codes = {xxhash.xxh64_intdigest(t.encode(), 42) for t in terms}
     signed = sorted(c - 2**64 if c >= 2**63 else c for c in codes)
+    again = [xxhash.xxh64_intdigest((c % 2**64).to_bytes(8, "little"), 42) for c in signed]
+    second = sorted(c - 2**64 if c >= 2**63 else c for c in again)
     found = []
     for r in [*range(imatch.QUARTERS, 0, -1), 0]:
         for family in range(imatch.FAMILIES if r else 1):
-            bits = [c if family < 8 else xxhash.xxh64_intdigest((c % 2**64).to_bytes(8, "little"), 42) for c in signed]
-            own = [c for c, x in zip(signed, bits) if not (x >> family % 8 * 8) & (4**r - 1)]
+            base = signed if family < 8 else second
+            own = [c for c in base if not (c >> family % 8 * 8) & (4**r - 1)]
             h = 42
             for c in own:
                 h = xxhash.xxh64_intdigest((c % 2**64).to_bytes(8, "little"), h)
