@@ -80,7 +80,10 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
     if empty:
         print(f"{given.folder}: no audio", file=sys.stderr)
         return 1
-    named = files.withColumn("name", manifest.basename(F.col("path"))).select(F.col("name").alias("path"), "content")
+    # a recording is known by its path below the folder; names that are shown come from that at the end
+    root = given.folder.rstrip("/")
+    below = F.when(F.instr("path", root) > 0, F.substring_index(F.col("path"), f"{root}/", -1)).otherwise(F.col("path"))
+    named = files.select(F.concat(F.lit("./"), below).alias("path"), "content")
     heads = audio.probe(named).select(F.col("path").alias("name"), F.coalesce("duration_s", F.lit(0.0)).alias("audio_s"), "error")
     makers = {
         "quality": lambda: Estimates("quality", measured(audio.decode(named)), "degradation_score"),
@@ -88,11 +91,14 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
     }
     stages = build(given.stack, makers)
     if given.estimates:
-        table = spark.read.parquet(given.estimates)
+        shown = manifest.display_names(heads.select(F.col("name").alias("path")))
+        known = spark.read.parquet(given.estimates)
+        table = known.join(shown, known["name"] == shown["label"]).select(shown["path"].alias("name"), *[c for c in known.columns if c != "name"])
         stages.insert(max(0, len(stages) - 1), Estimates("estimates", table, *[c for c in table.columns if c != "name"]))
     thresholds = read_thresholds(given.thresholds) if given.thresholds else TUNED
     results = analyse(heads.withColumn("elapsed_s", F.lit(None).cast("double")), stages, thresholds)
     results = results.withColumn("stage_times", F.create_map().cast("map<string,double>"))
+    results = manifest.display_names(results.withColumnRenamed("name", "path")).withColumn("name", F.col("label")).select(*results.columns)
     results.write.mode("overwrite").parquet(f"{given.out}/results.parquet")
     done = spark.read.parquet(f"{given.out}/results.parquet")
     sinks.write_json(done, f"{given.out}/results.json")

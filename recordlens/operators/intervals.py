@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 ENTER, LEAVE = 0.50, 0.35
 PAD_S, MERGE_S, LEAST_S = 0.06, 0.20, 0.12
 GAP_TOLERANCE_S = 1e-6
+#: Fixed value: the shortest utterance that counts, in seconds.
+UTTERANCE_S = 0.60
 
 
 def _by(*order: str):
@@ -102,6 +104,11 @@ def stab(points: DataFrame, at: str, spans: DataFrame, cell: float = 60.0) -> Da
     return placed.join(cells, held, "left_semi").drop("_p")
 
 
+def long_enough(utterances: DataFrame, least_s: float = UTTERANCE_S) -> DataFrame:
+    """The utterances(start_s, end_s, ...) of ``least_s`` seconds or more; shorter ones say too little of a voice."""
+    return utterances.where(F.col("end_s") - F.col("start_s") >= least_s)
+
+
 def text_in_regions(utterances: DataFrame, regions: DataFrame) -> DataFrame:
     """Text of the utterances(file_id, start_s, end_s, text) whose middle lies in a region, in order.
 

@@ -10,6 +10,7 @@ from recordlens.operators.intervals import adjacent, stab, true_runs
 
 # Seconds a hole may last, its level below the file's, and runs of clipped samples.
 HOLE_S, HOLE_DB, CLIP_RUN, CLIP_SPREAD = (0.004, 0.250), -55.0, 3, 0.002
+CLIP_LEVEL = 0.985
 # The band of speech, where the band above it begins and the highest frequency that counts.
 SPEECH_HZ, ABOVE_HZ, TOP_HZ = (300.0, 3400.0), 3600.0, 7500.0
 
@@ -32,12 +33,12 @@ def bandwidth_score(rate: Column, drop_db: Column, top_hz: Column) -> Column:
     return F.greatest(ramp(-rate, -16000.0, -7900.0) * 0.55, F.when(top_hz > 4200, ramp(-drop_db, 32.0, 48.0)).otherwise(0.0))
 
 
-def clipped_runs(samples: DataFrame, near: float = 0.999) -> DataFrame:
-    """Runs of samples(file_id, i, x) at the file's peak: at least CLIP_RUN, within CLIP_SPREAD of it."""
+def clipped_runs(samples: DataFrame, near: float = CLIP_LEVEL) -> DataFrame:
+    """Runs of samples(file_id, i, x) near the file's peak whose magnitudes are flat: CLIP_RUN or more, within CLIP_SPREAD."""
     peak = F.max(F.abs("x")).over(Window.partitionBy("file_id"))
     at_peak = samples.withColumn("peak", peak).where((F.abs("x") >= near * F.col("peak")) & (F.col("peak") > 0))
     runs = adjacent(at_peak).groupBy("file_id", "island").agg(
-        F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("spread"), F.max("peak").alias("peak")
+        F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.count("*").alias("n"), (F.max(F.abs("x")) - F.min(F.abs("x"))).alias("spread"), F.max("peak").alias("peak")
     )
     return runs.where((F.col("n") >= CLIP_RUN) & (F.col("spread") <= CLIP_SPREAD * F.col("peak"))).select("file_id", "first_i", "last_i", "n")
 
@@ -53,9 +54,16 @@ def bandwidth(spectra: DataFrame) -> DataFrame:
 
 
 def dropouts(frames: DataFrame, regions: DataFrame, hop: float, hole_s: tuple[float, float] = HOLE_S, hole_db: float = HOLE_DB) -> DataFrame:
-    """Holes of frames(file_id, i, rms): short runs far below the file's level whose middle is in speech."""
-    floor = F.greatest(F.lit(1e-6), F.sqrt(F.avg(F.col("rms") * F.col("rms")).over(Window.partitionBy("file_id"))) * 10 ** (hole_db / 20))
-    runs = true_runs(frames.withColumn("floor", floor), F.col("rms") < F.col("floor"))
+    """Holes of frames(file_id, i, rms): short runs far below the level of speech whose middle is in speech.
+
+    The level is that of the frames whose middle lies in a region, or of all where none does.
+    """
+    square = F.col("rms") * F.col("rms")
+    spoken = stab(frames.withColumn("mid_s", (F.col("i") + 0.5) * hop), "mid_s", regions).groupBy("file_id").agg(F.avg(square).alias("speech"))
+    levels = frames.groupBy("file_id").agg(F.avg(square).alias("whole")).join(spoken, "file_id", "left")
+    floor = F.greatest(F.lit(1e-6), F.sqrt(F.coalesce("speech", "whole")) * 10 ** (hole_db / 20))
+    floors = levels.select("file_id", floor.alias("floor"))
+    runs = true_runs(frames.join(floors, "file_id"), F.col("rms") < F.col("floor"))
     timed = runs.withColumn("length_s", F.col("n") * hop).where(F.col("length_s").between(*hole_s))
     return stab(timed.withColumn("mid_s", (F.col("first_i") + F.col("last_i") + 1) * hop / 2), "mid_s", regions)
 

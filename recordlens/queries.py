@@ -308,15 +308,21 @@ def rounded_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.matched_spans(moved, said).select("file_id", "seg", "text")
 
 
+@query("""
+SELECT conv_id AS file_id, turn AS seg FROM conversations WHERE (turn + least(1.0e0, length(text)/200.0e0)) - turn >= 0.6e0""")
+def long_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spoken = utterances(spark, sf_dir).withColumn("end_s", F.col("start_s") + F.least(F.lit(1.0), F.length("text") / 200.0))
+    return intervals.long_enough(spoken).select("file_id", F.col("seq").alias("seg"))
+
+
 @query(f"""
-WITH f AS ({FRAMES_SQL}), sp AS (SELECT file_id, i*0.5e0 AS s, i*0.5e0+least(value, 4.0e0) AS e FROM f WHERE i<40 AND value>0),
+WITH f AS ({FRAMES_SQL}), sp AS (SELECT file_id, i*0.5e0 AS s, i*0.5e0+least(value, 4.0e0) AS e FROM f WHERE value>0),
 ev AS (SELECT file_id, p, sum(d) AS d FROM (SELECT file_id, s AS p, 1 AS d FROM sp UNION ALL SELECT file_id, e, -1 FROM sp) x GROUP BY 1, 2),
 dp AS (SELECT file_id, sum(d) OVER (PARTITION BY file_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS depth, lead(p) OVER (PARTITION BY file_id ORDER BY p)-p AS len FROM ev)
 SELECT file_id, round(coalesce(sum(CASE WHEN depth>=1 THEN len END), 0.0e0), 6) AS support_s, round(coalesce(sum(CASE WHEN depth>=2 THEN len END), 0.0e0), 6) AS overlap_s,
   round(coalesce(coalesce(sum(CASE WHEN depth>=2 THEN len END), 0.0e0)/sum(CASE WHEN depth>=1 THEN len END), 0.0e0), 6) AS overlap_ratio FROM dp GROUP BY file_id""")
 def overlap_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # 40 frames a file stand for speakers' turns; the operator itself sets no bound
-    spans = frames(spark, sf_dir).where("i < 40 AND value > 0").select("file_id", (F.col("i") * 0.5).alias("start_s"), (F.col("i") * 0.5 + F.least("value", F.lit(4.0))).alias("end_s"))
+    spans = frames(spark, sf_dir).where("value > 0").select("file_id", (F.col("i") * 0.5).alias("start_s"), (F.col("i") * 0.5 + F.least("value", F.lit(4.0))).alias("end_s"))
     found = intervals.overlap_ratio(spans)
     return found.select("file_id", *[F.round(c, 6).alias(c) for c in ("support_s", "overlap_s", "overlap_ratio")])
 
@@ -357,7 +363,8 @@ def level_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     return level.join(shape, "file_id").join(spread, "file_id").select("file_id", *[F.round(c, 6).alias(c) for c in ("rms", "level_db", "p10", "p50", "p90", "sd")])
 
 
-@query(f"""WITH {_REGIONS_SQL}, t AS (SELECT *, greatest(1e-6, sqrt(avg(value*value) OVER (PARTITION BY file_id))*power(10.0e0, -30.0e0/20)) AS fl_ FROM frames),
+@query(f"""WITH {_REGIONS_SQL}, lv AS (SELECT file_id, coalesce(avg(value*value) FILTER (WHERE EXISTS (SELECT 1 FROM regions q WHERE q.file_id=f.file_id AND (f.i+0.5e0)*0.5e0 BETWEEN q.start_s AND q.end_s)), avg(value*value)) AS ms FROM frames f GROUP BY file_id),
+t AS (SELECT f.*, greatest(1e-6, sqrt(lv.ms)*power(10.0e0, -30.0e0/20)) AS fl_ FROM frames f JOIN lv ON f.file_id=lv.file_id),
 r AS (SELECT file_id, min(i) AS a, max(i) AS b, count(*) AS n FROM (SELECT file_id, i, i-row_number() OVER (PARTITION BY file_id ORDER BY i) AS g FROM t WHERE value<fl_) x GROUP BY file_id, g),
 h AS (SELECT * FROM r WHERE n*0.5e0 BETWEEN 0.5e0 AND 1.0e0 AND EXISTS (SELECT 1 FROM regions q WHERE q.file_id=r.file_id AND (r.a+r.b+1)*0.25e0 BETWEEN q.start_s AND q.end_s)),
 c AS (SELECT file_id, count(*) AS holes FROM h GROUP BY 1), s AS (SELECT file_id, sum(end_s-start_s) AS sp FROM regions GROUP BY 1)

@@ -27,15 +27,15 @@ def envelopes(results: DataFrame) -> DataFrame:
 
 
 def write_json(results: DataFrame, path: str) -> None:
-    """One JSON object a line."""
-    envelopes(results).select("json").write.mode("overwrite").text(path)
+    """One JSON object a line, by name."""
+    envelopes(results).orderBy("name").select("json").write.mode("overwrite").text(path)
 
 
 def write_csv(results: DataFrame, path: str, wide: bool = False) -> None:
-    """name, status, result_json, error; ``wide`` has the nine fields as columns too."""
+    """name, status, result_json, error; ``wide`` has the nine fields as columns too. Rows are in the order of names."""
     ok = F.when(F.col("status") == "ok", result_json())
     columns = ["name", "status", *(FIELDS if wide else ()), *(["error", ok.alias("result_json")] if wide else [ok.alias("result_json"), "error"])]
-    results.select(*columns).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    results.orderBy("name").select(*columns).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def write_supplied(results: DataFrame, path: str) -> None:

@@ -11,13 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Samples of a file that a decoded row holds; longer files give several rows.
-ROW_SAMPLES = 1 << 16
+#: Samples of a file that a decoded row holds; longer files give several rows, each with the next
+#: TAIL samples beside its own, so that a frame that starts in a row lies in it whole.
+ROW_SAMPLES, TAIL = 1 << 16, 1 << 13
 # What a header lacks, the length of a spectrum, and the range of voice pitch.
 RATE, NFFT, PITCH_HZ, VOICED = 48000, 1024, (70.0, 320.0), 0.30
 
 HEADER = "path string, rate int, channels int, frames long, duration_s double, error string"
-SAMPLES = "path string, rate int, channels int, first long, samples array<float>, error string"
+SAMPLES = "path string, rate int, channels int, first long, samples array<float>, tail array<float>, error string"
 
 
 def read_header(content: bytes | None) -> tuple[int | None, int | None, int | None, str | None]:
@@ -31,10 +32,15 @@ def read_header(content: bytes | None) -> tuple[int | None, int | None, int | No
 
 
 def read_samples(content: bytes) -> tuple[np.ndarray, int]:
-    """Samples in -1..1 as (frames, channels), and the rate, of a readable file."""
+    """Samples in -1..1 as (frames, channels), and the rate, of a readable file; one cut short gives its whole frames."""
     with wave.open(io.BytesIO(content)) as file:
         width, channels = file.getsampwidth(), file.getnchannels()
         raw, rate = file.readframes(file.getnframes()), file.getframerate()
+    if width not in (1, 2, 3, 4):
+        raise wave.Error(f"sample width {width}")
+    raw = raw[: len(raw) // (width * channels) * (width * channels)]
+    if not raw:
+        raise wave.Error("no audio")
     if width == 3:
         bytes3 = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
         whole = (bytes3[:, 0] << 8 | bytes3[:, 1] << 16 | bytes3[:, 2] << 24) >> 8
@@ -43,6 +49,17 @@ def read_samples(content: bytes) -> tuple[np.ndarray, int]:
     return (whole / float(1 << 8 * width - 1)).astype(np.float32).reshape(-1, channels), rate
 
 
+def readable(content: bytes | None) -> tuple[np.ndarray, int, str | None]:
+    """Samples, rate and an error of one file: what can't be read gives an error, never an exception."""
+    *_, error = read_header(content)
+    if not error:
+        try:
+            return *read_samples(content), None
+        except (wave.Error, EOFError, ValueError, KeyError) as problem:
+            error = str(problem) or type(problem).__name__
+    return np.zeros((0, 1), np.float32), 0, error
+
+
 def probe(files: DataFrame) -> DataFrame:
     """Headers of files(path, content); a file that can't be read has an error and nulls."""
 
@@ -73,9 +90,8 @@ def stereo_samples(files: DataFrame, limit_s: float = 60.0) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
-                _, channels, _, error = read_header(content)
-                if not error and channels >= 2:
-                    samples, rate = read_samples(content)
+                samples, rate, error = readable(content)
+                if not error and samples.shape[1] >= 2:
                     probe = samples[: int(limit_s * rate)].astype(np.float64)
                     yield pd.DataFrame({"file_id": path, "left": probe[:, 0], "right": probe[:, 1]})
 
@@ -92,15 +108,16 @@ def decode(files: DataFrame, rate: int | None = None) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
-                *_, error = read_header(content)
+                samples, own, error = readable(content)
                 if error:
-                    yield pd.DataFrame({"path": [path], "rate": [0], "channels": [0], "first": [0], "samples": [np.zeros(0, np.float32)], "error": [error]})
+                    none = np.zeros(0, np.float32)
+                    yield pd.DataFrame({"path": [path], "rate": [0], "channels": [0], "first": [0], "samples": [none], "tail": [none], "error": [error]})
                     continue
-                samples, own = read_samples(content)
                 rate, channels = target or own, samples.shape[1]
                 mono = resample(samples.mean(axis=1), own, rate)
                 for first in range(0, len(mono), ROW_SAMPLES):
-                    yield pd.DataFrame({"path": [path], "rate": [rate], "channels": [channels], "first": [first], "samples": [mono[first : first + ROW_SAMPLES]], "error": [None]})
+                    end = first + ROW_SAMPLES
+                    yield pd.DataFrame({"path": [path], "rate": [rate], "channels": [channels], "first": [first], "samples": [mono[first:end]], "tail": [mono[end : end + TAIL]], "error": [None]})
 
     return files.select("path", "content").mapInPandas(run, SAMPLES)
 
@@ -112,28 +129,35 @@ def long_samples(decoded: DataFrame) -> DataFrame:
     )
 
 
+def _framed(samples: np.ndarray, tail: np.ndarray, first: int, size: int, hop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row's samples with its tail, the places in it where the frames of its own start, and their numbers in the file."""
+    if size > TAIL + 1:
+        raise ValueError(f"frames of {size} samples are longer than {TAIL + 1}")
+    x = np.concatenate([np.asarray(samples, np.float64), np.asarray(tail, np.float64)])
+    starts = np.arange(-first % hop, min(len(samples), len(x) - size + 1), hop)
+    return x, starts, (first + starts) // hop
+
+
 def frame_levels(decoded: DataFrame, size: int, hop: int) -> DataFrame:
-    """Root mean square of each frame of ``size`` samples every ``hop``: (file_id, i, rms), rows of ROW_SAMPLES apart."""
+    """Root mean square of each frame of ``size`` samples every ``hop``, over all of a file: (file_id, i, rms)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, first, samples in zip(frame["path"], frame["first"], frame["samples"]):
-                x = np.asarray(samples, np.float64)
-                if len(x) < size:
-                    continue
-                windows = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
-                at = first // hop + np.arange(len(windows))
-                yield pd.DataFrame({"file_id": path, "i": at, "rms": np.sqrt((windows**2).mean(axis=1))})
+            for path, first, samples, tail in zip(frame["path"], frame["first"], frame["samples"], frame["tail"]):
+                x, starts, at = _framed(samples, tail, int(first), size, hop)
+                if len(starts):
+                    windows = np.lib.stride_tricks.sliding_window_view(x, size)[starts]
+                    yield pd.DataFrame({"file_id": path, "i": at, "rms": np.sqrt((windows**2).mean(axis=1))})
 
-    return decoded.where(F.col("error").isNull()).select("path", "first", "samples").mapInPandas(run, "file_id string, i long, rms double")
+    return decoded.where(F.col("error").isNull()).select("path", "first", "samples", "tail").mapInPandas(run, "file_id string, i long, rms double")
 
 
-def spectrum(x: np.ndarray, rate: int, hop: int, nfft: int = NFFT) -> tuple[np.ndarray, np.ndarray]:
-    """Power of Hann-windowed frames by frequency: (bins,), (frames, bins)."""
+def spectrum(x: np.ndarray, rate: int, starts: np.ndarray | slice, nfft: int = NFFT) -> tuple[np.ndarray, np.ndarray]:
+    """Power by frequency of the Hann-windowed frames at ``starts``: (bins,), (frames, bins)."""
     if len(x) < nfft:
         return np.fft.rfftfreq(nfft, 1 / rate), np.zeros((0, nfft // 2 + 1))
     window = np.hanning(nfft + 1)[:-1]
-    frames = np.lib.stride_tricks.sliding_window_view(x, nfft)[::hop] * window
+    frames = np.lib.stride_tricks.sliding_window_view(x, nfft)[starts] * window
     return np.fft.rfftfreq(nfft, 1 / rate), (np.abs(np.fft.rfft(frames, axis=1)) / window.sum()) ** 2
 
 
@@ -142,12 +166,13 @@ def mean_spectrum(decoded: DataFrame, hop: int = 512) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, rate, samples in zip(frame["path"], frame["rate"], frame["samples"]):
-                hz, power = spectrum(np.asarray(samples, np.float64), int(rate), hop)
+            for path, rate, first, samples, tail in zip(frame["path"], frame["rate"], frame["first"], frame["samples"], frame["tail"]):
+                x, starts, _ = _framed(samples, tail, int(first), NFFT, hop)
+                hz, power = spectrum(x, int(rate), starts)
                 if len(power):
                     yield pd.DataFrame({"file_id": path, "rate": int(rate), "hz": hz, "sum": power.sum(axis=0), "n": len(power)})
 
-    parts = decoded.where(F.col("error").isNull()).select("path", "rate", "samples").mapInPandas(run, "file_id string, rate int, hz double, sum double, n long")
+    parts = decoded.where(F.col("error").isNull()).select("path", "rate", "first", "samples", "tail").mapInPandas(run, "file_id string, rate int, hz double, sum double, n long")
     return parts.groupBy("file_id", "rate", "hz").agg((F.sum("sum") / F.sum("n")).alias("power"))
 
 
@@ -171,27 +196,28 @@ def pitches(decoded: DataFrame, size_s: float = 0.04, hop_s: float = 0.02) -> Da
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, rate, first, samples in zip(frame["path"], frame["rate"], frame["first"], frame["samples"]):
-                x, size, hop = np.asarray(samples, np.float64), int(size_s * rate), max(1, int(hop_s * rate))
-                found = [(first // hop + k // hop, pitch(x[k : k + size], int(rate))) for k in range(0, max(0, len(x) - size + 1), hop)]
+            for path, rate, first, samples, tail in zip(frame["path"], frame["rate"], frame["first"], frame["samples"], frame["tail"]):
+                size = int(size_s * rate)
+                x, starts, at = _framed(samples, tail, int(first), size, max(1, int(hop_s * rate)))
+                found = [(i, pitch(x[k : k + size], int(rate))) for k, i in zip(starts.tolist(), at.tolist())]
                 yield pd.DataFrame([(path, i, f0) for i, f0 in found if f0 is not None], columns=["file_id", "i", "f0"]).astype({"i": "int64", "f0": "float64"})
 
-    return decoded.where(F.col("error").isNull()).select("path", "rate", "first", "samples").mapInPandas(run, "file_id string, i long, f0 double")
+    return decoded.where(F.col("error").isNull()).select("path", "rate", "first", "samples", "tail").mapInPandas(run, "file_id string, i long, f0 double")
 
 
 def band_power(decoded: DataFrame, low: float = 200.0, high: float = 7000.0, hop: int = 256) -> DataFrame:
-    """(file_id, i, band, power): power of each frame in each frequency of the band, rows of ROW_SAMPLES apart."""
+    """(file_id, i, band, power): power of each frame in each frequency of the band, over all of a file."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for path, rate, first, samples in zip(frame["path"], frame["rate"], frame["first"], frame["samples"]):
-                hz, power = spectrum(np.asarray(samples, np.float64), int(rate), hop)
+            for path, rate, first, samples, tail in zip(frame["path"], frame["rate"], frame["first"], frame["samples"], frame["tail"]):
+                x, starts, at = _framed(samples, tail, int(first), NFFT, hop)
+                hz, power = spectrum(x, int(rate), starts)
                 kept = np.flatnonzero((hz >= low) & (hz <= min(high, 0.95 * rate / 2)))
                 if len(power) and len(kept):
-                    at = int(first) // hop + np.arange(len(power))
                     yield pd.DataFrame({"file_id": path, "i": np.repeat(at, len(kept)), "band": np.tile(kept, len(at)), "power": power[:, kept].ravel()})
 
-    return decoded.where(F.col("error").isNull()).select("path", "rate", "first", "samples").mapInPandas(run, "file_id string, i long, band int, power double")
+    return decoded.where(F.col("error").isNull()).select("path", "rate", "first", "samples", "tail").mapInPandas(run, "file_id string, i long, band int, power double")
 
 
 def modulation(levels: np.ndarray, frames_s: float) -> float:
@@ -206,7 +232,7 @@ def modulation(levels: np.ndarray, frames_s: float) -> float:
 
 def tilt(x: np.ndarray, rate: int) -> float:
     """Balance of power above and below 1 kHz, as a logarithm of ten."""
-    hz, power = spectrum(x, rate, 256)
+    hz, power = spectrum(x, rate, slice(None, None, 256))
     mean = power.mean(axis=0) if len(power) else np.zeros(len(hz))
     return float(np.log10((mean[(hz >= 1000) & (hz < 4000)].sum() + 1e-12) / (mean[(hz >= 80) & (hz < 1000)].sum() + 1e-12)))
 

@@ -102,6 +102,50 @@ def test_wav(spark):
     assert np.abs(noisy).max() <= 0.9500001
 
 
+def test_frames_over_row_borders(spark):
+    """Rows of a long file give the frames of one pass over all of its samples."""
+    x = np.random.default_rng(3).standard_normal(3 * audio.ROW_SAMPLES + 777) * 0.1
+    decoded = audio.decode(spark.createDataFrame([("long", bytearray(wav(x)))], "path string, content binary")).cache()
+    assert decoded.count() == 4
+    mono = np.concatenate([r["samples"] for r in decoded.orderBy("first").collect()]).astype(float)
+    assert len(mono) == len(x)
+    windows_ = np.lib.stride_tricks.sliding_window_view(mono, 400)[::160]
+    levels = {r["i"]: r["rms"] for r in audio.frame_levels(decoded, 400, 160).collect()}
+    assert np.allclose([levels[i] for i in range(len(windows_))], np.sqrt((windows_**2).mean(axis=1))) and len(levels) == len(windows_)
+    hz, power = audio.spectrum(mono, 16000, slice(None, None, 256))
+    kept = np.flatnonzero((hz >= 200) & (hz <= 7000))
+    found = audio.band_power(decoded).toPandas()
+    wide = found.pivot(index="i", columns="band", values="power")
+    assert wide.shape == (len(power), len(kept)) and np.allclose(wide.to_numpy(), power[:, kept])
+    mean = {r["hz"]: r["power"] for r in audio.mean_spectrum(decoded, 512).collect()}
+    assert np.allclose([mean[h] for h in hz], audio.spectrum(mono, 16000, slice(None, None, 512))[1].mean(axis=0))
+    tone = np.sin(2 * np.pi * 150 * np.arange(2 * audio.ROW_SAMPLES) / 16000)
+    steady = audio.pitches(audio.decode(spark.createDataFrame([("tone", bytearray(wav(tone)))], "path string, content binary")))
+    assert [r["i"] for r in steady.orderBy("i").collect()] == list(range((len(tone) - 640) // 320 + 1))
+
+
+def test_files_cut_short(spark):
+    """A file that lacks bytes gives what it has, one that can't be decoded an error; neither ends the job."""
+    whole = wav(np.stack([np.ones(1000), np.ones(1000)], 1) * 0.5)
+    odd = bytearray(whole)
+    odd[34:36] = (40).to_bytes(2, "little")  # bits a sample
+    files = spark.createDataFrame([("short", bytearray(whole[:-3])), ("bare", bytearray(whole[:44])), ("odd", odd), ("good", bytearray(whole)), ("none", None)], "path string, content binary")
+    found = {r["path"]: (len(r["samples"]), bool(r["error"])) for r in audio.decode(files).collect()}
+    assert found == {"short": (999, False), "bare": (0, True), "odd": (0, True), "good": (1000, False), "none": (0, True)}
+    assert {r["file_id"] for r in audio.stereo_samples(files).select("file_id").distinct().collect()} == {"short", "good"}
+
+
+def test_holes_against_speech_only(spark):
+    """A loud pause doesn't raise the floor of holes: 0.02 lies under it only against the whole file."""
+    rows = [(1, i, 0.1 if i < 100 else 50.0) for i in range(200)]
+    rows = [(f, i, 0.02 if 40 <= i < 46 else v) for f, i, v in rows]
+    frames = spark.createDataFrame(rows, "file_id long, i long, rms double")
+    speech = spark.createDataFrame([(1, 0.0, 1.0)], "file_id long, start_s double, end_s double")
+    assert quality.dropouts(frames, speech, 0.01).count() == 0
+    deep = frames.replace(0.02, 0.0001, "rms")
+    assert quality.dropouts(deep, speech, 0.01).count() == 1
+
+
 def test_clipping(spark):
     x = np.clip(1.4 * np.sin(np.arange(2000) / 20), -1, 1)
     rows = spark.createDataFrame([("sq", i, float(v)) for i, v in enumerate(x)] + [("sine", i, float(np.sin(i / 20) * 0.5)) for i in range(2000)], "file_id string, i long, x double")
@@ -115,8 +159,10 @@ def test_clipping(spark):
 def test_clipped_runs_by_hand(spark):
     x = [0.1, 1.0, 1.0, 1.0, 0.2, 1.0, 1.0, -1.0, -1.0, -1.0, -0.9995, 0.0]
     rows = spark.createDataFrame([(f, i, v * scale) for f, scale in (("a", 1.0), ("quiet", 0.0)) for i, v in enumerate(x)], "file_id string, i long, x double")
-    # from 5 to 10 all samples lie at the peak but not on one side of it
-    assert [tuple(r) for r in quality.clipped_runs(rows).collect()] == [("a", 1, 3, 3)]
+    # from 5 to 10 the magnitudes are flat, whatever their signs
+    assert sorted(tuple(r) for r in quality.clipped_runs(rows).collect()) == [("a", 1, 3, 3), ("a", 5, 10, 6)]
+    flat = spark.createDataFrame([("b", i, v) for i, v in enumerate([0.0, 1.0, 0.0, 0.99, 0.99, 0.9895, 0.0])], "file_id string, i long, x double")
+    assert [tuple(r) for r in quality.clipped_runs(flat).collect()] == [("b", 3, 5, 3)]
 
 
 def test_bandwidth(spark):
@@ -200,3 +246,16 @@ def test_sessions(spark, tmp_path, late):
     else:
         found = sessions(events, "5 minutes")
     assert sorted((r["user_id"], r["n_events"]) for r in found.collect()) == [(1, 2), (1, 3), (2, 1)]
+
+
+def test_equal_base_names(spark, tmp_path):
+    """Files of one name in two folders are two recordings, shown by their paths."""
+    quiet, loud = (np.sin(np.arange(32000) / 20) * gain for gain in (0.0005, 0.5))
+    for folder, x in (("a", quiet), ("b", loud)):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "x.wav").write_bytes(bytes(wav(x)))
+    (tmp_path / "in" / "a" / "y.wav").write_bytes(bytes(wav(loud)))
+    assert cli.main([str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--stack", "quality"], spark) == 0
+    found = spark.read.parquet(str(tmp_path / "out" / "results.parquet"))
+    quality_of = {r["name"]: r["audio_quality"] for r in found.collect()}
+    assert set(quality_of) == {"a/x.wav", "b/x.wav", "y.wav"} and quality_of["a/x.wav"] != quality_of["b/x.wav"] == quality_of["y.wav"]
