@@ -17,8 +17,8 @@ FAMILIES, QUARTERS = 16, 4
 LEXICONS = FAMILIES * QUARTERS + 1
 #: Two fingerprints are compared in so many of their smallest lexicons that hold a term of either text.
 COMPARED = 16
-#: A lexicon of more terms than this isn't broadcast but joined by shuffling.
-BROADCAST_TERMS = 2_000_000
+#: A lexicon of more terms than this isn't held by every task but joined by shuffling.
+BROADCAST_TERMS = 1_000_000
 #: Ranges of doc_id that the next document is looked for in, at most.
 RANGES = 16384
 _GAP = r"[^\p{L}\p{N}]+"
@@ -125,41 +125,55 @@ def with_next(rows: DataFrame, value: str, tie: str, name: str) -> DataFrame:
     return together.withColumn(name, F.lead(value).over(inside)).where(~F.col("_copy")).drop("_range", "_copy")
 
 
-def _sided(side: int, terms: Column) -> Column:
-    """The terms of one side, and a row without a term that holds the fingerprint of all of them."""
+def _band_table(terms: DataFrame, buckets: int) -> DataFrame:
+    """One row of one array: in place b the codes of the lexicon's terms that leave b when divided by ``buckets``."""
+    code = terms.select(F.xxhash64("term").alias("code")).distinct()
+    held = code.groupBy(F.pmod("code", F.lit(buckets)).alias("id")).agg(F.collect_list("code").alias("codes"))
+    places = terms.sparkSession.range(buckets).join(held, "id", "left").select(F.struct("id", F.coalesce("codes", F.array().cast("array<bigint>")).alias("codes")).alias("x"))
+    return places.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["codes"]).alias("band"))
 
-    def tell(ts: Column) -> Column:
-        own = F.transform(ts, lambda t: F.struct(F.lit(side).alias("side"), t.alias("term"), F.lit(None).cast("string").alias("whole")))
-        return F.concat(F.array(F.struct(F.lit(side).alias("side"), F.lit("").alias("term"), fingerprint(codes(ts)).alias("whole"))), own)
 
-    return F.element_at(F.transform(F.array(terms), tell), 1)
+def _in_band(rows: DataFrame, terms: DataFrame, sides: list[str], buckets: int) -> DataFrame:
+    """``rows`` with ``_in``: for each side, an array of codes, those in the lexicon.
+
+    The lexicon is a scalar subquery, so every task holds it once; a code is looked up in its place there.
+    """
+    band = rows.withColumn("_band", _band_table(terms, buckets).scalar())
+    known = lambda code: F.array_contains(F.get("_band", F.pmod(code, F.lit(buckets)).cast("int")), code)
+    return band.withColumn("_in", F.transform(F.array(*sides), lambda own: F.filter(own, known))).drop("_band")
+
+
+def _in_band_by_join(rows: DataFrame, terms: DataFrame, sides: list[str]) -> DataFrame:
+    """As ``_in_band`` for a lexicon of any size: codes are exploded, joined with it and gathered again."""
+    numbered = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    sided = lambda n: lambda code: F.struct(F.lit(n).alias("n"), code.alias("code"))
+    spread = F.explode(F.concat(*[F.transform(s, sided(n)) for n, s in enumerate(sides)]))
+    met = numbered.select("_row", spread.alias("x")).select("_row", "x.*").join(terms.select(F.xxhash64("term").alias("code")).distinct(), "code", "left_semi")
+    own = [F.sort_array(F.collect_set(F.when(F.col("n") == n, F.col("code")))).alias(f"_{n}") for n in range(len(sides))]
+    found = met.groupBy("_row").agg(*own)
+    empty = F.array().cast("array<bigint>")
+    return numbered.join(found, "_row", "left").withColumn("_in", F.array(*[F.coalesce(f"_{n}", empty) for n in range(len(sides))])).drop("_row", *[f"_{n}" for n in range(len(sides))])
 
 
 def fingerprints(texts: DataFrame, terms: DataFrame, sides: list[str]) -> DataFrame:
     """For each row of ``texts`` a fingerprint of each of the text columns ``sides``.
 
-    The terms of each text are exploded and met with the lexicon; the row's terms in the band
-    come together again under a row number, as sorted codes. A text without terms in the band
-    has the fingerprint of all its terms, however many. Where any side of a row is such a text,
-    ``whole_`` and the side's name is the fingerprint of all terms, else null. All other columns stay.
+    The codes of a text's terms are looked up in the lexicon; those found there make its fingerprint.
+    A text without terms in the band has the fingerprint of all its terms, however many. Where any
+    side of a row is such a text, ``whole_`` and the side's name is the fingerprint of all terms,
+    else null. All other columns stay.
     """
     kept = [c for c in texts.columns if c not in sides]
-    marked = terms.withColumn("known", F.lit(True)).union(terms.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(True)))
-    small = terms.count() <= BROADCAST_TERMS
-    spread = texts.withColumn("_row", F.monotonically_increasing_id()).select(
-        "_row", *kept, F.explode(F.concat(*[_sided(n, distinct_terms(F.col(s))) for n, s in enumerate(sides)])).alias("x")
-    ).select("_row", *kept, "x.side", "x.term", "x.whole")
-    met = spread.join(F.broadcast(marked) if small else marked, "term")
-    code, is_term = F.xxhash64("term"), F.col("term") != ""
-    gathered = met.groupBy("_row").agg(
-        *[F.first(c).alias(c) for c in kept],
-        *[F.collect_set(F.when((F.col("side") == n) & is_term, code)).alias(f"_in{n}") for n in range(len(sides))],
-        *[F.max(F.when((F.col("side") == n) & ~is_term, F.col("whole"))).alias(f"_all{n}") for n in range(len(sides))],
-    )
-    own = [F.when(F.size(f"_in{n}") > 0, fingerprint(F.array_sort(f"_in{n}"))).otherwise(F.col(f"_all{n}")) for n in range(len(sides))]
-    lacking = F.least(*[F.size(f"_in{n}") for n in range(len(sides))], F.lit(1)) == 0
-    whole = [F.when(lacking, F.col(f"_all{n}")).alias(f"whole_{s}") for n, s in enumerate(sides)]
-    return gathered.select(*kept, *[c.alias(f"fingerprint_{s}") for c, s in zip(own, sides)], *whole)
+    every = [f"_all_{s}" for s in sides]
+    coded = texts.select(*kept, *[codes(distinct_terms(F.col(s))).alias(c) for s, c in zip(sides, every)])
+    size = terms.count()
+    met = _in_band(coded, terms, every, max(1, size)) if size <= BROADCAST_TERMS else _in_band_by_join(coded, terms, every)
+    own = [F.when(F.size(F.get("_in", n)) > 0, F.get("_in", n)).otherwise(F.col(c)) for n, c in enumerate(every)]
+    lacking = F.exists("_in", lambda side: F.size(side) == 0)
+    chosen = met.select(*kept, F.array(*own, *[F.when(lacking, F.col(c)) for c in every]).alias("_sets"))
+    hashed = chosen.select(*kept, F.transform("_sets", lambda x: F.when(x.isNotNull(), fingerprint(x))).alias("_f"))
+    names = [f"fingerprint_{s}" for s in sides] + [f"whole_{s}" for s in sides]
+    return hashed.select(*kept, *[F.get("_f", n).alias(name) for n, name in enumerate(names)])
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -170,7 +184,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     band, they are compared by all their terms. Likeness to the next document is that of the two
     fingerprints. Null texts count as empty; texts without terms have an empty fingerprint. Rows
     that repeat a doc_id follow one another by text hash; null doc_ids come last. Very long texts are
-    read whole; their terms are rows of their own. Other columns of docs, whatever their names, are
+    read whole. Other columns of docs, whatever their names, are
     ignored. An empty table gives no rows.
     """
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

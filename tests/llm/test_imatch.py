@@ -158,3 +158,12 @@ def test_long_texts_without_terms_in_the_band(spark):
     near = [found[d]["near_edited"] for d in [*range(100), 200, 201, 202]]
     assert min(near) > 0.1 and sum(near) / len(near) > 0.25
     assert all(found[d]["near_next"] < 0.1 for d in (0, 200, 201, 202))
+
+
+def test_lexicon_of_any_size(spark, monkeypatch):
+    """Looked up in the row or joined by a shuffle, the fingerprints are the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-1, None), (-2, "zzqx zzqy"), (-2, "zzqx zzqy")], "doc_id long, text string"))
+    small = sorted(map(str, imatch.edited_fingerprints(docs).collect()))
+    monkeypatch.setattr(imatch, "BROADCAST_TERMS", 0)
+    assert sorted(map(str, imatch.edited_fingerprints(docs).collect())) == small
