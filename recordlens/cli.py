@@ -14,6 +14,7 @@ from recordlens import sinks
 from recordlens.config import TUNED, read_thresholds
 from recordlens.operators import quality, score, windows
 from recordlens.plans.pipeline import Estimates, Stub, analyse, build
+from recordlens.plans.prosody import RATE, prosody
 from recordlens.schema import FIELDS
 from recordlens.sources import audio, manifest
 
@@ -59,6 +60,11 @@ def noise(decoded: DataFrame) -> DataFrame:
     return found.select(F.col("file_id").alias("name"), F.round("noise_level_db", 2).alias("noise_level_db"))
 
 
+def arousal(decoded: DataFrame) -> DataFrame:
+    """(name, arousal) from prosody; a tone also needs the valence of a model outside."""
+    return prosody(decoded).select(F.col("file_id").alias("name"), "arousal")
+
+
 def score_results(results: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores of the fields of ok results against labels(name, truth)."""
     fields = [f for f in FIELDS if f != "confidence"]
@@ -87,7 +93,8 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
     heads = audio.probe(named).select(F.col("path").alias("name"), F.coalesce("duration_s", F.lit(0.0)).alias("audio_s"), "error")
     makers = {
         "quality": lambda: Estimates("quality", measured(audio.decode(named)), "degradation_score"),
-        "noise": lambda: Estimates("noise", noise(audio.decode(named, NOISE_RATE)), "noise_level_db"), "stub": Stub,
+        "noise": lambda: Estimates("noise", noise(audio.decode(named, NOISE_RATE)), "noise_level_db"),
+        "emotion": lambda: Estimates("emotion", arousal(audio.decode(named, RATE)), "arousal"), "stub": Stub,
     }
     stages = build(given.stack, makers)
     if given.estimates:

@@ -64,10 +64,13 @@ def gaps(regions: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def speech_summary(regions: DataFrame, files: DataFrame) -> DataFrame:
-    """Speech seconds, their share and the longest gap of each file."""
-    spoken = regions.groupBy("file_id").agg(F.sum(F.col("end_s") - F.col("start_s")).alias("speech_s"), F.count("*").alias("n_regions"))
-    silent = gaps(regions, files).groupBy("file_id").agg(F.max(F.col("end_s") - F.col("start_s")).alias("max_silence_s"))
-    joined = files.join(spoken, "file_id", "left").join(silent, "file_id", "left")
+    """Speech seconds, their share and the longest gap of each file; one pass over the regions."""
+    before = F.coalesce(F.lag("end_s").over(_by("start_s")), F.lit(0.0))
+    spoken = regions.withColumn("gap", F.col("start_s") - before).groupBy("file_id").agg(
+        F.sum(F.col("end_s") - F.col("start_s")).alias("speech_s"), F.count("*").alias("n_regions"), F.max("gap").alias("gap"), F.max("end_s").alias("last_s")
+    )
+    longest = F.greatest("gap", F.col("duration_s") - F.coalesce("last_s", F.lit(0.0)))
+    joined = files.join(spoken, "file_id", "left").withColumn("max_silence_s", F.when(longest > GAP_TOLERANCE_S, longest))
     return joined.select(
         "file_id",
         "duration_s",

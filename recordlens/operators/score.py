@@ -46,34 +46,44 @@ def judged(found: DataFrame, ranks: dict[str, tuple[str, ...]] = RANKS, free: tu
     )
 
 
-def macro_f1(found: DataFrame, *keys: str) -> DataFrame:
-    """Mean F1 over the classes that truth or prediction has, by ``keys``; an F1 that is undefined is 0."""
-    counts = found.groupBy(*keys, "truth", "pred").agg(F.count("*").alias("n"))
-    side = lambda c, tp, fp, fn: F.struct(F.col(c).alias("class"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
-    n, zero, hit = F.col("n"), F.lit(0).cast("long"), F.col("truth").eqNullSafe(F.col("pred"))
-    sides = counts.select(
-        *keys,
-        F.explode(
-            F.array(
-                side("truth", F.when(hit, n).otherwise(zero), zero, F.when(hit, zero).otherwise(n)),
-                side("pred", zero, F.when(hit, zero).otherwise(n), zero),
-            )
-        ).alias("x"),
-    )
-    classes = sides.groupBy(*keys, F.col("x.class").alias("class")).agg(F.sum("x.tp").alias("tp"), F.sum("x.fp").alias("fp"), F.sum("x.fn").alias("fn"))
+def _class_counts(found: DataFrame, keys: tuple[str, ...], sums: dict[str, Column]) -> DataFrame:
+    """tp, fp and fn of each class by ``keys``, and ``sums`` of the pairs, added at the class of their truth.
+
+    Pairs are counted by (truth, pred) before they are shuffled.
+    """
+    counts = found.groupBy(*keys, "truth", "pred").agg(F.count("*").alias("n"), *[F.sum(c).alias(name) for name, c in sums.items()])
+    n, none, hit = F.col("n"), F.lit(0).cast("long"), F.col("truth").eqNullSafe(F.col("pred"))
+    missed = F.when(hit, none).otherwise(n)
+
+    def side(of: str, tp: Column, fp: Column, fn: Column, own: bool) -> Column:
+        carried = [(F.col(name) if own else F.lit(None)).cast(counts.schema[name].dataType).alias(name) for name in sums]
+        return F.struct(F.col(of).alias("class"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), *carried)
+
+    sides = counts.select(*keys, F.explode(F.array(side("truth", n - missed, none, missed, True), side("pred", none, missed, none, False))).alias("x"))
+    return sides.groupBy(*keys, F.col("x.class").alias("class")).agg(*[F.sum(f"x.{name}").alias(name) for name in ("tp", "fp", "fn", *sums)])
+
+
+def _mean_f1() -> Column:
+    """Mean F1 over rows of tp, fp and fn; an F1 that is undefined is 0."""
     precision = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
     recall = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
-    f1 = F.coalesce(F.try_divide(2.0 * precision * recall, precision + recall), F.lit(0.0))
-    return classes.groupBy(*keys).agg(F.avg(f1).alias("macro_f1"))
+    return F.avg(F.coalesce(F.try_divide(2.0 * precision * recall, precision + recall), F.lit(0.0)))
+
+
+def macro_f1(found: DataFrame, *keys: str) -> DataFrame:
+    """Mean F1 over the classes that truth or prediction has, by ``keys``; an F1 that is undefined is 0."""
+    return _class_counts(found, keys, {}).groupBy(*keys).agg(_mean_f1().alias("macro_f1"))
 
 
 def field_scores(found: DataFrame) -> DataFrame:
-    """n, accuracy, adjacent and partial accuracy and macro F1 of each field of ``judged`` pairs."""
-    share = lambda c: F.avg(F.col(c).cast("double"))
-    scores = found.groupBy("field").agg(
-        F.count("*").alias("n"), share("hit").alias("accuracy"), share("adjacent").alias("adjacent_accuracy"), share("partial").alias("partial_credit")
-    )
-    return scores.join(macro_f1(found, "field"), "field")
+    """n, accuracy, adjacent and partial accuracy and macro F1 of each field of ``judged`` pairs, in one pass over them."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("long")
+    sums = {"pairs": F.lit(1).cast("long"), "hits": yes("hit"), "adjacents": yes("adjacent"), "likeness": F.col("partial"), "likened": F.col("partial").isNotNull().cast("long")}
+    share = lambda c, of: F.try_divide(F.sum(c).cast("double"), F.sum(of))
+    return _class_counts(found, ("field",), sums).groupBy("field").agg(
+        F.sum("pairs").alias("n"), share("hits", "pairs").alias("accuracy"), share("adjacents", "pairs").alias("adjacent_accuracy"),
+        share("likeness", "likened").alias("partial_credit"), _mean_f1().alias("macro_f1"),
+    )
 
 
 def confusion(found: DataFrame) -> DataFrame:

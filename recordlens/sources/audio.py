@@ -221,20 +221,47 @@ def band_power(decoded: DataFrame, low: float = 200.0, high: float = 7000.0, hop
 
 
 def modulation(levels: np.ndarray, frames_s: float) -> float:
-    """Share of the power of an envelope's changes that lies between 2 and 8 Hz: the rate of syllables."""
-    if len(levels) < 16:
+    """Share of an envelope's spectrum that lies between 2 and 8 Hz: the rate of syllables; 0 below 32 frames."""
+    moved = levels - levels.mean() if len(levels) >= 32 else np.zeros(0)
+    if not moved.any():
         return 0.0
-    power = np.abs(np.fft.rfft(levels - levels.mean())) ** 2
-    hz = np.fft.rfftfreq(len(levels), 1 / frames_s)
-    total = power[hz > 0].sum()
-    return float(power[(hz >= 2) & (hz <= 8)].sum() / total) if total > 0 else 0.0
+    size = np.abs(np.fft.rfft(moved * np.hanning(len(moved))))
+    hz = np.fft.rfftfreq(len(moved), 1 / frames_s)
+    return float(size[(hz >= 2) & (hz <= 8)].sum() / (size.sum() + 1e-12))
 
 
-def tilt(x: np.ndarray, rate: int) -> float:
-    """Balance of power above and below 1 kHz, as a logarithm of ten."""
-    hz, power = spectrum(x, rate, slice(None, None, 256))
-    mean = power.mean(axis=0) if len(power) else np.zeros(len(hz))
-    return float(np.log10((mean[(hz >= 1000) & (hz < 4000)].sum() + 1e-12) / (mean[(hz >= 80) & (hz < 1000)].sum() + 1e-12)))
+def voice_features(frames: np.ndarray, rate: int) -> pd.DataFrame:
+    """rms, f0 (70 to 320 Hz, null where not periodic), and the spectrum's size from 100 Hz to 1 kHz and from there to 4 kHz, by frame."""
+    size = frames.shape[1]
+    level = frames - frames.mean(axis=1, keepdims=True)
+    near, far = int(rate / 320), int(rate / 70)
+    alike = np.fft.irfft(np.abs(np.fft.rfft(level, 2 * size, axis=1)) ** 2, axis=1)
+    own, lags = alike[:, :1], alike[:, near:far]
+    lags = np.divide(lags, own, out=np.zeros_like(lags), where=own > 1e-15)
+    periodic = lags.max(axis=1, initial=0.0) > 0.30
+    f0 = np.where(periodic, rate / (near + lags.argmax(axis=1)), np.nan)
+    spectra, hz = np.abs(np.fft.rfft(frames * np.hanning(size), axis=1)), np.fft.rfftfreq(size, 1 / rate)
+    low, high = (spectra[:, (hz >= a) & (hz < b)].sum(axis=1) for a, b in ((100, 1000), (1000, 4000)))
+    return pd.DataFrame({"rms": np.sqrt((frames**2).mean(axis=1)), "f0": f0, "low": low, "high": high})
+
+
+def voice_frames(decoded: DataFrame, size_s: float, hop_s: float) -> DataFrame:
+    """(file_id, i, rms, f0, low, high): ``voice_features`` of each frame of a file."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, rate, first, samples, tail in zip(frame["path"], frame["rate"], frame["first"], frame["samples"], frame["tail"]):
+                size = int(size_s * rate)
+                x, starts, at = _framed(samples, tail, int(first), size, max(1, int(hop_s * rate)))
+                if len(starts):
+                    found = voice_features(np.lib.stride_tricks.sliding_window_view(x, size)[starts], int(rate))
+                    found.insert(0, "i", at)
+                    found.insert(0, "file_id", path)
+                    yield found
+
+    schema = "file_id string, i long, rms double, f0 double, low double, high double"
+    found = decoded.where(F.col("error").isNull()).select("path", "rate", "first", "samples", "tail").mapInPandas(run, schema)
+    return found.withColumn("f0", F.when(~F.isnan("f0"), F.col("f0")))
 
 
 def mix_at_snr(speech: np.ndarray, noise: np.ndarray, snr_db: float, peak: float = 0.95) -> np.ndarray:

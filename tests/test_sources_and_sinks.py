@@ -14,6 +14,7 @@ from recordlens import cli, sinks
 from recordlens.config import TUNED, Thresholds, from_mapping, read_thresholds, to_mapping, write_thresholds
 from recordlens.operators import jobs, quality, windows
 from recordlens.plans.pipeline import ORDER, Estimates, Stub, analyse, build, requested
+from recordlens.plans.prosody import prosody
 from recordlens.sources import archive, audio, manifest
 from recordlens.streaming.sessions import sessions
 
@@ -97,7 +98,7 @@ def test_wav(spark):
     power = audio.band_power(decoded.where("path = 'tone'"))
     level = windows.noise_level(power, power.select("file_id", "i").distinct(), 8).first()["noise_level_db"]
     assert -3.0 < level <= 0.0  # a steady tone is all floor
-    assert audio.modulation(np.sin(2 * np.pi * 4 * np.arange(500) / 100), 100) > 0.9 and audio.tilt(tone, 16000) < -1
+    assert audio.modulation(np.sin(2 * np.pi * 4 * np.arange(500) / 100), 100) > 0.9
     noisy = audio.mix_at_snr(tone, np.random.default_rng(0).standard_normal(1000), 10.0)
     assert np.abs(noisy).max() <= 0.9500001
 
@@ -259,3 +260,42 @@ def test_equal_base_names(spark, tmp_path):
     found = spark.read.parquet(str(tmp_path / "out" / "results.parquet"))
     quality_of = {r["name"]: r["audio_quality"] for r in found.collect()}
     assert set(quality_of) == {"a/x.wav", "b/x.wav", "y.wav"} and quality_of["a/x.wav"] != quality_of["b/x.wav"] == quality_of["y.wav"]
+
+
+def plain_prosody(x: np.ndarray) -> tuple[float, float, float, float]:
+    """Spread of level and pitch, rate and tilt of one recording, frame after frame."""
+    frames = [x[k : k + 400] for k in range(0, len(x) - 399, 160)]
+    rms = np.array([np.sqrt(np.mean(f**2)) for f in frames])
+    db = 20 * np.log10(np.maximum(rms, 1e-10))
+    voiced = [k for k in range(len(frames)) if db[k] > np.percentile(db, 90) - 25]
+    tones = []
+    for k in voiced[:: max(1, len(voiced) // 120)]:
+        f = frames[k] - frames[k].mean()
+        alike = [np.dot(f[: 400 - lag], f[lag:]) / np.dot(f, f) for lag in range(50, 228)]
+        if max(alike) > 0.3:
+            tones.append(16000 / (50 + int(np.argmax(alike))))
+    pitch = np.std(12 * np.log2(np.array(tones) / np.median(tones))) if len(tones) >= 4 else 0.0
+    spectrum = np.abs(np.fft.rfft((rms - rms.mean()) * np.hanning(len(rms))))
+    hz = np.fft.rfftfreq(len(rms), 0.01)
+    mean = np.mean([np.abs(np.fft.rfft(frames[k] * np.hanning(400))) for k in voiced], axis=0)
+    bins = np.arange(201) * 40
+    tilt = np.log10(mean[(bins >= 1000) & (bins < 4000)].sum() / mean[(bins >= 100) & (bins < 1000)].sum()) + 1
+    return np.std(db[voiced]), pitch, spectrum[(hz >= 2) & (hz <= 8)].sum() / spectrum.sum(), np.clip(tilt, -1, 1)
+
+
+def test_prosody(spark):
+    """Over row borders as in one pass; short, silent and unreadable recordings have defined results."""
+    t, rng = np.arange(150_000) / 16000, np.random.default_rng(2)
+    voice = 0.4 * np.sin(2 * np.pi * (140 * t + 3 * np.sin(2 * np.pi * 0.7 * t))) * (0.55 + 0.45 * np.sin(2 * np.pi * 4 * t)) + 0.01 * rng.standard_normal(len(t))
+    files = [("voice", wav(voice)), ("short", wav(voice[:7000])), ("silent", wav(np.zeros(20_000))), ("text", b"hello")]
+    decoded = audio.decode(spark.createDataFrame([(n, bytearray(c)) for n, c in files], "path string, content binary"), 16000).cache()
+    found = {r["file_id"]: r for r in prosody(decoded).collect()}
+    assert set(found) == {"voice", "short", "silent"}
+    heard = np.concatenate([np.asarray(r["samples"], np.float64) for r in decoded.where("path = 'voice'").orderBy("first").collect()])
+    want = plain_prosody(heard)
+    row = found["voice"]
+    assert np.allclose([row["level_sd"], row["pitch_sd"], row["rate"], row["tilt"]], want, atol=1e-6)
+    unit = [np.clip((v - a) / (b - a), 0, 1) for v, (a, b) in zip(want, ((3, 11), (0.8, 4), (0.15, 0.55), (-0.6, 0.4)))]
+    assert abs(row["arousal"] - np.clip(2 * np.dot(unit, [0.3, 0.3, 0.2, 0.2]) - 1, -1, 1)) < 1e-6
+    assert found["short"]["arousal"] == 0.0 and found["short"]["rate"] is None
+    assert found["silent"]["level_sd"] == 0.0 and found["silent"]["arousal"] == -1.0 + 2 * 0.2 * 1.0
