@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from recordlens import sinks
 from recordlens.config import TUNED, read_thresholds
 from recordlens.operators import quality, score, windows
+from recordlens.plans.noise import HOP, MINIMUM_S, noise_terms
+from recordlens.plans.noise import RATE as NOISE_RATE
 from recordlens.plans.pipeline import Estimates, Stub, analyse, build
 from recordlens.plans.prosody import RATE, prosody
 from recordlens.schema import FIELDS
 from recordlens.sources import audio, manifest
 
-# The rate and step of noise frames, and the seconds over which a floor is the minimum.
-NOISE_RATE, NOISE_HOP, MINIMUM_S = 16_000, 256, 1.5
+#: Fixed value: recordings of fewer noise frames are silent.
+LEAST_FRAMES = 8
 
 
 def _arguments(arguments: Sequence[str] | None) -> argparse.Namespace:
@@ -53,11 +55,12 @@ def measured(decoded: DataFrame) -> DataFrame:
 
 
 def noise(decoded: DataFrame) -> DataFrame:
-    """(name, noise_level_db) of recordings decoded at NOISE_RATE, all frames counting as speech; none below 1.5 seconds."""
+    """(name, noise_level_db, noise_class_dist) of recordings decoded at NOISE_RATE, all frames counting as speech."""
     power = audio.band_power(decoded)
     frames = power.select("file_id", "i").distinct()
-    found = windows.noise_level(power, frames, int(MINIMUM_S * NOISE_RATE / NOISE_HOP))
-    return found.select(F.col("file_id").alias("name"), F.round("noise_level_db", 2).alias("noise_level_db"))
+    found = windows.noise_level(power, frames, int(MINIMUM_S * NOISE_RATE / HOP), short=LEAST_FRAMES)
+    terms = noise_terms(decoded)
+    return found.join(terms, "file_id", "left").select(F.col("file_id").alias("name"), F.round("noise_level_db", 2).alias("noise_level_db"), "noise_class_dist")
 
 
 def arousal(decoded: DataFrame) -> DataFrame:
@@ -93,7 +96,7 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
     heads = audio.probe(named).select(F.col("path").alias("name"), F.coalesce("duration_s", F.lit(0.0)).alias("audio_s"), "error")
     makers = {
         "quality": lambda: Estimates("quality", measured(audio.decode(named)), "degradation_score"),
-        "noise": lambda: Estimates("noise", noise(audio.decode(named, NOISE_RATE)), "noise_level_db"),
+        "noise": lambda: Estimates("noise", noise(audio.decode(named, NOISE_RATE)), "noise_level_db", "noise_class_dist"),
         "emotion": lambda: Estimates("emotion", arousal(audio.decode(named, RATE)), "arousal"), "stub": Stub,
     }
     stages = build(given.stack, makers)

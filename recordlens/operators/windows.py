@@ -88,17 +88,34 @@ def voiced(frames: DataFrame, db: str, below: float = 25.0) -> DataFrame:
     return frames.join(high, "file_id").where(F.col(db) > F.col("_high") - below).drop("_high")
 
 
-def noise_level(power: DataFrame, speech: DataFrame, width: int, bias: float = 1.5) -> DataFrame:
+def _short_minimum(power: DataFrame, width: int, least: int = 3) -> DataFrame:
+    """Minima of files of at most ``width`` frames, over half of these, or ``least``; a band of such a file fits in a row."""
+    track = power.groupBy("file_id", "band").agg(F.array_sort(F.collect_list(F.struct("i", "power"))).alias("x"))
+    size = F.greatest(F.lit(least), F.floor(F.size("x") / 2).cast("int"))
+    spans = F.when(F.size("x") >= size, F.sequence(F.lit(1), F.size("x") - size + 1))
+    lows = F.transform(spans, lambda k: F.struct(F.element_at("x", k)["i"].alias("i"), F.array_min(F.slice(F.col("x")["power"], k, size)).alias("low")))
+    return track.select("file_id", "band", F.explode(lows).alias("y")).select("file_id", "y.i", "band", "y.low")
+
+
+def noise_level(power: DataFrame, speech: DataFrame, width: int, bias: float = 1.5, short: int | None = None) -> DataFrame:
     """Noise in dB relative to speech of power(file_id, i, band, power).
 
     The floor of a band is its minimum over ``width`` frames, times ``bias``; noise is the 90th
     percentile of the floors' sum, speech the median power of speech(file_id, i), the frames of speech.
+    Files of at most ``width`` frames have no level, unless ``short`` is given: then those of at least
+    so many frames have minima over half of their frames, others a level of -90.
     """
     by_band = Window.partitionBy("file_id", "band").orderBy("i").rowsBetween(0, width - 1)
-    lows = power.withColumns({"low": F.min("power").over(by_band), "_n": F.count("*").over(by_band)}).where(F.col("_n") == width)
+    long = power if short is None else power.join(power.groupBy("file_id").agg(F.count_distinct("i").alias("_frames")), "file_id")
+    lows = long.withColumns({"low": F.min("power").over(by_band), "_n": F.count("*").over(by_band)}).where(F.col("_n") == width)
+    if short is not None:
+        brief = long.where(F.col("_frames") <= width)
+        lows = lows.where(F.col("_frames") > width).select("file_id", "i", "band", "low").unionByName(_short_minimum(brief.where(F.col("_frames") >= short), width))
+        least = brief.where(F.col("_frames") < short).select("file_id").distinct().withColumn("noise_level_db", F.lit(-90.0))
     floor = lows.groupBy("file_id", "i").agg((F.sum("low") * bias).alias("floor")).groupBy("file_id").agg(F.percentile("floor", 0.9).alias("noise"))
     frame = power.groupBy("file_id", "i").agg(F.sum("power").alias("power")).join(speech.select("file_id", "i"), ["file_id", "i"], "left_semi")
     spoken = frame.groupBy("file_id").agg(F.percentile("power", 0.5).alias("speech"))
     db = lambda c: 10.0 * F.log10(F.col(c) + 1e-30)
     level = F.greatest(F.lit(-90.0), F.least(F.lit(0.0), db("noise") - db("speech")))
-    return floor.join(spoken, "file_id", "left").select("file_id", F.when(F.col("speech").isNull(), -90.0).otherwise(level).alias("noise_level_db"))
+    found = floor.join(spoken, "file_id", "left").select("file_id", F.when(F.col("speech").isNull(), -90.0).otherwise(level).alias("noise_level_db"))
+    return found if short is None else found.unionByName(least)

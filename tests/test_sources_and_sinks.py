@@ -14,6 +14,7 @@ from recordlens import cli, sinks
 from recordlens.config import TUNED, Thresholds, from_mapping, read_thresholds, to_mapping, write_thresholds
 from recordlens.operators import jobs, quality, windows
 from recordlens.plans.pipeline import ORDER, Estimates, Stub, analyse, build, requested
+from recordlens.plans.noise import noise_terms
 from recordlens.plans.prosody import prosody
 from recordlens.sources import archive, audio, manifest
 from recordlens.streaming.sessions import sessions
@@ -185,7 +186,14 @@ def test_noise_of_recordings(spark):
     files = [("clean", wav(speech + 1e-4 * rng.standard_normal(len(t)))), ("noisy", wav(speech + 0.05 * rng.standard_normal(len(t)))), ("short", wav(speech[:8000]))]
     decoded = audio.decode(spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary"), 16000)
     found = {r["name"]: r["noise_level_db"] for r in cli.noise(decoded).collect()}
-    assert set(found) == {"clean", "noisy"} and found["clean"] + 10 < found["noisy"] <= 0
+    assert set(found) == {"clean", "noisy", "short"} and found["clean"] + 10 < found["noisy"] <= 0
+    x = np.concatenate([np.asarray(r["samples"], np.float64) for r in decoded.where("path = 'short'").collect()])
+    hz, power = audio.spectrum(x, 16000, slice(None, None, 256))
+    band = power[:, (hz >= 200) & (hz <= 7000)]
+    half = len(band) // 2  # a recording shorter than the window has minima over half of its frames
+    floors = np.array([band[k : k + half].min(axis=0).sum() * 1.5 for k in range(len(band) - half + 1)])
+    want = 10 * np.log10(np.percentile(floors, 90) + 1e-30) - 10 * np.log10(np.median(band.sum(axis=1)) + 1e-30)
+    assert abs(found["short"] - np.clip(want, -90, 0)) < 0.01
 
 
 def test_pipeline_and_sinks(spark, tmp_path):
@@ -299,3 +307,18 @@ def test_prosody(spark):
     assert abs(row["arousal"] - np.clip(2 * np.dot(unit, [0.3, 0.3, 0.2, 0.2]) - 1, -1, 1)) < 1e-6
     assert found["short"]["arousal"] == 0.0 and found["short"]["rate"] is None
     assert found["silent"]["level_sd"] == 0.0 and found["silent"]["arousal"] == -1.0 + 2 * 0.2 * 1.0
+
+
+def test_noise_terms(spark):
+    """White noise is static, a mains tone hum, noise below 300 Hz road noise; a short recording has no term."""
+    rng, t = np.random.default_rng(4), np.arange(80_000) / 16000
+    white = 0.1 * rng.standard_normal(len(t))
+    spectrum = np.fft.rfft(white)
+    spectrum[np.fft.rfftfreq(len(t), 1 / 16000) > 300] *= 0.001
+    files = [("static", wav(white)), ("road", wav(np.fft.irfft(spectrum))), ("hum", wav(0.3 * np.sin(2 * np.pi * 180 * t) + 0.3 * np.sin(2 * np.pi * 120 * t))), ("short", wav(white[:16_000]))]
+    decoded = audio.decode(spark.createDataFrame([(n, bytearray(c)) for n, c in files], "path string, content binary"), 16000).cache()
+    found = {r["file_id"]: r["noise_class_dist"] for r in noise_terms(decoded).collect()}
+    assert found["static"] == {"static": 1.0} and "road noise" in found["road"] and "short" not in found
+    votes = spark.createDataFrame([("static", "music", 0.8), ("short", "music", 0.2)], "file_id string, term string, score double")
+    both = {r["file_id"]: r["noise_class_dist"] for r in noise_terms(decoded, votes).collect()}
+    assert both["short"] == {"music": 1.0} and 0.6 < both["static"]["music"] < 0.8 and abs(sum(both["static"].values()) - 1) < 1e-3
