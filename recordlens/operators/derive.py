@@ -81,7 +81,7 @@ def derive(df: DataFrame, t: Thresholds = TUNED) -> DataFrame:
     level, d, s, o = (F.col(c) for c in ("noise_level_db", "degradation_score", "max_silence_s", "overlap_ratio"))
     a, v, role = F.col("arousal"), F.col("valence"), F.col("role_confidence")
     scores = F.col("noise_class_dist") if "noise_class_dist" in df.columns else F.lit(None).cast("map<string,double>")
-    best = best_class(scores)
+    best = F.col("_best")  # a column of its own, so that the map is sorted once
     present = level >= t.noise_present_db
     empty = F.coalesce(F.size(scores), F.lit(0)) <= 0
     moved = a.isNotNull() & v.isNotNull()
@@ -123,5 +123,5 @@ def derive(df: DataFrame, t: Thresholds = TUNED) -> DataFrame:
         "long_silence_present": F.coalesce(s >= t.long_silence_s, F.lit(False)),
         "confidence_exact": F.greatest(F.lit(t.conf_floor), F.least(F.lit(1.0), sure)),
     }
-    done = df.withColumns(margins).withColumns(counted).withColumns(fields)
-    return done.drop(*margins, *counted).withColumn("confidence", F.round("confidence_exact", 3))
+    done = df.withColumn("_best", best_class(scores)).withColumns(margins).withColumns(counted).withColumns(fields)
+    return done.drop("_best", *margins, *counted).withColumn("confidence", F.round("confidence_exact", 3))
