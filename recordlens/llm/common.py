@@ -49,6 +49,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def write_bytes(spark: SparkSession, place: str, content: bytes) -> None:
+    """Writes one small file wherever the session's file systems reach."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def remove_folder(spark: SparkSession, place: str) -> None:
     """Deletes a folder that this session wrote, wherever it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(place)

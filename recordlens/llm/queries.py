@@ -12,6 +12,7 @@ from recordlens.llm.packing import op1_packing
 from recordlens.llm.quality import op2_quality
 from recordlens.llm.relz import op4_relz
 from recordlens.llm.simhash import op9_simhash
+from recordlens.llm.transducer import op11_transducer_bpe
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_nndescent": op8_nndescent,
     "op9_simhash": op9_simhash,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_transducer_bpe": op11_transducer_bpe,
 }
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
