@@ -42,11 +42,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """As ``cut``, as a Parquet table of the shared folder: smaller on disk, and later reads take single columns."""
+def written_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As ``cut``, as a Parquet table of the shared folder: smaller on disk, and later reads take single columns.
+
+    The folder is returned too, to be removed once the table is read no more.
+    """
     place = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place), place
+
+
+def written(df: DataFrame) -> DataFrame:
+    return written_at(df)[0]
 
 
 def write_bytes(spark: SparkSession, place: str, content: bytes) -> None:
