@@ -13,11 +13,11 @@ import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Regex, pre_tokenizers
 
-from recordlens.llm.common import shared_folder, table, write_bytes
+from recordlens.llm.common import remove_folder, shared_folder, table, write_bytes, written_at
 from recordlens.llm.lexicon import Lexicon, ragged
 
 #: The lexicon holds at most so many words, the most frequent of the corpus, none longer than LONGEST bytes.
@@ -209,14 +209,22 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, list[str], bool]]:
 
 
 def frequent_words(docs: DataFrame, most: int = WORDS) -> list[str]:
-    """The ``most`` most frequent words of all rows of docs(text, ...), counted on Spark; ties by word.
+    """The most frequent words of all rows of docs(text, ...), counted on Spark: as many as ``most`` holds of whole counts.
 
-    Words are found by the JVM's own character classes. Where these differ from the tokenizer's, a
-    word in the lexicon is never asked for, or one that is asked for isn't there and is merged.
+    Words of equal counts are all in or all out, so a histogram of the counts gives the least one,
+    and only the words themselves come to the driver. Words are found by the JVM's own character
+    classes. Where these differ from the tokenizer's, a word in the lexicon is never asked for, or
+    one that is asked for isn't there and is merged.
     """
     word = F.explode(F.regexp_extract_all("text", F.lit(public_tokenizers.PATTERN), F.lit(0))).alias("word")
-    counts = docs.select(word).groupBy("word").count().where((F.col("count") > 1) & (F.octet_length("word") <= LONGEST))
-    return [r["word"] for r in counts.orderBy(F.col("count").desc(), "word").limit(most).collect()]
+    all_counts = docs.select(word).groupBy("word").count().where((F.col("count") > 1) & (F.octet_length("word") <= LONGEST))
+    counts, place = written_at(all_counts)
+    above = Window.orderBy(F.col("count").desc())  # over one row for each of at most `most` counts
+    sizes = counts.groupBy("count").agg(F.count("*").alias("words")).orderBy(F.col("count").desc()).limit(most)
+    least = sizes.withColumn("held", F.sum("words").over(above)).where(F.col("held") <= most).agg(F.min("count")).first()[0]
+    found = [] if least is None else [r["word"] for r in counts.where(F.col("count") >= least).select("word").collect()]
+    remove_folder(docs.sparkSession, place)
+    return found
 
 
 def compile_lexicon(words: list[str], path: str) -> Lexicon:
