@@ -1,9 +1,15 @@
-"""Embedding near-duplicates by NN-descent: a neighbour graph refined by local joins."""
+"""Embedding near-duplicates by NN-descent: a neighbour graph refined by local joins.
+
+Neighbours of neighbours find what lies in a neighbourhood, but hardly a pair that lies alone. So
+the graph starts from blocks of random projections, in as many tables as leave a pair at the
+threshold apart in all of them with probability MISSED only, whatever the number of vectors. Lists
+that are full of links are doubled and refined again.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import ceil, log2
+from collections.abc import Iterator, Sequence
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +19,10 @@ from pyspark.sql import functions as F
 from recordlens.llm.common import connected_components, cut, least_labels, table
 
 THRESHOLD = 0.93
-#: Neighbours a list holds, starting blocks' size and number, pieces of a local join.
-NEIGHBOURS, BLOCK, TABLES, JOIN = 8, 256, 6, 24
+#: Neighbours a list holds at first and at most, size of starting blocks, tables that give lists, pieces of a local join.
+NEIGHBOURS, LONGEST, BLOCK, TABLES, JOIN = 8, 64, 256, 6, 24
+#: Chance that a pair at the threshold shares no starting block. Further tables give links only, no lists.
+MISSED = 1e-4
 #: The audit compares this many vectors with all others; refinement stops at this recall or after MAX_ROUNDS.
 AUDIT, RECALL, MAX_ROUNDS = 256, 0.98, 5
 TILE = 512
@@ -109,8 +117,8 @@ def _local_joins(keys: list[str], most: int, k: int):
     return run
 
 
-def _edges(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.concatenate([p[n] for p in parts])) for n in range(3)], ["u", "v", "sim"])
+def _edges(parts: list[tuple[np.ndarray, ...]], names: Sequence[str] = ("u", "v", "sim")) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.concatenate([p[n] for p in parts])) for n in range(len(names))], list(names))
 
 
 _EDGES = "u long, v long, sim double"
@@ -123,36 +131,84 @@ def _top(edges: DataFrame, size: int) -> DataFrame:
     return distinct.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= size).drop("_n")
 
 
-def start_graph(nodes: DataFrame, size: int) -> DataFrame:
-    """First neighbour lists: vectors of one label meet in blocks of the signs of random projections.
+def tables_needed(bits: int, threshold: float, missed: float = MISSED) -> int:
+    """How many tables of ``bits`` signs a pair at the threshold needs to share a block with probability 1 - missed.
+
+    Vectors at an angle share the sign of a random projection with probability 1 - angle / pi.
+    """
+    shared = (1 - acos(max(-1.0, min(1.0, threshold))) / pi) ** bits
+    return TABLES if shared >= 1 else max(TABLES, ceil(log(missed) / log(1 - shared)))
+
+
+def _block_joins(k: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Compares the members of each block: their ``k`` best others, of further tables only links; with the table's parity."""
+        out: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for held in _groups(batches, ["g"], 4 * BLOCK):
+            ids, first = np.unique(np.concatenate([b["id"].to_numpy() for b in held]), return_index=True)
+            unit = np.concatenate([_matrix(b["vec"]) for b in held])[first]
+            table_ = held[0]["table"][0].as_py()
+            u, v, sim = _best(ids, unit, k)
+            if table_ >= TABLES:
+                near = sim >= threshold
+                u, v, sim = u[near], v[near], sim[near]
+            out.append((u, v, sim, np.full(len(u), table_ % 2, np.int32)))
+            size += len(u)
+            if size > 50_000:
+                yield _edges(out, ["u", "v", "sim", "odd"])
+                out, size = [], 0
+        if out:
+            yield _edges(out, ["u", "v", "sim", "odd"])
+
+    return run
+
+
+def start_graph(nodes: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """First neighbour lists, and ``(odd, even)`` for each link: which half of the tables has found it.
 
-    The blocks are as fine as leaves about BLOCK vectors of the largest label in each; a fuller
-    one is dealt out by hash.
+    Vectors of one label meet in blocks of the signs of random projections. The blocks are as fine
+    as leaves about BLOCK vectors of the largest label in each; a fuller one is dealt out by hash.
     """
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits = max(0, ceil(log2(max(1, largest) / BLOCK)))
+    tables = tables_needed(bits, threshold)
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _of_one_length(batches):
             unit = _matrix(batch["vec"])
-            random = np.random.default_rng(SEED).standard_normal((TABLES, unit.shape[1], max(1, bits)))
-            codes = np.einsum("nd,tdb->ntb", unit, random) > 0
-            code = (codes[:, :, :bits] * (1 << np.arange(bits))).sum(axis=2) if bits else np.zeros((len(unit), TABLES), int)
-            code = code + (np.arange(TABLES) << bits)
-            yield pa.record_batch([batch["label"], batch["id"], batch["vec"], pa.array(list(code.astype(np.int64)), pa.list_(pa.int64()))], ["label", "id", "vec", "codes"])
+            random = np.random.default_rng(SEED).standard_normal((tables, unit.shape[1], max(1, bits)))
+            code = np.zeros((len(unit), tables), np.int64)
+            for t in range(tables if bits else 0):
+                code[:, t] = ((unit @ random[t] > 0) * (1 << np.arange(bits))).sum(axis=1)
+            code += np.arange(tables) << bits
+            yield pa.record_batch([batch["label"], batch["id"], pa.array(list(code), pa.list_(pa.int64()))], ["label", "id", "codes"])
 
     label = nodes.schema["label"].dataType.simpleString()
-    coded = nodes.select("label", "id", "vec").mapInArrow(signs, f"label {label}, id long, vec array<double>, codes array<long>")
+    coded = nodes.select("label", "id", "vec").mapInArrow(signs, f"label {label}, id long, codes array<long>")
     spread = cut(coded.select("label", "id", F.explode("codes").alias("code")))
     full = spread.groupBy("label", "code").count().where(F.col("count") > 2 * BLOCK).select("label", "code", F.ceil(F.col("count") / BLOCK).alias("parts"))
     dealt = (
         spread.join(full, ["label", "code"], "left")
         .withColumn("part", F.pmod(F.xxhash64("id", "code"), F.coalesce("parts", F.lit(1))))
         .join(nodes.select("id", "vec"), "id")
-        .select(F.xxhash64("label", "code", "part").alias("g"), "id", "vec")
+        .select(F.xxhash64("label", "code", "part").alias("g"), F.shiftright("code", bits).cast("int").alias("table"), "id", "vec")
     )
-    edges = dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_local_joins(["g"], 4 * BLOCK, size), _EDGES)
-    return cut(_top(edges, size))
+    edges = cut(dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_block_joins(size, threshold), f"{_EDGES}, odd int"))
+    halves = edges.where(F.col("sim") >= threshold).groupBy("u", "v").agg(F.max("odd").alias("odd"), (1 - F.min("odd")).alias("even")).select("odd", "even")
+    return cut(_top(edges, size)), halves
+
+
+def found_share(halves: DataFrame) -> float | None:
+    """Share of all links that starting blocks have found, from how often one half of the tables finds what the other has; None without links.
+
+    The halves' projections are independent, so of the links that one half finds the other finds as
+    large a share as of all links, the isolated ones too, which a sample of vectors hardly holds.
+    """
+    n = halves.agg(*[F.count_if(x) for x in ((F.col("odd") == 1), (F.col("even") == 1), (F.col("odd") + F.col("even") == 2))]).first()
+    if not n[0] or not n[1]:
+        return None if not n[0] + n[1] else 0.0
+    return 1 - (1 - n[2] / n[1]) * (1 - n[2] / n[0])
 
 
 def refine(graph: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
@@ -175,9 +231,15 @@ def refine(graph: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return cut(_top(graph.union(found), size))
 
 
-def sampled_links(nodes: DataFrame, threshold: float) -> DataFrame:
-    """``(u, n, weight)``: of AUDIT vectors, compared with all vectors, the linked nodes and their copies."""
-    asked = nodes.orderBy(F.xxhash64("id")).limit(AUDIT).select("id", "label", "vec").collect()  # a bounded sample
+def sampled_links(nodes: DataFrame, linked: DataFrame, threshold: float) -> DataFrame:
+    """``(u, n, weight)``: of AUDIT vectors, compared with all vectors, the linked nodes and their copies.
+
+    Half of them are drawn from all vectors, half from linked(id), those with a link so far, so that
+    there are links to be counted if there are any at all.
+    """
+    wanted = nodes.select("id", "label", "vec").orderBy(F.xxhash64("id")).limit(AUDIT // 2)
+    known = linked.select("id").distinct().orderBy(F.xxhash64("id")).limit(AUDIT // 2)
+    asked = wanted.union(nodes.select("id", "label", "vec").join(known, "id", "left_semi")).dropDuplicates(["id"]).collect()  # a bounded sample
     ids = np.array([r["id"] for r in asked])
     labels, lengths = np.array([r["label"] for r in asked]), np.array([len(r["vec"]) for r in asked])
 
@@ -195,33 +257,55 @@ def sampled_links(nodes: DataFrame, threshold: float) -> DataFrame:
     return cut(found.groupBy("u").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).where("n > 0"))
 
 
-def audit(graph: DataFrame, wanted: DataFrame, threshold: float, size: int) -> float:
-    """Share of the sampled vectors' links that the graph's lists hold.
+def audit(graph: DataFrame, wanted: DataFrame, threshold: float, size: int) -> float | None:
+    """Share of the sampled vectors' links that the graph's lists hold; None if they have no link.
 
     A list that is full of links holds what it can: only min(links, length) links are asked of
-    it here. What it can't hold is found by the comparison in tiles and asked for by ``final_audit``.
+    it here. What it can't hold is found in longer lists or tiles and asked for by ``final_audit``.
     """
     lists = graph.join(wanted, "u").where(F.col("sim") >= threshold).groupBy("u").agg(F.count("*").alias("held"))
     sums = wanted.join(lists, "u", "left").agg(F.sum(F.least("n", F.lit(size))).alias("n"), F.sum(F.least(F.coalesce("held", F.lit(0)), F.lit(size))).alias("held")).first()
-    return 1.0 if not sums["n"] else sums["held"] / sums["n"]
+    return None if not sums["n"] else sums["held"] / sums["n"]
 
 
-def final_audit(counted: DataFrame, wanted: DataFrame) -> float:
-    """The mean, over the sampled vectors with links, of the share of all their links that ``counted(u, links)`` has."""
+def final_audit(counted: DataFrame, wanted: DataFrame) -> float | None:
+    """The mean, over the sampled vectors with links, of the share of all their links that ``counted(u, links)`` has; None without such."""
     share = F.coalesce("links", F.lit(0)) / F.col("weight")
-    return wanted.join(counted, "u", "left").agg(F.coalesce(F.avg(share), F.lit(1.0)).alias("share")).first()["share"]
+    return wanted.join(counted, "u", "left").agg(F.avg(share).alias("share")).first()["share"]
 
 
-def neighbour_graph(nodes: DataFrame, wanted: DataFrame, threshold: float, size: int = NEIGHBOURS) -> DataFrame:
-    """Neighbour lists, refined at least twice and until the audit finds the recall asked for."""
-    graph = start_graph(nodes, size)
+def neighbour_graph(graph: DataFrame, nodes: DataFrame, wanted: DataFrame, threshold: float, size: int = NEIGHBOURS) -> DataFrame:
+    """Neighbour lists, refined at least twice and until the audit finds the recall asked for, if it finds a link."""
     for done in range(1, MAX_ROUNDS + 1):
         graph = refine(graph, nodes, size)
-        if done >= 2 and audit(graph, wanted, threshold, size) >= RECALL:
+        share = audit(graph, wanted, threshold, size) if done >= 2 else 0.0
+        if share is None or share >= RECALL:
             break
     return graph
 
 
+def enlarged(graph: DataFrame, nodes: DataFrame, threshold: float, size: int = NEIGHBOURS, most: int = LONGEST) -> tuple[DataFrame, int]:
+    """The graph with lists doubled where all they hold are links, and refined again, and the length they have come to.
+
+    Each time only the vectors with full lists and their neighbours meet again, until no list is
+    full or all have ``most`` neighbours.
+    """
+    while size < most:
+        near = graph.where(F.col("sim") >= threshold)
+        full = cut(near.groupBy("u").count().where(F.col("count") >= size).select("u"))
+        if full.isEmpty():
+            break
+        size *= 2
+        around = cut(full.union(near.join(full, "u", "left_semi").select("v")).distinct())
+        own = cut(graph.join(around, "u", "left_semi"))
+        members = cut(nodes.join(around.withColumnRenamed("u", "id"), "id", "left_semi"))
+        met = own
+        for _ in range(2):
+            met = refine(met, members, size)
+        graph = cut(graph.join(around, "u", "left_anti").union(_top(own.union(met), size)))
+    return graph, size
+
+
 def _tile_links(threshold: float, weight: str):
     """With ``weight`` 'copies', rows link by their cosine. With 'reach', each stands for all vectors
     within that angle of it, and rows link unless the triangle inequality rules out a link of theirs."""
@@ -327,13 +411,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         .withColumn("id", F.xxhash64("key", F.size("vec"), F.hash("vec")))
         .withColumn("label", F.xxhash64("label", F.size("vec")))
     )
-    wanted = sampled_links(nodes, threshold)
-    graph = neighbour_graph(nodes, wanted, threshold)
+    start, halves = start_graph(nodes, NEIGHBOURS, threshold)
+    known = found_share(halves)
+    wanted = sampled_links(nodes, start.where(F.col("sim") >= threshold).select(F.col("u").alias("id")), threshold)
+    graph, longest = enlarged(neighbour_graph(start, nodes, wanted, threshold), nodes, threshold)
     near = graph.where(F.col("sim") >= threshold)
     links = cut(near.select("u", "v").union(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     groups = cut(connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
     # saturated lists: as many links as a list is long
-    full = near.groupBy("u").count().where(F.col("count") >= NEIGHBOURS).select(F.col("u").alias("node"))
+    full = near.groupBy("u").count().where(F.col("count") >= longest).select(F.col("u").alias("node"))
     dense = groups.join(full, "node", "left_semi").select("component").distinct()
     members = cut(groups.join(dense, "component").select(F.col("node").alias("id"), "component"))
     compared = cut(_dense_links(_meeting(members, nodes, threshold), nodes, threshold))
@@ -343,7 +429,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         loose.join(copies, "v").groupBy("u").agg(F.sum("copies").alias("links"))
         .union(compared.groupBy("u").agg(F.sum("links").alias("links")))
     )
-    if final_audit(counted, wanted) < RECALL:  # the lists have missed too much: each label is compared whole
+    shares = [share for share in (known, final_audit(counted, wanted)) if share is not None]  # without any link nothing was missed but by MISSED
+    if min(shares, default=1.0) < RECALL:  # too much is missing: each label is compared whole
         groups = nodes.select(F.col("id").alias("node"), F.col("id").alias("component"))
         compared = cut(_dense_links(nodes.select("id", F.col("id").alias("component"), F.col("label").alias("g")), nodes, threshold))
         counted = compared.groupBy("u").agg(F.sum("links").alias("links"))
