@@ -159,9 +159,8 @@ def fingerprints(texts: DataFrame, terms: DataFrame, sides: list[str]) -> DataFr
     """For each row of ``texts`` a fingerprint of each of the text columns ``sides``.
 
     The codes of a text's terms are looked up in the lexicon; those found there make its fingerprint.
-    A text without terms in the band has the fingerprint of all its terms, however many. Where any
-    side of a row is such a text, ``whole_`` and the side's name is the fingerprint of all terms,
-    else null. All other columns stay.
+    A text without terms in the band has the fingerprint of all its terms, however many. All other
+    columns stay.
     """
     kept = [c for c in texts.columns if c not in sides]
     every = [f"_all_{s}" for s in sides]
@@ -169,20 +168,16 @@ def fingerprints(texts: DataFrame, terms: DataFrame, sides: list[str]) -> DataFr
     size = terms.count()
     met = _in_band(coded, terms, every, max(1, size)) if size <= BROADCAST_TERMS else _in_band_by_join(coded, terms, every)
     own = [F.when(F.size(F.get("_in", n)) > 0, F.get("_in", n)).otherwise(F.col(c)) for n, c in enumerate(every)]
-    lacking = F.exists("_in", lambda side: F.size(side) == 0)
-    chosen = met.select(*kept, F.array(*own, *[F.when(lacking, F.col(c)) for c in every]).alias("_sets"))
-    hashed = chosen.select(*kept, F.transform("_sets", lambda x: F.when(x.isNotNull(), fingerprint(x))).alias("_f"))
-    names = [f"fingerprint_{s}" for s in sides] + [f"whole_{s}" for s in sides]
-    return hashed.select(*kept, *[F.get("_f", n).alias(name) for n, name in enumerate(names)])
+    hashed = met.select(*kept, F.array(*own).alias("_sets")).select(*kept, F.transform("_sets", fingerprint).alias("_f"))
+    return hashed.select(*kept, *[F.get("_f", n).alias(f"fingerprint_{side}") for n, side in enumerate(sides)])
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and how like they are.
 
     The edited text has the last floor(n_chars / 3) code points replaced by the first as many
-    (or all) of the next document by descending doc_id. If either of the two has no terms in the
-    band, they are compared by all their terms. Likeness to the next document is that of the two
-    fingerprints. Null texts count as empty; texts without terms have an empty fingerprint. Rows
+    (or all) of the next document by descending doc_id. Likeness is that of two fingerprints as they
+    are returned, so a text with terms in the band and one without have none. Null texts count as empty; texts without terms have an empty fingerprint. Rows
     that repeat a doc_id follow one another by text hash; null doc_ids come last. Very long texts are
     read whole. Other columns of docs, whatever their names, are
     ignored. An empty table gives no rows.
@@ -198,7 +193,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     own, other = F.col("fingerprint_text"), F.col("fingerprint_edited")
     return ahead.select(
         "doc_id", "n_chars", "edited_sha256", own.alias("fingerprint"), other.alias("edited_fingerprint"),
-        F.when(F.col("whole_text").isNotNull(), likeness(F.col("whole_text"), F.col("whole_edited"))).otherwise(likeness(own, other)).alias("near_edited"), likeness(own, F.col("next_fingerprint")).alias("near_next"),
+        likeness(own, other).alias("near_edited"), likeness(own, F.col("next_fingerprint")).alias("near_next"),
     )
 
 
