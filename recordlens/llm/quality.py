@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil, exp, log
 
 import numpy as np
@@ -16,30 +17,37 @@ from recordlens.llm.common import cut, table
 FOLDS, HELD_OUT = 5, 0
 #: The fit uses at most this many labelled documents of each class, whole.
 FIT_ROWS = 1500
-DICTIONARY, LEVEL, BLOCK = 131072, 9, 128
+DICTIONARY = 131072
+#: Compression level and bytes of a block, cheapest first. ``fit`` takes the cheapest whose area under the curve, on
+#: training rows that are in no dictionary, lies within NEAR_BEST of the best.
+SETTINGS = ((3, 512), (3, 256), (9, 256), (9, 128))
+NEAR_BEST = 0.005
 THRESHOLD = 0.3
 
 
-def _blocks(raw: bytes) -> list[bytes]:
+def _blocks(raw: bytes, block: int) -> list[bytes]:
     """The whole text in blocks, short enough that a dictionary matters in each."""
-    count = max(1, ceil(len(raw) / BLOCK))
+    count = max(1, ceil(len(raw) / block))
     size = ceil(len(raw) / count)
     return [raw[k : k + size] for k in range(0, len(raw), size)] if raw else []
 
 
+@lru_cache(maxsize=8)
+def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    """One for each dictionary and level in each Python worker."""
+    book = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    book.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=book, write_content_size=False, write_checksum=False)
+
+
 class CompressionScorer:
     """Compressed sizes under two dictionaries, and the calibrated score of their difference."""
 
-    def __init__(self, good: bytes, bad: bytes, weight: float = 0.0, offset: float = 0.0) -> None:
-        self.good, self.bad, self.weight, self.offset = good, bad, weight, offset
+    def __init__(self, good: bytes, bad: bytes, weight: float = 0.0, offset: float = 0.0, level: int = SETTINGS[0][0], block: int = SETTINGS[0][1]) -> None:
+        self.good, self.bad, self.weight, self.offset, self.level, self.block = good, bad, weight, offset, level, block
 
     def _compressors(self) -> list[zstandard.ZstdCompressor]:
-        made = []
-        for content in (self.good, self.bad):
-            book = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            book.precompute_compress(level=LEVEL)
-            made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=book, write_content_size=False, write_checksum=False))
-        return made
+        return [_compressor(content, self.level) for content in (self.good, self.bad)]
 
     def differences(self, texts: list[str | None]) -> np.ndarray:
         """Of each text (size under the bad dictionary - size under the good one) / its bytes; empty texts have 0.
@@ -50,7 +58,7 @@ class CompressionScorer:
         good, bad = self._compressors()
         out = np.zeros(len(texts))
         for k, text in enumerate(texts):
-            if blocks := _blocks(raw := (text or "").encode()):
+            if blocks := _blocks(raw := (text or "").encode(), self.block):
                 g, b = (sum(len(c.compress(block)) for block in blocks) for c in (good, bad))
                 out[k] = (b - g) / len(raw)
         return out
@@ -79,6 +87,15 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / spread), float(w[1] - w[0] / spread * middle)
 
 
+def area_under_curve(x: np.ndarray, y: np.ndarray) -> float:
+    """How often a row of class 1 has the larger ``x`` than one of class 0; ties count half."""
+    order = np.sort(x[y == 0])
+    one = x[y == 1]
+    if not len(order) or not len(one):
+        return 0.5
+    return float((np.searchsorted(order, one, side="left") + np.searchsorted(order, one, side="right")).mean() / (2 * len(order)))
+
+
 def piece_length(sizes: list[int], whole: int = DICTIONARY) -> int:
     """How many bytes of each of some texts fit into ``whole`` if each gives as many, shorter ones all."""
     left = whole
@@ -96,8 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> CompressionScorer:
     Of each class at most FIT_ROWS labelled documents are used, those of the least hash of doc_id;
     of rows that share a doc_id the greatest text counts. Every other one gives an equal piece,
     from a place anywhere in its text, to its class's dictionary of DICTIONARY bytes (a shorter text
-    all of it). The rest, whole, calibrate the difference; they are compressed in tasks, and only
-    pieces and differences come to the driver. With one class only, or without labels, every score
+    all of it). The rest, whole, choose among SETTINGS and calibrate the difference; they are compressed
+    in tasks, and only pieces and differences come to the driver. With one class only, or without labels, every score
     is the smoothed share of label 1.
     """
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
@@ -125,15 +142,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> CompressionScorer:
     start = (F.crc32("raw") % F.greatest(F.length("raw") - part + 1, F.lit(1))).cast("int") + 1
     pieces = books.select("quality", "n", F.substring("raw", start, part).alias("piece")).orderBy("n").collect()  # two dictionaries
     book = {q: b"".join(bytes(r["piece"]) for r in pieces if r["quality"] == q) or b" " * 8 for q in (0, 1)}
-    scorer = CompressionScorer(book[1], book[0])
+    tried = [CompressionScorer(book[1], book[0], level=level, block=block) for level, block in SETTINGS]
 
     def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch["quality"], pa.array(scorer.differences(batch["text"].to_pylist()))], ["quality", "x"])
-
-    found = rest.mapInArrow(differences, "quality int, x double").orderBy("x", "quality").collect()  # at most FIT_ROWS numbers
-    y = np.array([r["quality"] for r in found], float)
-    scorer.weight, offset = _logistic(np.array([r["x"] for r in found]), y)
+            texts = batch["text"].to_pylist()
+            xs = np.column_stack([scorer.differences(texts) for scorer in tried])
+            yield pa.record_batch([batch["quality"], pa.array(list(xs), pa.list_(pa.float64()))], ["quality", "x"])
+
+    found = rest.mapInArrow(differences, "quality int, x array<double>").collect()  # at most FIT_ROWS rows of numbers
+    y, xs = np.array([r["quality"] for r in found], float), np.array([r["x"] for r in found])
+    areas = [area_under_curve(xs[:, k], y) for k in range(len(SETTINGS))]
+    best = next(k for k, area in enumerate(areas) if area >= max(areas) - NEAR_BEST)
+    scorer, order = tried[best], np.lexsort((y, xs[:, best]))  # a fixed order, so that sums are the same each time
+    y = y[order]
+    scorer.weight, offset = _logistic(xs[order, best], y)
     # the bound on rows balances the classes; the offset goes back to the labels' own share
     scorer.offset = offset + prior - log((sum(y) + 1) / (len(y) - sum(y) + 1))
     return scorer

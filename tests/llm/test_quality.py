@@ -44,7 +44,23 @@ def test_edges(spark):
 
 def test_blocks_cover_the_text():
     raw = bytes(range(256)) * 40
-    assert b"".join(quality._blocks(raw)) == raw and quality._blocks(b"") == []
+    for block in (1, 128, 512, 99_999):
+        assert b"".join(quality._blocks(raw, block)) == raw and max(map(len, quality._blocks(raw, block))) <= block
+    assert quality._blocks(b"", 128) == []
+
+
+def test_settings_are_chosen_by_training_rows():
+    x, y = np.array([0.1, 0.4, 0.4, 0.9]), np.array([0, 0, 1, 1])
+    assert quality.area_under_curve(x, y) == 0.875 and quality.area_under_curve(x[:1], y[:1]) == 0.5
+    pairs = [(a > b) + 0.5 * (a == b) for a in x[y == 1] for b in x[y == 0]]
+    assert quality.area_under_curve(x, y) == np.mean(pairs)
+
+
+def test_held_out_labels_change_nothing(spark):
+    """A scorer fitted with the held-out rows' labels turned over is the same in every part."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    turned = labels.selectExpr("doc_id", "CASE WHEN crc32(CAST(doc_id AS STRING)) % 5 = 0 THEN 1 - quality ELSE quality END AS quality")
+    assert vars(quality.fit(docs, labels)) == vars(quality.fit(docs, turned))
 
 
 def test_piece_length():
@@ -73,7 +89,7 @@ def test_fit_against_plain_version(spark):
     rows = [(r["doc_id"], r["text"] or "") for r in docs.selectExpr("doc_id", "text", "xxhash64(doc_id) AS h").orderBy("h", "doc_id").collect()]
     books, rest = plain_fit(rows, known)
     assert scorer.good == books[1] and scorer.bad == books[0]
-    size = lambda book, raw: sum(len(book.compress(raw[k : k + step])) for step in [math.ceil(len(raw) / math.ceil(len(raw) / quality.BLOCK))] for k in range(0, len(raw), step))
+    size = lambda book, raw: sum(len(book.compress(raw[k : k + step])) for step in [math.ceil(len(raw) / math.ceil(len(raw) / scorer.block))] for k in range(0, len(raw), step))
     good, bad = scorer._compressors()
     for text, _ in rest[:200]:
         raw = text.encode()
