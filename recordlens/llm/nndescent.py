@@ -21,6 +21,8 @@ from recordlens.llm.common import connected_components, cut, least_labels, table
 THRESHOLD = 0.93
 #: Neighbours a list holds at first and at most, size of starting blocks, tables that give lists, pieces of a local join.
 NEIGHBOURS, LONGEST, BLOCK, TABLES, JOIN = 8, 64, 256, 6, 24
+#: Full lists are doubled in components of so many vectors at most; those of larger ones would stay full.
+GROUP = 4 * LONGEST
 #: Chance that a pair at the threshold shares no starting block. Further tables give links only, no lists.
 MISSED = 1e-4
 #: The audit compares this many vectors with all others; refinement stops at this recall or after MAX_ROUNDS.
@@ -165,7 +167,7 @@ def _block_joins(k: int, threshold: float):
 
 
 def start_graph(nodes: DataFrame, size: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """First neighbour lists, and ``(odd, even)`` for each link: which half of the tables has found it.
+    """First neighbour lists, and ``(odd, even)`` for each link of vectors with fewer than a list: which half of the tables has found it.
 
     Vectors of one label meet in blocks of the signs of random projections. The blocks are as fine
     as leaves about BLOCK vectors of the largest label in each; a fuller one is dealt out by hash.
@@ -195,7 +197,9 @@ def start_graph(nodes: DataFrame, size: int, threshold: float) -> tuple[DataFram
         .select(F.xxhash64("label", "code", "part").alias("g"), F.shiftright("code", bits).cast("int").alias("table"), "id", "vec")
     )
     edges = cut(dealt.repartition("g").sortWithinPartitions("g").mapInArrow(_block_joins(size, threshold), f"{_EDGES}, odd int"))
-    halves = edges.where(F.col("sim") >= threshold).groupBy("u", "v").agg(F.max("odd").alias("odd"), (1 - F.min("odd")).alias("even")).select("odd", "even")
+    each = edges.where(F.col("sim") >= threshold).groupBy("u", "v").agg(F.max("odd").alias("odd"), (1 - F.min("odd")).alias("even"))
+    open_ = each.withColumn("_n", F.count("*").over(Window.partitionBy("u"))).where(F.col("_n") < size)  # a full block list hides links from its half
+    halves = cut(open_.select("odd", "even"))
     return cut(_top(edges, size)), halves
 
 
@@ -284,15 +288,15 @@ def neighbour_graph(graph: DataFrame, nodes: DataFrame, wanted: DataFrame, thres
     return graph
 
 
-def enlarged(graph: DataFrame, nodes: DataFrame, threshold: float, size: int = NEIGHBOURS, most: int = LONGEST) -> tuple[DataFrame, int]:
-    """The graph with lists doubled where all they hold are links, and refined again, and the length they have come to.
+def enlarged(graph: DataFrame, nodes: DataFrame, threshold: float, only: DataFrame, size: int = NEIGHBOURS, most: int = LONGEST) -> tuple[DataFrame, int]:
+    """The graph with the lists of only(u) doubled where all they hold are links, and refined again, and the length they have come to.
 
     Each time only the vectors with full lists and their neighbours meet again, until no list is
     full or all have ``most`` neighbours.
     """
     while size < most:
         near = graph.where(F.col("sim") >= threshold)
-        full = cut(near.groupBy("u").count().where(F.col("count") >= size).select("u"))
+        full = cut(near.groupBy("u").count().where(F.col("count") >= size).select("u").join(only, "u", "left_semi"))
         if full.isEmpty():
             break
         size *= 2
@@ -414,12 +418,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     start, halves = start_graph(nodes, NEIGHBOURS, threshold)
     known = found_share(halves)
     wanted = sampled_links(nodes, start.where(F.col("sim") >= threshold).select(F.col("u").alias("id")), threshold)
-    graph, longest = enlarged(neighbour_graph(start, nodes, wanted, threshold), nodes, threshold)
-    near = graph.where(F.col("sim") >= threshold)
-    links = cut(near.select("u", "v").union(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    graph = neighbour_graph(start, nodes, wanted, threshold)
+    linked = lambda near: near.select("u", "v").union(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    links = cut(linked(graph.where(F.col("sim") >= threshold)))
     groups = cut(connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
-    # saturated lists: as many links as a list is long
-    full = near.groupBy("u").count().where(F.col("count") >= longest).select(F.col("u").alias("node"))
+    # saturated lists: as many links as a list is long. Longer lists hold those of a group that isn't large; large groups go to the tiles
+    small = groups.groupBy("component").count().where(F.col("count") <= GROUP).select("component")
+    growing = cut(groups.join(small, "component").select(F.col("node").alias("u")))
+    graph, longest = enlarged(graph, nodes, threshold, growing)
+    near = graph.where(F.col("sim") >= threshold)
+    if longest > NEIGHBOURS:
+        links = cut(linked(near))
+        every = nodes.select(F.col("id").alias("node")).join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        ends = links.join(every.select(F.col("node").alias("u"), F.col("component").alias("a")), "u").join(every.select(F.col("node").alias("v"), F.col("component").alias("b")), "v")
+        met = cut(_joined(every, ends.where("a <> b")))
+        groups = met.join(links.select(F.col("u").alias("node")).distinct(), "node", "left_semi")
+    limit = F.when(F.col("_grown"), longest).otherwise(NEIGHBOURS)
+    counts = near.groupBy("u").count().join(growing.withColumn("_grown", F.lit(True)), "u", "left")
+    full = counts.where(F.col("count") >= F.coalesce(limit, F.lit(NEIGHBOURS))).select(F.col("u").alias("node"))
     dense = groups.join(full, "node", "left_semi").select("component").distinct()
     members = cut(groups.join(dense, "component").select(F.col("node").alias("id"), "component"))
     compared = cut(_dense_links(_meeting(members, nodes, threshold), nodes, threshold))

@@ -129,7 +129,8 @@ def test_full_lists_are_doubled(spark):
     base = rng.standard_normal(64)
     x = np.concatenate([rng.standard_normal((400, 64)), base + 0.02 * rng.standard_normal((40, 64))])
     nodes = spark.createDataFrame([(k, 1, v.tolist(), 1) for k, v in enumerate(x)], "id long, label long, vec array<double>, copies long")
-    start, _ = nndescent.start_graph(nodes, 8, 0.93)
-    graph, size = nndescent.enlarged(nndescent.refine(start, nodes, 8), nodes, 0.93)
+    start, halves = nndescent.start_graph(nodes, 8, 0.93)
+    assert nndescent.found_share(halves) is None  # full lists say nothing about the tables
+    graph, size = nndescent.enlarged(nndescent.refine(start, nodes, 8), nodes, 0.93, nodes.selectExpr("id AS u"))
     near = graph.where("sim >= 0.93").groupBy("u").count().collect()
     assert size == 64 and {(r["u"], r["count"]) for r in near} == {(k, 39) for k in range(400, 440)}
