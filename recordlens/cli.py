@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import argparse
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import cached_property
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,16 +13,23 @@ from pyspark.sql import functions as F
 
 from recordlens import sinks
 from recordlens.config import TUNED, read_thresholds
-from recordlens.operators import quality, score, windows
-from recordlens.plans.noise import HOP, MINIMUM_S, noise_terms
-from recordlens.plans.noise import RATE as NOISE_RATE
-from recordlens.plans.pipeline import Estimates, Stub, analyse, build
+from recordlens.operators import samples, score
+from recordlens.operators.intervals import speech_summary
+from recordlens.plans.impairment import impairments
+from recordlens.plans.noise import noise
+from recordlens.plans.pipeline import Estimates, Stage, Stub, analyse, build
 from recordlens.plans.prosody import RATE, prosody
+from recordlens.plans.roles import customer
+from recordlens.plans.tone import customer_tone
 from recordlens.schema import FIELDS
-from recordlens.sources import audio, manifest
+from recordlens.sources import audio, manifest, pcm
 
-#: Fixed value: recordings of fewer noise frames are silent.
-LEAST_FRAMES = 8
+#: What models outside may give, by the columns of each table beside ``name``.
+OUTSIDE = {
+    "estimates": "any estimates", "regions": "start_s, end_s of speech", "windows": "start_s, end_s, embedding of speakers",
+    "utterances": "start_s, end_s, text, embedding", "classes": "label, p of emotions", "words": "lexical, the valence of a transcript",
+    "noise_votes": "term, score",
+}
 
 
 def _arguments(arguments: Sequence[str] | None) -> argparse.Namespace:
@@ -30,42 +38,115 @@ def _arguments(arguments: Sequence[str] | None) -> argparse.Namespace:
     parser.add_argument("--labels", help="CSV with name and result_json")
     parser.add_argument("--out", default="results")
     parser.add_argument("--stack", default="all", help="stages: all, none, or a list")
-    parser.add_argument("--estimates", help="Parquet of further estimates by name, from models outside")
+    for what, columns in OUTSIDE.items():
+        parser.add_argument(f"--{what.replace('_', '-')}", help=f"Parquet of a model outside: name, {columns}")
     parser.add_argument("--thresholds", help="YAML of thresholds")
     return parser.parse_args(arguments)
 
 
-def measured(decoded: DataFrame) -> DataFrame:
-    """(name, degradation_score) from what the samples show: level, clipped runs and bandwidth.
+class Recordings:
+    """The files below a folder: headers and decoded rows, by seeking where Python reaches the store, else as whole cells."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+        self.suffixes = ",".join(manifest.AUDIO)
+        self.files = manifest.scan_audio(spark, folder)
+        self.seekable = pcm.reachable(folder)
 
-    Dropouts are holes in speech, so they need the regions of a speech model and count as none here.
-    """
-    samples = audio.long_samples(decoded)
-    levels = quality.file_level(samples)
-    runs = quality.clipped_runs(samples).groupBy("file_id").agg(F.sum("n").alias("clipped"), F.max("n").alias("longest"))
-    sizes = samples.groupBy("file_id").agg(F.count("*").alias("n"))
-    spectra = quality.bandwidth(audio.mean_spectrum(decoded))
-    joined = levels.join(sizes, "file_id").join(runs, "file_id", "left").join(spectra, "file_id", "left")
-    scores = joined.select(
-        F.col("file_id").alias("name"),
-        quality.clipping_score(F.coalesce(F.col("clipped") / F.col("n"), F.lit(0.0)), F.coalesce("longest", F.lit(0)).cast("double")).alias("clipping"),
-        F.lit(0.0).alias("dropouts"), quality.level_score(F.col("level_db")).alias("level"), F.coalesce("bandwidth", F.lit(0.0)).alias("bandwidth"),
-    )
-    return quality.degradation(scores).select("name", "degradation_score")
+    def _named(self, df: DataFrame) -> DataFrame:
+        """A recording is known by its path below the folder; names that are shown come from that at the end."""
+        root = self.folder.rstrip("/").partition("://")[2] or self.folder.rstrip("/").removeprefix("file:")
+        below = F.when(F.instr("path", root) > 0, F.substring_index(F.col("path"), f"{root}/", -1)).otherwise(F.col("path"))
+        return df.withColumn("path", F.concat(F.lit("./"), below))
 
+    def heads(self) -> DataFrame:
+        """(path, rate, channels, frames, duration_s, error)."""
+        if self.seekable:
+            return self._named(pcm.read_pcm(self.spark, self.folder, only="headers", suffixes=self.suffixes))
+        return self._named(audio.probe(self.files))
 
-def noise(decoded: DataFrame) -> DataFrame:
-    """(name, noise_level_db, noise_class_dist) of recordings decoded at NOISE_RATE, all frames counting as speech."""
-    power = audio.band_power(decoded)
-    frames = power.select("file_id", "i").distinct()
-    found = windows.noise_level(power, frames, int(MINIMUM_S * NOISE_RATE / HOP), short=LEAST_FRAMES)
-    terms = noise_terms(decoded)
-    return found.join(terms, "file_id", "left").select(F.col("file_id").alias("name"), F.round("noise_level_db", 2).alias("noise_level_db"), "noise_class_dist")
+    def rows(self, rate: int | None = None, tail_s: float = 0.0, row_samples: int = pcm.ROW_SAMPLES) -> DataFrame:
+        if self.seekable:
+            return self._named(pcm.read_pcm(self.spark, self.folder, rate=rate, tail_s=tail_s, row_samples=row_samples, suffixes=self.suffixes))
+        return self._named(audio.decode(self.files, rate, tail_s, row_samples))
 
 
-def arousal(decoded: DataFrame) -> DataFrame:
-    """(name, arousal) from prosody; a tone also needs the valence of a model outside."""
-    return prosody(decoded).select(F.col("file_id").alias("name"), "arousal")
+class Given:
+    """Tables of models outside, by the names that are shown; each may be absent."""
+
+    def __init__(self, spark: SparkSession, shown: DataFrame, places: dict[str, str | None]) -> None:
+        self.spark, self.shown, self.places = spark, shown.select(F.col("path").alias("file_id"), F.col("label").alias("_shown")), places
+
+    def __call__(self, what: str) -> DataFrame | None:
+        """The table with ``file_id`` in place of ``name``."""
+        if not self.places.get(what):
+            return None
+        known = self.spark.read.parquet(self.places[what])
+        return known.join(self.shown, F.col("name") == F.col("_shown")).select("file_id", *[c for c in known.columns if c not in ("name", "file_id")])
+
+
+class Analysis:
+    """The stages that measure: each makes a table of estimates by name when it is asked for."""
+
+    def __init__(self, recordings: Recordings, heads: DataFrame, given: Given, work: str) -> None:
+        self.recordings, self.given, self.work = recordings, given, work
+        self.heads = heads.where("error IS NULL").select(F.col("path").alias("file_id"), "rate", F.col("frames").alias("length"), "duration_s")
+        self.regions = given("regions")
+        self.voiced = bool(given.places.get("windows") and given.places.get("utterances"))
+
+    def _named(self, df: DataFrame) -> DataFrame:
+        return df.withColumnRenamed("file_id", "name")
+
+    def _kept(self, df: DataFrame, what: str) -> DataFrame:
+        """Written beside the results, so that stages share it."""
+        df.write.mode("overwrite").parquet(f"{self.work}/{what}")
+        return df.sparkSession.read.parquet(f"{self.work}/{what}")
+
+    @cached_property
+    def native(self) -> DataFrame:
+        return self.recordings.rows(None, samples.TAIL_S, samples.ROW_SAMPLES)
+
+    @cached_property
+    def measured(self) -> DataFrame:
+        spans = None if self.regions is None else samples.masks(self.regions, self.heads)
+        return self._kept(samples.measured_rows(self.native, spans), "measured")
+
+    @cached_property
+    def speech(self) -> DataFrame:
+        return self._kept(speech_summary(self.regions, self.heads.select("file_id", "duration_s")), "speech")
+
+    @cached_property
+    def customer(self) -> tuple[DataFrame, DataFrame]:
+        found, spans = customer(self.recordings.rows(RATE), self.speech, self.regions, self.given("windows"), self.given("utterances"))
+        return self._kept(found, "roles"), self._kept(spans, "customer")
+
+    def vad(self) -> Estimates:
+        return Estimates("vad", self._named(self.speech), "speech_ratio", "max_silence_s")
+
+    def quality(self) -> Estimates:
+        return Estimates("quality", self._named(impairments(self.measured, self.native, self.regions)), "degradation_score")
+
+    def noise(self) -> Estimates:
+        return Estimates("noise", self._named(noise(self.measured, self.given("noise_votes"))), "noise_level_db", "noise_class_dist")
+
+    def roles(self) -> Estimates:
+        return Estimates("roles", self._named(self.customer[0]), "n_speakers", "role_confidence", "customer_speech_s")
+
+    def emotion(self) -> Estimates:
+        """Arousal and valence of the customer, or, without regions of speech, arousal of the whole recording from prosody."""
+        rows = self.recordings.rows(RATE)
+        if self.regions is None:
+            return Estimates("emotion", self._named(prosody(rows).select("file_id", "arousal")), "arousal")
+        roles, spans = self.customer if self.voiced else (None, None)
+        told = customer_tone(rows, self.speech, spans, self.given("classes"), self.given("words"), roles)
+        return Estimates("emotion", self._named(told), "arousal", "valence", "valence_source")
+
+    def makers(self) -> dict[str, Callable[[], Stage]]:
+        """What can be measured from what is given: roles need regions, windows and utterances."""
+        made: dict[str, Callable[[], Stage]] = {"quality": self.quality, "noise": self.noise, "emotion": self.emotion, "stub": Stub}
+        if self.regions is not None:
+            made |= {"vad": self.vad} | ({"roles": self.roles} if self.voiced else {})
+        return made
 
 
 def score_results(results: DataFrame, labels: DataFrame) -> DataFrame:
@@ -81,29 +162,22 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
     given = _arguments(arguments)
     spark = spark or SparkSession.builder.appName("recordlens").getOrCreate()
     try:
-        files = manifest.scan_audio(spark, given.folder)
-        empty = files.isEmpty()
+        recordings = Recordings(spark, given.folder)
+        empty = recordings.files.select("path").isEmpty()
     except AnalysisException as problem:
         print(f"{given.folder}: {problem.getCondition()}", file=sys.stderr)
         return 1
     if empty:
         print(f"{given.folder}: no audio", file=sys.stderr)
         return 1
-    # a recording is known by its path below the folder; names that are shown come from that at the end
-    root = given.folder.rstrip("/")
-    below = F.when(F.instr("path", root) > 0, F.substring_index(F.col("path"), f"{root}/", -1)).otherwise(F.col("path"))
-    named = files.select(F.concat(F.lit("./"), below).alias("path"), "content")
-    heads = audio.probe(named).select(F.col("path").alias("name"), F.coalesce("duration_s", F.lit(0.0)).alias("audio_s"), "error")
-    makers = {
-        "quality": lambda: Estimates("quality", measured(audio.decode(named)), "degradation_score"),
-        "noise": lambda: Estimates("noise", noise(audio.decode(named, NOISE_RATE)), "noise_level_db", "noise_class_dist"),
-        "emotion": lambda: Estimates("emotion", arousal(audio.decode(named, RATE)), "arousal"), "stub": Stub,
-    }
-    stages = build(given.stack, makers)
-    if given.estimates:
-        shown = manifest.display_names(heads.select(F.col("name").alias("path")))
-        known = spark.read.parquet(given.estimates)
-        table = known.join(shown, known["name"] == shown["label"]).select(shown["path"].alias("name"), *[c for c in known.columns if c != "name"])
+    work = f"{given.out}/work"
+    recordings.heads().write.mode("overwrite").parquet(f"{work}/heads")
+    probed = spark.read.parquet(f"{work}/heads")
+    heads = probed.select(F.col("path").alias("name"), F.coalesce("duration_s", F.lit(0.0)).alias("audio_s"), "error")
+    outside = Given(spark, manifest.display_names(probed.select("path")), {what: getattr(given, what) for what in OUTSIDE})
+    stages = build(given.stack, Analysis(recordings, probed, outside, work).makers())
+    if (known := outside("estimates")) is not None:
+        table = known.withColumnRenamed("file_id", "name")
         stages.insert(max(0, len(stages) - 1), Estimates("estimates", table, *[c for c in table.columns if c != "name"]))
     thresholds = read_thresholds(given.thresholds) if given.thresholds else TUNED
     results = analyse(heads.withColumn("elapsed_s", F.lit(None).cast("double")), stages, thresholds)

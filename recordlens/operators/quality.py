@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordlens.functions.scalars import level_db, noisy_or, ramp
-from recordlens.operators.intervals import adjacent, stab, true_runs
+from recordlens.operators.intervals import stab, true_runs
 
 # Seconds a hole may last, its level below the file's, and runs of clipped samples.
 HOLE_S, HOLE_DB, CLIP_RUN, CLIP_SPREAD = (0.004, 0.250), -55.0, 3, 0.002
 CLIP_LEVEL = 0.985
-# The band of speech, where the band above it begins and the highest frequency that counts.
-SPEECH_HZ, ABOVE_HZ, TOP_HZ = (300.0, 3400.0), 3600.0, 7500.0
 
 
 def clipping_score(share: Column, longest: Column) -> Column:
@@ -33,24 +31,9 @@ def bandwidth_score(rate: Column, drop_db: Column, top_hz: Column) -> Column:
     return F.greatest(ramp(-rate, -16000.0, -7900.0) * 0.55, F.when(top_hz > 4200, ramp(-drop_db, 32.0, 48.0)).otherwise(0.0))
 
 
-def clipped_runs(samples: DataFrame, near: float = CLIP_LEVEL) -> DataFrame:
-    """Runs of samples(file_id, i, x) near the file's peak whose magnitudes are flat: CLIP_RUN or more, within CLIP_SPREAD."""
-    peak = F.max(F.abs("x")).over(Window.partitionBy("file_id"))
-    at_peak = samples.withColumn("peak", peak).where((F.abs("x") >= near * F.col("peak")) & (F.col("peak") > 0))
-    runs = adjacent(at_peak).groupBy("file_id", "island").agg(
-        F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.count("*").alias("n"), (F.max(F.abs("x")) - F.min(F.abs("x"))).alias("spread"), F.max("peak").alias("peak")
-    )
-    return runs.where((F.col("n") >= CLIP_RUN) & (F.col("spread") <= CLIP_SPREAD * F.col("peak"))).select("file_id", "first_i", "last_i", "n")
-
-
-def bandwidth(spectra: DataFrame) -> DataFrame:
-    """``(file_id, bandwidth)`` of spectra(file_id, rate, hz, power): power above speech against that of speech."""
-    top = F.least(F.lit(TOP_HZ), F.col("rate") * 0.475)
-    within = lambda low, high: F.coalesce(F.sum(F.when((F.col("hz") >= low) & (F.col("hz") <= high), F.col("power"))), F.lit(0.0))
-    sums = spectra.withColumn("top_hz", top).groupBy("file_id", "rate", "top_hz").agg(within(*SPEECH_HZ).alias("speech"), within(ABOVE_HZ, F.col("top_hz")).alias("above"))
-    drop = 10.0 * F.log10((F.col("above") + 1e-20) / (F.col("speech") + 1e-20))
-    usable = F.when(F.col("speech") > 0, F.col("top_hz")).otherwise(0.0)
-    return sums.select("file_id", bandwidth_score(F.col("rate").cast("double"), drop, usable).alias("bandwidth"))
+def hole_floor(rms: Column, hole_db: float = HOLE_DB) -> Column:
+    """The magnitude below which there is a hole in speech of this level."""
+    return F.greatest(F.lit(1e-6), rms * 10 ** (hole_db / 20))
 
 
 def dropouts(frames: DataFrame, regions: DataFrame, hop: float, hole_s: tuple[float, float] = HOLE_S, hole_db: float = HOLE_DB) -> DataFrame:
@@ -61,8 +44,7 @@ def dropouts(frames: DataFrame, regions: DataFrame, hop: float, hole_s: tuple[fl
     square = F.col("rms") * F.col("rms")
     spoken = stab(frames.withColumn("mid_s", (F.col("i") + 0.5) * hop), "mid_s", regions).groupBy("file_id").agg(F.avg(square).alias("speech"))
     levels = frames.groupBy("file_id").agg(F.avg(square).alias("whole")).join(spoken, "file_id", "left")
-    floor = F.greatest(F.lit(1e-6), F.sqrt(F.coalesce("speech", "whole")) * 10 ** (hole_db / 20))
-    floors = levels.select("file_id", floor.alias("floor"))
+    floors = levels.select("file_id", hole_floor(F.sqrt(F.coalesce("speech", "whole")), hole_db).alias("floor"))
     runs = true_runs(frames.join(floors, "file_id"), F.col("rms") < F.col("floor"))
     timed = runs.withColumn("length_s", F.col("n") * hop).where(F.col("length_s").between(*hole_s))
     return stab(timed.withColumn("mid_s", (F.col("first_i") + F.col("last_i") + 1) * hop / 2), "mid_s", regions)

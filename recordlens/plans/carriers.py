@@ -57,6 +57,14 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packed(spark: SparkSession, sf_dir: str, size: int = 16) -> DataFrame:
+    """The frames' values as rows of arrays, each with the next row's beside its own: (path, first, samples, tail)."""
+    placed = frames(spark, sf_dir).groupBy(F.col("file_id").cast("string").alias("path"), (F.floor(F.col("i") / size) * size).alias("first"))
+    arrays = placed.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("samples"))
+    after = F.lead("samples").over(Window.partitionBy("path").orderBy("first"))
+    return arrays.withColumn("tail", F.coalesce(after, F.array().cast("array<double>")))
+
+
 def files(frames: DataFrame, hop: float = HOP) -> DataFrame:
     return frames.groupBy("file_id").agg(((F.max("i") + 1) * hop).alias("duration_s"))
 

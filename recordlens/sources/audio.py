@@ -8,17 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Samples of a file that a decoded row holds; longer files give several rows, each with the next
-#: TAIL samples beside its own, so that a frame that starts in a row lies in it whole.
-ROW_SAMPLES, TAIL = 1 << 16, 1 << 13
-# What a header lacks, the length of a spectrum, and the range of voice pitch.
-RATE, NFFT, PITCH_HZ, VOICED = 48000, 1024, (70.0, 320.0), 0.30
+from recordlens.sources import pcm
+from recordlens.sources.pcm import HEADER, PROBLEMS, RATE, PcmFile, resampled, resampled_length, told
 
-HEADER = "path string, rate int, channels int, frames long, duration_s double, error string"
-SAMPLES = "path string, rate int, channels int, first long, samples array<float>, tail array<float>, error string"
+# The length of a spectrum, and the range of voice pitch.
+NFFT, PITCH_HZ, VOICED = 1024, (70.0, 320.0), 0.30
 
 
 def read_header(content: bytes | None) -> tuple[int | None, int | None, int | None, str | None]:
@@ -31,33 +29,13 @@ def read_header(content: bytes | None) -> tuple[int | None, int | None, int | No
     return rate, channels, frames, None if frames > 0 and rate > 0 else "no audio"
 
 
-def read_samples(content: bytes) -> tuple[np.ndarray, int]:
-    """Samples in -1..1 as (frames, channels), and the rate, of a readable file; one cut short gives its whole frames."""
-    with wave.open(io.BytesIO(content)) as file:
-        width, channels = file.getsampwidth(), file.getnchannels()
-        raw, rate = file.readframes(file.getnframes()), file.getframerate()
-    if width not in (1, 2, 3, 4):
-        raise wave.Error(f"sample width {width}")
-    raw = raw[: len(raw) // (width * channels) * (width * channels)]
-    if not raw:
-        raise wave.Error("no audio")
-    if width == 3:
-        bytes3 = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        whole = (bytes3[:, 0] << 8 | bytes3[:, 1] << 16 | bytes3[:, 2] << 24) >> 8
-    else:
-        whole = np.frombuffer(raw, {1: np.uint8, 2: np.int16, 4: np.int32}[width]).astype(np.int64) - (128 if width == 1 else 0)
-    return (whole / float(1 << 8 * width - 1)).astype(np.float32).reshape(-1, channels), rate
-
-
 def readable(content: bytes | None) -> tuple[np.ndarray, int, str | None]:
-    """Samples, rate and an error of one file: what can't be read gives an error, never an exception."""
-    *_, error = read_header(content)
-    if not error:
-        try:
-            return *read_samples(content), None
-        except (wave.Error, EOFError, ValueError, KeyError) as problem:
-            error = str(problem) or type(problem).__name__
-    return np.zeros((0, 1), np.float32), 0, error
+    """Samples, rate and an error of one file: what can't be read gives an error, never an exception; one cut short its whole frames."""
+    try:
+        file = PcmFile(io.BytesIO(content or b""), len(content or b""))
+        return file.read(0, file.frames), file.rate, None
+    except PROBLEMS as problem:
+        return np.zeros((0, 1), np.float32), 0, told(problem)
 
 
 def probe(files: DataFrame) -> DataFrame:
@@ -74,14 +52,8 @@ def probe(files: DataFrame) -> DataFrame:
 
 
 def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Samples at another rate: a windowed-sinc low-pass at the lower Nyquist frequency, then interpolation."""
-    if rate == to or not len(x):
-        return x.astype(np.float32)
-    cutoff = 0.5 * min(1.0, to / rate) * 0.95
-    taps = np.arange(-64, 65)
-    kernel = 2 * cutoff * np.sinc(2 * cutoff * taps) * np.hamming(len(taps))
-    smooth = np.convolve(x, kernel / kernel.sum(), mode="same") if to < rate and len(x) > len(taps) else x
-    return np.interp(np.arange(int(len(x) * to / rate)) * rate / to, np.arange(len(x)), smooth).astype(np.float32)
+    """All samples at another rate."""
+    return resampled(lambda first, count: x[first : first + count], len(x), rate, to, 0, resampled_length(len(x), rate, to))
 
 
 def stereo_samples(files: DataFrame, limit_s: float = 60.0) -> DataFrame:
@@ -98,41 +70,29 @@ def stereo_samples(files: DataFrame, limit_s: float = 60.0) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "file_id string, left double, right double")
 
 
-def decode(files: DataFrame, rate: int | None = None) -> DataFrame:
+def decode(files: DataFrame, rate: int | None = None, tail_s: float = 0.0, row_samples: int | None = None) -> DataFrame:
     """Mono samples of files(path, content), at their own rate or ``rate``, in rows of at most ROW_SAMPLES.
 
-    Unreadable files give one row with an error.
+    Each row has at least ``tail_s`` seconds of what follows beside it. Unreadable files give one row
+    with an error. ``pcm.read_pcm`` gives the same rows of files that no cell could hold.
     """
-    target = rate
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                samples, own, error = readable(content)
-                if error:
-                    none = np.zeros(0, np.float32)
-                    yield pd.DataFrame({"path": [path], "rate": [0], "channels": [0], "first": [0], "samples": [none], "tail": [none], "error": [error]})
-                    continue
-                rate, channels = target or own, samples.shape[1]
-                mono = resample(samples.mean(axis=1), own, rate)
-                for first in range(0, len(mono), ROW_SAMPLES):
-                    end = first + ROW_SAMPLES
-                    yield pd.DataFrame({"path": [path], "rate": [rate], "channels": [channels], "first": [first], "samples": [mono[first:end]], "tail": [mono[end : end + TAIL]], "error": [None]})
 
-    return files.select("path", "content").mapInPandas(run, SAMPLES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                try:
+                    file = pcm.PcmFile(io.BytesIO(content or b""), len(content or b""))
+                    yield from pcm.decoded_rows(path, file, rate, tail_s, row_samples or pcm.ROW_SAMPLES)
+                except pcm.PROBLEMS as problem:
+                    yield pcm.failed_row(path, problem)
 
-
-def long_samples(decoded: DataFrame) -> DataFrame:
-    """(file_id, i, x): one row a sample."""
-    return decoded.where(F.col("error").isNull()).select(F.col("path").alias("file_id"), "first", F.posexplode("samples").alias("k", "x")).select(
-        "file_id", (F.col("first") + F.col("k")).alias("i"), F.col("x").cast("double").alias("x")
-    )
+    return files.select("path", "content").mapInArrow(run, pcm.SAMPLES)
 
 
 def _framed(samples: np.ndarray, tail: np.ndarray, first: int, size: int, hop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A row's samples with its tail, the places in it where the frames of its own start, and their numbers in the file."""
-    if size > TAIL + 1:
-        raise ValueError(f"frames of {size} samples are longer than {TAIL + 1}")
+    if size > pcm.TAIL + 1:
+        raise ValueError(f"frames of {size} samples are longer than {pcm.TAIL + 1}")
     x = np.concatenate([np.asarray(samples, np.float64), np.asarray(tail, np.float64)])
     starts = np.arange(-first % hop, min(len(samples), len(x) - size + 1), hop)
     return x, starts, (first + starts) // hop
@@ -176,50 +136,6 @@ def mean_spectrum(decoded: DataFrame, hop: int = 512) -> DataFrame:
     return parts.groupBy("file_id", "rate", "hz").agg((F.sum("sum") / F.sum("n")).alias("power"))
 
 
-def pitch(x: np.ndarray, rate: int) -> float | None:
-    """Fundamental frequency of a frame by autocorrelation, None where it is not voiced."""
-    x = x - x.mean()
-    energy = float(x @ x)
-    if energy <= 0:
-        return None
-    shortest, longest = int(rate / PITCH_HZ[1]), min(int(rate / PITCH_HZ[0]), len(x) - 1)
-    if longest <= shortest:
-        return None
-    padded = np.fft.rfft(x, 2 * len(x))
-    lags = np.fft.irfft(padded * np.conj(padded))[: len(x)] / energy
-    best = shortest + int(np.argmax(lags[shortest : longest + 1]))
-    return rate / best if lags[best] > VOICED else None
-
-
-def pitches(decoded: DataFrame, size_s: float = 0.04, hop_s: float = 0.02) -> DataFrame:
-    """(file_id, i, f0) of the voiced frames."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, rate, first, samples, tail in zip(frame["path"], frame["rate"], frame["first"], frame["samples"], frame["tail"]):
-                size = int(size_s * rate)
-                x, starts, at = _framed(samples, tail, int(first), size, max(1, int(hop_s * rate)))
-                found = [(i, pitch(x[k : k + size], int(rate))) for k, i in zip(starts.tolist(), at.tolist())]
-                yield pd.DataFrame([(path, i, f0) for i, f0 in found if f0 is not None], columns=["file_id", "i", "f0"]).astype({"i": "int64", "f0": "float64"})
-
-    return decoded.where(F.col("error").isNull()).select("path", "rate", "first", "samples", "tail").mapInPandas(run, "file_id string, i long, f0 double")
-
-
-def band_power(decoded: DataFrame, low: float = 200.0, high: float = 7000.0, hop: int = 256) -> DataFrame:
-    """(file_id, i, band, power): power of each frame in each frequency of the band, over all of a file."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, rate, first, samples, tail in zip(frame["path"], frame["rate"], frame["first"], frame["samples"], frame["tail"]):
-                x, starts, at = _framed(samples, tail, int(first), NFFT, hop)
-                hz, power = spectrum(x, int(rate), starts)
-                kept = np.flatnonzero((hz >= low) & (hz <= min(high, 0.95 * rate / 2)))
-                if len(power) and len(kept):
-                    yield pd.DataFrame({"file_id": path, "i": np.repeat(at, len(kept)), "band": np.tile(kept, len(at)), "power": power[:, kept].ravel()})
-
-    return decoded.where(F.col("error").isNull()).select("path", "rate", "first", "samples", "tail").mapInPandas(run, "file_id string, i long, band int, power double")
-
-
 def modulation(levels: np.ndarray, frames_s: float) -> float:
     """Share of an envelope's spectrum that lies between 2 and 8 Hz: the rate of syllables; 0 below 32 frames."""
     moved = levels - levels.mean() if len(levels) >= 32 else np.zeros(0)

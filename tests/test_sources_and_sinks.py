@@ -12,11 +12,11 @@ import yaml
 from pyspark.sql import functions as F
 from recordlens import cli, sinks
 from recordlens.config import TUNED, Thresholds, from_mapping, read_thresholds, to_mapping, write_thresholds
-from recordlens.operators import jobs, quality, windows
+from recordlens.operators import jobs, quality, samples, windows
+from recordlens.plans.impairment import impairments
 from recordlens.plans.pipeline import ORDER, Estimates, Stub, analyse, build, requested
-from recordlens.plans.noise import noise_terms
 from recordlens.plans.prosody import prosody
-from recordlens.sources import archive, audio, manifest
+from recordlens.sources import archive, audio, manifest, pcm
 from recordlens.streaming.sessions import sessions
 
 
@@ -85,9 +85,7 @@ def test_wav(spark):
     assert heads["tone"]["duration_s"] == 1.0 and heads["stereo"]["channels"] == 2
     assert all(heads[p]["error"] for p in ("text", "none", "empty"))
     decoded = audio.decode(files).cache()
-    level = {r["file_id"]: r for r in quality.file_level(audio.long_samples(decoded)).collect()}
-    assert abs(level["tone"]["rms"] - 0.5 / np.sqrt(2)) < 1e-3
-    f0 = [r["f0"] for r in audio.pitches(decoded).where("file_id = 'tone'").collect()]
+    f0 = [r["f0"] for r in audio.voice_frames(decoded, 0.04, 0.02).where("file_id = 'tone' and f0 is not null").collect()]
     assert len(f0) > 10 and abs(np.median(f0) - 200) < 5
     shape = {r["file_id"]: r for r in windows.spectral_shape(audio.mean_spectrum(decoded), 1000.0, 4000.0).collect()}
     assert shape["tone"]["low_share"] > 0.95 and shape["tone"]["flatness"] < 0.01
@@ -96,9 +94,6 @@ def test_wav(spark):
     assert slow["rate"] == 8000 and len(slow["samples"]) == 8000 and abs(np.std(slow["samples"]) - 0.3535) < 0.01
     stereo = {r["file_id"]: r for r in windows.channel_correlation(audio.stereo_samples(files)).collect()}
     assert list(stereo) == ["stereo"] and stereo["stereo"]["true_stereo"] and abs(stereo["stereo"]["channel_corr"] + 1) < 1e-3
-    power = audio.band_power(decoded.where("path = 'tone'"))
-    level = windows.noise_level(power, power.select("file_id", "i").distinct(), 8).first()["noise_level_db"]
-    assert -3.0 < level <= 0.0  # a steady tone is all floor
     assert audio.modulation(np.sin(2 * np.pi * 4 * np.arange(500) / 100), 100) > 0.9
     noisy = audio.mix_at_snr(tone, np.random.default_rng(0).standard_normal(1000), 10.0)
     assert np.abs(noisy).max() <= 0.9500001
@@ -106,7 +101,7 @@ def test_wav(spark):
 
 def test_frames_over_row_borders(spark):
     """Rows of a long file give the frames of one pass over all of its samples."""
-    x = np.random.default_rng(3).standard_normal(3 * audio.ROW_SAMPLES + 777) * 0.1
+    x = np.random.default_rng(3).standard_normal(3 * pcm.ROW_SAMPLES + 777) * 0.1
     decoded = audio.decode(spark.createDataFrame([("long", bytearray(wav(x)))], "path string, content binary")).cache()
     assert decoded.count() == 4
     mono = np.concatenate([r["samples"] for r in decoded.orderBy("first").collect()]).astype(float)
@@ -114,15 +109,11 @@ def test_frames_over_row_borders(spark):
     windows_ = np.lib.stride_tricks.sliding_window_view(mono, 400)[::160]
     levels = {r["i"]: r["rms"] for r in audio.frame_levels(decoded, 400, 160).collect()}
     assert np.allclose([levels[i] for i in range(len(windows_))], np.sqrt((windows_**2).mean(axis=1))) and len(levels) == len(windows_)
-    hz, power = audio.spectrum(mono, 16000, slice(None, None, 256))
-    kept = np.flatnonzero((hz >= 200) & (hz <= 7000))
-    found = audio.band_power(decoded).toPandas()
-    wide = found.pivot(index="i", columns="band", values="power")
-    assert wide.shape == (len(power), len(kept)) and np.allclose(wide.to_numpy(), power[:, kept])
+    hz = audio.spectrum(mono, 16000, slice(0, 1))[0]
     mean = {r["hz"]: r["power"] for r in audio.mean_spectrum(decoded, 512).collect()}
     assert np.allclose([mean[h] for h in hz], audio.spectrum(mono, 16000, slice(None, None, 512))[1].mean(axis=0))
-    tone = np.sin(2 * np.pi * 150 * np.arange(2 * audio.ROW_SAMPLES) / 16000)
-    steady = audio.pitches(audio.decode(spark.createDataFrame([("tone", bytearray(wav(tone)))], "path string, content binary")))
+    tone = np.sin(2 * np.pi * 150 * np.arange(2 * pcm.ROW_SAMPLES) / 16000)
+    steady = audio.voice_frames(audio.decode(spark.createDataFrame([("tone", bytearray(wav(tone)))], "path string, content binary")), 0.04, 0.02).where("f0 is not null")
     assert [r["i"] for r in steady.orderBy("i").collect()] == list(range((len(tone) - 640) // 320 + 1))
 
 
@@ -148,52 +139,23 @@ def test_holes_against_speech_only(spark):
     assert quality.dropouts(deep, speech, 0.01).count() == 1
 
 
-def test_clipping(spark):
-    x = np.clip(1.4 * np.sin(np.arange(2000) / 20), -1, 1)
-    rows = spark.createDataFrame([("sq", i, float(v)) for i, v in enumerate(x)] + [("sine", i, float(np.sin(i / 20) * 0.5)) for i in range(2000)], "file_id string, i long, x double")
-    runs = quality.clipped_runs(rows).groupBy("file_id").count().collect()
-    assert {r["file_id"] for r in runs} >= {"sq"} and all(r["file_id"] == "sq" or r["count"] < 40 for r in runs)
+def test_holes_in_speech(spark):
     holes = spark.createDataFrame([(1, i, 1e-6 if 40 <= i < 46 else 0.1) for i in range(100)], "file_id long, i long, rms double")
     speech = spark.createDataFrame([(1, 0.0, 1.0)], "file_id long, start_s double, end_s double")
     assert quality.dropouts(holes, speech, 0.01).count() == 1
 
 
-def test_clipped_runs_by_hand(spark):
-    x = [0.1, 1.0, 1.0, 1.0, 0.2, 1.0, 1.0, -1.0, -1.0, -1.0, -0.9995, 0.0]
-    rows = spark.createDataFrame([(f, i, v * scale) for f, scale in (("a", 1.0), ("quiet", 0.0)) for i, v in enumerate(x)], "file_id string, i long, x double")
-    # from 5 to 10 the magnitudes are flat, whatever their signs
-    assert sorted(tuple(r) for r in quality.clipped_runs(rows).collect()) == [("a", 1, 3, 3), ("a", 5, 10, 6)]
-    flat = spark.createDataFrame([("b", i, v) for i, v in enumerate([0.0, 1.0, 0.0, 0.99, 0.99, 0.9895, 0.0])], "file_id string, i long, x double")
-    assert [tuple(r) for r in quality.clipped_runs(flat).collect()] == [("b", 3, 5, 3)]
-
-
 def test_bandwidth(spark):
     wide = np.random.default_rng(1).standard_normal(48000) * 0.1
     power = np.fft.rfft(wide)
     power[np.fft.rfftfreq(48000, 1 / 48000) > 3000] = 0
     narrow = np.fft.irfft(power)
     files = [("wide", wav(wide, 48000)), ("narrow", wav(narrow, 48000)), ("phone", wav(wide[:8000], 8000)), ("short", wav(wide[:100], 48000))]
-    decoded = audio.decode(spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary"))
-    found = {r["file_id"]: r["bandwidth"] for r in quality.bandwidth(audio.mean_spectrum(decoded)).collect()}
-    assert found["wide"] == 0.0 and found["narrow"] == 1.0 and 0.5 < found["phone"] < 0.56 and "short" not in found
-    scores = {r["name"]: r["degradation_score"] for r in cli.measured(decoded).collect()}
-    assert scores["wide"] < 0.1 < scores["phone"] < scores["narrow"] and set(scores) == {p for p, _ in files}
-
-
-def test_noise_of_recordings(spark):
-    rng, t = np.random.default_rng(2), np.arange(16000 * 4) / 16000
-    speech = np.where((t % 2 < 1.5), 0.3 * np.sin(2 * np.pi * 500 * t), 0.0)
-    files = [("clean", wav(speech + 1e-4 * rng.standard_normal(len(t)))), ("noisy", wav(speech + 0.05 * rng.standard_normal(len(t)))), ("short", wav(speech[:8000]))]
-    decoded = audio.decode(spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary"), 16000)
-    found = {r["name"]: r["noise_level_db"] for r in cli.noise(decoded).collect()}
-    assert set(found) == {"clean", "noisy", "short"} and found["clean"] + 10 < found["noisy"] <= 0
-    x = np.concatenate([np.asarray(r["samples"], np.float64) for r in decoded.where("path = 'short'").collect()])
-    hz, power = audio.spectrum(x, 16000, slice(None, None, 256))
-    band = power[:, (hz >= 200) & (hz <= 7000)]
-    half = len(band) // 2  # a recording shorter than the window has minima over half of its frames
-    floors = np.array([band[k : k + half].min(axis=0).sum() * 1.5 for k in range(len(band) - half + 1)])
-    want = 10 * np.log10(np.percentile(floors, 90) + 1e-30) - 10 * np.log10(np.median(band.sum(axis=1)) + 1e-30)
-    assert abs(found["short"] - np.clip(want, -90, 0)) < 0.01
+    decoded = audio.decode(spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary"), None, samples.TAIL_S, samples.ROW_SAMPLES)
+    scores = {r["file_id"]: r for r in impairments(samples.measured_rows(decoded), decoded).collect()}
+    found = {n: r["bandwidth"] for n, r in scores.items()}
+    assert found["wide"] == 0.0 and found["narrow"] == 1.0 and 0.5 < found["phone"] < 0.56 and found["short"] == 0.0
+    assert scores["wide"]["degradation_score"] < 0.1 < scores["phone"]["degradation_score"] < scores["narrow"]["degradation_score"]
 
 
 def test_pipeline_and_sinks(spark, tmp_path):
@@ -242,6 +204,42 @@ def test_command_line(spark, tmp_path):
     assert cli.main([str(tmp_path / "none")], spark) == 1
 
 
+def test_command_line_with_models_outside(spark, tmp_path):
+    """Regions, windows, utterances, classes and words given: dropouts, roles and tone are measured too."""
+    rng, t = np.random.default_rng(6), np.arange(16000 * 8) / 16000
+    (tmp_path / "in").mkdir()
+    speech = [(0.5 + 1.8 * k, 2.0 + 1.8 * k, k % 2) for k in range(4)]
+    x = 1e-4 * rng.standard_normal(len(t))
+    for a, b, voice in speech:
+        n = int(b * 16000) - int(a * 16000)
+        x[int(a * 16000) : int(a * 16000) + n] += (0.1 + 0.1 * voice) * np.sin(2 * np.pi * (150 + 80 * voice) * t[:n]) + 0.02 * rng.standard_normal(n)
+    holed = x.copy()
+    for a, b, _ in speech:
+        for at in np.arange(a + 0.1, b - 0.1, 0.15):
+            holed[int(at * 16000) : int(at * 16000) + 400] = 0.0
+    (tmp_path / "in" / "good.wav").write_bytes(wav(x))
+    (tmp_path / "in" / "holes.wav").write_bytes(wav(holed))
+    rows = {what: [] for what in ("regions", "windows", "utterances", "classes", "words")}
+    for n in ("good.wav", "holes.wav"):
+        rows["classes"] += [(n, "ang", 0.4), (n, "neu", 0.6)]
+        rows["words"].append((n, -0.9))
+        for k, (a, b, voice) in enumerate(speech):
+            vec = [1.0, 0.1 * k] if voice else [0.05 * k, 1.0]
+            rows["regions"].append((n, a, b))
+            rows["windows"] += [(n, a + 0.6 * j, a + 0.6 * j + 0.9, vec) for j in range(2)]
+            rows["utterances"].append((n, a, b, "I want my car" if voice else "thank you for calling, how can I help", vec))
+    kinds = {"regions": "start_s double, end_s double", "windows": "start_s double, end_s double, embedding array<double>", "utterances": "start_s double, end_s double, text string, embedding array<double>", "classes": "label string, p double", "words": "lexical double"}
+    for what, held in rows.items():
+        spark.createDataFrame(held, f"name string, {kinds[what]}").write.parquet(str(tmp_path / what))
+    code = cli.main([str(tmp_path / "in"), "--out", str(tmp_path / "out"), *[x for what in rows for x in (f"--{what}", str(tmp_path / what))]], spark)
+    assert code == 0
+    found = {r["name"]: r for r in spark.read.parquet(str(tmp_path / "out" / "results.parquet")).collect()}
+    assert found["holes.wav"]["degradation_score"] > found["good.wav"]["degradation_score"] + 0.5
+    for r in found.values():
+        assert r["n_speakers"] == 2 and r["role_confidence"] > 0.5 and abs(r["customer_speech_s"] - 3.0) < 0.02
+        assert r["valence_source"] == "fused" and r["valence"] < -0.6 and abs(r["speech_ratio"] - 0.75) < 1e-6 and r["noise_level_db"] is not None
+
+
 @pytest.mark.parametrize("late", [None, "1 hour"])
 def test_sessions(spark, tmp_path, late):
     rows = [(1, f"2024-01-01 00:0{m}:00") for m in (0, 1, 2, 8, 9)] + [(2, "2024-01-01 00:00:00")]
@@ -307,18 +305,3 @@ def test_prosody(spark):
     assert abs(row["arousal"] - np.clip(2 * np.dot(unit, [0.3, 0.3, 0.2, 0.2]) - 1, -1, 1)) < 1e-6
     assert found["short"]["arousal"] == 0.0 and found["short"]["rate"] is None
     assert found["silent"]["level_sd"] == 0.0 and found["silent"]["arousal"] == -1.0 + 2 * 0.2 * 1.0
-
-
-def test_noise_terms(spark):
-    """White noise is static, a mains tone hum, noise below 300 Hz road noise; a short recording has no term."""
-    rng, t = np.random.default_rng(4), np.arange(80_000) / 16000
-    white = 0.1 * rng.standard_normal(len(t))
-    spectrum = np.fft.rfft(white)
-    spectrum[np.fft.rfftfreq(len(t), 1 / 16000) > 300] *= 0.001
-    files = [("static", wav(white)), ("road", wav(np.fft.irfft(spectrum))), ("hum", wav(0.3 * np.sin(2 * np.pi * 180 * t) + 0.3 * np.sin(2 * np.pi * 120 * t))), ("short", wav(white[:16_000]))]
-    decoded = audio.decode(spark.createDataFrame([(n, bytearray(c)) for n, c in files], "path string, content binary"), 16000).cache()
-    found = {r["file_id"]: r["noise_class_dist"] for r in noise_terms(decoded).collect()}
-    assert found["static"] == {"static": 1.0} and "road noise" in found["road"] and "short" not in found
-    votes = spark.createDataFrame([("static", "music", 0.8), ("short", "music", 0.2)], "file_id string, term string, score double")
-    both = {r["file_id"]: r["noise_class_dist"] for r in noise_terms(decoded, votes).collect()}
-    assert both["short"] == {"music": 1.0} and 0.6 < both["static"]["music"] < 0.8 and abs(sum(both["static"].values()) - 1) < 1e-3
