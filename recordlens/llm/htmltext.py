@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -34,19 +36,26 @@ IMPLIED = {
 }
 #: End tags of other elements don't reach through an open one of these.
 SCOPE = "td th caption table ul ol dl button object template".split()
-#: Words of a block's class, id or role that mark a part of the page as not of the article.
+#: Words of a block's class, id or role that mark a part of the page as not of the article: of readers, and of the site.
+COMMENTS = "comment comments commentlist disqus discussion replies reply respond".split()
 MARKED = (
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall sidebar "
+    "banner notice notices notification alert popup modal overlay paywall sidebar "
     "sidenav rail nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer foot "
-    "comment comments commentlist disqus discussion replies reply respond share sharing social related "
-    "recommended newsletter subscribe subscription signup login search pagination pager toolbar widget "
-    "complementary contentinfo"
+    "share sharing social related recommended newsletter subscribe subscription signup login search "
+    "pagination pager toolbar widget complementary contentinfo"
 ).split()
-#: A class of these tells what a part has around it, not what it is.
-STATES = ("no-", "has-", "with-", "without-")
+#: These mark a part wherever they stand in its name, as in ad-300x250.
+ANYWHERE = "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr".split()
+#: What a name may end in without being about it: sidebar-right is a sidebar, social-impact is no matter of sharing.
+ENDINGS = (
+    "left right top bottom main primary secondary inner outer wrapper wrap container area box block section list item items "
+    "widget content text link links bar row col column region form button buttons icon icons slot unit zone holder panel "
+    "group posts articles stories news media"
+).split()
+#: A class with these tells what a part has around it, not what it is.
+STATES = ("no", "has", "with", "without")
 
-_MARKS, _BLOCKS, _VOIDS, _SCOPES = frozenset(MARKED), frozenset(BLOCK), frozenset(VOID), frozenset(SCOPE)
+_BLOCKS, _VOIDS, _SCOPES = frozenset(BLOCK), frozenset(VOID), frozenset(SCOPE)
 _MARKABLE = _BLOCKS - frozenset([*HEADING, *MAIN, "html", "body"])
 #: What is dropped even where a page has no large area outside of dropped parts.
 _ALWAYS = frozenset(["template", "svg", "object", "canvas", "nav", "footer", "select", "dialog"])
@@ -64,28 +73,44 @@ _SPACE = re.compile(r"\s+")
 
 
 class Token(NamedTuple):
-    """A stretch of text (``text``), or a start or end tag; ``why`` tells why a start tag opens a dropped part."""
+    """A stretch of text (``text``), or a start or end tag; ``why`` tells why a start tag opens a dropped part,
+    ``teaser`` whether a main element has the name of something else."""
 
     name: str = ""
     text: str = ""
     end: bool = False
     closed: bool = False
     why: str = ""
+    teaser: bool = False
+
+
+@lru_cache(maxsize=10_000)
+def name_marks(name: str) -> str:
+    """'comments', 'marked' or nothing for one class name, id or role in lower case: by its last word but ENDINGS."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    if not words or any(w in STATES for w in words[:-1]):
+        return ""
+    if any(w in ANYWHERE for w in words):
+        return "marked"
+    while len(words) > 1 and words[-1] in ENDINGS:
+        words.pop()
+    return "comments" if words[-1] in COMMENTS else "marked" if words[-1] in MARKED else ""
+
+
+def _marks(attributes: dict[str, str]) -> str:
+    found = {name_marks(n) for key in ("class", "id", "role") for n in attributes.get(key, "").lower().split()}
+    return "comments" if "comments" in found else "marked" if "marked" in found else ""
 
 
 def _why_dropped(name: str, attributes: dict[str, str]) -> str:
-    """'element', 'hidden', 'marked', or nothing where the part stays."""
+    """'element', 'hidden', 'comments', 'marked', or nothing where the part stays."""
     if name not in ("html", "body"):
         hidden = attributes.get("hidden", "until-found").lower() != "until-found" or attributes.get("aria-hidden", "").lower() == "true"
         if hidden or _NO_DISPLAY.search(attributes.get("style", "")):
             return "hidden"
     if name in DROPPED:
         return "element"
-    if name in _MARKABLE:
-        names = " ".join(attributes.get(key, "") for key in ("class", "id", "role")).lower().split()
-        if any(word in _MARKS for n in names if not n.startswith(STATES) for word in re.split(r"[^a-z]+", n)):
-            return "marked"
-    return ""
+    return _marks(attributes) if name in _MARKABLE else ""
 
 
 def tokens(page: str) -> list[Token]:
@@ -126,7 +151,7 @@ def tokens(page: str) -> list[Token]:
             at = end.start() if end else len(page)
             found.append(Token(name, closed=True))
         else:
-            found.append(Token(name, closed=closed, why=_why_dropped(name, attributes)))
+            found.append(Token(name, closed=closed, why=_why_dropped(name, attributes), teaser=name in MAIN and bool(_marks(attributes))))
     if at < len(page):
         found.append(Token(text=entities.unescape(page[at:])))
     return found
@@ -163,7 +188,7 @@ def part_ends(page: list[Token]) -> dict[int, int]:
                 pop(end - explicit, False)
             pop(end, explicit)
 
-    for k, (name, _, end, closed, why) in enumerate(page):
+    for k, (name, _, end, closed, why, _) in enumerate(page):
         block = name in _BLOCKS or name in DROPPED
         if not name or name in _VOIDS or not (block or why or end):
             continue
@@ -199,25 +224,24 @@ def part_ends(page: list[Token]) -> dict[int, int]:
 
 
 class Line(NamedTuple):
-    """A block's text, how much of it is outside links, the main element around it, and whether a
-    dropped part (else only the border of a main element) lies before it."""
+    """A block's text, how much of it is outside links, the main element around it, whether a dropped
+    part (else only the border of a main element) lies before it, whether it is a heading, and its last token."""
 
     text: str
     weight: int
     root: int
     after_part: bool
     heading: bool
+    at: int
 
 
-def page_lines(page: str, strict: bool = True) -> tuple[list[Line | None], list[int]]:
+def page_lines(read: list[Token], ends: dict[int, int], kept: frozenset[int] = frozenset()) -> tuple[list[Line | None], list[int]]:
     """Lines of text in page order, and the parent of each main element (0 is none).
 
     Markup is stripped and block elements end lines. A dropped part and the border of a main
-    element leave WINDOW lines of None, so no window reaches over them. Without ``strict`` only the
-    parts that never hold an article are dropped.
+    element leave WINDOW lines of None, so no window reaches over them. The parts in ``kept``, by
+    their start tags, are not dropped.
     """
-    read = tokens(page)
-    ends = part_ends(read)
     lines: list[Line | None] = []
     parents, roots = [0], [0]
     names: list[str] = []
@@ -229,7 +253,7 @@ def page_lines(page: str, strict: bool = True) -> tuple[list[Line | None], list[
         nonlocal weight, part, heading
         text = _SPACE.sub(" ", "".join(piece)).strip()
         if text:
-            lines.append(Line(text, min(weight, len(text)), roots[-1], part, heading))
+            lines.append(Line(text, min(weight, len(text)), roots[-1], part, heading, k))
             part = False
         piece.clear()
         weight, heading = 0, False
@@ -240,11 +264,11 @@ def page_lines(page: str, strict: bool = True) -> tuple[list[Line | None], list[
 
     k = 0
     while k < len(read):
-        name, text, end, _, why = read[k]
+        name, text, end, _, why, _ = read[k]
         if not name:
             piece.append(text)
             weight += 0 if link else len(text.strip())
-        elif why and (strict or why == "hidden" or name in _ALWAYS):
+        elif why and k not in kept:
             close()
             gap()
             part = True
@@ -304,7 +328,8 @@ def areas(lines: list[Line | None]) -> list[Area]:
 def _chosen(found: list[Area], parents: list[int]) -> list[Line]:
     most = max((area.peak for area in found), default=0)
     least = max(min(SURGE, most), most / 5)
-    large = [k for k, area in enumerate(found) if area.peak >= least]
+    # few lines, such as a title and a sentence, are a part of the article only if they are as much as two thirds of its best
+    large = [k for k, area in enumerate(found) if area.peak >= (least if len(area.lines) >= WINDOW or not area.lines[0].root else max(least, most * 2 / 3))]
     if not large:
         return []
     root = [area.lines[0].root for area in found]
@@ -321,7 +346,16 @@ def _chosen(found: list[Area], parents: list[int]) -> list[Line]:
             for k in order:
                 if k in kept and root[k + step] in around and joins[max(k, k + step)]:
                     kept.add(k + step)
-        return [line for k in sorted(kept) for line in found[k].lines]
+        out = []
+        for k in range(len(found)):
+            if k in kept:
+                out += found[k].lines
+            elif k + 1 in kept and joins[k + 1] and k + 1 in large and root[k] in (0, *around):  # headings right before the article
+                n = len(found[k].lines)
+                while n and found[k].lines[n - 1].heading:
+                    n -= 1
+                out += found[k].lines[n:]
+        return out
     first, last = large[0], large[-1]
     while first and joins[first] and not root[first - 1]:
         first -= 1
@@ -336,24 +370,59 @@ def _chosen(found: list[Area], parents: list[int]) -> list[Line]:
     return held
 
 
+def _surge_at(lines: list[Line | None], barred: list[tuple[int, int]]) -> int | None:
+    """The token at the highest window of the lines outside of ``barred`` stretches; None without a surge."""
+    at = [line is not None and not any(a <= line.at < b for a, b in barred) for line in lines]
+    sizes = [line.weight if line and good else 0 for line, good in zip(lines, at)]
+    best, place, held = 0, None, 0
+    for k, size in enumerate(sizes):
+        held += size - (sizes[k - WINDOW] if k >= WINDOW else 0)
+        if held > best and size:
+            best, place = held, lines[k].at
+    return place if best >= SURGE else None
+
+
 def main_text(page: str | None) -> str:
     """The article of one page; its blocks are joined by newlines.
 
     Sums of text lengths over sliding windows of lines surge where text begins and dive to nothing
     at dropped parts and at the borders of main elements. The stretch between a surge and its dive
-    is an area, large if its highest window is a surge and at least a fifth of the page's highest.
+    is an area, large if its highest window is a surge and at least a fifth of the page's highest (of few
+    lines in a main element: two thirds).
     If the highest is in a main element, the article is every main element with a large area,
-    short areas in it included, and what borders it in the main elements around; other main
+    short areas in it included, what borders it in the main elements around, and headings right before it; other main
     elements, such as teasers, go. On other pages it is all from the first to the last large area
-    and what borders them with no dropped part between. A page without a surge is read again with
-    class words, forms, asides and headers kept.
+    and what borders them with no dropped part between.
+
+    Class words drop a part, but the windows of the whole page, readers' comments left out, overrule them: a part around
+    the page's highest window that holds a main element stays, and so does one in a main element with a heading of
+    the first level. If nothing that is left has a surge, all parts around the highest window stay,
+    asides, forms and headers too; parts beside it still go.
     """
-    lines, parents = page_lines(page or "")
+    read = tokens(page or "")
+    ends = part_ends(read)
+    soft = [k for k in ends if read[k].why == "marked" or read[k].why == "element" and read[k].name not in _ALWAYS]
+    kept: frozenset[int] = frozenset()
+    around: list[int] = []
+    if soft:
+        barred = [(k, ends[k]) for k in ends if read[k].why == "comments"]
+        surge = _surge_at(page_lines(read, ends, frozenset(soft))[0], barred)
+        around = [k for k in soft if surge is not None and k < surge <= ends[k]]
+        mains = [k for k, t in enumerate(read) if t.name in MAIN and not t.end and not t.teaser]
+        open_, inside = 0, set()
+        for k, t in enumerate(read):
+            if t.name in MAIN and not t.teaser:
+                open_ = max(0, open_ + (-1 if t.end else 1))
+            if open_ and k in ends:
+                inside.add(k)
+        titles = [k for k, t in enumerate(read) if t.name == "h1" and not t.end]
+        within = lambda places, k: (n := bisect_left(places, k)) < len(places) and places[n] < ends[k]
+        kept = frozenset(k for k in soft if read[k].why == "marked" and ((k in around and within(mains, k)) or (k in inside and within(titles, k))))
+    lines, parents = page_lines(read, ends, kept)
     found = areas(lines)
-    if max((area.peak for area in found), default=0) < SURGE:
-        again, others = page_lines(page or "", strict=False)
-        if max((area.peak for area in areas(again)), default=0) >= SURGE:
-            found, parents = areas(again), others
+    if around and max((area.peak for area in found), default=0) < SURGE:
+        lines, parents = page_lines(read, ends, kept.union(around))
+        found = areas(lines)
     return "\n".join(line.text for line in _chosen(found, parents))
 
 

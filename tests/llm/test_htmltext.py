@@ -1,6 +1,7 @@
 """Main text of pages, made up and from the test tables."""
 
 import html
+import random
 import re
 import time
 
@@ -141,3 +142,53 @@ def test_linear_in_length(piece):
     began = time.process_time()
     htmltext.main_text(piece * 10_000)
     assert time.process_time() - began < 3  # about half a second; a quadratic reading takes a minute
+
+
+SENTENCES = [f"Sentence {k} of the article says a good deal about its matter, at some length and without a link." for k in range(8)]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in SENTENCES)
+TEXT = "\n".join(SENTENCES)
+REST = '<div class="footer">Imprint and terms of a long footer that says who made the page, and when it was made, and why.</div>'
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f'<div class="layout sidebar-right"><article>{PARAGRAPHS}</article></div>{REST}', TEXT),
+        (f'<div class="page-with-sidebar"><article>{PARAGRAPHS}</article><div class="sidebar">Links of the side</div></div>{REST}', TEXT),
+        (f'<article><div class="article-header"><h1>The Title</h1></div>{PARAGRAPHS}</article>', "The Title\n" + TEXT),
+        (f'<article>{PARAGRAPHS}<p class="social-impact">Impact</p><p class="related-work">Work</p></article>', TEXT + "\nImpact\nWork"),
+        (f"<h1>Headline</h1><article>{PARAGRAPHS}</article>", "Headline\n" + TEXT),
+        (f"<nav>Menu</nav><p>Home</p><h1>Headline</h1><article>{PARAGRAPHS}</article>", "Headline\n" + TEXT),
+        (f'<div class="wrapper sticky-header"><div>{PARAGRAPHS}</div><div class="comments">{"<p>A reader says this, and a lot more than that, at length and in anger.</p>" * 9}</div><div class="sidebar">Side</div></div>', TEXT),
+        (f'<div class="page-with-sidebar">{PARAGRAPHS}<div class="sidebar">Side</div></div>{REST}', TEXT),
+        (f"<article>{PARAGRAPHS}</article><article><h2>Other</h2><p>{'One long sentence that wants to be read on another page of this site. ' * 2}</p></article>", TEXT),
+        (f'<article>{PARAGRAPHS}</article><section class="comments"><article class="comment">{PARAGRAPHS}{PARAGRAPHS}</article></section>', TEXT),
+        (f'<div class="ad-300x250">{PARAGRAPHS}</div><article>{PARAGRAPHS}</article><div class="related-posts">{PARAGRAPHS}</div>', TEXT),
+    ],
+)
+def test_wrappers_titles_and_teasers(page, want):
+    assert htmltext.main_text(page) == want
+
+
+@pytest.mark.parametrize("name, mark", [("sidebar-right", "marked"), ("social-impact", ""), ("post-comments", "comments"), ("ad-300x250", "marked"), ("no-sidebar", ""), ("page-with-sidebar", ""), ("comment-form", "comments"), ("related-posts", "marked"), ("headered", ""), ("", "")])
+def test_name_marks(name, mark):
+    assert htmltext.name_marks(name) == mark
+
+
+def made_pages():
+    """Pages without a main element: which of two stretches of text is the article only their lengths over lines tell."""
+    draw = random.Random(4)
+    for k in range(60):
+        words = lambda n: " ".join(draw.choice(["plain", "words", "of", "some", "length", "here"]) for _ in range(n))  # noqa: E731,B023
+        article = [words(draw.randrange(20, 60)) for _ in range(draw.randrange(3, 8))]
+        short = [words(draw.randrange(1, 4)) for _ in range(draw.randrange(2, 6))]
+        before, after = short[: len(short) // 2], short[len(short) // 2 :]
+        gap = '<div class="menu">Menu</div>'
+        yield gap.join(["".join(f"<div>{x}</div>" for x in part) for part in (before, article, after)]), "\n".join(article)
+
+
+def test_windows_decide_on_pages_without_main_elements(monkeypatch):
+    pages = list(made_pages())
+    assert all(htmltext.main_text(page) == want for page, want in pages)
+    monkeypatch.setattr(htmltext, "areas", lambda lines, own=htmltext.areas: [a._replace(peak=1000) for a in own(lines)])
+    assert sum(htmltext.main_text(page) != want for page, want in pages) > 50
