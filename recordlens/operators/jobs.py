@@ -12,10 +12,11 @@ KEPT_JOBS, RETENTION_S = 40, 3600.0
 
 
 def stage_totals(results: DataFrame) -> DataFrame:
-    """Seconds of each stage over results(stage_times map, audio_s), and their real-time factor."""
-    audio = results.agg(F.sum("audio_s")).first()[0]  # one number
+    """Seconds of each stage over results(stage_times map, audio_s), and their real-time factor, the longest first."""
+    audio = results.agg(F.sum("audio_s")).scalar()  # a subquery of one number
     times = results.select(F.explode("stage_times").alias("stage", "seconds")).groupBy("stage").agg(F.sum("seconds").alias("total_s"))
-    return times.select("stage", "total_s", real_time_factor(F.col("total_s"), F.lit(audio)).alias("rtf"))
+    timed = times.withColumn("_audio", audio).select("stage", "total_s", real_time_factor(F.col("total_s"), F.col("_audio")).alias("rtf"))
+    return timed.orderBy(F.col("total_s").desc(), "stage")
 
 
 def batch_summary(results: DataFrame, *keys: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordlens.operators.score import macro_f1
+from recordlens.shared import cut
 
 #: A grid is a driver-side list of at most this many candidates.
 MOST_CANDIDATES = 1024
@@ -19,9 +23,15 @@ def candidates(values: list[float]) -> Column:
 
 
 def folds(groups: DataFrame, k: int) -> DataFrame:
-    """Fold of each distinct group: every k-th in order. The groups alone, not their rows, are numbered in one task."""
-    order = groups.select("grp").distinct()
-    return order.withColumn("fold", (F.row_number().over(Window.orderBy("grp")) - 1) % k)
+    """Fold of each distinct group: every k-th in order.
+
+    Groups are dealt into ranges and numbered within each; only the ranges' sizes meet in one task.
+    """
+    ranged = cut(groups.select("grp").distinct().repartitionByRange("grp").withColumn("_part", F.spark_partition_id()))
+    order = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
+    numbered = ranged.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy("grp")) - 1)
+    return numbered.join(before, "_part").select("grp", ((F.col("_row") + F.col("_before")) % k).cast("int").alias("fold"))
 
 
 def grid_scores(rows: DataFrame, values: list[float], decide, *keys: str) -> DataFrame:
@@ -42,3 +52,72 @@ def grouped_mean(scores: DataFrame) -> DataFrame:
 def best(scores: DataFrame, by: str) -> DataFrame:
     """The best candidate; of equal ones the smallest."""
     return scores.orderBy(F.col(by).desc(), "candidate").limit(1)
+
+
+# -- coordinate descent ---------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Search:
+    """A field's decision by edges on one estimate: ``labels[k]`` lies below edge k, the last above all."""
+
+    field: str
+    labels: tuple[str, ...]
+    edges: tuple[float, ...]
+    grid: tuple[float, ...]
+
+
+def binned_counts(rows: DataFrame, grid: tuple[float, ...], *keys: str) -> DataFrame:
+    """``(keys, truth, bin, n)`` of rows(keys, truth, value): how many values lie between two candidates; null has bin -1.
+
+    Whatever edges are taken from the grid, a decision depends on the bin alone, so this one table, a row for each
+    key, truth and bin, stands for all rows from here on.
+    """
+    if len(grid) > MOST_CANDIDATES:
+        raise ValueError(f"{len(grid)} candidates; at most {MOST_CANDIDATES}")
+    edges = F.array(*[F.lit(float(g)) for g in sorted(grid)])
+    bin_ = F.when(F.col("value").isNull(), -1).otherwise(F.size(F.filter(edges, lambda g: g <= F.col("value"))))
+    return rows.select(*keys, "truth", bin_.alias("bin")).groupBy(*keys, "truth", "bin").agg(F.count("*").alias("n"))
+
+
+def _macro_f1(counts: dict[tuple[str, int], int], labels: tuple[str, ...], cuts: list[int], missing: str) -> float:
+    """Macro F1 over the classes in truth or prediction, from (truth, bin) counts; ``cuts`` are the edges' places in the grid."""
+    hit: Counter[str] = Counter()
+    true: Counter[str] = Counter()
+    said: Counter[str] = Counter()
+    for (truth, bin_), n in counts.items():
+        label = missing if bin_ < 0 else labels[sum(bin_ > c for c in cuts)]
+        true[truth] += n
+        said[label] += n
+        hit[truth] += n if label == truth else 0
+    classes = [c for c in set(true) | set(said) if true[c] + said[c]]
+    return sum(2 * hit[c] / (true[c] + said[c]) for c in classes) / len(classes) if classes else 0.0
+
+
+def descend(rows: DataFrame, search: Search, k: int, passes: int = 2, missing: str | None = None) -> tuple[tuple[float, ...], float]:
+    """Edges and their mean score over ``k`` folds of rows(grp, truth, value), by coordinate descent.
+
+    Each pass moves one edge after another to the candidate of the grid with the best mean of macro F1 over the
+    folds, the others held; edges stay in order, of equal scores the present one stays, then the smallest wins. The
+    rows are scanned once; what comes to the driver has a row for each fold, class and bin.
+    """
+    grid = tuple(sorted(set(search.grid) | set(search.edges)))
+    folded = rows.join(folds(rows.select("grp"), k), "grp")
+    held: dict[int, dict[tuple[str, int], int]] = {}
+    for r in binned_counts(folded, grid, "fold").collect():
+        held.setdefault(r["fold"], {})[r["truth"], r["bin"]] = r["n"]
+    lacking = missing if missing is not None else search.labels[0]
+    score_of = lambda cuts: sum(_macro_f1(c, search.labels, cuts, lacking) for c in held.values()) / max(1, len(held))
+    cuts = [grid.index(e) for e in search.edges]
+    best_score = score_of(cuts)
+    for _ in range(passes):
+        before = list(cuts)
+        for j in range(len(cuts)):
+            low, high = cuts[j - 1] + 1 if j else 0, cuts[j + 1] if j + 1 < len(cuts) else len(grid)
+            for candidate in range(low, high):
+                tried = [*cuts[:j], candidate, *cuts[j + 1 :]]
+                if (score := score_of(tried)) > best_score + 1e-12:
+                    best_score, cuts = score, tried
+        if cuts == before:
+            break
+    return tuple(grid[c] for c in cuts), best_score
