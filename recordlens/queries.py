@@ -954,6 +954,16 @@ def grouped_mean_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("candidate", F.round("mean_score", 6).alias("mean_score"), "folds")
 
 
+@query(f"""WITH {_TUNE_SQL}, p AS (SELECT r.grp%3 AS part, 'silence' AS field, truth, CAST(len(list_filter([{', '.join(f'{v}e0' for v in _GRID)}], lambda g: g<=silence)) AS INT) AS bin FROM r
+  UNION ALL SELECT l_orderkey%3, 'tax', l_returnflag, CASE WHEN l_linenumber=7 THEN -1 ELSE CAST(len(list_filter([0.02e0, 0.05e0], lambda g: g<=l_tax)) AS INT) END FROM lineitem)
+SELECT part, field, truth, bin, count(*) AS n FROM p GROUP BY ALL""")
+def threshold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one table that a descent over two fields' thresholds needs of all rows."""
+    silence = _labelled(spark, sf_dir).select((F.col("grp") % 3).alias("part"), F.lit("silence").alias("field"), "truth", F.col("silence").alias("value"))
+    tax = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 3).alias("part"), F.lit("tax").alias("field"), F.col("l_returnflag").alias("truth"), F.when(F.col("l_linenumber") != 7, F.col("l_tax")).alias("value"))
+    return tune.binned_counts(silence.union(tax), {"silence": _GRID, "tax": (0.02, 0.05)}, "part")
+
+
 # -- extension: sessions of events --------------------------------------------------------------
 
 
