@@ -1,11 +1,11 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against content-defined reference blocks.
+"""Substring deduplication against content-defined reference blocks, in place of a greedy relative Lempel-Ziv parse.
 
-Every document is parsed, left to right, into reference blocks: stretches of consecutive windows
+Every document is cut, left to right, into reference blocks: stretches of consecutive windows
 of WINDOW words that share an anchor, the least-hashed phrase of PHRASE words in the window.
 Where a block begins and ends depends on its words alone, so equal passages are cut alike, and
 the index of a block is its anchor and the hash of its words. A block that is indexed at an
-earlier place is copied from there; neighbouring copied blocks make one long factor, all of whose
-windows start earlier. Only where an anchor occurs in different blocks can a factor's boundary
+earlier place is copied from there, with all of its windows; matches are not extended beyond whole
+blocks. Only where an anchor occurs in different blocks can a block's boundary
 hide a repeated window; the windows of those blocks are looked up one by one. So the result is
 that of looking up every window, while about one row for eight words is shuffled, and repeated
 text only once.
