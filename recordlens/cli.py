@@ -149,12 +149,12 @@ class Analysis:
         return made
 
 
-def score_results(results: DataFrame, labels: DataFrame) -> DataFrame:
-    """Scores of the fields of ok results against labels(name, truth)."""
+def judged_results(results: DataFrame, labels: DataFrame) -> DataFrame:
+    """The fields of ok results beside labels(name, truth), and whether they agree."""
     fields = [f for f in FIELDS if f != "confidence"]
     predicted = score.unpivot(results.where("status = 'ok'"), "name", {f: F.col(f) for f in fields})
     truth = score.unpivot(labels, "name", {f: F.col(f"truth.{f}") for f in fields})
-    return score.field_scores(score.judged(score.pairs(predicted, truth)))
+    return score.judged(score.pairs(predicted, truth))
 
 
 def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -185,14 +185,22 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
     results = manifest.display_names(results.withColumnRenamed("name", "path")).withColumn("name", F.col("label")).select(*results.columns)
     results.write.mode("overwrite").parquet(f"{given.out}/results.parquet")
     done = spark.read.parquet(f"{given.out}/results.parquet")
-    sinks.write_json(done, f"{given.out}/results.json")
     sinks.write_csv(done, f"{given.out}/results.csv")
+    report = None
     if given.labels:
         labels = manifest.read_labels(spark, given.labels)
-        scores = score_results(done, labels)
-        scores.write.mode("overwrite").parquet(f"{given.out}/scores.parquet")
+        judged_results(done, labels).write.mode("overwrite").parquet(f"{work}/judged")
+        judged = spark.read.parquet(f"{work}/judged")
+        score.field_scores(judged).write.mode("overwrite").parquet(f"{given.out}/scores.parquet")
+        report = sinks.score_report(judged)
         for row in sinks.report_lines(spark.read.parquet(f"{given.out}/scores.parquet")).orderBy("field").collect():  # nine fields
             print(row["line"])
+        for row in score.name_status(done.where("status = 'ok'"), labels).where("status <> 'matched'").groupBy("status").count().orderBy("status").collect():
+            print(f"{row['status'].replace('_', ' ')}: {row['count']}")
+    if report is None:
+        sinks.write_json(done, f"{given.out}/results.json")
+    else:
+        sinks.write_json(done, f"{given.out}/results.json", given.folder, report)
     return 0
 
 

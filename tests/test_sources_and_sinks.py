@@ -171,7 +171,7 @@ def test_pipeline_and_sinks(spark, tmp_path):
     out = analyse(names, stages).withColumn("stage_times", F.create_map(F.lit("noise"), F.lit(0.123456)))
     rows = {r["name"]: r for r in out.collect()}
     assert rows["a.wav"]["status"] == "ok" and rows["a.wav"]["background_noise_severity"] == "medium" and rows["b.wav"]["status"] == "failed"
-    sinks.write_json(out, str(tmp_path / "j"))
+    sinks.write_json(out, str(tmp_path / "j"), single=False)
     read = [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "j")).collect()]
     assert {r["name"]: r["rtf"] for r in read} == {"a.wav": 0.0333, "b.wav": None}
     assert next(r for r in read if r["name"] == "a.wav")["stage_times"] == {"noise": 0.1235}
@@ -197,7 +197,11 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "labels.csv").write_text(f"name,result_json\na.wav,{quoted}\nz.wav,{quoted}\n")
     code = cli.main([str(tmp_path / "calls"), "--labels", str(tmp_path / "labels.csv"), "--out", str(tmp_path / "out")], spark)
     assert code == 0
-    read = {r["name"]: r for r in (json.loads(x["value"]) for x in spark.read.text(str(tmp_path / "out" / "results.json")).collect())}
+    whole = json.loads((tmp_path / "out" / "results.json").read_text())
+    read = {r["name"]: r for r in whole["results"]}
+    assert whole["score_report"]["fields"]["audio_quality"] == {"n": 1, "accuracy": 1.0, "adjacent_accuracy": 1.0, "macro_f1": 1.0, "errors": []}
+    assert whole["score_report"]["fields"]["emotional_tone"]["errors"][0]["truth"] == "upset" and whole["score_report"]["mean_field_accuracy"] == 0.5
+    assert (tmp_path / "out" / "results.csv").read_bytes().startswith("\ufeffname,status,result_json,error\r\na.wav,ok,".encode())
     assert read["a.wav"]["status"] == "ok" and read["b.WAV"]["status"] == "failed" and read["b.WAV"]["error"]
     scores = {r["field"]: r["accuracy"] for r in spark.read.parquet(str(tmp_path / "out" / "scores.parquet")).collect()}
     assert scores == {"audio_quality": 1.0, "emotional_tone": 0.0}
