@@ -6,15 +6,17 @@ import argparse
 import sys
 from collections.abc import Callable, Sequence
 from functools import cached_property
+from time import perf_counter
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from recordlens import sinks
 from recordlens.config import TUNED, read_thresholds
 from recordlens.operators import samples, score
 from recordlens.operators.intervals import speech_summary
+from recordlens.operators.jobs import stage_totals
 from recordlens.plans.impairment import impairments
 from recordlens.plans.noise import noise
 from recordlens.plans.pipeline import Estimates, Stage, Stub, analyse, build
@@ -90,13 +92,11 @@ class Analysis:
 
     def __init__(self, recordings: Recordings, heads: DataFrame, given: Given, work: str) -> None:
         self.recordings, self.given, self.work = recordings, given, work
+        self.seconds: dict[str, float] = {}
         self.heads = heads.where("error IS NULL").select(F.col("path").alias("file_id"), "rate", F.col("frames").alias("length"), "duration_s")
         self.regions = given("regions")
         self.voiced = bool(given.places.get("windows") and given.places.get("utterances"))
 
-    def _named(self, df: DataFrame) -> DataFrame:
-        return df.withColumnRenamed("file_id", "name")
-
     def _kept(self, df: DataFrame, what: str) -> DataFrame:
         """Written beside the results, so that stages share it."""
         df.write.mode("overwrite").parquet(f"{self.work}/{what}")
@@ -120,26 +120,37 @@ class Analysis:
         found, spans = customer(self.recordings.rows(RATE), self.speech, self.regions, self.given("windows"), self.given("utterances"))
         return self._kept(found, "roles"), self._kept(spans, "customer")
 
+    def _timed(self, name: str, make: Callable[[], DataFrame], *columns: str) -> Estimates:
+        """The stage's table, written beside the results, and the seconds that this took."""
+        began = perf_counter()
+        table = self._kept(make().withColumnRenamed("file_id", "name").select("name", *columns), f"stage-{name}")
+        self.seconds[name] = perf_counter() - began
+        return Estimates(name, table, *columns)
+
     def vad(self) -> Estimates:
-        return Estimates("vad", self._named(self.speech), "speech_ratio", "max_silence_s")
+        return self._timed("vad", lambda: self.speech, "speech_ratio", "max_silence_s")
 
     def quality(self) -> Estimates:
-        return Estimates("quality", self._named(impairments(self.measured, self.native, self.regions)), "degradation_score")
+        return self._timed("quality", lambda: impairments(self.measured, self.native, self.regions), "degradation_score")
 
     def noise(self) -> Estimates:
-        return Estimates("noise", self._named(noise(self.measured, self.given("noise_votes"))), "noise_level_db", "noise_class_dist")
+        return self._timed("noise", lambda: noise(self.measured, self.given("noise_votes")), "noise_level_db", "noise_class_dist")
 
     def roles(self) -> Estimates:
-        return Estimates("roles", self._named(self.customer[0]), "n_speakers", "role_confidence", "customer_speech_s")
+        return self._timed("roles", lambda: self.customer[0], "n_speakers", "role_confidence", "customer_speech_s")
 
     def emotion(self) -> Estimates:
         """Arousal and valence of the customer, or, without regions of speech, arousal of the whole recording from prosody."""
         rows = self.recordings.rows(RATE)
         if self.regions is None:
-            return Estimates("emotion", self._named(prosody(rows).select("file_id", "arousal")), "arousal")
+            return self._timed("emotion", lambda: prosody(rows).select("file_id", "arousal"), "arousal")
         roles, spans = self.customer if self.voiced else (None, None)
-        told = customer_tone(rows, self.speech, spans, self.given("classes"), self.given("words"), roles)
-        return Estimates("emotion", self._named(told), "arousal", "valence", "valence_source")
+        return self._timed("emotion", lambda: customer_tone(rows, self.speech, spans, self.given("classes"), self.given("words"), roles), "arousal", "valence", "valence_source")
+
+    def times(self, audio_s: Column, total_s: float) -> Column:
+        """Each stage's seconds as a map, shared out over the recordings by their length."""
+        share = F.try_divide(audio_s, F.lit(total_s))
+        return F.map_from_arrays(F.array(*map(F.lit, self.seconds)), F.array(*[F.lit(s) * share for s in self.seconds.values()])) if self.seconds else F.create_map().cast("map<string,double>")
 
     def makers(self) -> dict[str, Callable[[], Stage]]:
         """What can be measured from what is given: roles need regions, windows and utterances."""
@@ -175,16 +186,24 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
     probed = spark.read.parquet(f"{work}/heads")
     heads = probed.select(F.col("path").alias("name"), F.coalesce("duration_s", F.lit(0.0)).alias("audio_s"), "error")
     outside = Given(spark, manifest.display_names(probed.select("path")), {what: getattr(given, what) for what in OUTSIDE})
-    stages = build(given.stack, Analysis(recordings, probed, outside, work).makers())
+    analysis = Analysis(recordings, probed, outside, work)
+    stages = build(given.stack, analysis.makers())
     if (known := outside("estimates")) is not None:
         table = known.withColumnRenamed("file_id", "name")
         stages.insert(max(0, len(stages) - 1), Estimates("estimates", table, *[c for c in table.columns if c != "name"]))
     thresholds = read_thresholds(given.thresholds) if given.thresholds else TUNED
-    results = analyse(heads.withColumn("elapsed_s", F.lit(None).cast("double")), stages, thresholds)
-    results = results.withColumn("stage_times", F.create_map().cast("map<string,double>"))
+    observed: dict[str, Observation] = {}
+    total_s = heads.agg(F.sum("audio_s")).first()[0] or 0.0
+    timed = heads.withColumn("stage_times", F.when(F.col("error").isNull(), analysis.times(F.col("audio_s"), total_s)))
+    results = analyse(timed.withColumn("elapsed_s", F.aggregate(F.map_values("stage_times"), F.lit(0.0), lambda a, x: a + x)), stages, thresholds, observed=observed)
     results = manifest.display_names(results.withColumnRenamed("name", "path")).withColumn("name", F.col("label")).select(*results.columns)
     results.write.mode("overwrite").parquet(f"{given.out}/results.parquet")
     done = spark.read.parquet(f"{given.out}/results.parquet")
+    for name, seen in observed.items():  # filled while the results were written
+        found = seen.get
+        print(f"{name}: " + ", ".join(f"{c} of {found['recordings']} {what}" for what, c in found.items() if what != "recordings"))
+    for row in sinks.stage_lines(stage_totals(done)).orderBy(F.col("total_s").desc()).collect():  # a row a stage
+        print(row["line"])
     sinks.write_csv(done, f"{given.out}/results.csv")
     report = None
     if given.labels:

@@ -6,7 +6,7 @@ import logging
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recordlens.config import TUNED, Thresholds
@@ -70,9 +70,12 @@ def build(spec: str | None, makers: dict[str, Callable[[], Stage]]) -> list[Stag
     return stages
 
 
-def analyse(recordings: DataFrame, stages: Sequence[Stage], thresholds: Thresholds = TUNED, on_stage: Callable[[str], None] | None = None) -> DataFrame:
+def analyse(recordings: DataFrame, stages: Sequence[Stage], thresholds: Thresholds = TUNED, on_stage: Callable[[str], None] | None = None, observed: dict[str, Observation] | None = None) -> DataFrame:
     """Recordings with estimates and output fields.
 
+    ``on_stage`` is told each stage as the plan is built. ``observed`` gets for each stage an observation
+    that is filled while the job runs: how many recordings passed, and how many have each of its estimates.
+
     Rows with an ``error`` are failed and keep the default fields' nulls; the others are ok. Rows
     whose core estimates are missing get a warning.
     """
@@ -84,6 +87,9 @@ def analyse(recordings: DataFrame, stages: Sequence[Stage], thresholds: Threshol
         if on_stage:
             on_stage(stage.name)
         df = stage(df)
+        if observed is not None and (columns := getattr(stage, "columns", ())):
+            observed[stage.name] = Observation()
+            df = df.observe(observed[stage.name], F.count("*").alias("recordings"), *[F.count(c).alias(c) for c in columns])
     if "error" not in df.columns:
         df = df.withColumn("error", F.lit(None).cast("string"))
     missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in CORE]))

@@ -181,12 +181,21 @@ def test_pipeline_and_sinks(spark, tmp_path):
     assert again.first()["truth"]["background_noise_severity"] == "medium"
 
 
+def test_stages_are_observed_while_the_job_runs(spark):
+    names = spark.createDataFrame([(f"{k}.wav", None) for k in range(10)], "name string, error string")
+    table = spark.createDataFrame([(f"{k}.wav", -40.0 if k % 2 else None) for k in range(8)], "name string, noise_level_db double")
+    observed, told = {}, []
+    out = analyse(names, [Estimates("noise", table, "noise_level_db"), Stub()], on_stage=told.append, observed=observed)
+    assert told == ["noise", "stub"] and out.count() == 10
+    assert observed["noise"].get == {"recordings": 10, "noise_level_db": 4}
+
+
 def test_jobs(spark):
     results = spark.createDataFrame([({"vad": 1.0, "asr": 3.0}, 10.0), ({"vad": 1.0}, 10.0)], "stage_times map<string,double>, audio_s double")
     assert {r["stage"]: r["rtf"] for r in jobs.stage_totals(results).collect()} == {"vad": 0.1, "asr": 0.15}
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "calls" / "sub").mkdir(parents=True)
     # a tone alone ends below 3.6 kHz and counts as narrow; the noise gives it a band to be clear in
     tone = 0.3 * np.sin(np.arange(16000) / 10) + 0.03 * np.random.default_rng(3).standard_normal(16000)
@@ -203,6 +212,9 @@ def test_command_line(spark, tmp_path):
     assert whole["score_report"]["fields"]["emotional_tone"]["errors"][0]["truth"] == "upset" and whole["score_report"]["mean_field_accuracy"] == 0.5
     assert (tmp_path / "out" / "results.csv").read_bytes().startswith("\ufeffname,status,result_json,error\r\na.wav,ok,".encode())
     assert read["a.wav"]["status"] == "ok" and read["b.WAV"]["status"] == "failed" and read["b.WAV"]["error"]
+    assert set(read["a.wav"]["stage_times"]) == {"quality", "noise", "emotion"} and read["a.wav"]["rtf"] > 0 and read["b.WAV"]["stage_times"] is None
+    said = capsys.readouterr().out
+    assert "quality: 1 of 2 degradation_score" in said and "missing prediction: 1" in said
     scores = {r["field"]: r["accuracy"] for r in spark.read.parquet(str(tmp_path / "out" / "scores.parquet")).collect()}
     assert scores == {"audio_quality": 1.0, "emotional_tone": 0.0}
     assert cli.main([str(tmp_path / "none")], spark) == 1
