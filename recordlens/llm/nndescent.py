@@ -422,7 +422,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     linked = lambda near: near.select("u", "v").union(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     links = cut(linked(graph.where(F.col("sim") >= threshold)))
     groups = cut(connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
-    # saturated lists: as many links as a list is long. Longer lists hold those of a group that isn't large; large groups go to the tiles
+    # saturated lists: as many links as a list is long. Longer lists find what else a group links with, if it isn't large
     small = groups.groupBy("component").count().where(F.col("count") <= GROUP).select("component")
     growing = cut(groups.join(small, "component").select(F.col("node").alias("u")))
     graph, longest = enlarged(graph, nodes, threshold, growing)
@@ -433,9 +433,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         ends = links.join(every.select(F.col("node").alias("u"), F.col("component").alias("a")), "u").join(every.select(F.col("node").alias("v"), F.col("component").alias("b")), "v")
         met = cut(_joined(every, ends.where("a <> b")))
         groups = met.join(links.select(F.col("u").alias("node")).distinct(), "node", "left_semi")
-    limit = F.when(F.col("_grown"), longest).otherwise(NEIGHBOURS)
-    counts = near.groupBy("u").count().join(growing.withColumn("_grown", F.lit(True)), "u", "left")
-    full = counts.where(F.col("count") >= F.coalesce(limit, F.lit(NEIGHBOURS))).select(F.col("u").alias("node"))
+    # refined lists still miss a few links of a group; those groups are small or go to the tiles anyway, so all are compared whole
+    full = near.groupBy("u").count().where(F.col("count") >= NEIGHBOURS).select(F.col("u").alias("node"))
     dense = groups.join(full, "node", "left_semi").select("component").distinct()
     members = cut(groups.join(dense, "component").select(F.col("node").alias("id"), "component"))
     compared = cut(_dense_links(_meeting(members, nodes, threshold), nodes, threshold))
