@@ -13,6 +13,15 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """``x`` to ``places``, halves away from zero, decided on the scaled double as SQL engines do.
+
+    ``F.round`` decides on the shortest decimals of ``x``, so that 0.17625 less its last bit goes down.
+    """
+    scale = 10.0**places
+    return F.round(x * scale) / scale
+
+
 def binned(x: Column, edges: Sequence[float | Column], labels: Sequence[str]) -> Column:
     """The label of the half-open bin of ``x``: label k where x lies below edge k first, else the last."""
     out = None

@@ -42,8 +42,8 @@ def agent_votes(text: Column, agent: tuple[str, ...] = AGENT_PATTERNS, customer:
 
 
 def others_mean(value: str) -> Column:
-    """Mean over the other rows of a file, without a self-join; null for the only one."""
-    whole = Window.partitionBy("file_id")
+    """Mean over the other rows of a file, without a self-join; null for the only one. Sums go in the order of first speech, the same in each run."""
+    whole = Window.partitionBy("file_id").orderBy("first_start_s", "cluster").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     n, total = F.count(value).over(whole), F.sum(value).over(whole)
     return F.try_divide(total - F.col(value), F.nullif(n - 1, F.lit(0)))
 

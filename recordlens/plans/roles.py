@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordlens.functions.scalars import rounded
 from recordlens.operators import clusters, roles, samples
 from recordlens.operators.intervals import joined_text, long_enough, matched_spans, stab
 from recordlens.shared import cut
@@ -35,7 +36,7 @@ def assigned(speech: DataFrame, lexical: DataFrame, acoustic: DataFrame) -> Data
         "file_id", F.lit(1).alias("n_speakers"), none, F.lit(roles.ONE_SPEAKER).alias("role_confidence"), F.lit(ONE_VOICE).alias("how")
     )
     silent = speech.join(speaking, "file_id", "left_anti").select("file_id", F.lit(0).alias("n_speakers"), none, F.lit(0.0).alias("role_confidence"), F.lit(SILENT).alias("how"))
-    return decided.unionByName(by_sound).unionByName(alone).unionByName(silent).withColumn("role_confidence", F.round("role_confidence", 4))
+    return decided.unionByName(by_sound).unionByName(alone).unionByName(silent).withColumn("role_confidence", rounded(rounded(F.col("role_confidence"), 6), 4))  # the last bits don't decide
 
 
 def customer_spans(found: DataFrame, lexical_spans: DataFrame, acoustic_spans: DataFrame, regions: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordlens.functions import scalars, vocab
@@ -587,11 +587,24 @@ cl AS (SELECT conv_id AS file_id, CASE role WHEN 'user' THEN 0 WHEN 'assistant'
   FROM conversations GROUP BY 1, 2)"""
 
 
+def _deviation(ordered: Column) -> Column:
+    """Population deviation of an array of structs' ``x``, updated value by value in their order: the same to the last bit in each run."""
+    nothing = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(s: Column, e: Column) -> Column:
+        n = s["n"] + 1.0
+        mean = s["mean"] + (e["x"] - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["squares"] + (e["x"] - s["mean"]) * (e["x"] - mean)).alias("squares"))
+
+    return F.aggregate(ordered, nothing, step, lambda s: F.sqrt(F.try_divide(s["squares"], s["n"])))
+
+
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     cluster = F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).otherwise(2)
+    lengths = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("turn", F.length("text").cast("double").alias("x")))))
     return turns.groupBy(F.col("conv_id").alias("file_id"), cluster.alias("cluster")).agg(
-        (-F.min(F.length("text")).cast("double") / 10.0).alias("floor_db"), (F.stddev_pop(F.length("text")) / 20.0).alias("level_sd"),
+        (-F.min(F.length("text")).cast("double") / 10.0).alias("floor_db"), (_deviation(lengths) / 20.0).alias("level_sd"),
         F.min("turn").cast("double").alias("first_start_s"), F.sum(roles.pattern_hits(F.col("text"), (r"\bthe\b",))).cast("double").alias("votes"),
     )
 
@@ -610,7 +623,7 @@ SELECT file_id, cluster, round(fin, 6) AS score, CAST(rank AS INT) AS rank, roun
 FROM (SELECT * FROM q) t""".replace("coalesce(greatest(0.0e0, least(1.0e0, mg2/", "coalesce(CASE WHEN mg2 IS NOT NULL THEN greatest(0.0e0, least(1.0e0, mg2/").replace("1.75e0 END)), 0.35e0)", "1.75e0 END)) END, 0.35e0)"))
 def role_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = roles.acoustic_roles(_clusters(spark, sf_dir))
-    return found.select("file_id", "cluster", F.round("score", 6).alias("score"), "rank", F.round("role_confidence", 6).alias("role_confidence"))
+    return found.select("file_id", "cluster", scalars.rounded(F.col("score"), 6).alias("score"), "rank", scalars.rounded(F.col("role_confidence"), 6).alias("role_confidence"))
 
 
 @query(f"""WITH {_CLUSTERS_SQL}, w AS (SELECT *, count(*) OVER p AS n, max(votes) OVER p - min(votes) OVER p AS spread, row_number() OVER (PARTITION BY file_id ORDER BY votes, cluster) AS rk FROM cl WINDOW p AS (PARTITION BY file_id)),
