@@ -1,31 +1,33 @@
-"""Hard negatives by a two-dimensional block matrix multiply.
+"""Hard negatives by a two-dimensional block matrix multiply (SUMMA).
 
-The matrix of scores is anchors x rows. Anchors are sharded into blocks i, rows into blocks j, the
-dimensions into chunks k. One group (i, j, k) multiplies its two pieces into a partial tile of
-64-bit integers; the partial tiles of (i, j) are shuffled together and added up; of each full tile
-only the best of each anchor (or of each window of it) go on to the last reduction.
+The matrix of scores is anchors x rows. Anchors are sharded into panels i, rows into panels j, and
+one task owns each block (i, j): it holds the anchors, streams the rows in tiles, and multiplies
+the two chunk by chunk of the dimensions, adding the partial tiles of 64-bit integers up in place.
+Scores never leave their task; of each block only the best of each window of an anchor do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordlens.llm.common import cut, table
+from recordlens.llm.common import cut, table, written
 
 #: Anchors and rows of a tile, and dimensions of a chunk.
 ANCHORS, ROWS, CHUNK = 256, 1024, 32
+#: Components of a panel of anchors (32,768 anchors of 64), rows of a panel of rows at least, and panels of rows that a panel of anchors meets at most.
+PANEL_CELLS, PANEL_ROWS, PANELS = 2**21, 4096, 24
 POSITIVES, NEGATIVES = 5, 3
 #: A negative's score lies between these hundredths of the positive's.
 LOW, HIGH = 50, 95
 ANCHOR_STEP = 50
 SEED = 29
-_NONE = np.iinfo(np.int64).min
-_PARTIAL = "g long, i long, j long, at long, k int, anchor long, extra binary, data binary"
+_NONE, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+_FOUND = "at long, anchor long, row long, id long, score long, window int"
 
 
 def partial_tile(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -38,149 +40,141 @@ def partial_tile(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.rint(left @ right.T).astype(np.int64)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
-    """Sorted rows by runs of equal values of ``names``."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
+    """Pieces of sorted rows with equal values of ``names``, and those values."""
     for batch in batches:
         if not batch.num_rows:
             continue
         keys = np.stack([batch[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in names])
         starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
-            this = tuple(keys[:, a].tolist())
-            if this != last and held:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = this
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
-
-
-def _multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each (g, i, j, k) the partial tile, an anchor a row; the first chunk also sends what the columns are."""
-    for held in _groups(batches, ["g", "i", "j", "k"]):
-        side = held["side"].to_numpy()
-        left, right = held.filter(pa.array(side == 0)), held.filter(pa.array(side == 1))
-        if not len(left) or not len(right):
-            continue
-        left, right = left.sort_by("row"), right.sort_by([("id", "ascending"), ("row", "ascending")])  # nulls come last
-        g, i, j, k = (held[n][0].as_py() for n in ("g", "i", "j", "k"))
-        tile = partial_tile(_matrix(left["piece"], len(left)), _matrix(right["piece"], len(right)))
-        at, anchor = left["row"].to_pylist(), left["id"].to_pylist()
-        extra: list[bytes | None] = [None] * len(left)
-        data = [row.tobytes() for row in tile]
-        if k == 0:
-            extra = left["extra"].to_pylist()
-            ids = np.stack([right["row"].to_numpy(), right["id"].to_numpy(zero_copy_only=False) if not right["id"].null_count else right["id"].fill_null(0).to_numpy(), right["id"].is_null().to_numpy().astype(np.int64), right["label"].to_numpy()])
-            at, anchor, extra, data = [-1, *at], [None, *anchor], [None, *extra], [ids.astype(np.int64).tobytes(), *data]
-        n = len(at)
-        yield pa.record_batch(
-            [pa.array([g] * n), pa.array([i] * n), pa.array([j] * n), pa.array(at), pa.array([k] * n, pa.int32()), pa.array(anchor, pa.int64()), pa.array(extra, pa.binary()), pa.array(data, pa.binary())],
-            ["g", "i", "j", "at", "k", "anchor", "extra", "data"],
-        )
-
-
-class Tile:
-    """A full tile: scores, and of its columns the row, id, whether the id is null, and the label."""
-
-    def __init__(self, held: pa.Table) -> None:
-        at = held["at"].to_numpy()
-        data = held["data"].to_pylist()
-        self.row, self.id, self.lacks, self.label = np.frombuffer(data[0], np.int64).reshape(4, -1)  # the header comes first
-        self.at, place = np.unique(at[1:], return_inverse=True)
-        self.scores = np.zeros((len(self.at), len(self.row)), np.int64)
-        for k, part in zip(place.tolist(), data[1:]):
-            self.scores[k] += np.frombuffer(part, np.int64)
-        if np.abs(self.scores).max(initial=0) >= 2**56:
-            raise ValueError("scores are too large")
-        first = np.flatnonzero(held["k"].to_numpy()[1:] == 0) + 1
-        own = held.take(pa.array(first)).sort_by("at")
-        self.anchor = own["anchor"]
-        self.extra = np.stack([np.frombuffer(x, ">i8").astype(np.int64) for x in own["extra"].to_pylist()]) if len(own) else np.zeros((0, 1), np.int64)
-
-    def best(self, allowed: np.ndarray, count: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Up to ``count`` times the place and column of each anchor's highest allowed score not yet given.
-
-        Columns are in order of id, so of equal scores the smaller id comes first.
-        """
-        left = np.where(allowed, self.scores, _NONE)
-        for _ in range(min(count, len(self.row))):
-            column = left.argmax(axis=1)
-            place = np.flatnonzero(left[np.arange(len(left)), column] != _NONE)
-            if not len(place):
-                return
-            yield place, column[place]
-            left[place, column[place]] = _NONE
-
-
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[Tile]:
-    for held in _groups(batches, ["g", "i", "j"]):
-        yield Tile(held)
-
-
-def _found(tile: Tile, place: np.ndarray, column: np.ndarray, more: dict[str, np.ndarray]) -> pa.RecordBatch:
-    ids = pa.array(tile.id[column], mask=tile.lacks[column].astype(bool))
-    columns = {"at": pa.array(tile.at[place]), "anchor": tile.anchor.combine_chunks().take(pa.array(place)), "row": pa.array(tile.row[column]), "id": ids, "score": pa.array(tile.scores[place, column])}
-    return pa.record_batch([*columns.values(), *map(pa.array, more.values())], [*columns, *more])
-
-
-def _tile_positives(count: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each anchor's ``count`` best other rows of a tile; its rows all have the anchor's label."""
-        for tile in _tiles(batches):
-            for place, column in tile.best(tile.row[None, :] != tile.at[:, None], count):
-                yield _found(tile, place, column, {})
+            yield tuple(keys[:, a].tolist()), batch.slice(a, b - a)
 
-    return run
+
+def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(rows, -1)
 
 
-def _tile_negatives(count: int, low: int, high: int):
+class Block:
+    """Scores of a panel of anchors: the best rows so far of each window of each anchor.
+
+    Rows come in the order of id, nulls last, then row, so of equal scores the earlier one stays.
+    An anchor's ``extra`` is its label and its positives' scores, as many as it has; without ``within``
+    (hundredths of a positive's score) it has one window, all other rows.
+    """
+
+    def __init__(self, anchors: pa.Table, count: int, within: tuple[int, int] | None, tile: tuple[int, int, int]) -> None:
+        self.tile, self.near = tile, within is None
+        self.at, self.id = anchors["row"].to_numpy(), anchors["id"].to_numpy()
+        self.q = _matrix(anchors["q"], len(anchors))
+        extra = _matrix(anchors["extra"], len(anchors))
+        self.label = extra[:, 0]
+        if within is None:
+            self.low, self.high = np.full((len(anchors), 1), _NONE + 1), np.full((len(anchors), 1), _MOST)
+        else:
+            known = extra[:, 1:] != _NONE
+            positive = np.where(known, extra[:, 1:], 0)
+            self.low = np.where(known, -(-within[0] * positive // 100), _MOST)  # rounded up
+            self.high = np.where(known, within[1] * positive // 100, _NONE)
+        shape = (*self.low.shape, count)
+        self.score, self.row, self.other = np.full(shape, _NONE), np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+        self.lacks = np.zeros(shape, bool)
+
+    def take(self, rows: pa.RecordBatch) -> None:
+        """Meets further rows, a tile at a time."""
+        right, row, label = _matrix(rows["q"], rows.num_rows), rows["row"].to_numpy(), rows["label"].to_numpy()
+        lacks = rows["id"].is_null().to_numpy(zero_copy_only=False)
+        other = rows["id"].fill_null(0).to_numpy()
+        size, _, chunk = self.tile
+        for a in range(0, len(self.at), size):
+            part = slice(a, a + size)
+            scores = np.zeros((len(self.at[part]), len(row)), np.int64)
+            for k in range(0, right.shape[1], chunk):
+                scores += partial_tile(self.q[part, k : k + chunk], right[:, k : k + chunk])
+            if np.abs(scores).max(initial=0) >= 2**56:
+                raise ValueError("scores are too large")
+            allowed = self.at[part, None] != row if self.near else self.label[part, None] != label
+            self._keep(a, np.where(allowed, scores, _NONE), row, other, lacks)
+
+    def _keep(self, a: int, scores: np.ndarray, row: np.ndarray, other: np.ndarray, lacks: np.ndarray) -> None:
+        part, count = slice(a, a + len(scores)), self.score.shape[2]
+        for w in range(self.low.shape[1]):
+            least = np.maximum(self.low[part, w], self.score[part, w, -1] + 1)
+            fits = (scores >= least[:, None]) & (scores <= self.high[part, w, None])
+            hit = np.flatnonzero(fits.any(axis=1))
+            if not len(hit):
+                continue
+            left, lines = np.where(fits[hit], scores[hit], _NONE), np.arange(len(hit))
+            column = np.zeros((len(hit), min(count, len(row))), np.int64)
+            value = np.full(column.shape, _NONE)
+            for k in range(column.shape[1]):
+                column[:, k] = left.argmax(axis=1)
+                value[:, k] = left[lines, column[:, k]]  # _NONE where no more are left
+                left[lines, column[:, k]] = _NONE
+            place = a + hit
+            order = np.argsort(~np.concatenate([self.score[place, w], value], axis=1), axis=1, kind="stable")[:, :count]
+            for held, new in ((self.score, value), (self.row, row[column]), (self.other, other[column]), (self.lacks, lacks[column])):
+                held[place, w] = np.take_along_axis(np.concatenate([held[place, w], new], axis=1), order, axis=1)
+
+    def found(self, size: int = 4096) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.at), size):
+            place, window, k = np.nonzero(self.score[a : a + size] != _NONE)
+            place += a
+            pick = lambda values: values[place, window, k]  # noqa: E731, B023
+            columns = [self.at[place], self.id[place], pick(self.row), pa.array(pick(self.other), mask=pick(self.lacks)), pick(self.score), (window + 1).astype(np.int32)]
+            yield pa.record_batch([pa.array(c) for c in columns], ["at", "anchor", "row", "id", "score", "window"])
+
+
+def _search(count: int, within: tuple[int, int] | None, tile: tuple[int, int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each window of each anchor the ``count`` best rows of another label in a tile.
-
-        An anchor's ``extra`` is its label and its positives' scores, as many as it has.
-        """
-        for tile in _tiles(batches):
-            other = tile.label[None, :] != tile.extra[:, :1]
-            for window in range(1, tile.extra.shape[1]):
-                positive = tile.extra[:, window : window + 1]
-                within = other & (positive != _NONE) & (low * positive <= 100 * tile.scores) & (100 * tile.scores <= high * positive)
-                for place, column in tile.best(within, count):
-                    yield _found(tile, place, column, {"window": np.full(len(place), window, np.int32)})
+        """The best rows of each block; its anchors come first, then its rows."""
+        at, held, block = None, [], None
+        for (*key, side), piece in _runs(batches, ["g", "i", "j", "side"]):
+            if key != at:
+                if block is not None:
+                    yield from block.found()
+                at, held, block = key, [], None
+            if side == 0:
+                held.append(piece)
+                continue
+            if block is None:
+                if not held:
+                    continue
+                block, held = Block(pa.Table.from_batches(held), count, within, tile), []
+            for a in range(0, piece.num_rows, tile[1]):
+                block.take(piece.slice(a, tile[1]))
+        if block is not None:
+            yield from block.found()
 
     return run
 
 
-def score_tiles(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of the full tiles, sorted for ``_tiles``, one tile after another within a partition.
+def best_rows(left: DataFrame, right: DataFrame, count: int, within: tuple[int, int] | None) -> DataFrame:
+    """The best ``count`` rows of each window of each anchor in each block, as ``_FOUND``.
 
-    ``left`` has (g, i, row, id, q, extra), ``right`` (g, j, row, id, label, q); only equal g meet.
-    Each anchor goes to all blocks j of its g, each row to all blocks i, each in its chunks k.
+    ``left`` has (g, row, id, q, extra, draw), ``right`` (g, row, id, label, q, draw); only equal g meet.
+    Each anchor goes to all panels of rows of its g, of which there are ``PANELS`` at most, each row to all panels of
+    anchors. A row is copied only where a g has more anchors than a panel holds.
     """
-    wide = left.groupBy("g").agg((F.max("i") + 1).alias("is"))
-    long = right.groupBy("g").agg((F.max("j") + 1).alias("js"))
-    shape = cut(wide.join(long, "g"))  # a row for each g
-    chunks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.size("q") / CHUNK).cast("int"), F.lit(1)) - 1),
-        lambda k: F.struct(k.alias("k"), F.slice("q", k * CHUNK + 1, F.lit(CHUNK)).alias("piece")),
-    )
-
-    def spread(side: int, rows: DataFrame, over: str, count: str, extra: Column, label: Column) -> DataFrame:
-        many = rows.join(shape, "g").withColumn(over, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)))
-        return many.select("g", "i", "j", F.explode(chunks).alias("c"), "row", "id", extra.alias("extra"), label.alias("label")).select(
-            "g", "i", "j", "c.k", F.lit(side).alias("side"), "row", "id", F.when(F.col("c.k") == 0, F.col("extra")).alias("extra"), "label", "c.piece"
-        )
-
-    both = spread(0, left, "j", "js", F.col("extra"), F.lit(None).cast("long")).unionByName(spread(1, right, "i", "is", F.lit(None).cast("binary"), F.col("label")))
-    parts = both.repartition("g", "i", "j", "k").sortWithinPartitions("g", "i", "j", "k").mapInArrow(_multiply, _PARTIAL)
-    return parts.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "at", "k")
+    asked = left.groupBy("g").agg(F.count("*").alias("_a"), F.max(F.size("q")).alias("_d"))
+    counts = right.groupBy("g").agg(F.count("*").alias("_r")).join(asked, "g", "left")
+    panel = F.greatest(F.lit(1), F.floor(F.lit(PANEL_CELLS) / F.greatest("_d", F.lit(1))))
+    sizes = counts.select("g", F.coalesce(F.ceil(F.col("_a") / panel), F.lit(0)).alias("_is"), F.least(F.ceil(F.col("_r") / PANEL_ROWS), F.lit(PANELS)).alias("_js"))
+    shape = F.broadcast(cut(sizes.where("_is > 1 or _js > 1")))  # of large g alone, so few
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), PANELS)
+
+    def spread(side: int, rows: DataFrame, own: str, own_count: str, over: str, over_count: str, **more: str) -> DataFrame:
+        many = rows.join(shape, "g", "left").withColumns({c: F.coalesce(c, F.lit(1)).cast("long") for c in ("_is", "_js")}).where("_is > 0")
+        placed = many.withColumn(own, F.floor(F.col("draw") * F.col(own_count))).withColumn(over, F.explode(F.sequence(F.lit(0).cast("long"), F.col(over_count) - 1)))
+        part = F.pmod(F.pmod("g", F.lit(parts)) + F.col("i") * F.col("_js") + F.col("j"), F.lit(parts)).cast("int")
+        return placed.select(part.alias("part"), "g", "i", "j", F.lit(side).alias("side"), "row", "id", "q", *[F.expr(x).alias(n) for n, x in more.items()])
+
+    anchors = spread(0, left, "i", "_is", "j", "_js", extra="extra", label="CAST(NULL AS BIGINT)")
+    rows = spread(1, right, "j", "_js", "i", "_is", extra="CAST(NULL AS ARRAY<BIGINT>)", label="label")
+    order = ["g", "i", "j", "side", F.col("id").asc_nulls_last(), "row"]
+    placed = anchors.unionByName(rows).repartitionById(parts, F.col("part")).sortWithinPartitions(*order)
+    return placed.mapInArrow(_search(count, within, (ANCHORS, ROWS, CHUNK)), _FOUND)
 
 
 def usable_rows(vectors: DataFrame) -> DataFrame:
@@ -193,11 +187,6 @@ def usable_rows(vectors: DataFrame) -> DataFrame:
     return good.select(F.monotonically_increasing_id().alias("row"), id_.alias("id"), label.alias("label"), F.transform(vec, lambda x: F.floor(256 * x)).alias("q"))
 
 
-def _packed(*values: Column) -> Column:
-    """Some 64-bit integers as bytes, big-endian."""
-    return F.concat(*[F.unhex(F.lpad(F.hex(v), 16, "0")) for v in values])
-
-
 def hard_negatives(vectors: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> DataFrame:
     """Rows ``anchor_id, positive_id, rank, negative_id, positive_score, negative_score`` of vectors(vec_id, embedding, label, ...).
 
@@ -210,33 +199,24 @@ def hard_negatives(vectors: DataFrame, positives: int = POSITIVES, negatives: in
     columns, whatever their names, are ignored; an empty table gives no rows.
     """
     rows = usable_rows(vectors)
-    # places in blocks are drawn once and then kept, so that lost tasks find the same
-    by_label = F.xxhash64(F.lit("label"), "label", F.size("q"))
-    keyed = cut(rows.withColumn("g", by_label).withColumn("draw", F.rand(SEED)).withColumn("asked", F.coalesce(F.col("id") % ANCHOR_STEP == 0, F.lit(False))))
-    by_length = F.xxhash64(F.lit("length"), F.size("q"))
-
-    def blocks(of: DataFrame, size: int, name: str) -> DataFrame:
-        """A block number for each row: as many blocks of a g as hold about ``size`` rows each."""
-        counts = of.groupBy("g").agg(F.ceil(F.count("*") / size).alias("_n"))
-        return of.join(counts, "g").withColumn(name, F.floor(F.col("draw") * F.col("_n")).cast("long")).drop("_n")
-
-    asked = keyed.where("asked")
-    near = score_tiles(
-        blocks(asked, ANCHORS, "i").select("g", "i", "row", "id", "q", _packed(F.col("label")).alias("extra")),
-        blocks(keyed, ROWS, "j").select("g", "j", "row", "id", "label", "q"),
-    ).mapInArrow(_tile_positives(positives), "at long, anchor long, row long, id long, score long")
+    # places in panels are drawn once and then kept, so that lost tasks find the same
+    keyed = written(rows.withColumn("draw", F.rand(SEED)).withColumn("asked", F.coalesce(F.col("id") % ANCHOR_STEP == 0, F.lit(False))))
+    none = F.lit(_NONE).cast("long")
     order = [F.col("score").desc(), F.col("id").asc_nulls_last(), F.col("row")]
+
+    def within_g(of: DataFrame, *key: Column) -> DataFrame:
+        return of.withColumn("g", F.xxhash64(*key, F.size("q")))
+
+    own = within_g(keyed, F.lit("label"), F.col("label"))
+    near = best_rows(own.where("asked").withColumn("extra", F.array("label")), own, positives, None).drop("window")
     chosen = cut(near.withColumn("window", F.row_number().over(Window.partitionBy("at").orderBy(*order))).where(F.col("window") <= positives))
     score_of = [F.max(F.when(F.col("window") == w, F.col("score"))).alias(f"s{w}") for w in range(1, positives + 1)]
     windows = chosen.groupBy(F.col("at").alias("row")).agg(*score_of)
-    none = F.lit(_NONE).cast("long")
-    with_windows = asked.join(windows, "row").withColumn("extra", _packed(F.col("label"), *[F.coalesce(f"s{w}", none) for w in range(1, positives + 1)])).withColumn("g", by_length)
-    far = score_tiles(
-        blocks(with_windows, ANCHORS, "i").select("g", "i", "row", "id", "q", "extra"),
-        blocks(keyed.withColumn("g", by_length), ROWS, "j").select("g", "j", "row", "id", "label", "q"),
-    ).mapInArrow(_tile_negatives(negatives, LOW, HIGH), "at long, anchor long, row long, id long, score long, window int")
+    of_length = within_g(keyed, F.lit("length"))
+    asked = of_length.where("asked").join(windows, "row").withColumn("extra", F.array("label", *[F.coalesce(f"s{w}", none) for w in range(1, positives + 1)]))
+    far = best_rows(asked, of_length, negatives, (LOW, HIGH)).drop("anchor")
     best = far.withColumn("rank", F.row_number().over(Window.partitionBy("at", "window").orderBy(*order))).where(F.col("rank") <= negatives)
-    positive = chosen.select("at", "window", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
+    positive = chosen.select("at", "window", "anchor", F.col("id").alias("positive_id"), F.col("score").alias("positive_score"))
     return best.join(positive, ["at", "window"]).select(
         F.col("anchor").alias("anchor_id"), "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
     )

@@ -80,3 +80,17 @@ def test_query_and_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet'")
     assert sorted(con.execute(negatives.OP13_SQL).fetchall(), key=str) == got
+
+
+def test_scores_stay_in_their_tasks(spark, monkeypatch):
+    """What is shuffled grows with the rows, not with the products of anchors and rows; many panels give the same result."""
+    shuffled = []
+    whole = negatives.best_rows
+    monkeypatch.setattr(negatives, "best_rows", lambda left, right, *more: shuffled.append(whole(left, right, *more)) or shuffled[-1])
+    rows = near_rows(3, 1200, 8) + [(50 * k, [float(k % 7)] * 8, k % 3) for k in range(24, 60)]
+    once = found(negatives.hard_negatives(made(spark, rows)))
+    for name, value in (("PANEL_CELLS", 8 * 16), ("PANEL_ROWS", 100), ("PANELS", 5), ("ANCHORS", 5), ("ROWS", 30)):
+        monkeypatch.setattr(negatives, name, value)
+    assert found(negatives.hard_negatives(made(spark, rows))) == once == plain(rows)
+    for part in shuffled:
+        assert part.count() <= 15 * 5 * len({r[0] for r in rows if r[0] % 50 == 0})  # of each anchor a window's best of each panel of rows
