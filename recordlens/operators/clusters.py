@@ -21,8 +21,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    size = F.sqrt(dot(a, a))
-    return F.transform(a, lambda x: x / F.when(size > 0, size).otherwise(1.0))
+    """``a`` at length 1. It and its length are bound once a row: inside the last lambda they would be evaluated anew for each dimension."""
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    return once(a, lambda v: once(F.sqrt(dot(v, v)), lambda size: F.transform(v, lambda x: x / F.when(size > 0, size).otherwise(1.0))))
 
 
 def centroids(windows: DataFrame, *keys: str) -> DataFrame:
